@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, decontam, linededup, simhash, toxicity
 from .common import table
 
 
@@ -22,5 +22,30 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
-ORACLE_SQL: dict[str, str] = {}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: fitted on a bounded sample of ``labels``, scoring all of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: ``documents`` against ``benchmark``."""
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over ``documents``."""
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_simhash,
+        op3_toxicity,
+        op7_decontamination,
+        op8_line_dedup,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.REPORT_SQL}
