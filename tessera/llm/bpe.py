@@ -182,9 +182,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         bpe = encoder(path)
         for batch in batches:
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([bpe.decode(i).decode("utf-8", "replace") for i in ids], pa.string())], names=[id_col, "ids", "decoded"]
-            )
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32))
+            texts = pa.array([bpe.decode(i).decode("utf-8", "replace") for i in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat), texts], names=[id_col, "ids", "decoded"])
 
     return map_arrow(docs.select(id_col, bytes_of(text_col).alias("_text")), work, f"`{id_col}` {key}, ids array<int>, decoded string")
 

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it."""
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS).rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it back.
 
@@ -25,7 +30,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
