@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, linededup, simhash, substring, toxicity
+from . import ann, bpe, decontam, linededup, simhash, substring, toxicity
 from .common import table
 
 
@@ -43,6 +43,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: the five nearest of every fiftieth row of ``embeddings``."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_substring_dedup,
         op7_decontamination,
         op8_line_dedup,
+        op9_ann,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.REPORT_SQL}
