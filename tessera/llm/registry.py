@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, linededup, simhash, substring, toxicity
+from . import ann, bpe, decontam, htmltext, linededup, simhash, substring, toxicity
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, k=5)
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over ``pages``."""
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_decontamination,
         op8_line_dedup,
         op9_ann,
+        op10_html,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.REPORT_SQL}
