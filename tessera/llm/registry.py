@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, htmltext, linededup, simhash, substring, toxicity
+from . import ann, bpe, decontam, htmltext, linededup, quality, simhash, substring, toxicity
 from .common import table
 
 
@@ -28,6 +28,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: fitted outside the held-out fold, scoring all of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over ``documents``."""
     return substring.report(table(spark, sf_dir, "documents"))
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_bpe,
         op2_simhash,
         op3_toxicity,
+        op4_quality,
         op5_substring_dedup,
         op7_decontamination,
         op8_line_dedup,
