@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, htmltext, linededup, quality, simhash, substring, toxicity
+from . import ann, bpe, decontam, htmltext, linededup, lm, quality, simhash, substring, toxicity
 from .common import table
 
 
@@ -39,6 +39,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.report(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over ``documents``; subwords from the public 49k word vocabulary."""
+    import public_tokenizers
+
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7: ``documents`` against ``benchmark``."""
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_quality,
         op5_substring_dedup,
+        op6_lm,
         op7_decontamination,
         op8_line_dedup,
         op9_ann,
