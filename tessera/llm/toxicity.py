@@ -4,7 +4,7 @@ Severity has ordered grades 0 (clean), 1 (mild) and 2 (severe).  The labels say
 only toxic or not; a toxic row's grade follows from how much of it is toxic:
 among the labelled rows, words and word beginnings that occur in many toxic and
 next to no clean texts form a lexicon, and toxic rows with at least
-``SEVERE_HITS`` lexicon words are severe, the others mild.
+``SEVERE_HITS`` of its features are severe, the others mild.
 
 Features are sparse: which words (lower-cased maximal runs of letters, digits
 and underscores, any script) and which word beginnings of four and five
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-MOST_LABELLED = 6_000
+MOST_LABELLED = 4_000
 LEAST_ROWS = 5
 LEAST_SHIFT = 6.0
 MOST_FEATURES = 20_000
@@ -73,14 +73,12 @@ class OrdinalModel:
         return tuple(float(1 / (1 + np.exp(np.clip(t - x, -50, 50)))) for t in self.thresholds)
 
 
-def grades(texts: list[set[str]], toxic: np.ndarray) -> np.ndarray:
-    """0 for clean rows; toxic rows are graded by their number of lexicon words."""
-    counts = Counter(), Counter()
-    for found, bad in zip(texts, toxic, strict=True):
-        counts[int(bad)].update(found)
-    clean = max(1, int((~toxic).sum()))
-    lexicon = {f for f, n in counts[1].items() if n >= LEAST_ROWS and counts[0][f] / clean <= 0.02 * n / max(1, int(toxic.sum()))}
-    hits = np.array([len({f for f in found if f in lexicon and not f.endswith("|")} | {f for f in found if f in lexicon}) for found in texts])
+def grades(found: list[np.ndarray], size: int, toxic: np.ndarray) -> np.ndarray:
+    """0 for clean rows; toxic rows are graded by their lexicon features. ``found`` holds each row's feature numbers below ``size``."""
+    of_bad = np.bincount(np.concatenate([x for x, b in zip(found, toxic, strict=True) if b]), minlength=size)
+    of_clean = np.bincount(np.concatenate([x for x, b in zip(found, toxic, strict=True) if not b]), minlength=size)
+    lexicon = (of_bad >= LEAST_ROWS) & (of_clean / max(1, int((~toxic).sum())) <= 0.02 * of_bad / max(1, int(toxic.sum())))
+    hits = np.array([int(lexicon[x].sum()) for x in found])
     return np.where(toxic, np.where(hits >= SEVERE_HITS, 2, 1), 0)
 
 
@@ -89,15 +87,21 @@ def fit(texts: list[str | None], toxic: list[int]) -> OrdinalModel:
     bad = np.array(toxic, bool)
     if not len(bad) or bad.all() or not bad.any():
         return OrdinalModel({}, (0.0, 0.0))
-    found = [features(t) for t in texts]
-    grade = grades(found, bad)
-    seen = Counter(f for x in found for f in x)
-    of_bad = Counter(f for x, b in zip(found, bad, strict=True) if b for f in x)
+    numbers: dict[str, int] = {}
+    found = [np.array(sorted(numbers.setdefault(f, len(numbers)) for f in sorted(features(t))), np.int32) for t in texts]
+    every = list(numbers)
+    del numbers
+    grade = grades(found, len(every), bad)
+    seen = np.bincount(np.concatenate(found), minlength=len(every))
+    of_bad = np.bincount(np.concatenate([x for x, b in zip(found, bad, strict=True) if b]), minlength=len(every))
     share = bad.mean()
-    shift = {f: (of_bad[f] - n * share) / np.sqrt(n * share * (1 - share) * (1 - n / (len(found) + 1))) for f, n in seen.items() if n >= LEAST_ROWS}
-    names = sorted((f for f, z in shift.items() if abs(z) >= LEAST_SHIFT), key=lambda f: (-abs(shift[f]), f))[:MOST_FEATURES]
-    place = {f: i for i, f in enumerate(names)}
-    cols = [np.array(sorted(place[f] for f in x if f in place), np.int64) for x in found]
+    shift = np.abs(of_bad - seen * share) / np.sqrt((seen * share * (1 - share) * (1 - seen / (len(found) + 1))).clip(1e-9))
+    order = np.lexsort((np.arange(len(every)), -shift))
+    picked = order[(seen[order] >= LEAST_ROWS) & (shift[order] >= LEAST_SHIFT)][:MOST_FEATURES]
+    names = [every[f] for f in picked]
+    place = np.full(len(every), -1)
+    place[picked] = np.arange(len(picked))
+    cols = [place[x][place[x] >= 0] for x in found]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     cols = np.concatenate(cols)
     weights, first, gap = np.zeros(len(names)), 0.0, 0.0
