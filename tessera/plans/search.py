@@ -145,10 +145,10 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, strpos(lower(text), 'the ') - 1 AS at, substr(text, greatest(strpos(lower(text), 'the ') - 30, 1), 60) AS snippet FROM documents WHERE contains(lower(text), 'the ') AND lang = 'en'"""
+    """SELECT doc_id, strpos(lower(text), 'the ') - 1 AS at, substr(text, greatest(strpos(lower(text), 'the ') - 30, 1), 60) AS snippet FROM documents WHERE contains(lower(text), 'the ')"""
 )
 def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("p", F.instr(F.lower("text"), "the ")).filter("p > 0")
+    docs = table(spark, sf_dir, "documents").withColumn("p", F.instr(F.lower("text"), "the ")).filter("p > 0")
     return docs.select("doc_id", (F.col("p") - 1).cast("long").alias("at"), F.substring(F.col("text"), F.greatest(F.col("p") - 30, F.lit(1)), F.lit(60)).alias("snippet"))
 
 
@@ -232,12 +232,12 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS w FROM documents WHERE lang = 'en'),
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS w FROM documents),
 b AS (SELECT doc_id, CAST(('0x' || substr(sha1(w), 1, 8)) AS BIGINT) % 32 AS bucket, sum(CASE WHEN CAST(('0x' || substr(sha1(w), 9, 2)) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS s FROM t GROUP BY ALL)
 SELECT doc_id, bucket, round(s / sqrt(sum(s * s) OVER (PARTITION BY doc_id)), 6) AS weight FROM b WHERE s <> 0"""
 )
 def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     return vectors.hashing_embedding(T.tokens(F.col("text")), "doc_id", docs, 32).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 

@@ -196,11 +196,11 @@ def integrity_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("text", docs, F.count_if(F.length("text") > 0) / F.count("*")).unionByName(part("labels", with_labels, share)).unionByName(part("vectors", with_vectors, share))
 
 
-@query("SELECT count(*) FILTER (toxic = 1) AS removed, count(*) FILTER (toxic = 1 AND doc_id % 30 = 0) AS removed_long_ago, count(*) FILTER (quality = 0) AS excluded, count(*) FILTER (d IS NULL) AS orphan FROM (SELECT l.*, d.doc_id AS d FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)")
+@query("SELECT count(*) FILTER (toxic = 1) AS removed, count(*) FILTER (toxic = 1 AND n_chars > 2000) AS removed_large, count(*) FILTER (quality = 0) AS excluded, count(*) FILTER (d IS NULL) AS orphan FROM (SELECT l.*, d.doc_id AS d, d.n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)")
 def cleanup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "n_chars")
     joined = table(spark, sf_dir, "labels").join(docs, F.col("doc_id") == F.col("d"), "left")
-    return joined.agg(F.count_if(F.col("toxic") == 1).alias("removed"), F.count_if((F.col("toxic") == 1) & (F.col("doc_id") % 30 == 0)).alias("removed_long_ago"), F.count_if(F.col("quality") == 0).alias("excluded"), F.count_if(F.col("d").isNull()).alias("orphan"))
+    return joined.agg(F.count_if(F.col("toxic") == 1).alias("removed"), F.count_if((F.col("toxic") == 1) & (F.col("n_chars") > 2000)).alias("removed_large"), F.count_if(F.col("quality") == 0).alias("excluded"), F.count_if(F.col("d").isNull()).alias("orphan"))
 
 
 @query(
