@@ -1 +1,98 @@
-"""To come."""
+"""Reconciliation, upserts, staleness and snapshots over slices of the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import upkeep as U
+from .registry import query, table
+
+# The stored side of these examples lacks some rows and differs in others, by conditions on the tables' own columns.
+_STORED = "stored AS (SELECT doc_id, n_chars + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS size, CASE WHEN source = 'src2' THEN TIMESTAMP '2024-01-01 00:00:00' END AS removed_at FROM documents WHERE source <> 'src1')"
+_LISTING = "listing AS (SELECT doc_id, n_chars AS size FROM documents WHERE source <> 'src3')"
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").filter("source <> 'src1'")
+    return rows.select("doc_id", (F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0)).alias("size"), F.when(F.col("source") == "src2", F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("removed_at"))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").filter("source <> 'src3'").select("doc_id", F.col("n_chars").alias("size"))
+
+
+@query(
+    f"""WITH {_STORED}, {_LISTING}, j AS (SELECT coalesce(l.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN l.doc_id IS NULL AND s.removed_at IS NULL THEN 'removed' WHEN l.doc_id IS NULL THEN 'still_removed'
+WHEN s.removed_at IS NOT NULL THEN 'restored' WHEN l.size <> s.size THEN 'changed' ELSE 'unchanged' END AS action FROM listing l FULL JOIN stored s ON s.doc_id = l.doc_id) SELECT doc_id, action FROM j"""
+)
+def source_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    return U.reconcile(stored(spark, sf_dir), listing(spark, sf_dir), "doc_id", now).select("doc_id", "action")
+
+
+@query(
+    """WITH o AS (SELECT doc_id, n_chars AS size, lang AS mtime, CASE WHEN source = 'src1' THEN md5(text) END AS checksum FROM documents WHERE source <> 'src2'),
+n AS (SELECT doc_id, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size, CASE WHEN lang = 'es' THEN 'x' ELSE lang END AS mtime, CASE WHEN lang = 'fr' THEN 'other' ELSE md5(text) END AS checksum FROM documents WHERE source <> 'src4')
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.size <> o.size THEN 'changed' WHEN n.checksum IS NOT NULL AND o.checksum IS NOT NULL THEN CASE WHEN n.checksum <> o.checksum THEN 'changed' ELSE 'unchanged' END WHEN n.mtime <> o.mtime THEN 'maybe_changed' ELSE 'unchanged' END AS action
+FROM n FULL JOIN o ON o.doc_id = n.doc_id"""
+)
+def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("sum", F.md5(F.col("text").cast("binary")))
+    old = docs.filter("source <> 'src2'").select("doc_id", F.col("n_chars").alias("size"), F.col("lang").alias("mtime"), F.when(F.col("source") == "src1", F.col("sum")).alias("checksum"))
+    new = docs.filter("source <> 'src4'").select(
+        "doc_id", (F.col("n_chars") + F.when(F.col("lang") == "de", 1).otherwise(0)).alias("size"), F.when(F.col("lang") == "es", "x").otherwise(F.col("lang")).alias("mtime"), F.when(F.col("lang") == "fr", "other").otherwise(F.col("sum")).alias("checksum")
+    )
+    return U.change_actions(old, new, "doc_id")
+
+
+@query("SELECT doc_id, 'old' AS version, n_chars FROM documents WHERE source <> 'src5' AND lang <> 'en' UNION ALL SELECT doc_id, 'new', n_chars FROM documents WHERE lang = 'en'")
+def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    old = docs.filter("source <> 'src5'").select("doc_id", F.lit("old").alias("version"), "n_chars")
+    return U.upsert(old, docs.filter("lang = 'en'").select("doc_id", F.lit("new").alias("version"), "n_chars"), "doc_id")
+
+
+@query("SELECT CASE WHEN o.doc_id IS NULL THEN 'created' ELSE 'skipped' END AS action, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') o ON o.doc_id = d.doc_id GROUP BY 1")
+def row_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return U.sync_actions(docs.filter("lang = 'en'"), docs, "doc_id", overwrite=False)
+
+
+@query("WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last < (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE THEN 'interrupted' ELSE 'running' END AS state FROM l")
+def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    now = events.agg(F.max("ts").alias("now"))
+    joined = events.crossJoin(F.broadcast(now))
+    last = joined.groupBy("user_id").agg(F.max("ts").alias("last"), F.max("now").alias("now"))
+    return last.select("user_id", F.when(F.col("last") < F.col("now") - F.expr("INTERVAL 600 MINUTES"), "interrupted").otherwise("running").alias("state"))
+
+
+@query(
+    "SELECT d.doc_id, coalesce(nullif(trim(CASE WHEN l.quality = 1 THEN d.lang END), ''), nullif(trim(d.source), ''), 'scan') AS final_org, 'reviewed' AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+)
+def review_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = docs.select("doc_id", F.when(F.col("quality") == 1, F.col("lang")).alias("final_org"), F.col("source").alias("org"), F.lit("ocr").alias("ocr_org"), F.lit("scan").alias("scan_org"))
+    return U.approve(rows, ["org"]).select("doc_id", "final_org", "status")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def drop_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return U.drop_orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
+
+
+@query("SELECT conv_id, turn, conv_id || '-chunk-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS chunk_id, role || '_' || conv_id || '_' || lpad(CAST(turn AS VARCHAR), 4, '0') AS source_chunk_id FROM conversations")
+def chunk_id_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    ids = lambda scheme: U.chunk_ids(F.col("role"), F.col("conv_id"), F.col("turn"), scheme)
+    return rows.select("conv_id", "turn", ids("contract").alias("chunk_id"), ids("source").alias("source_chunk_id"))
+
+
+@query()
+def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown page per source: a heading and a line per language; rows only."""
+    counted = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    line = F.format_string("- %s: %d documents", "lang", "n")
+    body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    return counted.groupBy("source").agg(F.concat(F.lit("# "), F.first("source"), F.lit("\n\n"), body).alias("markdown"))
