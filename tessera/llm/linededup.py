@@ -249,3 +249,23 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     from pyspark.sql.types import StructType
 
     return docs.join(found, id_col, "left").mapInArrow(work, StructType(docs.schema.fields))
+
+
+REPORT_SQL = f"""
+WITH raw AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS r FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+l AS (SELECT *, list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM raw),
+k AS (SELECT *, array_to_string(ws, ' ') AS k, {{'a': doc_id, 'b': r}} AS place FROM l WHERE len(ws) > 0),
+f AS (SELECT k, any_value(ws) AS ws, min(place) AS f FROM k GROUP BY k),
+v AS (SELECT k, f, len(ws) AS n, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS short FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM f WHERE len(ws) >= {LEAST_WORDS})),
+same AS (SELECT n, i, short, min(f) AS m FROM v GROUP BY n, i, short HAVING count(*) > 1),
+near AS (
+  SELECT v.k, s.m FROM v JOIN same s ON s.n = v.n AND s.i = v.i AND s.short = v.short
+  UNION ALL SELECT v.k, f.f FROM v JOIN f ON f.k = v.short AND len(f.ws) >= {LEAST_WORDS}
+  UNION ALL SELECT f.k, v.f FROM v JOIN f ON f.k = v.short AND len(f.ws) >= {LEAST_WORDS}
+  UNION ALL SELECT k, f FROM f),
+bar AS (SELECT k, min(m) AS bar FROM near GROUP BY k),
+gone AS (SELECT k.doc_id, k.r FROM k JOIN bar ON bar.k = k.k WHERE k.place > bar.bar),
+kept AS (SELECT raw.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY raw.r) AS t FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.r = raw.r WHERE gone.r IS NULL GROUP BY raw.doc_id),
+total AS (SELECT doc_id, count(*) FILTER (len(ws) > 0) AS n_lines, count(*) AS n FROM l GROUP BY doc_id)
+SELECT total.doc_id, n_lines, total.n - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM total LEFT JOIN kept ON kept.doc_id = total.doc_id
+"""

@@ -81,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": decontam.REPORT_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substring.REPORT_SQL,
+    "op7_decontamination": decontam.REPORT_SQL,
+    "op8_line_dedup": linededup.REPORT_SQL,
+}

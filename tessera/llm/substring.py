@@ -170,8 +170,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             anchor, _, _, twice = segments(word_hashes(text.split()))
             if not len(anchor):
                 continue
-            anchor, at = np.unique(anchor, return_index=True) if not twice.any() else (anchor, np.arange(len(anchor)))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(anchor), doc, np.int64)), pa.array(np.full(len(anchor), _tag(text), np.int64)), pa.array(twice[at] | (len(at) != len(anchor)))], names=["anchor", "doc", "tag", "twice"])
+            anchor, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
+            again = (times > 1) | (np.bincount(which, twice) > 0)  # in two segments, or twice in one
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(anchor), doc, np.int64)), pa.array(np.full(len(anchor), _tag(text), np.int64)), pa.array(again)], names=["anchor", "doc", "tag", "twice"])
 
 
 def _joined(stream: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
@@ -310,3 +311,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     joined = packed(docs, id_col, text_col).join(spans(docs, id_col, text_col).withColumnRenamed("doc", id_col), id_col, "left").select(id_col, "_packed", "spans")
     return map_arrow(joined, work, f"`{id_col}` {key}, n_words long, n_removed long, kept_sha256 string")
+
+
+REPORT_SQL = f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + {WINDOW - 1}], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - {WINDOW - 1})) AS s FROM d WHERE len(ws) >= {WINDOW})),
+fst AS (SELECT k, min({{'a': doc_id, 'b': s}}) AS f FROM win GROUP BY k),
+late AS (SELECT w.doc_id, w.s FROM win w JOIN fst ON fst.k = w.k WHERE fst.f < {{'a': w.doc_id, 'b': w.s}}),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM late, range(0, {WINDOW}) t(o)),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT x.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY x.p) AS t FROM words x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p WHERE g.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -54,6 +54,18 @@ def test_report(spark):
     assert got == want
 
 
+def test_repeats_within_one_text(spark):
+    """Windows that repeat in one document only, overlapping or apart."""
+    rng = random.Random(3)
+    vocab = [f"u{i}" for i in range(5_000)]
+    part = rng.sample(vocab, 40)
+    rows = [(1, " ".join([*part, *rng.sample(vocab, 30), *part])), (2, " ".join(w for w in rng.sample(vocab, 6) for _ in range(30))), (3, " ".join(rng.sample(vocab, 90)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(slow(rows))
+    assert [w[2] > 0 for w in want] == [True, True, False]
+    assert sorted(tuple(r) for r in substring.report(docs).collect()) == want
+
+
 def test_empty_and_long(spark):
     assert substring.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     docs = spark.createDataFrame([(1, "q" * 500_000 + " " + "w " * 30_000)], "doc_id long, text string")
