@@ -17,6 +17,7 @@ empty table an empty one, other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from .common import bytes_of, map_arrow, sha256_hex, to_batch
 #: Mean chunk length is 2 ** CHUNK_BITS bytes, the least is LEAST_CHUNK.
 CHUNK_BITS = 10
 LEAST_CHUNK = 256
-#: Memo sizes of a worker; the older half goes when a memo is full.
-MEMO_WORDS = 800_000
-MEMO_CHUNKS = 40_000
+#: Memo sizes of a worker; half of a full memo goes.
+MEMO_WORDS = 300_000
+MEMO_CHUNKS = 20_000
 
 _GEAR = np.random.RandomState(20_240_229).randint(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -94,8 +95,8 @@ class ChunkedBpe:
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > MEMO_WORDS:
-            self.words.clear()
+        if len(self.words) + len(words) > MEMO_WORDS:  # what was met first is met most
+            self.words = dict(islice(self.words.items(), MEMO_WORDS // 2))
         todo = list(words)
         plain = [w for w in todo if _MARK not in w]
         for at in range(0, len(plain), 512):  # one call for many words, told apart by a word of their own
@@ -119,7 +120,10 @@ class ChunkedBpe:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            self._learn({w for w in words if w not in known} if len(known) < MEMO_WORDS - len(words) else set(words))
+            missing = {w for w in words if w not in known}
+            if len(known) + len(missing) > MEMO_WORDS:
+                missing = set(words)  # some of the known ones are about to go
+            self._learn(missing)
             return b"".join([self.words[w] for w in words])
 
     def _parts(self, chunk: bytes) -> tuple[bytes, bytes, bytes, bool]:

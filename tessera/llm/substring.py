@@ -46,7 +46,7 @@ from .linededup import packed, unpack
 WINDOW = 20
 ANCHOR = 6
 #: Segments that a map task remembers, so as not to send their repeats.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = np.array([pow(_BASE, k, 2**64) for k in range(64)], np.uint64)
