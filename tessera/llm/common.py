@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+TEXTS_AT_ONCE = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` under a shorter name; ``work`` sees one partition as a stream of batches."""
-    return df.mapInArrow(work, schema)
+def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int | None = TEXTS_AT_ONCE) -> DataFrame:
+    """``mapInArrow`` whose function sees one partition as a stream of batches of at most ``rows`` rows.
+
+    Texts are long, and what is derived from a batch of them is held at once; ``None`` leaves Spark's batches as they are.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(work if rows is None else lambda batches: work(sliced(batches)), schema)
 
 
 def bytes_of(text: Column | str) -> Column:

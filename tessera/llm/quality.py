@@ -84,18 +84,16 @@ def units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One partition's sums of neighbouring index vectors, by block of table rows."""
-    table, index = np.zeros((FORMS + LEXICAL, WIDTH), np.int64), index_vectors()
-    for batch in batches:
-        pairs = np.zeros((FORMS + LEXICAL) * FORMS, np.int64)
-        size = 0
-        found: list[np.ndarray] = []
+    pairs = np.zeros((FORMS + LEXICAL) * FORMS, np.int64)
+    found: list[np.ndarray] = []
+    size = 0
 
-        def count(found: list[np.ndarray] = found, pairs: np.ndarray = pairs) -> None:
-            if found:
-                keys = np.concatenate(found)
-                pairs += np.bincount(keys, minlength=len(pairs))
-                found.clear()
+    def count() -> None:
+        if found:
+            np.add(pairs, np.bincount(np.concatenate(found), minlength=len(pairs)), out=pairs)
+            found.clear()
 
+    for batch in batches:
         for text in batch.column(0).to_pylist():
             form, lexical = units(text)
             if len(form) > 1:
@@ -105,9 +103,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size > 500_000:
                     count()
                     size = 0
-        count()
-        # random indexing is linear: pair counts times index vectors
-        table += (pairs.reshape(-1, FORMS).astype(np.float64) @ index).round().astype(np.int64)
+    count()
+    # random indexing is linear: pair counts times index vectors, a few rows at a time
+    index = index_vectors()
+    table = np.concatenate([part @ index for part in np.split(pairs.reshape(-1, FORMS), (FORMS + LEXICAL) // TABLE_BLOCK)])
     starts = range(0, len(table), TABLE_BLOCK)
     yield pa.RecordBatch.from_arrays([pa.array([s // TABLE_BLOCK for s in starts], pa.int32()), pa.array([table[s : s + TABLE_BLOCK].tobytes() for s in starts], pa.binary())], names=["block", "sums"])
 

@@ -160,10 +160,10 @@ def links(fps: DataFrame, longest: int = LONG_LIST) -> DataFrame:
     Every pair within ``MOST_BITS`` bits is linked directly, or, where both
     stand in a long posting list, through the smallest member at a midpoint.
     """
-    found = cut(map_arrow(map_arrow(fps.select("fp"), _postings, "list bigint, fp bigint").repartition("list").sortWithinPartitions("list"), lambda rows: _links(rows, longest), "u bigint, v bigint"))
+    found = cut(map_arrow(map_arrow(fps.select("fp"), _postings, "list bigint, fp bigint", None).repartition("list").sortWithinPartitions("list"), lambda rows: _links(rows, longest), "u bigint, v bigint", None))
     near = found.filter("v is not null")
     long_members = found.filter("v is null").select(F.col("u").alias("fp")).distinct()
-    mids = map_arrow(long_members, _midpoints, "mid bigint, fp bigint")
+    mids = map_arrow(long_members, _midpoints, "mid bigint, fp bigint", None)
     least = mids.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("mid", "v")
     through = mids.join(least, "mid").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return near.union(through)

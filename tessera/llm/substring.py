@@ -274,7 +274,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     wanted = found.select("anchor", "doc").join(repeated, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")).join(originals, "doc")
     sent = cut(map_arrow(packed(own.select("doc", F.col("_text").cast("string").alias("text")), "doc", "text").join(wanted, "doc").select("doc", "_packed", "anchors"), lambda b: _joined(_send(b)), _SENT_SCHEMA))
     shards = sent.filter("words is not null").select("anchor", "doc", "start", "tag", "words").repartition("anchor").sortWithinPartitions("anchor", "doc", "start", "tag")
-    matched = map_arrow(shards, _match, "doc bigint, tag bigint, a int, b int")
+    matched = map_arrow(shards, _match, "doc bigint, tag bigint, a int, b int", None)
     settled = sent.filter("words is null").select("doc", "tag", F.col("start").alias("a"), F.col("to").alias("b"))
     whole = copies.select("doc", "tag", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
     every = matched.union(settled).union(whole)
