@@ -196,7 +196,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     firsts = cut(lines.groupBy("line").agg(F.min(F.struct("doc", "row")).alias("place"), F.first("halves").alias("halves"), F.count("*").alias("n")))
     near = cut(_near(firsts, packed(own, "doc", "_text")))
     marks = firsts.select("line", "place", "n").join(near, "line", "left").filter("n > 1 or witness < place")
-    bars = marks.select("line", F.least("place", F.coalesce("witness", "place")).alias("bar"))
+    # read back as a table of its own, both sides of the next join are shuffled for it, and a frequent line's partition can be split
+    bars = cut(marks.select("line", F.least("place", F.coalesce("witness", "place")).alias("bar")))
     gone = lines.select("line", "doc", "row").join(bars, "line").filter(F.struct("doc", "row") > F.col("bar"))
     return gone.groupBy("doc").agg(F.collect_set(F.struct("row", "line")).alias("rows"))
 
