@@ -39,12 +39,12 @@ from .common import cut
 BLOCK = 2
 CENTROIDS = 16
 PARALLEL = 4.0
-SAMPLE = 20_000
+SAMPLE = 10_000
 ROUNDS = 6
 RERANK = 100
 #: Vectors and queries per block.
-VECTORS_PER_BLOCK = 16_384
-QUERIES_PER_BLOCK = 512
+VECTORS_PER_BLOCK = 2_048
+QUERIES_PER_BLOCK = 1_024
 
 
 class Codebook:
