@@ -52,3 +52,14 @@ def test_stage_counts(spark, sf_dir):
     assert corpus_pipeline.drop_contaminated(spark, docs, sf_dir).filter("doc_id = 303").count() == 0
     assert corpus_pipeline.drop_near_copies(spark, docs, sf_dir).filter("doc_id = 302").count() == 0
     assert corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).filter("doc_id = 302").first().text == ""
+
+
+def test_nulls_and_empty_tables(spark, sf_dir):
+    """Rows that are null throughout pass every stage; empty tables give empty results; other columns stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, line string, rows int, fp string"
+    docs = spark.createDataFrame([(None, None, None, None, None, None, None, None), (None, "only here", None, None, None, None, None, None), (9_000, None, None, None, None, "x", 1, "f")], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for frame, n in ((docs, 3), (docs.limit(0), 0)):
+            made = stage(spark, frame, sf_dir) if name != "toxicity" else corpus_pipeline.toxicity.clean(frame, corpus_pipeline.toxicity.OrdinalModel({"vile": 9.0}, (1.0, 2.0)))
+            assert made.count() == n and set(made.columns) == set(docs.columns), name
+    assert corpus_pipeline.encode(spark, docs, sf_dir).filter("n_tokens = 0").count() == 2
