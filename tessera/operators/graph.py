@@ -154,3 +154,30 @@ def read_only(text: str) -> bool:
     if ";" in lower or "//" in lower or "/*" in lower or "--" in lower.replace("-->", "").replace("<--", ""):
         return False
     return not set(re.findall(r"[a-z]+", lower)) & set(BLOCKED) and bool(re.search(r"\b(match|return)\b", lower))
+
+
+def expand_hierarchy(edges: DataFrame, kind: str, ids: Sequence[str], symmetric: bool = True) -> DataFrame:
+    """``id, relation``: children of the ids over edges of one type, and parents too unless told otherwise."""
+    own = edges.filter(F.col("type") == kind)
+    children = own.filter(F.col("src").isin(*ids)).select(F.col("dst").alias("id"), F.lit("child").alias("relation"))
+    parents = own.filter(F.col("dst").isin(*ids)).select(F.col("src").alias("id"), F.lit("parent").alias("relation"))
+    return (children.unionByName(parents) if symmetric else children).distinct()
+
+
+def related(edges: DataFrame, start: str, direct: Sequence[str], container: str, most: int) -> DataFrame:
+    """``id, score``: nodes by direct typed edges (1.0), then those in the same container (0.5); best first."""
+    near = both_ways(edges, direct).filter(F.col("a") == start).select(F.col("b").alias("id"), F.lit(1.0).alias("score"))
+    member = edges.filter(F.col("type") == container)
+    own = member.filter(F.col("src") == start).select("dst").distinct()
+    siblings = member.join(own, "dst", "left_semi").filter(F.col("src") != start).select(F.col("src").alias("id"), F.lit(0.5).alias("score"))
+    return near.unionByName(siblings).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(most)
+
+
+def overlap_scores(pairs: DataFrame, owner: str, item: str, kinds: dict[str, float], own: str) -> DataFrame:
+    """``owner, score``: weighted number of features shared with ``own``'s items, by kind; features are (kind, value)."""
+    mine = pairs.filter(F.col(owner) == own).select("kind", "value").distinct()
+    shared = pairs.filter(F.col(owner) != own).select(owner, item, "kind", "value").distinct().join(F.broadcast(mine), ["kind", "value"])
+    weight = F.lit(0.0)
+    for kind, w in kinds.items():
+        weight = weight + F.when(F.col("kind") == kind, w).otherwise(0.0)
+    return shared.groupBy(owner, item).agg(F.sum(weight).alias("score")).filter("score > 0")
