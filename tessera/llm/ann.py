@@ -41,7 +41,7 @@ CENTROIDS = 16
 PARALLEL = 4.0
 SAMPLE = 10_000
 ROUNDS = 6
-RERANK = 100
+RERANK = 256
 #: Vectors and queries per block.
 VECTORS_PER_BLOCK = 2_048
 QUERIES_PER_BLOCK = 1_024
