@@ -18,9 +18,15 @@ by ``WINDOW - STRIDE``: a window scores its last ``STRIDE`` ids, so each id is
 scored once, with batched masked attention over 8 to 31 ids before it.  The
 score is log10 of the probability of the ids and the end.
 
-The model is fitted on at most ``TRAINING_TEXTS`` training texts of at most
-``TRAINING_CHARS`` characters, those with the smallest id hashes; counts come
-from all training texts.  Held out are ids whose crc32 modulo 7 is 2.
+The model learns from all training texts, as the counts do.  Counts of all
+neighbouring ids, summed by pair, set the classes and the first biases.  Then
+every block of every training text is a training example: tasks fit copies of
+the model on their own texts, in ``ROUNDS`` rounds over disjoint parts of the
+ids, and after a round the copies are averaged, weighted by their blocks.  A
+task makes at least ``STEPS`` steps, so there are more tasks with more text;
+texts for one task only are read repeatedly until it has made them.  The
+result depends on how the rows are dealt over partitions.  Held out are ids
+whose crc32 modulo 7 is 2.
 
 Null texts count as empty: one token, the end.  Without training texts N and V
 are 0 and the model keeps its initial weights.  Null ids stay (their fold is
@@ -31,16 +37,18 @@ gives an empty result, other columns are not read.
 
 from __future__ import annotations
 
+import copy
 import json
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +60,11 @@ MERGES = 3583
 WINDOW, STRIDE = 32, 24
 WIDTH, HIDDEN = 24, 32
 CLASS = 64
-TRAINING_TEXTS = 2_000
-TRAINING_CHARS = 20_000
 STEPS, BATCH_BLOCKS = 1_500, 128
+ROUNDS = 8
+#: Blocks that are mixed before they are dealt into batches, and neighbours that are counted at once.
+MIXED_BLOCKS = 16_384
+COUNTED_PAIRS = 4_000_000
 #: Blocks that are scored at once.
 SCORED_BLOCKS = 512
 MEMO_WORDS = 500_000
@@ -241,13 +251,18 @@ class AttentionModel:
             return []
         made = [windows(t, end) for t in texts]
         inputs, targets, scored, alone = (np.concatenate([m[c] for m in made]) for c in range(4))
-        rng, losses = np.random.RandomState(seed), []
+        rng = np.random.RandomState(seed)
+        dealt = (rng.randint(0, len(inputs), BATCH_BLOCKS) for _ in range(steps))
+        return self.learn(((inputs[at], targets[at], scored[at], alone[at]) for at in dealt), lambda step: 1 - 0.9 * step / steps)
+
+    def learn(self, batches: Iterable[tuple[np.ndarray, ...]], share: Callable[[int], float]) -> list[float]:
+        """Adam, one step a batch, at a share of the full rate; returns the losses."""
+        losses = []
         m, v = ({n: np.zeros_like(a) for n, a in self.p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            at = rng.randint(0, len(inputs), BATCH_BLOCKS)
-            loss, g = self._gradients(inputs[at], targets[at], scored[at], alone[at])
+        for step, batch in enumerate(batches, 1):
+            loss, g = self._gradients(*batch)
             losses.append(loss)
-            rate = 0.01 * min(1, step / 20) * (1 - 0.9 * step / steps)
+            rate = 0.01 * min(1, step / 20) * share(step)
             for n in self.p:
                 m[n] = 0.9 * m[n] + 0.1 * g[n]
                 v[n] = 0.99 * v[n] + 0.01 * g[n] * g[n]
@@ -255,15 +270,43 @@ class AttentionModel:
         self.tables = None
         return losses
 
+    def begin(self, occurs: np.ndarray) -> None:
+        """Biases of classes and ids from how often each id occurs."""
+        inside = np.zeros(self.classes * CLASS)
+        inside[self.place] = occurs + 1.0
+        inside = inside.reshape(self.classes, CLASS)
+        total = inside.sum(1, keepdims=True)
+        self.p["cb"] = np.log(total[:, 0] / total.sum()).astype(np.float32)
+        self.p["ib"] = np.where(inside > 0, np.log(np.maximum(inside, 1) / total), -1e9).astype(np.float32)
 
-def related(texts: list[np.ndarray], size: int, rounds: int = 40) -> np.ndarray:
-    """Ids in the order of their second direction in the neighbour counts, so that classes hold related ids.
 
-    The directions come from block power iteration; only one size x size table is held.
-    """
-    table = np.ones((size, size), np.float32)
+def batches_of(texts: Iterable[np.ndarray], end: int, rng: np.random.RandomState) -> Iterator[tuple[np.ndarray, ...]]:
+    """Batches of blocks in which each block of each text is once."""
+    held, size = [], 0
+
+    def deal() -> Iterator[tuple[np.ndarray, ...]]:
+        whole = [np.concatenate([made[c] for made in held]) for c in range(4)]
+        order = rng.permutation(len(whole[0]))
+        for at in range(0, len(order), BATCH_BLOCKS):
+            yield tuple(x[order[at : at + BATCH_BLOCKS]] for x in whole)
+
     for t in texts:
-        np.add.at(table, (t[1:], t[:-1]), 1)
+        held.append(windows(t, end))
+        size += len(held[-1][0])
+        if size >= MIXED_BLOCKS:
+            yield from deal()
+            held, size = [], 0
+    if held:
+        yield from deal()
+
+
+def related(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Ids in the order of their second direction in the neighbour counts (id by id before it), so that classes hold related ids.
+
+    The directions come from block power iteration; only one size x size table is held besides the counts.
+    """
+    size = len(counts)
+    table = (counts + 1).astype(np.float32)
     after, before = np.log(table.sum(1)), np.log(table.sum(0) / table.sum())
     np.log(table, out=table)
     table -= after[:, None]
@@ -286,7 +329,7 @@ class Scorer:
     def log10(self, texts: list[list[bytes]]) -> list[float]:
         """log10 probability of each text, given as words."""
         if self.pieces is None:
-            self.pieces = Pieces(self.path)
+            self.pieces = _Made(self.path).pieces
         out = np.zeros(len(texts))
         held, size = [], 0
 
@@ -347,16 +390,117 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return map_arrow(docs.select(bytes_of(text_col).alias("_text")), _count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def neighbours(texts: DataFrame, path: str, size: int) -> np.ndarray:
+    """How often each id (row) stands behind each other (column) in the texts ``_text``; summed by pair in the cluster."""
+    made = _Made(path)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def emit() -> pa.RecordBatch:
+            pairs, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(c)], names=["pair", "c"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                t = made.pieces.ids(text.lower().split()).astype(np.int32)
+                held.append(t[1:] * np.int32(size) + t[:-1])
+                n += len(t)
+                if n >= COUNTED_PAIRS:
+                    yield emit()
+                    held, n = [], 0
+        if held:
+            yield emit()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, c = (np.ascontiguousarray(batch.column(n).to_numpy()).tobytes() for n in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([c])], names=["pairs", "c"])
+
+    summed = map_arrow(texts.select("_text"), count, "pair int, c bigint").groupBy("pair").agg(F.sum("c").alias("c"))
+    table = np.zeros(size * size, np.float32)
+    for row in map_arrow(cut(summed), pack, "pairs binary, c binary", None).toLocalIterator():  # at most size x size pairs, whatever the corpus
+        table[np.frombuffer(row.pairs, np.int32)] = np.frombuffer(row.c, np.int64)
+    return table.reshape(size, size)
+
+
+class _Made:
+    """The pieces of a worker, made once in it."""
+
+    _held: dict[str, Pieces] = {}
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    @property
+    def pieces(self) -> Pieces:
+        return self._held.get(self.path) or self._held.setdefault(self.path, Pieces(self.path))
+
+
+def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, share: Callable[[float], float], seed: int, groups: int) -> int:
+    """Average of the copies fitted on the partitions of ``texts`` into ``model``; returns the blocks they learned from, once for each pass.
+
+    ``share`` gives the rate's share by the part of the passes that is over.  Copies are summed in ``groups`` before the driver sees them.
+    """
+    made, sent = _Made(path), texts.sparkSession.sparkContext.broadcast(model)
+    shapes = {n: a.shape for n, a in model.p.items()}
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = copy.copy(sent.value)
+        own.p = dict(own.p)
+        part = TaskContext.get().partitionId()
+        rng, blocks, steps = np.random.RandomState(seed * 100_003 + part), 0, 0
+        texts_in = (made.pieces.ids(t.lower().split()) for batch in batches for t in batch.column(0).to_pylist())
+        kept = [t.astype(np.uint16) for t in texts_in] if passes > 1 else None
+
+        def dealt() -> Iterator[tuple[np.ndarray, ...]]:
+            nonlocal blocks, steps
+            for n in range(passes):
+                for b in batches_of(texts_in if kept is None else (t.astype(np.int64) for t in kept), made.pieces.end, rng):
+                    blocks += len(b[0])
+                    yield b
+                steps = n + 1
+
+        own.learn(dealt(), lambda _: share(steps / passes))
+        if blocks:
+            weights = np.concatenate([own.p[n].astype(np.float64).ravel() for n in shapes]) * blocks
+            yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([blocks], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        weights = sum(np.frombuffer(w.as_py(), np.float64) for w in rows.column("w"))
+        return pa.table({"n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary())})
+
+    copies = map_arrow(texts.select("_text"), fit, "g int, n bigint, w binary")
+    blocks, total = 0, 0.0
+    for row in copies.groupBy("g").applyInArrow(add, "n bigint, w binary").toLocalIterator():
+        blocks, total = blocks + row.n, total + np.frombuffer(row.w, np.float64)
+    sent.unpersist()
+    if blocks:
+        at = 0
+        for n, shape in shapes.items():
+            model.p[n] = (total[at : at + math.prod(shape)] / blocks).astype(np.float32).reshape(shape)
+            at += math.prod(shape)
+        model.tables = None
+    return blocks
+
+
 def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Scorer:
-    """The model, fitted on a bounded sample of training texts."""
-    own = docs.filter(~held_out(id_col) & (F.length(text_col) <= TRAINING_CHARS) & F.col(id_col).isNotNull())
-    ids = own.select(id_col).distinct().orderBy(F.xxhash64(F.lit("lm"), F.col(id_col)), id_col).limit(TRAINING_TEXTS)
-    rows = own.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col, "left_semi").collect()  # a bounded number of ids
-    texts = sorted((r[0], r[1]) for r in rows)[:TRAINING_TEXTS]
+    """The model, fitted on every block of every training text."""
+    own = docs.filter(~held_out(id_col)).select(F.crc32(F.concat(F.lit("round"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_round"), bytes_of(text_col).alias("_text"))
     pieces = Pieces(path)
-    found = [pieces.ids(t.encode().lower().split()) for _, t in texts]
-    model = AttentionModel(pieces.size, related(found, pieces.size))
-    model.fit(found, pieces.end, steps)
+    counts = neighbours(own, path, pieces.size)
+    ids = int(counts.sum(dtype=np.float64))
+    model = AttentionModel(pieces.size, related(counts))
+    if ids:
+        model.begin(counts.sum(1, dtype=np.float64))
+        least = steps * BATCH_BLOCKS * STRIDE  # ids of a task
+        tasks = max(1, ids // least)
+        if ids < least:
+            fit_round(own.coalesce(1), path, model, -(-least // ids), lambda over: 1 - 0.9 * over, 0, 1)
+        else:
+            for n in range(ROUNDS):
+                part = own.filter(F.col("_round") % ROUNDS == n).coalesce(tasks)
+                fit_round(part, path, model, 1, lambda over, n=n: 1 - 0.9 * n / ROUNDS, n, math.isqrt(tasks))
     return Scorer(path, model)
 
 

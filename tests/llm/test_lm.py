@@ -84,3 +84,26 @@ def test_model(pieces):
     assert np.allclose(model.hidden(inputs, alone)[0, :-1], model.hidden(changed, alone)[0, :-1])
     losses = model.fit(texts, pieces.end, 60)
     assert np.mean(losses[-5:]) < 0.5 * np.mean(losses[:5])
+
+
+def test_learns_from_all_texts(spark, pieces):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=30))) for i in range(2_600)]
+    long = next(i for i in range(5_000, 6_000) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows.append((long, "zebra quagga okapi " * 4_000))
+    probe = next(i for i in range(6_000, 7_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows.append((probe, "zebra quagga okapi " * 10))
+    own = [pieces.ids(t.encode().split()) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(own) > 2_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.filter(~lm.held_out("doc_id")).select(lm.bytes_of("text").alias("_text"))
+    want = np.zeros((pieces.size, pieces.size))
+    for t in own:
+        np.add.at(want, (t[1:], t[:-1]), 1)
+    assert (lm.neighbours(texts, PATH, pieces.size) == want).all()
+    # every block of every training text is learned from
+    model = lm.AttentionModel(pieces.size)
+    assert lm.fit_round(texts, PATH, model, 1, lambda _: 1.0, 0, 2) == sum(len(lm.windows(t, pieces.end)[0]) for t in own)
+    # what only a long text teaches is known; several tasks and rounds
+    score = lambda d: lm.score(d, PATH, steps=20).filter(f"doc_id = {probe}").head().score
+    assert score(docs) > score(docs.filter(f"doc_id <> {long}")) + 10
