@@ -39,11 +39,17 @@ def middle_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN n = 0 THEN 'empty' WHEN regexp_matches(t, '^[=-]+ *\\[?[A-Za-z]+ [0-9]+\\]? *[=-]+$') THEN 'page_marker' WHEN len(regexp_extract_all(t, '\\.{{4,}}')) >= 2 THEN 'toc' WHEN letters < 10 THEN 'short' WHEN letters / n < 0.3 THEN 'few_letters' WHEN uniq / n < 0.15 THEN 'monotone' ELSE 'ok' END AS reason FROM m WHERE n < 400"""
 )
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why short texts are no use; longer ones always repeat letters, so they are not judged by this gate."""
+    """Why short texts are no use, beside its SQL twin; ``gate_all`` judges every document."""
     short = table(spark, sf_dir, "documents").filter(F.length(T.squeeze(F.col("text"))) < 400)
     return short.select("doc_id", T.gate(F.col("text")).alias("reason"))
 
 
+@query()
+def gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why texts of any length are no use; held against brute force."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.gate(F.col("text")).alias("reason"))
+
+
 @query(
     """WITH m AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[A-Za-z]')) AS latin, len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')) AS bad FROM documents)
 SELECT doc_id, round(least(1.0, CASE WHEN n >= 1000 THEN 0.2 WHEN n >= 100 THEN 0.2 * n / 1000 ELSE 0.1 * n / 100 END + 0.15 * CASE WHEN n > 0 THEN latin / n ELSE 0 END + CASE WHEN bad = 0 THEN 0.25 WHEN bad / n < 0.15 THEN 0.25 * (1 - bad / n / 0.15) ELSE 0 END + 0.25), 6) AS score FROM m"""
