@@ -18,11 +18,18 @@ b AS (SELECT s.q, count(*) FILTER (s.s > own OR (s.s = own AND i < s.q)) AS n FR
 SELECT count(*) AS sampled, round(avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 6) AS first, round(avg(CASE WHEN n < 3 THEN 1 ELSE 0 END), 6) AS top3 FROM b"""
 )
 def self_hit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty sampled vectors (the audit's sample size) against all."""
+    """The twenty vectors with the smallest ids against all, beside its SQL twin; ``self_hit_sample`` audits the whole table by a sample."""
     rows = table(spark, sf_dir, "embeddings")
     return A.self_hit(rows.orderBy("vec_id").limit(20), rows)
 
 
+@query()
+def self_hit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty vectors, the audit's sample size, drawn by a seeded hash from the whole table, against all."""
+    rows = table(spark, sf_dir, "embeddings")
+    return A.self_hit(A.hash_sample(rows, 50, "vec_id", 7), rows)
+
+
 @query()
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded sample of 100 documents; the hash has no DuckDB twin, so rows only."""

@@ -1,7 +1,9 @@
 """Queries over whole tables that have no SQL twin, against brute force."""
 
+import random
 import re
 
+from tessera.operators import audit as A
 from tessera.plans import catalog
 
 
@@ -35,3 +37,14 @@ def test_gate_of_supplied_documents(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     got = {r.doc_id: r.reason for r in catalog.QUERIES["gate_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {i: verdict(t) for i, t in docs.items()}
+
+
+def test_self_hits_beyond_the_first_ids(spark, tmp_path):
+    """Vectors after the first twenty that are all alike do not find themselves first."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)] if i < 20 else [1.0] * 8) for i in range(400)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["self_hit_sample"](spark, str(tmp_path)).head()
+    drawn = [r.vec_id for r in A.hash_sample(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 50, "vec_id", 7).collect()]
+    assert got.sampled == len(set(drawn)) == 50 and got.first < 0.5
+    assert got.first == round(sum(i <= 20 for i in drawn) / 50, 6) and got.top3 == round(sum(i <= 22 for i in drawn) / 50, 6)
