@@ -1,24 +1,27 @@
 """Operator 8: line de-duplication by a deletion-neighbourhood join.
 
 A line is its words (maximal runs of anything but ASCII white space); lines
-without words are never touched.  Two lines match if they are equal or, where
-both have at least ``LEAST_WORDS`` words, differ by one word inserted, deleted
-or replaced (so at least 0.8 of the words agree).  An occurrence goes if a
-matching line stands earlier: smaller document id, or same id and earlier line.
-Lines are judged on the input, not on what is left of it.
+without words are never touched.  Two lines match if their edit distance in
+words is within the bound of the shorter one: one word inserted, deleted or
+replaced where that is at most a fifth of it (``LEAST_WORDS`` words or more),
+none below that.  An occurrence goes if a matching line stands earlier: smaller
+document id, or same id and earlier line.  Lines are judged on the input, not on
+what is left of it.
 
 1. Equal lines collapse to their hash, with the first occurrence.
 2. A one-word edit leaves the front or the back half intact.  Only distinct
    lines that share such a half with another go on, and only with the deletions
-   that fall in the other half.
+   that fall in the other half.  Their words are fetched from the texts; a bitmap
+   of fixed size keeps texts without such lines out of that shuffle.
 3. They emit their deletion variants as hashed keys.  Distinct lines that are
    equal without the word at the same position are one replacement apart; a line
-   that equals another's variant is one insertion apart.  The distance is
-   verified on a second, independent hash of the variant: equal variants of
-   distinct lines are at distance one by construction.
+   that equals another's variant is one insertion apart.
 4. Per key and kind only the earliest occurrence matters, so a key's rows are
-   reduced to three minima before they are shuffled and no pair is formed.
-5. Each line's occurrences after its earliest match are taken out of the texts.
+   reduced to three minima before they are shuffled, and a line meets one
+   witness a key instead of all its partners.
+5. The edit distance of a line and its witnesses is verified on their words, and
+   the earliest verified witness counts.
+6. Each line's occurrences after its earliest match are taken out of the texts.
 
 Null texts count as empty.  Rows with a null id keep their text and make
 nothing else go.  Rows that repeat an id count as the same place: neither makes
@@ -38,6 +41,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, cut, map_arrow, sha256_hex
 
 LEAST_WORDS = 5
+#: Bits of the bitmap of documents that hold candidate lines; beyond about as many documents it lets all texts pass.
+BITMAP_BITS = 2**26
+_BITMAP_BLOCK = 2**16
 #: Kinds of variant rows: equal but for one position; a whole line; a line less one word.
 REPLACED, WHOLE, SHORTENED = 0, 1, 2
 
@@ -48,7 +54,7 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 def pack(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def unpack(data: bytes) -> bytes:
@@ -147,46 +153,112 @@ def variants(words: list[bytes], front: bool, back: bool) -> tuple[np.ndarray, n
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From ``doc, _packed, _todo``: variant rows of the listed lines."""
+    """From ``line, doc, row, front, back, words``: the lines' variant rows."""
     names = ["key", "second", "kind", "line", "doc", "row"]
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        front, back, words = (batch.column(k).to_pylist() for k in ("front", "back", "words"))
+        parts = [variants(w.split(), f, b) for f, b, w in zip(front, back, words, strict=True)]
+        sizes = [len(k) for k, _, _ in parts]
+        keys, second, kinds = (np.concatenate([x[c] for x in parts]) for c in range(3))
+        own = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in ("line", "doc", "row")]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(second.astype(np.int32)), pa.array(kinds), *own], names=names)
+
+
+def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From ``doc, _packed, _todo``: the listed lines with their words."""
+    kinds = {"line": pa.int64(), "doc": pa.int64(), "row": pa.int32(), "front": pa.bool_(), "back": pa.bool_(), "words": pa.binary()}
+    for batch in batches:
+        out = {k: [] for k in kinds}
         for doc, text, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            lines, parts, rows = unpack(text).split(b"\n"), [], []
+            lines = unpack(text).split(b"\n")
             for one in todo:
                 if _is(lines, one["row"], one["line"]):
-                    parts.append(variants(lines[one["row"]].split(), one["front"], one["back"]))
-                    rows.append((one["line"], one["row"]))
-            if not rows:
-                continue
-            sizes = [len(k) for k, _, _ in parts]
-            keys, second, kinds = (np.concatenate([x[c] for x in parts]) for c in range(3))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.view(np.int64)),
-                    pa.array(second.astype(np.int32)),
-                    pa.array(kinds),
-                    pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), sizes)),
-                    pa.array(np.full(len(keys), doc, np.int64)),
-                    pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), sizes)),
-                ],
-                names=names,
-            )
-
-
-def _near(firsts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``line, witness``: the earliest place of another line within one edit, for distinct lines that have any."""
+                    for k, v in (one | {"doc": doc, "words": b" ".join(lines[one["row"]].split())}).items():
+                        out[k].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], names=list(kinds))
+
+
+def within_one(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether the edit distance of two word sequences is at most one."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    same = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[same + (len(a) == len(b)) :] == b[same + 1 :]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ``line, doc, row, words, other`` the pairs whose words are within one edit."""
+    for batch in batches:
+        keep = [within_one(a.split(), b.split()) for a, b in zip(batch.column("words").to_pylist(), batch.column("other").to_pylist(), strict=True)]
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["line", "doc", "row"])
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64), 5) % np.uint64(BITMAP_BITS)).astype(np.int64)
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``BITMAP_BITS`` bits in which each of the integer ids has its bit set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITMAP_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        blocks = bits.reshape(-1, _BITMAP_BLOCK)
+        busy = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(busy.astype(np.int32)), pa.array([blocks[k].tobytes() for k in busy], pa.binary())], names=["block", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.uint8)
+                found[block] = found[block] | part if block in found else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["block", "bits"])
+
+    schema = "block int, bits binary"
+    out = np.zeros((BITMAP_BITS // 8 // _BITMAP_BLOCK, _BITMAP_BLOCK), np.uint8)
+    for block, raw in map_arrow(map_arrow(ids, mark, schema).repartition("block"), merge, schema).collect():
+        out[block] = np.frombuffer(raw, np.uint8)
+    return out.ravel()
+
+
+def _holding(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of ``texts(doc, _text)`` whose doc has its bit set by ``docs``: all that are wanted, and few others."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap(docs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy())
+            yield batch.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0, pa.bool_()))
+
+    return texts.mapInArrow(work, "doc bigint, _text string")
+
+
+def _near(firsts: DataFrame, own: DataFrame) -> DataFrame:
+    """``line, witness``: the earliest place of another line within one edit, for distinct lines that have any; ``own`` holds ``doc, _text``."""
     halves = firsts.filter(F.size("halves") > 0).select("line", F.posexplode("halves").alias("side", "half")).select("line", "half", (F.col("side") % 2).alias("side"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     sides = halves.join(shared, "half").groupBy("line").agg(F.bool_or(F.col("side") == 0).alias("front"), F.bool_or(F.col("side") == 1).alias("back"))
-    todo = firsts.select("line", "place").join(sides, "line").select(F.col("place.doc").alias("doc"), F.struct("line", "place.row", "front", "back").alias("one"))
+    todo = cut(firsts.select("line", "place").join(sides, "line").select(F.col("place.doc").alias("doc"), F.struct("line", "place.row", "front", "back").alias("one")))
     per_doc = todo.groupBy("doc").agg(F.collect_list("one").alias("_todo"))
-    rows = map_arrow(texts.join(per_doc, "doc").select("doc", "_packed", "_todo"), _variants, "key bigint, second int, kind tinyint, line bigint, doc bigint, row int")
-    place = F.struct("doc", "row")
+    texts = packed(_holding(own, todo.select("doc")), "doc", "_text")
+    words = cut(map_arrow(texts.join(per_doc, "doc").select("doc", "_packed", "_todo"), _fetched, "line bigint, doc bigint, row int, front boolean, back boolean, words binary"))
+    rows = map_arrow(words, _variants, "key bigint, second int, kind tinyint, line bigint, doc bigint, row int")
+    place = F.struct("doc", "row", "line")
     least = [F.min(F.when(F.col("kind") == k, place)).alias(f"m{k}") for k in (REPLACED, WHOLE, SHORTENED)]
     minima = rows.groupBy("key", "second").agg(*least, F.count("*").alias("n")).filter("n > 1").drop("n")
     witness = F.when(F.col("kind") == REPLACED, F.col(f"m{REPLACED}")).when(F.col("kind") == WHOLE, F.col(f"m{SHORTENED}")).otherwise(F.col(f"m{WHOLE}"))
-    met = rows.select("key", "second", "kind", "line").join(minima, ["key", "second"]).select("line", witness.alias("witness"))
-    return met.filter("witness is not null").groupBy("line").agg(F.min("witness").alias("witness"))
+    met = rows.select("key", "second", "kind", "line").join(minima, ["key", "second"]).select("line", witness.alias("w")).filter("w is not null and w.line <> line")
+    pairs = met.groupBy("line", "w").agg(F.lit(1).alias("one")).select("line", "w.doc", "w.row", F.col("w.line").alias("at"))
+    both = pairs.join(words.select("line", "words"), "line").join(words.select(F.col("line").alias("at"), F.col("words").alias("other")), "at")
+    sure = map_arrow(both.select("line", "doc", "row", "words", "other"), _verified, "line bigint, doc bigint, row int")
+    return sure.groupBy("line").agg(F.min(F.struct("doc", "row")).alias("witness"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +266,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
     lines = map_arrow(own.select("doc", bytes_of("_text").alias("_text")), _lines, "line bigint, doc bigint, row int, halves array<bigint>")
     firsts = cut(lines.groupBy("line").agg(F.min(F.struct("doc", "row")).alias("place"), F.first("halves").alias("halves"), F.count("*").alias("n")))
-    near = cut(_near(firsts, packed(own, "doc", "_text")))
+    near = cut(_near(firsts, own))
     marks = firsts.select("line", "place", "n").join(near, "line", "left").filter("n > 1 or witness < place")
     # read back as a table of its own, both sides of the next join are shuffled for it, and a frequent line's partition can be split
     bars = cut(marks.select("line", F.least("place", F.coalesce("witness", "place")).alias("bar")))

@@ -75,3 +75,20 @@ def test_long_text(spark):
     text = "\n".join(["word " * 20_000, "x" * 300_000, "word " * 20_001])
     got = linededup.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert got[0].n_removed == 1
+
+
+def test_within_one():
+    rng = random.Random(8)
+    for _ in range(3_000):
+        a = rng.choices("abc", k=rng.randint(0, 7))
+        b = rng.choices("abc", k=rng.randint(0, 7))
+        one = a == b or (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1) or any(long[:i] + long[i + 1 :] == short for short, long in ((a, b), (b, a)) for i in range(len(long)))
+        assert linededup.within_one([x.encode() for x in a], [x.encode() for x in b]) == one
+
+
+def test_bitmap_lets_all_wanted_pass(spark):
+    texts = spark.createDataFrame([(i, str(i)) for i in range(-50, 2_000)], "doc long, _text string")
+    wanted = [-7, 0, 3, 1_999]
+    kept = linededup._holding(texts, spark.createDataFrame([(i,) for i in wanted], "doc long")).collect()
+    assert {r.doc for r in kept} >= set(wanted) and len(kept) < 20
+    assert linededup._holding(texts, spark.createDataFrame([], "doc long")).count() == 0
