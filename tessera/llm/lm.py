@@ -11,22 +11,27 @@ the others meet their counts in a join and are summed per text.
 
 The model reads subword ids: a word is split by the first ``MERGES`` merges of
 a public vocabulary over its 256 bytes and 256 word-final bytes, so any text
-has ids, and ids determine the words.  One attention layer with relative
-position biases and one hidden layer predict the next id by a two-level
-softmax (class of ids, id in the class).  Windows of ``WINDOW`` ids overlap
-by ``WINDOW - STRIDE``: a window scores its last ``STRIDE`` ids, so each id is
-scored once, with batched masked attention over 8 to 31 ids before it.  The
-score is log10 of the probability of the ids and the end.
-
-The model learns from all training texts, as the counts do.  Counts of all
-neighbouring ids, summed by pair, set the classes and the first biases.  Then
-every block of every training text is a training example: tasks fit copies of
-the model on their own texts, in ``ROUNDS`` rounds over disjoint parts of the
-ids, and after a round the copies are averaged, weighted by their blocks.  A
-task makes at least ``STEPS`` steps, so there are more tasks with more text;
-texts for one task only are read repeatedly until it has made them.  The
-result depends on how the rows are dealt over partitions.  Held out are ids
-whose crc32 modulo 7 is 2.
+has ids, and ids determine the words.  The next id is predicted by a two-level
+softmax (class of ids, id in the class).  Its logits add what the id before
+tells - log shares from the counts of all neighbouring ids, interpolated with
+the ids' own shares - and what a network tells: one causal attention layer with
+relative position biases and one hidden layer.  Windows of ``WINDOW`` ids
+overlap by ``WINDOW - STRIDE``: a window scores its last ``STRIDE`` ids, so each
+id is scored once, with batched masked attention over 8 to 23 ids before it.
+The score is log10 of the probability of the ids and the end.
+
+The model learns from all training texts, as the counts do.  The neighbour
+counts set the classes and the first table.  Then every block of every training
+text is a training example: tasks fit copies of the network on their own texts,
+in ``ROUNDS`` rounds over disjoint parts of the ids, and after a round the copies
+are averaged, weighted by their blocks.  A task makes at least ``STEPS`` steps, so
+there are more tasks with more text; texts for one task only are read repeatedly
+until it has made them.  The result depends on how the rows are dealt over
+partitions.  Held out are ids whose crc32 modulo 7 is 2.
+
+The base score gives every unseen word the share 1 / (N + V + 1), however many
+there may be, while the model's probabilities of all texts add up to one.  The
+two are comparable on the known words.
 
 Null texts count as empty: one token, the end.  Without training texts N and V
 are 0 and the model keeps its initial weights.  Null ids stay (their fold is
@@ -40,7 +45,6 @@ from __future__ import annotations
 import copy
 import json
 import math
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
@@ -56,23 +60,44 @@ from .common import bucket_of, bytes_of, cut, map_arrow
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT = 400_000
-MERGES = 3583
-WINDOW, STRIDE = 32, 24
-WIDTH, HIDDEN = 24, 32
-CLASS = 64
-STEPS, BATCH_BLOCKS = 1_500, 128
+MERGES = 1024
+WINDOW, STRIDE = 24, 16
+WIDTH, HIDDEN = 16, 32
+CLASS = 40
+STEPS, BATCH_BLOCKS = 1_100, 256
+RATE = 0.015
 ROUNDS = 8
+#: Weights of the wider distribution in the shares after an id: classes by all classes, ids by their class.
+CLASS_PRIOR, MEMBER_PRIOR = 5.0, 2.0
+#: Logits above this are cut, so that exponentials stay finite.
+MOST_LOGIT = np.float32(60)
 #: Blocks that are mixed before they are dealt into batches, and neighbours that are counted at once.
 MIXED_BLOCKS = 16_384
-COUNTED_PAIRS = 4_000_000
+COUNTED_PAIRS = 1_000_000
 #: Blocks that are scored at once.
-SCORED_BLOCKS = 512
+SCORED_BLOCKS = 256
 MEMO_WORDS = 500_000
 COUNTED = 400_000
 #: The hash of the end token; words hash to anything.
 _END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b" end ")).view(np.int64))
 
 
+class Remembered(dict):
+    """Answers of a function by word; when it is full, half of it goes: what was met first is met most."""
+
+    def __init__(self, answer: Callable[[bytes], object], limit: int = MEMO_WORDS) -> None:
+        super().__init__()
+        self.answer, self.limit = answer, limit
+
+    def __missing__(self, word: bytes) -> object:
+        if len(self) >= self.limit:
+            kept = list(islice(self.items(), self.limit // 2))
+            self.clear()
+            self.update(kept)
+        found = self[word] = self.answer(word)
+        return found
+
+
 class Pieces:
     """Words to subword ids, by the first merges of a public vocabulary file."""
 
@@ -91,20 +116,19 @@ class Pieces:
         self.size = len(vocabulary) + 1
         self.end = len(vocabulary)
         self.bpe = BPE(vocab=vocabulary, merges=pairs, end_of_word_suffix="</w>")
-        self.memo: dict[bytes, bytes] = {}
+        self.memo = Remembered(self._split)
+
+    def _split(self, word: bytes) -> bytes:
+        letters = self.letters
+        return np.array([t.id for t in self.bpe.tokenize("".join([letters[b] for b in word]))], np.uint16).tobytes()
 
     def __getitem__(self, word: bytes) -> bytes:
-        if (found := self.memo.get(word)) is None:
-            if len(self.memo) >= MEMO_WORDS:  # what was met first is met most
-                self.memo = dict(islice(self.memo.items(), MEMO_WORDS // 2))
-            letters = self.letters
-            found = self.memo[word] = np.array([t.id for t in self.bpe.tokenize("".join([letters[b] for b in word]))], np.uint16).tobytes()
-        return found
+        return self.memo[word]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of the words, framed by ends."""
         end = np.array([self.end], np.uint16).tobytes()
-        return np.frombuffer(b"".join([end, *map(self.__getitem__, words), end]), np.uint16).astype(np.int64)
+        return np.frombuffer(b"".join([end, *map(self.memo.__getitem__, words), end]), np.uint16).astype(np.int64)
 
 
 def windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,126 +148,163 @@ _FUTURE = _OFFSET < 0
 _BEFORE = np.arange(WINDOW) < WINDOW - STRIDE
 
 
-def _picked(logits: np.ndarray, choice: np.ndarray) -> np.ndarray:
-    """Log softmax at one place per row; overwrites the logits."""
-    logits -= logits.max(1, keepdims=True)
-    found = logits[np.arange(len(logits)), choice]
+def _soften(logits: np.ndarray) -> np.ndarray:
+    """Exponentials of the logits, in place, and their sums."""
+    np.minimum(logits, MOST_LOGIT, out=logits)
     np.exp(logits, out=logits)
-    return found - np.log(logits.sum(1))
+    return logits.sum(-1)
 
 
 class AttentionModel:
-    """Parameters and numpy passes; ids are permuted so that a class holds ``CLASS`` related ids."""
+    """Parameters and numpy passes; ids are permuted so that a class holds ``CLASS`` related ids.
+
+    ``counts`` says how often each id (row) stands behind each other (column).
+    """
 
-    def __init__(self, size: int, order: np.ndarray | None = None, seed: int = 3) -> None:
+    def __init__(self, size: int, counts: np.ndarray | None = None, seed: int = 3) -> None:
         rng = np.random.RandomState(seed)
         self.size, self.classes = size, -(-size // CLASS)
         self.place = np.empty(size, np.int64)
-        self.place[np.arange(size) if order is None else order] = np.arange(size)
-        w = lambda *s: (rng.randn(*s) / math.sqrt(s[-2] if len(s) > 1 else 1)).astype(np.float32)
+        self.place[np.arange(size) if counts is None else related(counts)] = np.arange(size)
+        w = lambda *s: (rng.randn(*s) / math.sqrt(s[-2])).astype(np.float32)
         d = WIDTH
         self.p = {
-            "e": w(size, d) * math.sqrt(size) * 0.3, "q": w(d, d), "k": w(d, d), "v": w(d, d), "o": w(d, d) * 0.3, "r": np.zeros(WINDOW, np.float32),
-            "w1": w(d, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": w(HIDDEN, d) * 0.3,
-            "c": w(d, self.classes) * 0.3, "cb": np.zeros(self.classes, np.float32), "i": w(self.classes, d, CLASS) * 0.3, "ib": np.zeros((self.classes, CLASS), np.float32),
+            "e": w(size, d) * np.float32(math.sqrt(size) * 0.3), "qkv": np.concatenate([w(d, d), w(d, d), w(d, d) * np.float32(0.3)], 1), "r": np.zeros(WINDOW, np.float32),
+            "w1": w(d, HIDDEN), "b1": np.zeros(HIDDEN, np.float32), "w2": w(HIDDEN, d) * np.float32(0.3),
+            "c": w(d, self.classes) * np.float32(0.03), "i": w(self.classes, d, CLASS) * np.float32(0.03),
         }
-        last = size - (self.classes - 1) * CLASS
-        self.p["ib"][-1, last:] = -1e9  # places without an id
+        self._shares(np.zeros((size, size), np.float32) if counts is None else counts)
         self.tables = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"tables": None}
 
+    def _shares(self, counts: np.ndarray) -> None:
+        """Log shares of classes after each id, and of a class's ids after each id and class."""
+        own = np.zeros(self.classes * CLASS)
+        own[self.place] = counts.sum(1, dtype=np.float64) + 1
+        own = own.reshape(self.classes, CLASS)
+        of_class = own.sum(1, keepdims=True)
+        after = np.zeros((self.classes * CLASS, self.size), np.float32)
+        after[self.place] = counts
+        after = after.reshape(self.classes, CLASS, self.size).transpose(2, 0, 1)
+        n = after.sum(2)
+        self.to_class = np.log((n + CLASS_PRIOR * (of_class[:, 0] / of_class.sum())) / (n.sum(1, keepdims=True) + CLASS_PRIOR)).astype(np.float32)
+        inside = (after + MEMBER_PRIOR * (own / of_class)) / (n[:, :, None] + MEMBER_PRIOR)
+        self.to_member = np.where(own > 0, np.log(np.maximum(inside, 1e-30)), -1e9).astype(np.float32).reshape(-1, CLASS)  # places without an id get nothing
+
     def _bias(self) -> np.ndarray:
         return np.where(_FUTURE, np.float32(-1e9), self.p["r"][np.maximum(_OFFSET, 0)]).astype(np.float32)
 
+    def _attend(self, q: np.ndarray, k: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """Masked attention weights (blocks x STRIDE x WINDOW)."""
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += self._bias()
+        a[alone] += np.where(_BEFORE, np.float32(-1e9), np.float32(0))
+        a *= (1 / _soften(a))[..., None]
+        return a
+
     def hidden(self, inputs: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """Last-layer states (blocks x STRIDE x WIDTH) by table lookups and masked attention."""
         p = self.p
         if self.tables is None:
-            scale = np.float32(1 / math.sqrt(WIDTH))
-            self.tables = (p["e"] @ p["q"] * scale, p["e"] @ p["k"], p["e"] @ p["v"] @ p["o"])
+            q, k, v = np.split(p["e"] @ p["qkv"], 3, 1)
+            self.tables = (q * np.float32(1 / math.sqrt(WIDTH)), k.copy(), v.copy())
         q, k, v = self.tables
         own = inputs[:, WINDOW - STRIDE :]
-        s = np.matmul(q[own], k[inputs].transpose(0, 2, 1))
-        s += self._bias()
-        s[alone] += np.where(_BEFORE, np.float32(-1e9), np.float32(0))
-        s -= s.max(-1, keepdims=True)
-        np.exp(s, out=s)
-        h = np.matmul(s, v[inputs])
-        h /= s.sum(-1, keepdims=True)
-        h += p["e"][own]
-        return h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        h = np.matmul(self._attend(q.take(own, 0), k.take(inputs, 0), alone), v.take(inputs, 0))
+        h += p["e"].take(own, 0)
+        h = h.reshape(-1, WIDTH)
+        u = h @ p["w1"]
+        u += p["b1"]
+        h += np.maximum(u, 0, out=u) @ p["w2"]
+        return h.reshape(*own.shape, WIDTH)
+
+    def _dealt(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Order of the targets by class, and in that order class, member and id before; bounds of the classes."""
+        group, member = np.divmod(self.place.take(targets.ravel()), CLASS)
+        order = np.argsort(group.astype(np.uint8) if self.classes < 256 else group, kind="stable")
+        group = group[order]
+        return order, group, member[order], inputs[:, WINDOW - STRIDE :].ravel()[order], np.searchsorted(group, np.arange(self.classes + 1)).tolist()
+
+    def _logits(self, top: np.ndarray, group: np.ndarray, before: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Class logits, and member logits within the target's class, of states in the order of classes."""
+        z = top @ self.p["c"]
+        z += self.to_class.take(before, 0)
+        y = np.empty((len(top), CLASS), top.dtype)
+        for g in range(self.classes):
+            a, b = bounds[g], bounds[g + 1]
+            if a < b:
+                np.matmul(top[a:b], self.p["i"][g], out=y[a:b])
+        y += self.to_member.take(before * self.classes + group, 0)
+        return z, y
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """Natural log probability of each target."""
-        p, h = self.p, self.hidden(inputs, alone).reshape(-1, WIDTH)
-        group, member = np.divmod(self.place[targets.ravel()], CLASS)
-        out = _picked(h @ p["c"] + p["cb"], group)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for g in range(self.classes):
-            rows = order[bounds[g] : bounds[g + 1]]
-            if len(rows):
-                out[rows] += _picked(h[rows] @ p["i"][g] + p["ib"][g], member[rows])
+        order, group, member, before, bounds = self._dealt(inputs, targets)
+        rows = np.arange(len(order))
+        z, y = self._logits(self.hidden(inputs, alone).reshape(-1, WIDTH).take(order, 0), group, before, bounds)
+        found = np.minimum(z[rows, group], MOST_LOGIT) + np.minimum(y[rows, member], MOST_LOGIT)
+        found -= np.log(_soften(z) * _soften(y))
+        out = np.empty_like(found)
+        out[order] = found
         return out.reshape(targets.shape)
 
     def _gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, alone: np.ndarray) -> tuple[float, dict]:
-        p, g = self.p, {}
+        p, g, n = self.p, {}, len(inputs)
         scale = np.float32(1 / math.sqrt(WIDTH))
-        b = len(inputs)
-        x = p["e"][inputs]
-        own = x[:, WINDOW - STRIDE :]
-        q, k, v = own @ p["q"], x @ p["k"], x @ p["v"]
-        s = np.matmul(q, k.transpose(0, 2, 1)) * scale + self._bias()
-        s[alone] += np.where(_BEFORE, np.float32(-1e9), np.float32(0))
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        att = np.matmul(a, v)
-        h = own + att @ p["o"]
-        u = h @ p["w1"] + p["b1"]
-        r = np.maximum(u, 0)
-        top = (h + r @ p["w2"]).reshape(-1, WIDTH)
-        weight = (scored.ravel() / max(1, scored.sum())).astype(np.float32)
-        group, member = np.divmod(self.place[targets.ravel()], CLASS)
-        rows = np.arange(len(top))
-        z = top @ p["c"] + p["cb"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        loss = -(np.log(z[rows, group] + 1e-30) * weight).sum()
-        z[rows, group] -= 1
-        z *= weight[:, None]
-        g["c"], g["cb"] = top.T @ z, z.sum(0)
-        d = z @ p["c"].T
-        g["i"], g["ib"] = np.zeros_like(p["i"]), np.zeros_like(p["ib"])
-        for n in np.unique(group):
-            at = np.flatnonzero(group == n)
-            z = top[at] @ p["i"][n] + p["ib"][n]
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            loss -= (np.log(z[np.arange(len(at)), member[at]] + 1e-30) * weight[at]).sum()
-            z[np.arange(len(at)), member[at]] -= 1
-            z *= weight[at, None]
-            g["i"][n], g["ib"][n] = top[at].T @ z, z.sum(0)
-            d[at] += z @ p["i"][n].T
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        d = d.reshape(h.shape)
-        g["w2"] = flat(r).T @ flat(d)
-        du = (d @ p["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = flat(h).T @ flat(du), flat(du).sum(0)
-        dh = d + du @ p["w1"].T
-        g["o"] = flat(att).T @ flat(dh)
-        datt = dh @ p["o"].T
-        da = np.matmul(datt, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), datt)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        g["r"] = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_FUTURE, 0, ds.sum(0)).ravel(), minlength=WINDOW).astype(np.float32)
-        dq, dk = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale
-        g["q"], g["k"], g["v"] = flat(own).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, WINDOW - STRIDE :] += dq @ p["q"].T + dh
-        g["e"] = np.stack([np.bincount(inputs.ravel(), dx[..., c].ravel(), minlength=self.size) for c in range(WIDTH)], 1).astype(np.float32)
-        return float(loss), g
+        x = p["e"].take(inputs, 0)
+        t = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
+        q, k, v = t[:, WINDOW - STRIDE :, :WIDTH] * scale, np.ascontiguousarray(t[..., WIDTH : 2 * WIDTH]), np.ascontiguousarray(t[..., 2 * WIDTH :])
+        a = self._attend(q, k, alone)
+        h = np.matmul(a, v)
+        h += x[:, WINDOW - STRIDE :]
+        h = h.reshape(-1, WIDTH)
+        u = h @ p["w1"]
+        u += p["b1"]
+        np.maximum(u, 0, out=u)
+        order, group, member, before, bounds = self._dealt(inputs, targets)
+        rows = np.arange(len(order))
+        top = (h + u @ p["w2"]).take(order, 0)
+        weight = (scored.ravel() / max(1, scored.sum())).astype(top.dtype)[order]
+        z, y = self._logits(top, group, before, bounds)
+        loss = 0.0
+        for logits, choice in ((z, group), (y, member)):
+            picked = logits[rows, choice]
+            total = _soften(logits)
+            loss += float(((np.log(total) - picked) * weight).sum())
+            logits *= (weight / total)[:, None]
+            logits[rows, choice] -= weight
+        g["c"], d = top.T @ z, z @ p["c"].T
+        g["i"] = np.zeros_like(p["i"])
+        for c in range(self.classes):
+            m, e = bounds[c], bounds[c + 1]
+            if m < e:
+                np.matmul(top[m:e].T, y[m:e], out=g["i"][c])
+                d[m:e] += y[m:e] @ p["i"][c].T
+        dh = np.empty_like(d)
+        dh[order] = d
+        g["w2"] = u.T @ dh
+        du = dh @ p["w2"].T
+        du *= u > 0
+        g["w1"], g["b1"] = h.T @ du, du.sum(0)
+        dh += du @ p["w1"].T
+        dh = dh.reshape(n, STRIDE, WIDTH)
+        dt = np.zeros_like(t)
+        dt[..., 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), dh)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= (ds * a).sum(-1, keepdims=True)
+        ds *= a
+        g["r"] = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_FUTURE, 0, ds.sum(0)).ravel(), minlength=WINDOW).astype(t.dtype)
+        dt[:, WINDOW - STRIDE :, :WIDTH] = np.matmul(ds, k) * scale
+        dt[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
+        dt = dt.reshape(-1, 3 * WIDTH)
+        g["qkv"] = x.reshape(-1, WIDTH).T @ dt
+        dx = (dt @ p["qkv"].T).reshape(x.shape)
+        dx[:, WINDOW - STRIDE :] += dh
+        columns, flat = np.ascontiguousarray(dx.reshape(-1, WIDTH).T), inputs.ravel()
+        g["e"] = np.stack([np.bincount(flat, column, minlength=self.size) for column in columns], 1).astype(t.dtype)
+        return loss, g
 
     def fit(self, texts: list[np.ndarray], end: int, steps: int = STEPS, seed: int = 5) -> list[float]:
         """Adam on random blocks of the texts; returns the losses."""
@@ -258,27 +319,24 @@ class AttentionModel:
     def learn(self, batches: Iterable[tuple[np.ndarray, ...]], share: Callable[[int], float]) -> list[float]:
         """Adam, one step a batch, at a share of the full rate; returns the losses."""
         losses = []
+        self.p = {n: a.astype(np.float32) for n, a in self.p.items()}  # own copies, changed in place
         m, v = ({n: np.zeros_like(a) for n, a in self.p.items()} for _ in range(2))
         for step, batch in enumerate(batches, 1):
             loss, g = self._gradients(*batch)
             losses.append(loss)
-            rate = 0.01 * min(1, step / 20) * share(step)
-            for n in self.p:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v[n] = 0.99 * v[n] + 0.01 * g[n] * g[n]
-                self.p[n] = (self.p[n] - rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            rate = RATE * min(1, step / 20) * share(step)
+            for n, slope in g.items():
+                m[n] *= 0.9
+                m[n] += 0.1 * slope
+                v[n] *= 0.99
+                slope *= slope
+                v[n] += 0.01 * slope
+                np.sqrt(v[n] / (1 - 0.99**step), out=slope)
+                slope += 1e-8
+                self.p[n] -= rate / (1 - 0.9**step) * m[n] / slope
         self.tables = None
         return losses
 
-    def begin(self, occurs: np.ndarray) -> None:
-        """Biases of classes and ids from how often each id occurs."""
-        inside = np.zeros(self.classes * CLASS)
-        inside[self.place] = occurs + 1.0
-        inside = inside.reshape(self.classes, CLASS)
-        total = inside.sum(1, keepdims=True)
-        self.p["cb"] = np.log(total[:, 0] / total.sum()).astype(np.float32)
-        self.p["ib"] = np.where(inside > 0, np.log(np.maximum(inside, 1) / total), -1e9).astype(np.float32)
-
 
 def batches_of(texts: Iterable[np.ndarray], end: int, rng: np.random.RandomState) -> Iterator[tuple[np.ndarray, ...]]:
     """Batches of blocks in which each block of each text is once."""
@@ -300,21 +358,31 @@ def batches_of(texts: Iterable[np.ndarray], end: int, rng: np.random.RandomState
         yield from deal()
 
 
-def related(counts: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Ids in the order of their second direction in the neighbour counts (id by id before it), so that classes hold related ids.
+def related(counts: np.ndarray, directions: int = 8, rounds: int = 40) -> np.ndarray:
+    """Ids in an order in which related ones are neighbours, so that classes hold related ids.
 
-    The directions come from block power iteration; only one size x size table is held besides the counts.
+    Ids are placed by the strongest directions of the neighbour counts (id by id
+    before it), found by block power iteration, and halved along the widest
+    direction of what is left until a class is full.
     """
-    size = len(counts)
-    table = (counts + 1).astype(np.float32)
+    table = (counts + 0.5).astype(np.float32)
     after, before = np.log(table.sum(1)), np.log(table.sum(0) / table.sum())
     np.log(table, out=table)
     table -= after[:, None]
     table -= before
-    basis = np.random.RandomState(1).randn(size, 3).astype(np.float32)
+    basis = np.random.RandomState(1).randn(len(table), directions).astype(np.float32)
     for _ in range(rounds):
         basis, _ = np.linalg.qr(table @ (basis.T @ table).T)
-    return np.lexsort((np.arange(size), basis[:, 1]))
+
+    def halved(ids: np.ndarray) -> list[np.ndarray]:
+        full = -(-len(ids) // CLASS)
+        if full <= 1:
+            return [ids]
+        x = basis[ids] - basis[ids].mean(0)
+        ids = ids[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        return halved(ids[: full // 2 * CLASS]) + halved(ids[full // 2 * CLASS :])
+
+    return np.concatenate(halved(np.arange(len(table))))
 
 
 class Scorer:
@@ -359,68 +427,64 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64).view(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word hashes and how often they occur, in one partition; emptied whenever it is large."""
-    counts: Counter[bytes] = Counter()
-    ends = 0
-
-    def emit() -> pa.RecordBatch:
-        words = list(counts)
-        keys, n = np.append(_hashes(words), _END_HASH), np.append(np.fromiter(counts.values(), np.int64, len(words)), ends)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["h", "c"])
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(text.lower().split())
-            ends += 1
-            if len(counts) >= COUNTED:
-                yield emit()
-                counts.clear()
-                ends = 0
-    if ends:
-        yield emit()
-
-
 def held_out(id_col: str):
     return bucket_of(F.col(id_col), FOLDS) == HELD_OUT
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``h, c``: hash and count of every token of ``docs``."""
-    return map_arrow(docs.select(bytes_of(text_col).alias("_text")), _count, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+#: Kinds of counts: hashes of words, and pairs of ids (row x size + column).
+WORD, PAIR = 0, 1
 
 
-def neighbours(texts: DataFrame, path: str, size: int) -> np.ndarray:
-    """How often each id (row) stands behind each other (column) in the texts ``_text``; summed by pair in the cluster."""
+def corpus_counts(docs: DataFrame, path: str, size: int, text_col: str = "text") -> DataFrame:
+    """``kind, key, c``: how often each token (by hash) occurs and each id stands behind each other, in all of ``docs``."""
     made = _Made(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        words_in: Counter[bytes] = Counter()
+        pairs, held, n, ends = np.zeros(size * size, np.int64), [], 0, 0
+
+        def emit(kind: int, keys: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(c)], names=["kind", "key", "c"])
 
-        def emit() -> pa.RecordBatch:
-            pairs, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(c)], names=["pair", "c"])
+        def words() -> pa.RecordBatch:
+            return emit(WORD, np.append(_hashes(list(words_in)), _END_HASH), np.append(np.fromiter(words_in.values(), np.int64, len(words_in)), ends))
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                t = made.pieces.ids(text.lower().split()).astype(np.int32)
-                held.append(t[1:] * np.int32(size) + t[:-1])
+                own = text.lower().split()
+                words_in.update(own)
+                ends += 1
+                t = made.pieces.ids(own)
+                held.append(t[1:] * size + t[:-1])
                 n += len(t)
                 if n >= COUNTED_PAIRS:
-                    yield emit()
+                    pairs += np.bincount(np.concatenate(held), minlength=len(pairs))
                     held, n = [], 0
+                if len(words_in) >= COUNTED:
+                    yield words()
+                    words_in.clear()
+                    ends = 0
+        if ends:
+            yield words()
         if held:
-            yield emit()
+            pairs += np.bincount(np.concatenate(held), minlength=len(pairs))
+        some = np.flatnonzero(pairs)
+        yield emit(PAIR, some, pairs[some])
+
+    return map_arrow(docs.select(bytes_of(text_col).alias("_text")), count, "kind tinyint, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+
+
+def neighbours(counts: DataFrame, size: int) -> np.ndarray:
+    """The pairs of ``corpus_counts`` as a table of fixed size: id by id before it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs, c = (np.ascontiguousarray(batch.column(n).to_numpy()).tobytes() for n in range(2))
             yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([c])], names=["pairs", "c"])
 
-    summed = map_arrow(texts.select("_text"), count, "pair int, c bigint").groupBy("pair").agg(F.sum("c").alias("c"))
     table = np.zeros(size * size, np.float32)
-    for row in map_arrow(cut(summed), pack, "pairs binary, c binary", None).toLocalIterator():  # at most size x size pairs, whatever the corpus
-        table[np.frombuffer(row.pairs, np.int32)] = np.frombuffer(row.c, np.int64)
+    for row in map_arrow(counts.filter(F.col("kind") == PAIR).select("key", "c"), pack, "pairs binary, c binary", None).toLocalIterator():  # at most size x size pairs, whatever the corpus
+        table[np.frombuffer(row.pairs, np.int64)] = np.frombuffer(row.c, np.int64)
     return table.reshape(size, size)
 
 
@@ -447,7 +511,6 @@ def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, s
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(sent.value)
-        own.p = dict(own.p)
         part = TaskContext.get().partitionId()
         rng, blocks, steps = np.random.RandomState(seed * 100_003 + part), 0, 0
         texts_in = (made.pieces.ids(t.lower().split()) for batch in batches for t in batch.column(0).to_pylist())
@@ -484,15 +547,14 @@ def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, s
     return blocks
 
 
-def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Scorer:
-    """The model, fitted on every block of every training text."""
+def train(docs: DataFrame, path: str, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Scorer:
+    """The model, fitted on every block of every training text; ``counts`` are the training texts' ``corpus_counts``."""
     own = docs.filter(~held_out(id_col)).select(F.crc32(F.concat(F.lit("round"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_round"), bytes_of(text_col).alias("_text"))
     pieces = Pieces(path)
-    counts = neighbours(own, path, pieces.size)
-    ids = int(counts.sum(dtype=np.float64))
-    model = AttentionModel(pieces.size, related(counts))
+    table = neighbours(counts, pieces.size)
+    ids = int(table.sum(dtype=np.float64))
+    model = AttentionModel(pieces.size, table)
     if ids:
-        model.begin(counts.sum(1, dtype=np.float64))
         least = steps * BATCH_BLOCKS * STRIDE  # ids of a task
         tasks = max(1, ids // least)
         if ids < least:
@@ -507,7 +569,8 @@ def train(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS, frequent: int = FREQUENT) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     key, spark = dict(docs.dtypes)[id_col], docs.sparkSession
-    counts = cut(word_counts(docs.filter(~held_out(id_col)), text_col))
+    gathered = cut(corpus_counts(docs.filter(~held_out(id_col)), path, Pieces(path).size, text_col))
+    counts = gathered.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     tokens, distinct = int(total[0]), int(total[1])
     bar = max(1, -(-tokens // frequent))
@@ -515,65 +578,53 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     hashes = often.column("h").to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     known = spark.sparkContext.broadcast((hashes[order], often.column("c").to_numpy().astype(np.int64)[order]))
-    scorer = spark.sparkContext.broadcast(train(docs, path, id_col, text_col, steps))
+    scorer = spark.sparkContext.broadcast(train(docs, path, gathered, id_col, text_col, steps))
     below = math.log10(tokens + distinct + 1)
     rows_in = docs.select(id_col, held_out(id_col).alias("held_out"), bytes_of(text_col).alias("_text"))
 
-    def identity(doc: object, text: bytes) -> int:
-        return int(np.uint64(xxhash.xxh3_64_intdigest(text, zlib.crc32(str(doc).encode()))).view(np.int64))
-
-    def split(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """Hashes, occurrences and corpus counts (0: to be looked up) of a text's distinct tokens; which are frequent; all tokens."""
-        found = Counter(text.lower().split())
-        h = np.append(_hashes(list(found)), _END_HASH)
-        n = np.append(np.fromiter(found.values(), np.int64, len(found)), 1)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes = known.value
-        at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
-        hit = (names[at] == h) if len(names) else np.zeros(len(h), bool)
-        return h, n, sizes[at] if len(names) else np.zeros(len(h), np.int64), hit, int(n.sum())
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hs, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h, n, _, hit, _ = split(text)
-                keys.append(np.full(int((~hit).sum()), identity(doc, text), np.int64)), hs.append(h[~hit]), ns.append(n[~hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, hs, ns)], names=["k", "h", "n"])
+        def share(word: bytes) -> float:
+            """The logarithm of a frequent word's share, else no number."""
+            return frequent_share(int(np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64)))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def frequent_share(h: int) -> float:
+            at = int(np.searchsorted(names, h))
+            return math.log10(sizes[at] + 1.0) - below if at < len(names) and names[at] == h else math.nan
+
+        shares, end = Remembered(share), frequent_share(_END_HASH)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ks, size, seen, sums = [], [], [], []
-            texts = batch.column(2).to_pylist()
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                _, n, c, hit, every = split(text)
-                ks.append(identity(doc, text)), size.append(every), seen.append(int(n[hit].sum()))
-                sums.append(float((n[hit] * (np.log10(c[hit] + 1.0) - below)).sum()))
-            model = scorer.value.log10([t.lower().split() for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ks, pa.int64()), pa.array(size, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(model, pa.float64())], names=[id_col, "held_out", "k", "n_tokens", "seen", "sums", "score"])
-
-    rows = map_arrow(rows_in, work, f"`{id_col}` {key}, held_out boolean, k bigint, n_tokens bigint, seen bigint, sums double, score double")
-    looked = map_arrow(rows_in, rare, "k bigint, h bigint, n bigint").join(counts.filter(F.col("c") < bar), "h", "left")
+            first, counted, seen, sums, words_in, hs, ns = row, [], [], [], [], [], []
+            for text in batch.column(2).to_pylist():
+                words = text.lower().split()
+                own = np.append(np.fromiter(map(shares.__getitem__, words), np.float64, len(words)), end)
+                hit = own == own
+                found = Counter([words[k] for k in np.flatnonzero(~hit[:-1]).tolist()])
+                h, n = _hashes(list(found)), np.fromiter(found.values(), np.int32, len(found))
+                if not hit[-1]:
+                    h, n = np.append(h, _END_HASH), np.append(n, np.int32(1))
+                counted.append(len(own)), seen.append(int(hit.sum()))
+                sums.append(float(own[hit].sum()))
+                words_in.append(words), hs.append(h), ns.append(n)
+                row += 1
+            offsets = pa.array(np.cumsum([0, *map(len, hs)]).astype(np.int32))
+            rare = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, t), *x]))) for x, t in ((hs, np.int64), (ns, np.int32))]
+            more = [pa.array(np.arange(first, row)), pa.array(counted, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(scorer.value.log10(words_in), pa.float64()), *rare]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=[id_col, "held_out", "k", "n_tokens", "seen", "sums", "score", "hs", "ns"])
+
+    # written once: a row keeps its number k, by which its rare tokens come back
+    rows = cut(map_arrow(rows_in, work, f"`{id_col}` {key}, held_out boolean, k bigint, n_tokens bigint, seen bigint, sums double, score double, hs array<bigint>, ns array<int>"))
+    looked = rows.select("k", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ns").alias("n")))).join(counts.filter(F.col("c") < bar), "h", "left")
     one = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(1.0)) - F.lit(below)
     rest = looked.groupBy("k").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * one).alias("rest"))
-    times = docs_times(rows_in, identity, id_col)
-    joined = rows.join(rest.join(times, "k"), "k", "left")
-    share = F.coalesce(F.col("times"), F.lit(1))
-    return joined.select(
+    return rows.drop("hs", "ns").join(rest, "k", "left").select(
         id_col,
         "held_out",
         "n_tokens",
-        (F.col("seen") + F.coalesce(F.col("more") / share, F.lit(0))).cast("long").alias("n_known"),
+        (F.col("seen") + F.coalesce(F.col("more"), F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("sums") + F.coalesce(F.col("rest") / share, F.lit(0.0))).alias("base_score"),
+        (F.col("sums") + F.coalesce(F.col("rest"), F.lit(0.0))).alias("base_score"),
         "score",
     )
-
-
-def docs_times(rows_in: DataFrame, identity, id_col: str) -> DataFrame:
-    """``k, times``: how many equal rows share an identity; their rare tokens were summed together."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([identity(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.int64())], names=["k"])
-
-    return map_arrow(rows_in, work, "k bigint").groupBy("k").agg(F.count("*").alias("times"))

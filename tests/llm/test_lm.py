@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 
@@ -70,6 +71,7 @@ def test_model(pieces):
             sides.append(model._gradients(*made)[0])
         model.p[name][at] = old
         assert abs((sides[0] - sides[1]) / 2e-5 - g[at]) < 1e-5, name
+    model.p = {n: a.astype(np.float32) for n, a in model.p.items()}
     # every id is scored once, and the probabilities of all ids at a place add up to one
     assert sum(int(lm.windows(t, pieces.end)[2].sum()) for t in texts) == sum(len(t) - 1 for t in texts)
     inputs, targets, _, alone = (x[:1] for x in lm.windows(texts[0], pieces.end))
@@ -100,10 +102,36 @@ def test_learns_from_all_texts(spark, pieces):
     want = np.zeros((pieces.size, pieces.size))
     for t in own:
         np.add.at(want, (t[1:], t[:-1]), 1)
-    assert (lm.neighbours(texts, PATH, pieces.size) == want).all()
+    counts = lm.corpus_counts(docs.filter(~lm.held_out("doc_id")), PATH, pieces.size)
+    assert (lm.neighbours(counts, pieces.size) == want).all()
     # every block of every training text is learned from
     model = lm.AttentionModel(pieces.size)
     assert lm.fit_round(texts, PATH, model, 1, lambda _: 1.0, 0, 2) == sum(len(lm.windows(t, pieces.end)[0]) for t in own)
     # what only a long text teaches is known; several tasks and rounds
     score = lambda d: lm.score(d, PATH, steps=20).filter(f"doc_id = {probe}").head().score
     assert score(docs) > score(docs.filter(f"doc_id <> {long}")) + 10
+
+
+def test_beats_the_base_on_held_out_words(pieces):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    split = [(zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2, (r["text"] or "").encode().lower().split()) for r in rows]
+    counts = Counter(w for held, words in split if not held for w in words)
+    n, v = sum(counts.values()), len(counts)
+    own = [pieces.ids(words) for held, words in split if not held]
+    table = np.zeros((pieces.size, pieces.size), np.float32)
+    for t in own:
+        np.add.at(table, (t[1:], t[:-1]), 1)
+    model, rng = lm.AttentionModel(pieces.size, table), np.random.RandomState(0)
+    model.learn((b for _ in range(4) for b in lm.batches_of(own, pieces.end, rng)), lambda step: 1 - 0.9 * min(1, step / 1_000))
+    base, found = [], []
+    for held, words in split:
+        if held and words:
+            inputs, targets, _, alone = lm.windows(pieces.ids(words), pieces.end)
+            logs = np.cumsum(np.append(0, model.log_probabilities(inputs, targets, alone).ravel().astype(float) / math.log(10)))
+            ends = np.cumsum([0, *[len(pieces[w]) // 2 for w in words]])
+            base += [(w in counts, math.log10((counts[w] + 1) / (n + v + 1))) for w in words]
+            found += (logs[ends[1:]] - logs[ends[:-1]]).tolist()
+    known = np.array([k for k, _ in base])
+    base, found = np.array([b for _, b in base]), np.array(found)
+    assert found[known].mean() > base[known].mean() + 0.2
+    assert found.mean() > base.mean() - 0.02  # though the base gives every unseen word the same share
