@@ -50,4 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not stable after {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

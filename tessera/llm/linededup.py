@@ -228,7 +228,7 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _holding(texts: DataFrame, docs: DataFrame) -> DataFrame:
+def holding(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The rows of ``texts(doc, _text)`` whose doc has its bit set by ``docs``: all that are wanted, and few others."""
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(docs))
 
@@ -247,7 +247,7 @@ def _near(firsts: DataFrame, own: DataFrame) -> DataFrame:
     sides = halves.join(shared, "half").groupBy("line").agg(F.bool_or(F.col("side") == 0).alias("front"), F.bool_or(F.col("side") == 1).alias("back"))
     todo = cut(firsts.select("line", "place").join(sides, "line").select(F.col("place.doc").alias("doc"), F.struct("line", "place.row", "front", "back").alias("one")))
     per_doc = todo.groupBy("doc").agg(F.collect_list("one").alias("_todo"))
-    texts = packed(_holding(own, todo.select("doc")), "doc", "_text")
+    texts = packed(holding(own, todo.select("doc")), "doc", "_text")
     words = cut(map_arrow(texts.join(per_doc, "doc").select("doc", "_packed", "_todo"), _fetched, "line bigint, doc bigint, row int, front boolean, back boolean, words binary"))
     rows = map_arrow(words, _variants, "key bigint, second int, kind tinyint, line bigint, doc bigint, row int")
     place = F.struct("doc", "row", "line")

@@ -5,11 +5,13 @@ A-Z lower-cased; each shingle of ``SHINGLE`` words, repeats included, is hashed
 by XXH64 (seed 42); a bit is set if it is set in over half the hashes.
 
 Search: a 64-bit fingerprint has eight byte positions.  Two fingerprints that
-differ in at most four bits agree in at least four positions (count filter), so
-the inverted index holds, per distinct fingerprint, its positional bytes four
-at a time.  In a posting list each pair's shared positional bytes are tallied;
-pairs with the guaranteed minimum are verified by their differing bits.  A pair
-is taken only from the first list that it shares.
+differ in at most four bits agree in at least four positions, so they share at
+least four of the 56 combinations of three positions.  The inverted index holds
+each distinct fingerprint under its positional bytes, three at a time.  In a
+posting list each pair's shared positional bytes are tallied; pairs with the
+guaranteed minimum of four (the list itself guarantees three) are verified by
+their differing bits.  Verified pairs leave a list as a spanning forest: a
+member and the smallest one that it is connected with.
 
 Posting lists longer than ``LONG_LIST`` are not paired off.  Their members link
 through midpoints instead: fingerprints differ in at most four bits exactly if
@@ -17,6 +19,17 @@ some value differs from each of them in at most two, so each member goes to its
 2 081 midpoints and every midpoint links its members to the smallest.  The rows
 are linear in the members and no link is lost.
 
+Near copies by similarity (``similar_groups``, ``keep_one``) take shingles of five
+words and link texts whose shingle sets have a Jaccard similarity of at least
+0.8.  Such fingerprints differ in about a seventh of their bits, where 64 bits
+say little: these have 256 bits in 32 byte positions, the index takes
+``WIDE_LISTS`` fixed pairs of positions, the tally asks for ``WIDE_SHARED`` and the
+verification for at most ``WIDE_BITS`` bits, and the nearest partner that each list
+offers is verified on the shingle sets themselves.  No two texts below the
+similarity are linked; of pairs at 0.8 about 0.9 share a list, at 0.85 0.96, at
+0.9 0.99.  Members of longer lists meet those next to them in the order of their
+bytes, which differs from list to list.
+
 Null texts count as empty.  Texts of fewer than ``SHINGLE`` words are one
 shingle; texts without words have fingerprint zero and link like any other.
 Rows with a null id get their fingerprint's component, null if nothing in it
@@ -36,13 +49,21 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, map_arrow
 from .components import components
+from .linededup import holding
 
 SHINGLE = 4
 MOST_BITS = 4
 SEED = 42
-LONG_LIST = 256
+LONG_LIST = 1_024
+LEAST_SHARED = 8 - MOST_BITS
+
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+WIDE_BITS, WIDE_SHARED, WIDE_LISTS = 54, 4, 48
+#: Members of a long list of wide fingerprints that a member meets.
+WIDE_WINDOW = 256
 
-_QUADS = list(combinations(range(8), 4))
+_TRIPLES = list(combinations(range(8), 3))
+_PAIRS = [(a, b) for step in (1, 2, 3, 5, 7, 11) for a, b in zip(range(0, 32), [(a + step) % 32 for a in range(32)], strict=True)][::4][:WIDE_LISTS]
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _DEALT_BYTES = 256
 
@@ -82,66 +103,89 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index entries: the list (which four positions and their bytes, mixed to 64 bits) and the fingerprint."""
+    """Index entries: the list (which three positions and their bytes) and the fingerprint."""
     for batch in batches:
         fps = batch.column(0).to_numpy()
-        rows = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
-        lists = [(np.ascontiguousarray(rows[:, q]).view(np.uint32).ravel().astype(np.int64) << 8) | n for n, q in enumerate(_QUADS)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.tile(fps, len(_QUADS)))], names=["list", "fp"])
-
-
-
-
-def _links(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    """Over entries sorted by list: verified links ``(u, v)``, and ``(u, null)`` for each member of a long list."""
-
-    def pairs(members: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-        parts = members.view(np.uint8).reshape(-1, 8)
-        i, j = np.triu_indices(len(members), 1)
-        same = parts[i] == parts[j]
-        enough = same.sum(1) >= 8 - MOST_BITS
-        first = np.cumsum(same, axis=1)
-        quad = _QUADS[number]
-        # taken from its first list only: the list's positions are the first four that agree
-        enough &= (first[:, quad[-1]] == 4) & same[:, quad].all(1)
-        i, j, = i[enough], j[enough]
-        near = np.bitwise_count(members[i].view(np.uint64) ^ members[j].view(np.uint64)) <= MOST_BITS
-        return members[i[near]], members[j[near]]
-
-    held_key, held, long_list = None, np.empty(0, np.int64), False
+        rows = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8).astype(np.int64)
+        lists = [rows[:, a] << 24 | rows[:, b] << 16 | rows[:, c] << 8 | n for n, (a, b, c) in enumerate(_TRIPLES)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.tile(fps, len(_TRIPLES)))], names=["list", "fp"])
+
+
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared positional bytes of fingerprints given as 64-bit words (last axis: the words of one)."""
+    apart = np.ascontiguousarray(a ^ b)
+    return (apart.view(np.uint8).reshape(*apart.shape[:-1], 8 * apart.shape[-1]) == 0).sum(-1)
+
+
+def _close(a: np.ndarray, b: np.ndarray, shared: int, bits: int) -> np.ndarray:
+    """Which pairs pass the count filter and then the comparison of their bits."""
+    out = tally(a, b) >= shared
+    a, b = np.broadcast_arrays(a, b)
+    out[out] = np.bitwise_count(a[out] ^ b[out]).sum(-1) <= bits
+    return out
+
+
+def forest(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one list's fingerprints: those that are connected with a smaller one, and the smallest such."""
+    words = np.sort(members)[:, None].view(np.uint64)
+    n = len(words)
+    near = np.concatenate([_close(words[at : at + 128, None], words[None], LEAST_SHARED, MOST_BITS) for at in range(0, n, 128)])
+    label = np.arange(n)
+    while True:
+        least = np.where(near, label, n).min(1)
+        if (least == label).all():
+            break
+        label = least
+    own = np.flatnonzero(label < np.arange(n))
+    return words[own, 0].view(np.int64), words[label[own], 0].view(np.int64)
+
+
+def _lists(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, list, list]]:
+    """Per batch of entries sorted by list: both ends of lists of two, other lists up to ``longest``, parts of longer ones."""
+    held_key, held, is_long = None, None, False
     for batch in batches:
-        keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
+        if not batch.num_rows:
             continue
-        u, v, hot = [], [], []
-        edges = np.flatnonzero(np.diff(keys)) + 1
-        bounds = np.concatenate([[0], edges, [len(keys)]])
+        keys, fps = batch.column(0).to_numpy(), words_of(batch.column(1))
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
         sizes = np.diff(bounds)
-
-        def close(u=u, v=v, hot=hot) -> None:
-            if held_key is not None and not long_list and len(held) > 1:
-                a, b = pairs(held, held_key & 255)
-                u.append(a), v.append(b)
-
-        busy = sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 1).tolist()})
-        for g in busy:
-            a, b = bounds[g], bounds[g + 1]
-            key, members = int(keys[a]), fps[a:b]
+        inner = np.ones(len(sizes), bool)
+        inner[[0, -1]] = False
+        twos = bounds[:-1][inner & (sizes == 2)]
+        lists, parts = [], []
+        for g in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 2).tolist()}):
+            key, members = int(keys[bounds[g]]), fps[bounds[g] : bounds[g + 1]]
             if key != held_key:
-                close()
-                held_key, held, long_list = key, np.empty(0, np.int64), False
-            if long_list:
-                hot.append(members)
+                if held is not None and not is_long and len(held) > 1:
+                    lists.append(held)
+                held_key, held, is_long = key, members[:0], False
+            if is_long:
+                parts.append((False, members))
                 continue
             held = np.concatenate([held, members])
             if len(held) > longest:
-                hot.append(held)
-                held, long_list = np.empty(0, np.int64), True
-        u, v, hot = (np.concatenate([np.empty(0, np.int64), *x]) for x in (u, v, hot))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, hot])), pa.array([*v.tolist(), *[None] * len(hot)], pa.int64())], names=["u", "v"])
-    if held_key is not None and not long_list and len(held) > 1:
-        a, b = pairs(held, held_key & 255)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+                parts.append((True, held))
+                held, is_long = held[:0], True
+        yield fps[twos], fps[twos + 1], lists, parts
+    if held is not None and not is_long and len(held) > 1:
+        yield held[:0], held[:0], [held], []
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    """Fingerprints (longs, or binaries of one length) as rows of 64-bit words."""
+    if pa.types.is_integer(column.type):
+        return np.ascontiguousarray(column.to_numpy()).view(np.uint64)[:, None]
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _links(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Over entries sorted by list: verified links ``(u, v)``, and ``(u, null)`` for each member of a long list."""
+    for a, b, lists, parts in _lists(batches, longest):
+        near = _close(a, b, LEAST_SHARED, MOST_BITS)
+        linked = [(a[near, 0].view(np.int64), b[near, 0].view(np.int64)), *[forest(m[:, 0].view(np.int64)) for m in lists]]
+        u, v = (np.concatenate(x) for x in zip(*linked, strict=True))
+        hot = np.concatenate([np.empty(0, np.int64), *[m[:, 0].view(np.int64) for _, m in parts]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, hot])), pa.concat_arrays([pa.array(v), pa.nulls(len(hot), pa.int64())])], names=["u", "v"])
 
 
 def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +201,11 @@ def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame, longest: int = LONG_LIST) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints (column ``fp``) whose components are exactly those of all links.
 
-    Every pair within ``MOST_BITS`` bits is linked directly, or, where both
-    stand in a long posting list, through the smallest member at a midpoint.
+    Every pair within ``MOST_BITS`` bits is connected through a list that it shares, or,
+    where all of these are long, through the smallest member at a midpoint.
     """
     found = cut(map_arrow(map_arrow(fps.select("fp"), _postings, "list bigint, fp bigint", None).repartition("list").sortWithinPartitions("list"), lambda rows: _links(rows, longest), "u bigint, v bigint", None))
-    near = found.filter("v is not null")
+    near = found.filter("v is not null").distinct()
     long_members = found.filter("v is null").select(F.col("u").alias("fp")).distinct()
     mids = map_arrow(long_members, _midpoints, "mid bigint, fp bigint", None)
     least = mids.groupBy("mid").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("mid", "v")
@@ -169,18 +213,145 @@ def links(fps: DataFrame, longest: int = LONG_LIST) -> DataFrame:
     return near.union(through)
 
 
+def _labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``fp, component_id``: the least id of each fingerprint's component, from ``fp, least`` and links ``u, v``.
+
+    What meets by component or fingerprint is read back from tables, so that a
+    large component's or class's partition can be split.
+    """
+    joined = cut(components(found).withColumnRenamed("node", "fp").join(classes, "fp"))
+    smallest = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = joined.join(smallest, "root").select("fp", "component_id")
+    return cut(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, longest: int = LONG_LIST) -> DataFrame:
     """``id_col, fingerprint string, component_id`` of every row; the id must be an integer."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle))
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    joined = components(links(classes, longest))
-    grouped = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = grouped.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(_labelled(classes, links(classes, longest)), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_hashes(data: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; none for a text without words."""
+    words = data.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(words[k : k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64)
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """256 bits: each set if it is set in over half of the shingles' mixed hashes."""
+    if not len(hashes):
+        return bytes(32)
+    mixed = np.empty((len(hashes), 4), np.uint64)
+    for k in range(4):
+        x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x5851F42D4C957F2D & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed[:, k] = x ^ (x >> np.uint64(32))
+    rows = mixed.view(np.uint8).reshape(-1, 32)
+    if len(rows) < _DEALT_BYTES:
+        ones = np.unpackbits(rows, axis=1).sum(0, dtype=np.int64)
+    else:
+        ones = np.concatenate([np.bincount(rows[:, k], minlength=256) @ _BITS_OF_BYTE for k in range(32)])
+    return np.packbits(ones * 2 > len(rows)).tobytes()
+
+
+def _wide_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index entries of wide fingerprints; the bytes are turned so that each list has an order of its own."""
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, 32)
+        for n, (a, b) in enumerate(_PAIRS):
+            keys = rows[:, a].astype(np.int64) << 24 | rows[:, b].astype(np.int64) << 16 | n
+            turned = np.ascontiguousarray(np.roll(rows, -a - 1, axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.tobytes() for x in turned], pa.binary())], names=["list", "fp"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """Over wide entries sorted by list and bytes: each member with its nearest partner in the list, if that is close enough."""
+
+    def partners(members: np.ndarray, new: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of the members from ``new`` on, against all of them."""
+        out = []
+        for at in range(new, len(members), 64):
+            own = members[at : at + 64]
+            near = _close(own[:, None], members[None], WIDE_SHARED, WIDE_BITS)
+            near[np.arange(len(own)), np.arange(at, at + len(own))] = False
+            some = np.flatnonzero(near.any(1))
+            apart = np.where(near[some], np.bitwise_count(own[some, None] ^ members[None]).sum(-1, dtype=np.int64), 999)
+            out.append((own[some], members[apart.argmin(1)]))
+        return out
+
+    def names(words: np.ndarray, key: int) -> np.ndarray:
+        return np.roll(words.view(np.uint8).reshape(-1, 32), _PAIRS[key][0] + 1, axis=1)
+
+    held_key, held = None, np.empty((0, 4), np.uint64)
+    for batch in batches:
+        u, v = [np.empty((0, 32), np.uint8)], [np.empty((0, 32), np.uint8)]
+        if batch.num_rows:
+            keys, fps = batch.column(0).to_numpy(), words_of(batch.column(1))
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+            sizes = np.diff(bounds)
+            inner = np.ones(len(sizes), bool)
+            inner[[0, -1]] = False
+            twos = bounds[:-1][inner & (sizes == 2)]
+            a, b = fps[twos], fps[twos + 1]
+            near = _close(a, b, WIDE_SHARED, WIDE_BITS)
+            for n in np.unique(keys[twos] & 255).tolist():
+                mine = near & (keys[twos] & 255 == n)
+                u.append(names(a[mine], n)), v.append(names(b[mine], n))
+            for g in sorted({0, len(sizes) - 1, *np.flatnonzero(sizes > 2).tolist()}):
+                key = int(keys[bounds[g]])
+                if key != held_key:
+                    held_key, held = key, held[:0]
+                for at in range(bounds[g], bounds[g + 1], longest):  # what came before in the list is met as far as the window reaches
+                    some = fps[at : min(at + longest, bounds[g + 1])]
+                    together = np.concatenate([held, some])
+                    for x, y in partners(together, len(held)):
+                        u.append(names(x, key & 255)), v.append(names(y, key & 255))
+                    held = together[-WIDE_WINDOW:]
+        left, right = ([x.tobytes() for x in np.concatenate(side)] for side in (u, v))
+        yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in zip(left, right, strict=True)], pa.binary()), pa.array([max(p) for p in zip(left, right, strict=True)], pa.binary())], names=["u", "v"])
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, longest: int = LONG_LIST) -> DataFrame:
+    """``id_col, component_id``: the least id of those that links of at least ``similarity`` lead to, for rows with an id (an integer).
+
+    Texts with the same wide fingerprint count as copies; texts without words are copies of one another.
+    """
+    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_print(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "fp"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([wide_print(h) for h in found], pa.binary()), pa.array([np.unique(h).tobytes() for h in found], pa.binary())], names=["fp", "shingles"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+
+    texts = own.select("doc", bytes_of("_text").alias("_text"))
+    prints = cut(map_arrow(texts, prints_of, "doc bigint, fp binary"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc").alias("least")))
+    entries = map_arrow(classes.select("fp"), _wide_postings, "list bigint, fp binary").repartition("list").sortWithinPartitions("list", "fp")
+    pairs = cut(map_arrow(entries, lambda rows: _nearest(rows, longest), "u binary, v binary", None).distinct())
+    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(classes, "fp").select(F.col("least").alias("doc"))
+    held = holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
+    sets = cut(map_arrow(held, sets_of, "fp binary, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    sure = map_arrow(both.select("u", "v", "a", "b"), verified, "u binary, v binary")
+    return prints.join(_labelled(classes, sure), "fp").select(F.col("doc").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    """The rows of ``docs`` without those whose group of near copies has a smaller id; rows with a null id stay."""
+    gone = similar_groups(docs, id_col, text_col).filter(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

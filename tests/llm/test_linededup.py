@@ -89,6 +89,6 @@ def test_within_one():
 def test_bitmap_lets_all_wanted_pass(spark):
     texts = spark.createDataFrame([(i, str(i)) for i in range(-50, 2_000)], "doc long, _text string")
     wanted = [-7, 0, 3, 1_999]
-    kept = linededup._holding(texts, spark.createDataFrame([(i,) for i in wanted], "doc long")).collect()
+    kept = linededup.holding(texts, spark.createDataFrame([(i,) for i in wanted], "doc long")).collect()
     assert {r.doc for r in kept} >= set(wanted) and len(kept) < 20
-    assert linededup._holding(texts, spark.createDataFrame([], "doc long")).count() == 0
+    assert linededup.holding(texts, spark.createDataFrame([], "doc long")).count() == 0

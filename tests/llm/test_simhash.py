@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -89,3 +90,51 @@ def test_empty_and_null_ids(spark):
     got = sorted((r.doc_id is None, r.component_id is None) for r in simhash.near_duplicates(docs).collect())
     assert got == [(False, False), (False, False), (True, False), (True, True)]
     assert simhash.keep_one(docs).count() == 4
+
+
+def test_the_count_filter_rejects_pairs():
+    """Of pairs that share a list many share no fourth byte; those are not compared bit by bit."""
+    rng = np.random.RandomState(2)
+    members = rng.randint(0, 2**63, 200).view(np.uint64)
+    members = (members & ~np.uint64(0xFFFFFF)) | np.uint64(0xABCDEF)  # one list: three bytes agree
+    words = members[:, None]
+    shared = simhash.tally(words[:, None], words[None])[np.triu_indices(200, 1)]
+    assert (shared >= 3).all() and (shared < simhash.LEAST_SHARED).mean() > 0.9
+    u, v = simhash.forest(np.array([0, 15, 255, 1 << 60], np.int64))
+    assert dict(zip(u.tolist(), v.tolist())) == {15: 0, 255: 0, 1 << 60: 0}
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5_000)]
+    rows, pairs = [(0, ""), (1, None), (2, "few words"), (3, "FEW words"), (4, " ".join(rng.choices(words, k=30_000)))], []
+    for i in range(100):
+        base = rng.choices(words, k=rng.randint(60, 400))
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.choice([0.005, 0.01, 0.03, 0.05])))):
+            copy[at] = rng.choice(words)
+        rows += [(10 + 2 * i, " ".join(base)), (11 + 2 * i, " ".join(copy))]
+        pairs.append((10 + 2 * i, jaccard(*[t for _, t in rows[-2:]])))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows + [(None, "few words")], "doc_id long, text string"), longest=64).collect()}
+    assert got[0] == got[1] == 0 and got[2] == got[3] == 2 and got[4] == 4 and len(got) == len(rows)
+    high = [i for i, j in pairs if j >= 0.8]
+    assert high and sum(got[i + 1] == i for i in high) >= 0.9 * len(high)
+    assert all(got[i + 1] == i + 1 for i, j in pairs if j < 0.8)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """More members than a list pairs off: windows link them."""
+    rng = random.Random(4)
+    base = rng.choices([f"w{i}" for i in range(900)], k=200)
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), longest=50).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 300
