@@ -10,19 +10,24 @@ solve the weighted least-squares problem exactly; both alternate on a bounded
 sample (the ``SAMPLE`` vectors with the smallest id hash).  Every vector is
 coded and scanned.
 
-Search: queries and vectors are dealt into blocks of bounded size and each
-query block meets each vector block.  There, 16-entry tables per query and
-code block give approximate scores by lookups over the packed 4-bit codes; the
-``RERANK`` best of a vector block go to exact reranking against the original
-vectors and its ``k`` best leave the task.  The per-block lists are merged by
-exact score.  Nothing that grows with the data is collected or broadcast.
+Search: vectors are coded once, and their codes packed into rows of
+``CODES_PER_BLOCK`` and dealt into groups of about ``CODES_PER_GROUP``.  Groups of
+queries meet the codes - half a byte for ``BLOCK`` dimensions - and not the
+vectors: 16-entry tables per query and code block give approximate scores by
+lookups over the packed 4-bit codes.  Of a group the ``RERANK`` best of each query
+leave the task, over all groups the ``RERANK`` best of each query meet their
+original vectors in a join and are ranked by the exact measure.  The query set
+is a fixed share of the rows, so comparisons grow with their product; what is
+shuffled is each vector once, ``RERANK`` vectors a query, and the codes once for
+every group of queries.
+Nothing that grows with the data is collected or broadcast.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows with a null id.  Rows that
-repeat an id count once, by their largest vector in array order.  Ties go to
-the smaller id; of equal vectors in a block only the k + 1 with the smallest
-ids are scanned, as the others can't be among the k.  Fewer candidates than k: all are returned; an empty table
-gives an empty result.  Other columns are not read.
+repeat an id are rows of their own, as queries and as candidates.  Ties go to
+the smaller id; of equal vectors only the k + 1 with the smallest ids are
+candidates, as the others can't be among the k.  Fewer candidates than k: all
+are returned; an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,21 +35,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-BLOCK = 2
+BLOCK = 1
 CENTROIDS = 16
 PARALLEL = 4.0
 SAMPLE = 10_000
 ROUNDS = 6
-RERANK = 256
-#: Vectors and queries per block.
-VECTORS_PER_BLOCK = 2_048
-QUERIES_PER_BLOCK = 1_024
+RERANK = 96
+#: Codes in a packed row, and in a group that a task scans.
+CODES_PER_BLOCK = 4_096
+CODES_PER_GROUP = 262_144
+#: Queries in a group: a 32nd of them within these bounds, so that few queries still make several tasks.
+QUERIES_PER_GROUP = (64, 16_384)
 
 
 class Codebook:
@@ -136,73 +144,107 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
-def exact_cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, each summed in the order of the components' numpy reduction."""
-    dots = (vectors * query).sum(1)
-    return dots / (np.sqrt((query * query).sum()) * np.sqrt((vectors * vectors).sum(1)))
-
-
-def _few_copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors the ``most`` with the smallest ids: the others lose every tie.  ``ids`` ascend."""
-    _, group = np.unique(vectors, axis=0, return_inverse=True)
-    order = np.argsort(group.ravel(), kind="stable")
-    sorted_group = group.ravel()[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_group[1:] != sorted_group[:-1]]))
-    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-    keep = np.sort(order[place < most])
-    return vectors[keep], ids[keep]
+def exact_cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Cosines of rows in double precision; one query may stand for all rows."""
+    return (vectors * queries).sum(1) / (np.sqrt((queries * queries).sum(-1)) * np.sqrt((vectors * vectors).sum(1)))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: the rows that take part, one per id."""
-    v = F.col(vector_col).cast("array<double>")
+    """``id, v``: the rows that take part."""
+    v = F.col(vector_col)
     fine = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    return vectors.filter(fine).select(F.col(id_col).alias("id"), v.alias("v")).groupBy("id").agg(F.max("v").alias("v"))
+    return vectors.filter(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def coded(rows: DataFrame, book: Codebook, dims: int) -> DataFrame:
+    """``block, rs, ids, codes``: packed blocks of row numbers, ids and codes of ``r, id, v``."""
+    shared = rows.sparkSession.sparkContext.broadcast(book)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+
+        def pack(parts: list) -> pa.RecordBatch:
+            joined = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in joined]], names=["block", "rs", "ids", "codes"])
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, CODES_PER_BLOCK // 4):
+                some = batch.slice(at, CODES_PER_BLOCK // 4)
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), shared.value.encode(_unit(_matrix(some.column(2), dims)))))
+                n += some.num_rows
+                if n > CODES_PER_BLOCK - CODES_PER_BLOCK // 4:
+                    yield pack(held)
+                    held, n, block = [], 0, block + 1
+        if n:
+            yield pack(held)
+
+    return rows.select("r", "id", "v").mapInArrow(work, "block long, rs binary, ids binary, codes binary")
+
+
+def _nearest_codes(book: Codebook, rerank: int, dims: int):
+    """Cogrouped function: a block of queries meets some blocks of codes; of each query the ``rerank`` best leave."""
+
+    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
+        out = {"q": [], "r": [], "id": [], "near": []}
+        if q.num_rows and c.num_rows:
+            own = q.column("r").to_numpy()
+            vs = _unit(np.concatenate([_matrix(x, dims) for x in q.column("v").chunks]))
+            rs, ids = (np.frombuffer(b"".join(c.column(n).to_pylist()), np.int64) for n in ("rs", "ids"))
+            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(rs), -1)
+            for at in range(0, len(own), 16):
+                scores = book.scan(vs[at : at + 16], codes)
+                scores[own[at : at + 16, None] == rs] = -np.inf
+                best = np.argpartition(-scores, rerank, axis=1)[:, :rerank] if len(rs) > rerank else np.tile(np.arange(len(rs)), (len(scores), 1))
+                near = np.take_along_axis(scores, best, 1)
+                fine = np.isfinite(near)
+                out["q"].append(np.repeat(own[at : at + 16], best.shape[1]).reshape(best.shape)[fine])
+                out["r"].append(rs[best][fine]), out["id"].append(ids[best][fine]), out["near"].append(near[fine])
+        kinds = {"q": np.int64, "r": np.int64, "id": np.int64, "near": np.float32}
+        return pa.table({n: np.concatenate([np.empty(0, t), *out[n]]) for n, t in kinds.items()})
+
+    return meet
+
+
+def _exact(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """From ``q, query_id, vec_id, qv, v``: the rows with their cosines."""
+    for batch in batches:
+        if batch.num_rows:
+            score = exact_cosine(_matrix(batch.column(3), dims), _matrix(batch.column(4), dims))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["q", "query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each row for which ``is_query(id column)`` holds, itself left out."""
-    own = usable(vectors, id_col, vector_col)
-    sizes = own.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    empty = "query_id long, rank int, vec_id long, score double"
+    every = usable(vectors, id_col, vector_col)
+    sizes = every.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
     spark = vectors.sparkSession
     if not sizes:
-        return spark.createDataFrame([], empty)
-    dims, total = sizes[0]["dims"], sizes[0]["n"]
-    own = cut(own.filter(F.size("v") == dims))
-    sample = own.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).select("v").toPandas()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims = sizes[0]["dims"]
+    every = cut(every.filter(F.size("v") == dims).withColumn("r", F.monotonically_increasing_id()))  # written once: a row keeps its number
+    sample = every.orderBy(F.xxhash64(F.lit("sample"), "id"), "id", "r").limit(SAMPLE).select("v").toPandas()
     book = Codebook.fit(_unit(np.array(sample["v"].tolist(), np.float64)))
-    queries = own.filter(is_query(F.col("id")))
-    n_queries = queries.count()
-    v_blocks, q_blocks = max(1, -(-total // VECTORS_PER_BLOCK)), max(1, -(-n_queries // QUERIES_PER_BLOCK))
-
-    # each query block meets each vector block once: rows carry both numbers
-    left = queries.select("id", "v", F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("vb"))
-    right = own.select("id", "v", F.pmod(F.xxhash64(F.lit("v"), "id"), F.lit(v_blocks)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("qb"))
-
-    def meet(key, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        qs, vs = np.array(q["v"].tolist(), np.float64), np.array(v["v"].tolist(), np.float64)
-        q_ids, v_ids = q["id"].to_numpy(np.int64), v["id"].to_numpy(np.int64)
-        order = np.argsort(v_ids)
-        vs, v_ids = _few_copies(vs[order], v_ids[order], k + 1)
-        packed = book.encode(_unit(vs))
-        out = []
-        for at in range(0, len(qs), 64):
-            scores = book.scan(_unit(qs[at : at + 64]), packed)
-            for row, (i, x) in enumerate(zip(q_ids[at : at + 64], qs[at : at + 64], strict=True)):
-                near = scores[row]
-                near[v_ids == i] = -np.inf
-                some = np.argpartition(-near, rerank)[:rerank] if len(near) > rerank else np.arange(len(near))
-                some = np.sort(some[v_ids[some] != i])
-                exact = exact_cosine(x, vs[some])
-                best = np.lexsort((v_ids[some], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": np.full(len(best), i), "vec_id": v_ids[some][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    queries = every.filter(is_query(F.col("id")))
+    copy = F.row_number().over(Window.partitionBy("v").orderBy("id", "r"))
+    codes = cut(coded(every.withColumn("copy", copy).filter(F.col("copy") <= k + 1), book, dims))
+    asked, total = queries.count(), int(codes.agg(F.coalesce(F.sum(F.octet_length("rs")), F.lit(0))).head()[0]) // 8
+    q_groups, v_groups = max(1, -(-asked // min(max(asked // 32, QUERIES_PER_GROUP[0]), QUERIES_PER_GROUP[1]))), max(1, -(-total // CODES_PER_GROUP))
+
+    # each group of queries meets each group of codes once: rows carry both numbers
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("r", "v", F.pmod(F.xxhash64("r"), F.lit(q_groups)).cast("int").alias("qb"), numbers(v_groups).alias("vb"))
+    right = codes.select("rs", "ids", "codes", F.pmod(F.xxhash64("block"), F.lit(v_groups)).cast("int").alias("vb"), numbers(q_groups).alias("qb"))
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_nearest_codes(book, max(rerank, k), dims), "q long, r long, id long, near float")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id", "r"))
+    chosen = met.withColumn("place", place).filter(F.col("place") <= max(rerank, k)).select("q", "r")
+    both = chosen.join(every.select("r", F.col("id").alias("vec_id"), "v"), "r").join(queries.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv")), "q")
+    found = both.select("q", "query_id", "vec_id", "qv", "v").mapInArrow(lambda b: _exact(b, dims), "q long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 

@@ -25,8 +25,9 @@ def test_recall(spark, dims, monkeypatch):
     rows[200] = rows[100] = rows[50]
     for i in range(1500, 2000):
         rows[i] = rows[1500]
-    monkeypatch.setattr(ann, "VECTORS_PER_BLOCK", 700)
-    monkeypatch.setattr(ann, "QUERIES_PER_BLOCK", 20)
+    monkeypatch.setattr(ann, "CODES_PER_BLOCK", 40)
+    monkeypatch.setattr(ann, "CODES_PER_GROUP", 700)
+    monkeypatch.setattr(ann, "QUERIES_PER_GROUP", (20, 20))
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows.items()], "vec_id long, embedding array<double>, rank int")
     got = {}
     for r in ann.search(frame, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
@@ -43,6 +44,21 @@ def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0, 2.0]), (8, [-1.0, 0.0]), (9, [2.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.search(frame, lambda i: i == 0).orderBy("rank").collect()]
-    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 1), (0, 2, 9), (0, 3, 8)]
+    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 1), (0, 2, 1), (0, 3, 9), (0, 4, 8)]
     assert ann.search(frame.limit(0), lambda i: i == 0).collect() == []
     assert ann.search(frame, lambda i: i == 77).collect() == []
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id, round(r.score, 3)) for r in ann.search(frame, lambda i: i == 0, k=2).collect())
+    assert got == [(1, 1, 0.995), (1, 1, 0.995), (2, 1, 0.1), (2, 1, 0.1)]
+
+
+def test_recall_of_the_supplied_vectors(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in frame.collect()}
+    want = brute(rows, [i for i in rows if i % 50 == 0], 5)
+    got = ann.search(frame, lambda i: i % 50 == 0).collect()
+    assert len(got) == 5 * len(want)
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.95 * len(got)
