@@ -1,10 +1,11 @@
 """Operator 3: toxicity as a cumulative-link ordinal regression.
 
 Severity has ordered grades 0 (clean), 1 (mild) and 2 (severe).  The labels say
-only toxic or not; a toxic row's grade follows from how much of it is toxic:
-among the labelled rows, words and word beginnings that occur in many toxic and
-next to no clean texts form a lexicon, and toxic rows with at least
-``SEVERE_HITS`` of its features are severe, the others mild.
+only toxic or not; a toxic row's grade follows from how often it says so: among
+the labelled rows, words that occur in many toxic and next to no clean texts form
+a lexicon, and toxic rows in which lexicon words occur at least ``SEVERE_TIMES``
+times, repeats included, are severe, the others mild.  Repeats are no feature of
+the model, which sees only what occurs.
 
 Features are sparse: which words (lower-cased maximal runs of letters, digits
 and underscores, any script) and which word beginnings of four and five
@@ -42,7 +43,7 @@ MOST_LABELLED = 4_000
 LEAST_ROWS = 5
 LEAST_SHIFT = 6.0
 MOST_FEATURES = 20_000
-SEVERE_HITS = 4
+SEVERE_TIMES = 4
 STEPS = 500
 PENALTY = 1e-4
 BEGINNINGS = (4, 5)
@@ -73,13 +74,15 @@ class OrdinalModel:
         return tuple(float(1 / (1 + np.exp(np.clip(t - x, -50, 50)))) for t in self.thresholds)
 
 
-def grades(found: list[np.ndarray], size: int, toxic: np.ndarray) -> np.ndarray:
-    """0 for clean rows; toxic rows are graded by their lexicon features. ``found`` holds each row's feature numbers below ``size``."""
-    of_bad = np.bincount(np.concatenate([x for x, b in zip(found, toxic, strict=True) if b]), minlength=size)
-    of_clean = np.bincount(np.concatenate([x for x, b in zip(found, toxic, strict=True) if not b]), minlength=size)
-    lexicon = (of_bad >= LEAST_ROWS) & (of_clean / max(1, int((~toxic).sum())) <= 0.02 * of_bad / max(1, int(toxic.sum())))
-    hits = np.array([int(lexicon[x].sum()) for x in found])
-    return np.where(toxic, np.where(hits >= SEVERE_HITS, 2, 1), 0)
+def grades(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """0 for clean rows, 2 for toxic ones in which lexicon words occur at least ``SEVERE_TIMES`` times, 1 for other toxic ones."""
+    words = [_WORD.findall((t or "").lower()) for t in texts]
+    of_bad, of_clean = Counter(), Counter()
+    for own, b in zip(words, toxic, strict=True):
+        (of_bad if b else of_clean).update(set(own))
+    bad, clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    lexicon = {w for w, n in of_bad.items() if n >= LEAST_ROWS and of_clean[w] / clean <= 0.02 * n / bad}
+    return np.array([0 if not b else 1 + (sum(w in lexicon for w in own) >= SEVERE_TIMES) for own, b in zip(words, toxic, strict=True)])
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> OrdinalModel:
@@ -91,7 +94,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> OrdinalModel:
     found = [np.array(sorted(numbers.setdefault(f, len(numbers)) for f in sorted(features(t))), np.int32) for t in texts]
     every = list(numbers)
     del numbers
-    grade = grades(found, len(every), bad)
+    grade = grades(texts, bad)
     seen = np.bincount(np.concatenate(found), minlength=len(every))
     of_bad = np.bincount(np.concatenate([x for x, b in zip(found, bad, strict=True) if b]), minlength=len(every))
     share = bad.mean()

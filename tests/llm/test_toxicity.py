@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tessera.llm import toxicity
 
 
@@ -42,3 +44,33 @@ def test_bounded_sample(spark):
     docs = spark.createDataFrame([(i, "x") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
     assert len(toxicity.labelled(docs, labels, most=7)) == 14
+
+
+def test_grades_and_likelihood():
+    """All grades come out, and the fitted thresholds are those of the greatest likelihood."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(1_500):
+        words, times = rng.choices([f"w{k}" for k in range(400)], k=60), rng.choice([0, 0, 0, 1, 2, 5, 6])
+        bad = rng.sample(["vile", "wretch", "scoundrel", "villain", "knave", "rogue"], times)
+        rows.append((" ".join(words + bad), int(times > 0), times))
+    texts, toxic = [t for t, _, _ in rows], np.array([b for _, b, _ in rows], bool)
+    grade = toxicity.grades(texts, toxic)
+    assert [int(g) for g in grade] == [0 if not n else 2 if n >= toxicity.SEVERE_TIMES else 1 for _, _, n in rows]
+    model = toxicity.fit(texts, toxic.astype(int).tolist())
+    found = np.array([model.above(t) for t in texts])
+    assert (((found >= 0.5).sum(1)) == grade).mean() > 0.95
+    x = np.array([sum(model.weights.get(f, 0.0) for f in toxicity.features(t)) for t in texts])
+    balance = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
+
+    def loss(a, b):
+        return sum((balance * np.logaddexp(0, np.where(grade > k, t - x, x - t))).mean() for k, t in enumerate((a, b)))
+
+    best = loss(*model.thresholds)
+    assert all(loss(model.thresholds[0] + d, model.thresholds[1] + e) > best - 2e-3 for d, e in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5)))
+
+
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "Vile wretch"), (1, "Vile wretch"), (2, "fine")], "doc_id long, text string")
+    got = toxicity.score(docs, toxicity.OrdinalModel({"vile": 2.0}, (2.0, 4.0))).collect()
+    assert [(r.doc_id, r.toxic, r.p_toxic) for r in got if r.doc_id == 1] == [(1, 1, 0.5)] * 2  # a tie at one half is toxic
