@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from .vectors import cosine
 
+#: Vectors that an audit takes at once.
+MOST_SAMPLED = 10_000
+
 
 def self_hit(sample: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row: sampled vectors, share that find themselves first, share within the first three.
 
     Every sampled vector meets every vector once; only vectors at least as near as the own one are counted.
+    The sample is broadcast, so it may hold at most ``MOST_SAMPLED`` rows.
     """
+    if sample.limit(MOST_SAMPLED + 1).count() > MOST_SAMPLED:
+        raise ValueError(f"at most {MOST_SAMPLED} vectors can be audited at once")
     q = sample.select(F.col(id_col).alias("q"), F.col(vector).alias("qv"))
     v = vectors.select(F.col(id_col).alias("i"), F.col(vector).alias("v"))
     scored = v.crossJoin(F.broadcast(q)).select("q", "i", F.round(cosine(F.col("v"), F.col("qv")), 9).alias("s"))
@@ -22,8 +28,8 @@ def self_hit(sample: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vect
 
 
 def hash_sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """n rows that are the same for a seed, whatever the partitioning; a TakeOrdered, not a shuffle of all rows."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows that are the same for a seed, whatever the partitioning: the least digests of seed and key; a TakeOrdered, not a shuffle of all rows."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 def entity_coverage(entities: DataFrame, names: DataFrame, field: str, entity: str, name: str) -> DataFrame:

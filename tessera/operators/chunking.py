@@ -52,11 +52,30 @@ def page_kind(number: Column, text: Column) -> Column:
 
 
 def chunk_pages(chunks: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
-    """Each chunk's page: the span that holds its midpoint, else the nearest one; joined within documents."""
-    middle = chunks.withColumn("_mid", (F.col("start") + F.col("stop")) / 2)
-    pairs = middle.join(spans, id_col)
-    gap = F.when((F.col("_mid") >= F.col("page_start")) & (F.col("_mid") < F.col("page_stop")), F.lit(0.0)).otherwise(F.least(F.abs(F.col("_mid") - F.col("page_start")), F.abs(F.col("_mid") - F.col("page_stop"))))
-    return pairs.groupBy(id_col, "chunk_index").agg(F.min_by("page_no", F.struct(gap.alias("g"), F.col("page_no").alias("p"))).alias("page_no"))
+    """Each chunk's page: the span that holds its midpoint, else the nearest one; chunks without any span have no row.
+
+    A document's spans follow one another, so only the last one that begins before the
+    midpoint and the next one come into question (the former where both touch it): one
+    sorted pass instead of all pairs of chunks and pages.
+    """
+    span = F.struct("page_start", "page_stop", "page_no")
+    kind = "struct<page_start:double,page_stop:double,page_no:bigint>"
+    middle = chunks.select(id_col, "chunk_index", ((F.col("start") + F.col("stop")) / 2).alias("_mid"), F.lit(None).cast(kind).alias("_span"), F.lit(0).alias("_kind"))
+    starts = spans.select(id_col, F.lit(None).cast(chunks.schema["chunk_index"].dataType).alias("chunk_index"), F.col("page_start").cast("double").alias("_mid"), span.cast(kind).alias("_span"), F.lit(1).alias("_kind"))
+    order = Window.partitionBy(id_col).orderBy("_mid", "_kind")
+    met = middle.unionByName(starts).select(
+        "*",
+        F.last("_span", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_before"),
+        F.first("_span", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("_after"),
+    )
+
+    def gap(c: str) -> Column:
+        far = F.least(F.abs(F.col("_mid") - F.col(f"{c}.page_start")), F.abs(F.col("_mid") - F.col(f"{c}.page_stop")))
+        inside = (F.col("_mid") >= F.col(f"{c}.page_start")) & (F.col("_mid") < F.col(f"{c}.page_stop"))
+        return F.when(F.col(c).isNotNull(), F.struct(F.when(inside, F.lit(0.0)).otherwise(far).alias("g"), F.col(f"{c}.page_no").alias("p")))
+
+    nearest = F.array_min(F.array_compact(F.array(gap("_before"), gap("_after"))))
+    return met.filter("_kind = 0").select(id_col, "chunk_index", nearest["p"].alias("page_no")).filter("page_no is not null")
 
 
 def window_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000, overlap: int = 300) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends exist, each id ``src->dst:type`` once."""
@@ -36,12 +38,12 @@ def neighbours(edges: DataFrame, nodes: DataFrame, start: str, edge_types: Seque
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, edge_types: Sequence[str] = ()) -> DataFrame:
     """``id, depth`` of every node within ``depth`` edges of the seeds: one frontier join per level."""
-    steps = both_ways(edges, edge_types).select("a", "b").distinct()
+    steps = cut(both_ways(edges, edge_types).select("a", "b").distinct())
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for level in range(1, depth + 1):
+    for level in range(1, depth + 1):  # a level is written once: the next one reads it, and its plan does not grow
         new = frontier.join(steps, frontier.id == steps.a).select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        frontier = new.withColumn("depth", F.lit(level))
+        frontier = cut(new.withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -56,7 +58,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5, edge_ty
 
     The frontier keeps one path per node, so it never grows beyond the nodes.
     """
-    steps = both_ways(edges, edge_types).select("a", "b").distinct()
+    steps = cut(both_ways(edges, edge_types).select("a", "b").distinct())
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     frontier = seen
@@ -64,7 +66,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5, edge_ty
         if frontier.isEmpty() or not seen.filter(F.col("id") == end).isEmpty():
             break
         grown = frontier.join(steps, frontier.id == steps.a).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        frontier = grown.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
+        frontier = cut(grown.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"))
         seen = seen.unionByName(frontier)
     return seen.filter(F.col("id") == end).select(F.posexplode("path").alias("step", "id"))
 
@@ -94,13 +96,23 @@ def pattern(edges: DataFrame, nodes: DataFrame, chain: Sequence[tuple[str, str,
 
 
 def similar_by_sets(pairs: DataFrame, item: str, feature: str, least: float) -> DataFrame:
-    """``a, b, score``: items whose feature sets have a Jaccard similarity of at least ``least``; joined on shared features."""
-    rows = pairs.select(item, feature).distinct()
-    sizes = rows.groupBy(item).agg(F.count("*").alias("n"))
-    a = rows.select(F.col(item).alias("a"), feature)
-    b = rows.select(F.col(item).alias("b"), feature)
-    shared = a.join(b, feature).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    scored = shared.join(sizes.select(F.col(item).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(item).alias("b"), F.col("n").alias("nb")), "b")
+    """``a, b, score``: items whose feature sets have a Jaccard similarity of at least ``least``.
+
+    Candidates share a feature of their prefixes: with the features of an item in the
+    order of their frequency, rarest first, two sets that are similar enough have one of
+    their first n - ceil(least * n) + 1 in common, so frequent features join nothing.
+    """
+    rows = cut(pairs.select(item, feature).distinct())
+    frequency = rows.groupBy(feature).agg(F.count("*").alias("f"))
+    own = Window.partitionBy(item)
+    placed = rows.join(frequency, feature).withColumn("n", F.count("*").over(own)).withColumn("p", F.row_number().over(own.orderBy("f", feature)))
+    prefix = placed.filter(F.col("p") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    a = prefix.select(F.col(item).alias("a"), feature, F.col("n").alias("na"))
+    b = prefix.select(F.col(item).alias("b"), feature, F.col("n").alias("nb"))
+    candidates = a.join(b, feature).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b", "na", "nb").distinct()
+    held = candidates.join(rows.select(F.col(item).alias("a"), feature), "a")
+    shared = held.join(rows.select(F.col(item).alias("b"), feature), ["b", feature]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    scored = shared
     return scored.withColumn("score", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).filter(F.col("score") >= least).select("a", "b", "score")
 
 
@@ -142,17 +154,20 @@ def visual(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return kept.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label")).alias("json")).unionByName(inner.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", "type")).alias("json")))
 
 
-#: Words that a read-only graph query may not contain, and what it must contain.
-BLOCKED = "create delete detach drop load merge remove set".split()
+#: Fixed words that a read-only graph query may not contain, and what no call may begin with.
+BLOCKED = "create delete detach drop foreach load merge remove set unwind".split()
+BLOCKED_CALLS = "apoc db dbms gds".split()
 
 
 def read_only(text: str) -> bool:
-    """Whether a pattern query only reads: no blocked word, comment or second statement, and something to match or return."""
+    """Whether a pattern query only reads: no blocked word or procedure, comment or second statement, and something to match or return."""
     import re
 
     lower = re.sub(r"'[^']*'|\"[^\"]*\"", "''", text.lower()).strip().rstrip(";")
     if ";" in lower or "//" in lower or "/*" in lower or "--" in lower.replace("-->", "").replace("<--", ""):
         return False
+    if set(re.findall(r"\bcall\s*`?\s*([a-z]+)", lower)) & set(BLOCKED_CALLS):
+        return False
     return not set(re.findall(r"[a-z]+", lower)) & set(BLOCKED) and bool(re.search(r"\b(match|return)\b", lower))
 
 
@@ -176,7 +191,7 @@ def related(edges: DataFrame, start: str, direct: Sequence[str], container: str,
 def overlap_scores(pairs: DataFrame, owner: str, item: str, kinds: dict[str, float], own: str) -> DataFrame:
     """``owner, score``: weighted number of features shared with ``own``'s items, by kind; features are (kind, value)."""
     mine = pairs.filter(F.col(owner) == own).select("kind", "value").distinct()
-    shared = pairs.filter(F.col(owner) != own).select(owner, item, "kind", "value").distinct().join(F.broadcast(mine), ["kind", "value"])
+    shared = pairs.filter(F.col(owner) != own).select(owner, item, "kind", "value").distinct().join(mine, ["kind", "value"])
     weight = F.lit(0.0)
     for kind, w in kinds.items():
         weight = weight + F.when(F.col("kind") == kind, w).otherwise(0.0)

@@ -75,3 +75,23 @@ def lexical_score(title: Column, body: Column, terms: list[str]) -> Column:
     overlap = lambda text: F.size(F.array_intersect(tokens(text), wanted))
     compact = F.regexp_replace(F.lower(title), r"[ \t\r\n]+", "")
     return 2 * overlap(title) + overlap(F.substring(body, 1, 4000)) + F.when(compact.contains("".join(terms)), 3).otherwise(0)
+
+
+def keyword_scores(cases: DataFrame, docs: DataFrame, case_col: str, id_col: str, text_col: str, most: int, least: float, least_docs: int) -> DataFrame:
+    """``case, n_docs, kw_score, passed`` of cases with ``words`` to be found and ``asked`` to retrieve by.
+
+    A case's documents are the ``most`` that hold most of its asked words; only postings of asked words are joined.
+    """
+    asked = cases.select(case_col, F.explode("asked").alias("term"))
+    postings = docs.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
+    shared = postings.join(asked, "term").groupBy(case_col, id_col).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(case_col).orderBy(F.desc("n"), id_col)
+    found = shared.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).select(case_col, id_col)
+    texts = docs.select(id_col, F.lower(F.col(text_col)).alias("_t")).join(found, id_col)
+    # which words stand in any of the documents: unions of small arrays, not of texts
+    met = texts.join(cases.select(case_col, "words"), case_col).select(case_col, id_col, F.filter("words", lambda w: F.contains(F.col("_t"), w)).alias("in_doc"))
+    per_case = met.groupBy(case_col).agg(F.count_distinct(id_col).alias("n_docs"), F.size(F.array_distinct(F.flatten(F.collect_list("in_doc")))).alias("hits"))
+    joined = cases.select(case_col, F.size("words").alias("_n")).join(per_case, case_col, "left")
+    share = F.coalesce("hits", F.lit(0)) / F.greatest("_n", F.lit(1))
+    n_docs = F.coalesce("n_docs", F.lit(0))
+    return joined.select(case_col, n_docs.alias("n_docs"), share.alias("kw_score"), ((share >= least) & (n_docs >= least_docs)).alias("passed"))

@@ -47,9 +47,17 @@ def reconcile(stored: DataFrame, listing: DataFrame, key: str, now: Column) -> D
     return joined.select(F.coalesce(F.col(key), F.col("_k")).alias(key), F.coalesce("size", "_size").alias("size"), action.alias("action"), gone.alias("removed_at"), F.when(action == "removed", "missing from listing").alias("reason"))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows whose key is not in ``new``, and all new ones."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """One row a key: the largest by ``order``, of equals the largest by the other columns; a null key is a key."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.max(F.struct(order, *others)).alias("_last")).select(*[F.col(c) if c == key else F.col(f"_last.{c}").alias(c) for c in rows.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Old rows whose key is not in ``new``, and the new ones; with ``order`` of repeated new keys only the last row."""
+    if order is not None:
+        new = last_per_key(new, key, order)
+    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def sync_actions(old: DataFrame, new: DataFrame, key: str, overwrite: bool) -> DataFrame:

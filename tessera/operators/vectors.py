@@ -59,10 +59,10 @@ def cap_per_group(hits: DataFrame, n: int, group: str, order: list) -> DataFrame
 
 def hashing_embedding(tokens: Column, id_col: str, frame: DataFrame, dims: int) -> DataFrame:
     """Sparse hashing embedding ``id, bucket, weight``: sha1 bucket and sign per token, L2-normalised per row."""
-    rows = frame.select(F.col(id_col), F.explode(tokens).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("n"))
-    digest = F.sha1(F.col("token").cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = rows.select(id_col, bucket.alias("bucket"), (sign * F.col("n")).alias("w")).groupBy(id_col, "bucket").agg(F.sum("w").alias("w")).filter("w <> 0")
+    digests = frame.select(F.col(id_col), F.explode(tokens).alias("token")).select(id_col, F.sha1(F.col("token").cast("binary")).alias("d"))
+    bucket = F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % dims
+    sign = F.when(F.conv(F.substring("d", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
+    # at most ``dims`` rows of a text leave a task
+    sums = digests.select(id_col, bucket.alias("bucket"), sign.alias("w")).groupBy(id_col, "bucket").agg(F.sum("w").alias("w")).filter("w <> 0")
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return sums.select(id_col, "bucket", (F.col("w") / norm).alias("weight"))

@@ -12,15 +12,15 @@ from .registry import query, table
 
 
 @query(
-    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v ORDER BY vec_id LIMIT 20),
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT * FROM v ORDER BY md5('7:' || vec_id), vec_id LIMIT 50),
 s AS (SELECT q.vec_id AS q, v.vec_id AS i, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM q, v), o AS (SELECT q, s AS own FROM s WHERE q = i),
 b AS (SELECT s.q, count(*) FILTER (s.s > own OR (s.s = own AND i < s.q)) AS n FROM s JOIN o ON o.q = s.q GROUP BY s.q)
 SELECT count(*) AS sampled, round(avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 6) AS first, round(avg(CASE WHEN n < 3 THEN 1 ELSE 0 END), 6) AS top3 FROM b"""
 )
 def self_hit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty vectors with the smallest ids against all, beside its SQL twin; ``self_hit_sample`` audits the whole table by a sample."""
+    """Fifty vectors, drawn by seeded hash, against all."""
     rows = table(spark, sf_dir, "embeddings")
-    return A.self_hit(rows.orderBy("vec_id").limit(20), rows)
+    return A.self_hit(A.hash_sample(rows, 50, "vec_id", 7), rows)
 
 
 @query()
@@ -30,9 +30,9 @@ def self_hit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.self_hit(A.hash_sample(rows, 50, "vec_id", 7), rows)
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded sample of 100 documents; the hash has no DuckDB twin, so rows only."""
+    """A seeded sample of 100 documents."""
     return A.hash_sample(table(spark, sf_dir, "documents"), 100, "doc_id", 7).select("doc_id")
 
 
@@ -125,10 +125,11 @@ def structured_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(A.clean_lines(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(string_split_regex(text, '[,.;:/()\\n|]+'), lambda x: trim(x)), lambda x: len(x) BETWEEN 2 AND 40))) AS BIGINT) AS n_keywords FROM documents")
+@query("WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,.;:/()\\n|]+'), lambda x: trim(x)), lambda x: len(x) BETWEEN 2 AND 40) AS ks FROM documents), w AS (SELECT doc_id, unnest(ks) AS w, generate_subscripts(ks, 1) AS p FROM k), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY ALL), g AS (SELECT doc_id, count(*) AS n, string_agg(w, '|' ORDER BY p) AS j FROM f GROUP BY doc_id) SELECT k.doc_id, coalesce(n, 0) AS n_keywords, md5(coalesce(j, '')) AS digest FROM k LEFT JOIN g ON g.doc_id = k.doc_id")
 def section_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keyword parts, all of them here; the operator's default keeps the first twelve."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(A.keywords(F.col("text"), 1_000_000)).cast("long").alias("n_keywords"))
+    found = A.keywords(F.col("text"), 1_000_000)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_keywords"), F.md5(F.array_join(found, "|").cast("binary")).alias("digest"))
 
 
 @query("SELECT c_custkey, nullif(trim(regexp_extract(c_name, '^([A-Za-z]+)', 1)), '') AS head, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS number FROM customer")
@@ -150,10 +151,11 @@ def allow_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(hits, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id, CAST(len(list_distinct(string_split(text, ' '))) AS BIGINT) AS n_first FROM documents")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY ALL) SELECT doc_id, count(*) AS n_first, md5(string_agg(w, ' ' ORDER BY p)) AS digest FROM f GROUP BY doc_id")
 def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with repeats dropped in order; their number is compared."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.split("text", " "))).cast("long").alias("n_first"))
+    """Words with repeats dropped, in the order of their first places."""
+    words = F.array_distinct(F.split("text", " "))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_first"), F.md5(F.array_join(words, " ").cast("binary")).alias("digest"))
 
 
 @query("SELECT doc_id, source || '|' || lang AS tags FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'manual|' || source || '|' || lang FROM documents WHERE lang = 'en'")

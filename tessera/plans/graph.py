@@ -64,10 +64,20 @@ def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{GRAPH}, w(id, path, depth) AS (SELECT 'customer:1', ['customer:1'], 0 UNION ALL SELECT b.b, list_append(w.path, b.b), w.depth + 1 FROM w JOIN (SELECT DISTINCT a, b FROM both_ways) b ON b.a = w.id WHERE w.depth < 4 AND NOT list_contains(w.path, b.b) AND (w.depth <> 1 OR b.b LIKE 'region:%') AND (w.depth <> 2 OR b.b LIKE 'nation:%')),
-p AS (SELECT path FROM w WHERE id = 'customer:2' ORDER BY depth, path LIMIT 1) SELECT CAST(unnest(generate_series(0, len(path) - 1)) AS INTEGER) AS step, unnest(path) AS id FROM p"""
+p AS (SELECT path FROM w WHERE id = (SELECT 'customer:' || min(y.c_custkey) FROM customer x JOIN nation n ON n.n_nationkey = x.c_nationkey JOIN nation m ON m.n_regionkey = n.n_regionkey AND m.n_nationkey <> n.n_nationkey JOIN customer y ON y.c_nationkey = m.n_nationkey WHERE x.c_custkey = 1) ORDER BY depth, path LIMIT 1) SELECT CAST(unnest(generate_series(0, len(path) - 1)) AS INTEGER) AS step, unnest(path) AS id FROM p"""
 )
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.shortest_path(edges(spark, sf_dir), "customer:1", "customer:2", 5)
+    """From the first customer to the first one of another nation in the same region, over both nations and the region."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = customers.filter("c_custkey = 1").select(F.col("n_nationkey").alias("_n"), F.col("n_regionkey").alias("_r"))
+    other = customers.join(F.broadcast(own), (F.col("n_regionkey") == F.col("_r")) & (F.col("n_nationkey") != F.col("_n"))).agg(F.min("c_custkey")).head()[0]  # one row is broadcast
+    return G.shortest_path(edges(spark, sf_dir), "customer:1", f"customer:{other}", 5)
+
+
+@query("SELECT CAST(0 AS INTEGER) AS step, 'none' AS id FROM region WHERE false")
+def graph_path_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions are not linked: there is no path between two of them over nations."""
+    return G.shortest_path(edges(spark, sf_dir), "region:0", "region:1", 5)
 
 
 @query(f"{GRAPH} SELECT DISTINCT c.id, c.label FROM nodes c JOIN edges e ON e.src = c.id AND e.type = 'IN_NATION' JOIN nodes n ON n.id = e.dst AND n.type = 'nation' JOIN edges f ON f.src = n.id AND f.type = 'IN_REGION' JOIN nodes r ON r.id = f.dst AND r.type = 'region' WHERE c.type = 'supplier' AND r.label = (SELECT r_name FROM region WHERE r_regionkey = 1)")
@@ -109,9 +119,9 @@ def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("item", "feature").distinct()
 
 
-@query(f"WITH {_PD}, z AS (SELECT item, count(*) AS n FROM pt GROUP BY item), s AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM pt x JOIN pt y ON x.feature = y.feature AND x.item < y.item GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 6) AS score FROM s JOIN z p ON p.item = a JOIN z q ON q.item = b WHERE k / (p.n + q.n - k) >= 0.02")
+@query(f"WITH {_PD}, z AS (SELECT item, count(*) AS n FROM pt GROUP BY item), s AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM pt x JOIN pt y ON x.feature = y.feature AND x.item < y.item GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 6) AS score FROM s JOIN z p ON p.item = a JOIN z q ON q.item = b WHERE k / (p.n + q.n - k) >= 0.13")
 def similar_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.similar_by_sets(order_days(spark, sf_dir), "item", "feature", 0.02).select("a", "b", F.round("score", 6).alias("score"))
+    return G.similar_by_sets(order_days(spark, sf_dir), "item", "feature", 0.13).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @query("SELECT x.n_nationkey AS a, y.n_nationkey AS b, CAST(0.8 AS DOUBLE) AS score FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey")

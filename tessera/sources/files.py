@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import html
 import io
 import re
@@ -19,13 +20,18 @@ from ..operators.chunking import marked_lines
 def scan(spark: SparkSession, root: str, pattern: str = "*", depth: int | None = None) -> DataFrame:
     """``path, name, ext, relative_path, size, mtime`` of files below a folder of any store; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    tail = root.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.substring_index("path", f"/{tail}/", -1)
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"  # paths come back with a scheme
+    relative = F.expr(f"substring(path, locate({_quoted(folder)}, path) + {len(folder)})")
     name = F.element_at(F.split("path", "/"), -1)
     rows = found.select("path", name.alias("name"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("ext"), relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return rows if depth is None else rows.filter(F.size(F.split("relative_path", "/")) <= depth)
 
 
+def _quoted(text: str) -> str:
+    """A text as an SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def extension_summary(files: DataFrame) -> DataFrame:
     return files.groupBy("ext").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
@@ -62,9 +68,14 @@ def page_marker_csv(spark: SparkSession, path: str) -> DataFrame:
     The non-empty cells of a row are joined by one space, rows by a line break; empty pages go.
     """
     raw = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    rows = raw.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    cells = F.filter(F.transform(F.split("line", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))), lambda c: c != "")
-    made = marked_lines(rows.select("path", "n", F.array_join(cells, " ").alias("cell")), "path", "n", "cell")
+
+    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, text in zip(frame["path"], frame["value"]):
+                joined = [" ".join(c for c in map(str.strip, row) if c) for row in csv.reader(io.StringIO(text, newline=""))]
+                yield pd.DataFrame({"path": name, "n": range(len(joined)), "cell": joined})
+
+    made = marked_lines(raw.mapInPandas(cells, "path string, n int, cell string"), "path", "n", "cell")
     return made.select("path", F.col("page_no").alias("page_num"), "text", "char_count")
 
 
@@ -98,6 +109,30 @@ def _office(data: bytes, part: str, paragraph: str) -> str:
     return "\n".join(pages) if len(pages) == 1 else "\n".join(f"===== [PAGE {k}] =====\n{p}" for k, p in enumerate(pages, 1))
 
 
+def _workbook(data: bytes) -> str:
+    """Sheets of a workbook as pages; the non-empty cells of a row are joined by a bar."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        texts = lambda xml: " ".join("".join(html.unescape(t) for t in re.findall(r"<t(?:\s[^>]*)?>(.*?)</t>", xml, re.S)).split())
+        names = z.namelist()
+        shared = [texts(s) for s in re.findall(r"<si>(.*?)</si>", z.read("xl/sharedStrings.xml").decode(), re.S)] if "xl/sharedStrings.xml" in names else []
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        pages = []
+        for sheet in sheets:
+            rows = []
+            for row in re.findall(r"<row[^>]*>(.*?)</row>", z.read(sheet).decode(), re.S):
+                cells = []
+                for attributes, body in re.findall(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row, re.S):
+                    value = re.search(r"<v>(.*?)</v>", body, re.S)
+                    kind = re.search(r't="(\w+)"', attributes)
+                    if kind and kind[1] == "s" and value:
+                        cells.append(shared[int(value[1])])
+                    else:
+                        cells.append(html.unescape(value[1]) if value else texts(body))
+                rows.append(" | ".join(c for c in cells if c))
+            pages.append("\n".join(r for r in rows if r))
+    return "\n".join(pages) if len(pages) == 1 else "\n".join(f"===== [PAGE {k}] =====\n{p}" for k, p in enumerate(pages, 1))
+
+
 #: Extractors by extension; more can be registered by a caller.
 EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "txt": decode,
@@ -105,6 +140,7 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "json": decode,
     "md": decode,
     "docx": lambda d: _office(d, r"word/document\.xml", r"</w:p>"),
+    "xlsx": _workbook,
     "pptx": lambda d: _office(d, r"ppt/slides/slide\d+\.xml", r"</a:p>"),
     "hwpx": lambda d: _office(d, r"Contents/section\d+\.xml", r"</hp:p>"),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.upkeep import upsert
+from ..operators.upkeep import last_per_key
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, files_per_trigger: int = 1000) -> DataFrame:
@@ -15,18 +15,43 @@ def follow(spark: SparkSession, source: str, schema: StructType, files_per_trigg
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
 
-def upsert_stream(rows: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes the next version ``target/v{n}``: old rows without its keys, and its last row per key.
+#: Buckets of keys in an upserted table.
+BUCKETS = 64
 
-    A batch that is run again writes the same version again, so results are exactly once.
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The rows of an upserted table: each bucket's latest version; null if nothing was written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    rows = spark.read.parquet(target)
+    latest = rows.select("bucket", "version").distinct().groupBy("bucket").agg(F.max("version").alias("version")).collect()  # at most BUCKETS rows
+    if not latest:
+        return None
+    # a condition on both partition columns, so that only these folders are read
+    wanted = [f"{r.bucket}:{r.version}" for r in latest]
+    return rows.filter(F.concat_ws(":", "bucket", "version").isin(*wanted)).drop("bucket", "version")
+
+
+def upsert_stream(rows: DataFrame, target: str, key: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keeps ``target`` as the last row per key (the largest by ``order``, else by all columns).
+
+    A micro-batch rewrites only the buckets that its keys fall into, as
+    ``version=n/bucket=b``; ``current`` reads each bucket's latest version.  A batch
+    that is run again writes the same folders again, so results are exactly once.
     """
+    by = order or next(c for c in rows.columns if c != key)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if number:
-            new = upsert(spark.read.parquet(f"{target}/v{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{target}/v{number}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+        new = last_per_key(batch, key, by)
+        old = current(spark, target) if number else None
+        if old is not None:
+            touched = [r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect()]  # at most BUCKETS
+            before = old.filter(bucket.isin(*touched)) if touched else old.limit(0)
+            new = last_per_key(before.unionByName(new), key, by) if order else before.join(new.select(key), key, "left_anti").unionByName(new)
+        new.withColumn("version", F.lit(number)).withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(target)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -24,6 +24,122 @@ def test_scan_and_features(spark, tmp_path):
     assert files.scan(spark, str(tmp_path / "root"), depth=2).count() == 2
 
 
+def test_relative_paths_keep_folders_named_like_the_root(spark, tmp_path):
+    for p in ("root/x/root/y.txt", "root/it's/z.txt"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("x")
+    found = {r.relative_path for r in files.scan(spark, f"file://{tmp_path}/root/").collect()}
+    assert "x/root/y.txt" in found and len(found) == 2
+
+
+def test_quoted_cells(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(';[1]\n"a,b",c\n"two\nlines",""\n')
+    got = files.page_marker_csv(spark, str(tmp_path / "q.csv")).collect()
+    assert [(r.page_num, r.text) for r in got] == [(1, "a,b c\ntwo\nlines")]
+
+
+def test_workbook(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>Name</t></si><si><r><t>Two</t></r><r><t xml:space='preserve'> parts</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"/><c r="C1"><v>4.5</v></c></row><row r="2"><c t="inlineStr"><is><t>A &amp; B</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", '<worksheet><row><c t="s"><v>1</v></c></row></worksheet>')
+    (row,) = files.extract(spark, str(tmp_path)).collect()
+    assert row.status == "done" and row.text == "===== [PAGE 1] =====\nName | 4.5\nA & B\n===== [PAGE 2] =====\nTwo parts"
+
+
+def test_upserts_keep_the_last_row(spark):
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, at int")
+    new = spark.createDataFrame([(2, "x", 1), (2, "y", 3), (2, "z", 2), (None, "n", 1)], "k long, v string, at int")
+    got = sorted(((r.k, r.v) for r in upkeep.upsert(old, new, "k", "at").collect()), key=str)
+    assert got == [(1, "a"), (2, "y"), (None, "n")]
+
+
+def test_review_and_purge(spark):
+    rows = spark.createDataFrame([(1, None), (2, "2026-01-01 00:00:00"), (3, "2026-03-01 00:00:00")], "k long, r string").select("k", F.col("r").cast("timestamp").alias("removed_at"))
+    assert {r.k for r in upkeep.purge(rows, F.lit("2026-03-10 00:00:00").cast("timestamp"), 30).collect()} == {1, 3}
+    assert {(r.status, r.reject_reason) for r in upkeep.reject(rows, "blurred").collect()} == {("rejected", "blurred")}
+
+
+def test_manifests_and_vectors(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [1.0, 2.0]), (3, "b", [0.0, 1.0])], "id long, doc string, embedding array<double>")
+    files.write_vectors(rows, f"{tmp_path}/v", "doc")
+    back = spark.read.parquet(f"{tmp_path}/v")
+    assert back.filter("doc = 'b'").count() == 2 and "doc" in back.filter("doc = 'b'")._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc, r.vectors, r.dims) for r in files.vector_manifest(back, "doc").collect()} == {("a", 1, 2), ("b", 2, 2)}
+    files.write_manifest(rows.select("id", "doc"), f"{tmp_path}/m")
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/m/csv").count() == spark.read.json(f"{tmp_path}/m/jsonl").count() == 3
+
+
+def test_hits_of_unknown_documents_stay(spark, tmp_path):
+    from tessera.plans import search
+
+    spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 1), (9, [0.9, 0.2], 2)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(0, "s", "en"), (1, "t", "en"), (2, "u", "en")], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.vec_id, r.source) for r in search.hits(spark, str(tmp_path)).collect()} == {(0, "s"), (1, "t"), (9, None)}
+
+
+def test_similar_sets_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    sets = {i: set(rng.sample(range(30), rng.randint(1, 9))) for i in range(60)}
+    pairs = spark.createDataFrame([(i, f) for i, s in sets.items() for f in s], "item int, feature int")
+    for least in (0.3, 0.5, 1.0):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert {(r.a, r.b) for r in graph.similar_by_sets(pairs, "item", "feature", least).collect()} == want
+
+
+def test_projection_against_numpy(spark):
+    import numpy as np
+
+    from tessera.operators.projection import pca
+
+    x = np.random.RandomState(1).randn(200, 5) * [5, 3, 1, 0.5, 0.1]
+    got = pca(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>"), "id", "v", 2).orderBy("id").collect()
+    values, directions = np.linalg.eigh(np.cov(x.T, bias=True))
+    want = (x - x.mean(0)) @ directions[:, ::-1][:, :2]
+    for c in range(2):
+        assert np.allclose(np.abs([r[f"component_{c}"] for r in got]), np.abs(want[:, c]))
+    assert abs(got[0].share - values[::-1][:2].sum() / values.sum()) < 1e-9
+
+
+def test_rows_only_queries_have_the_right_rows(spark):
+    import json
+
+    from tessera.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counted = {}
+    for r in docs.select("source", "lang").collect():
+        counted.setdefault(r.source, {}).setdefault(r.lang, []).append(1)
+    pages = {r.source: r.markdown for r in catalog.QUERIES["wiki_pages"](spark, folder).collect()}
+    assert pages == {s: f"# {s}\n\n" + "\n".join(sorted(f"- {k}: {len(v)} documents" for k, v in own.items())) for s, own in counted.items()}
+    shown = [(r.kind, json.loads(r.json)) for r in catalog.QUERIES["graph_visual"](spark, folder).collect()]
+    ids = {x["id"] for k, x in shown if k == "node"}
+    assert len(ids) <= 200 and all(x["src"] in ids and x["dst"] in ids for k, x in shown if k == "edge") and any(k == "edge" for k, _ in shown)
+
+
+def test_fuzzy_sentences(spark):
+    from tessera.operators import filters
+
+    rows = spark.createDataFrame([(1, "The road map of the city. Nothing here! Roadmaps, city."), (2, None), (3, "")], "id long, text string")
+    got = [(r.id, r.sentence, r["rank"]) for r in filters.fuzzy_sentences(rows, "id", "text", "road city", 0.6).orderBy("rank").collect()]
+    assert got == [(1, "Roadmaps, city", 1), (1, "The road map of the city", 2)]
+
+
+def test_graph_answers(spark):
+    from tessera.operators import knowledge
+
+    nodes = spark.createDataFrame([("s1", "supplier", "S1"), ("n1", "nation", "N1"), ("r1", "region", "North"), ("r2", "region", "South")], "id string, type string, label string")
+    edges = spark.createDataFrame([("s1", "n1", "IN_NATION"), ("n1", "r1", "IN_REGION")], "src string, dst string, type string")
+    rules = [(["supplier", "region"], [("supplier", "IN_NATION", "nation"), ("nation", "IN_REGION", "region")])]
+    ask = lambda q: [r.id for r in knowledge.answer(q, nodes, edges, rules).collect()]
+    assert ask("which supplier is in the region north") == ["s1"] and ask("which supplier is in the region south") == []
+    assert ask("supplier of any region") == ["s1"] and ask("hello") == []
+    assert knowledge.verdict(spark.range(7)).head().verdict == "fair" and knowledge.verdict(spark.range(0)).head().verdict == "empty"
+
+
 def test_page_marker_csv(spark, tmp_path):
     (tmp_path / "p.csv").write_text('lost,row\n;[1],\na,,b\n"c d",\n;[2],\n,,\n;[3],\nz\n')
     got = sorted((r.page_num, r.text, r.char_count) for r in files.page_marker_csv(spark, str(tmp_path / "p.csv")).collect())
@@ -75,6 +191,10 @@ def test_guard():
     assert graph.read_only("MATCH (a)-[:R]->(b) RETURN b")
     assert not graph.read_only("MATCH (a) DELETE a") and not graph.read_only("MATCH (a) RETURN a; MATCH (b)") and not graph.read_only("hello")
     assert graph.read_only("MATCH (a {name: 'delete'}) RETURN a")
+    for call in ("CALL apoc.load.json('x') YIELD value", "CALL dbms.listConfig()", "call  gds.pageRank.stream('g')", "CALL db.labels()", "CALL `apoc`.help('x')"):
+        assert not graph.read_only(f"{call} RETURN 1"), call
+    assert not graph.read_only("MATCH (a) FOREACH (x IN [1] | SET a.n = x) RETURN a") and not graph.read_only("UNWIND [1] AS x RETURN x")
+    assert graph.read_only("MATCH (a {callsign: 'apoc'}) RETURN a.callsign")
 
 
 def test_graph_edges_and_paths(spark):
@@ -119,8 +239,13 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = append.follow(spark, source, events.schema, 1)
     run = append.upsert_stream(stream, str(tmp_path / "out"), "event_id", str(tmp_path / "cp"))
     run.awaitTermination(120)
-    versions = sorted((tmp_path / "out").iterdir())
-    assert spark.read.parquet(str(versions[-1])).count() == events.count()
+    assert append.current(spark, str(tmp_path / "out")).count() == events.count()
+    more = events.limit(5).withColumn("event_type", F.lit("changed"))
+    more.coalesce(1).write.mode("append").parquet(source)
+    append.upsert_stream(append.follow(spark, source, events.schema, 1), str(tmp_path / "out"), "event_id", str(tmp_path / "cp")).awaitTermination(120)
+    now = append.current(spark, str(tmp_path / "out"))
+    assert now.count() == events.count() and now.filter("event_type = 'changed'").count() == 5
+    events = spark.read.schema(events.schema).parquet(source)
     query = append.windowed_counts(stream).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     want = sorted(map(tuple, append.windowed_counts(events).collect()))
