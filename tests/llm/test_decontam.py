@@ -18,6 +18,8 @@ def slow(text, item):
         same = [k for k in range(len(b)) if 0 <= k + d < len(a) and a[k + d] == b[k]]
         if len(b) >= 15 and any(y - x < 15 for x, y in zip(same, same[11:])):
             return True
+        if 0 < len(b) < 15 and len(same) == len(b):
+            return True
     return False
 
 
@@ -25,8 +27,8 @@ def fixture():
     rng = random.Random(8)
     vocab = [f"t{i}" for i in range(300)] + ["the", "of"] * 40
     items = [(k, " ".join(rng.choices(vocab, k=rng.choice([5, 14, 15, 16, 30, 45])))) for k in range(12)]
-    items += [(None, items[4][1]), (90, None), (91, ""), (92, items[5][1])]
-    docs = [(1, None), (2, ""), (3, "the of " * 500), (None, items[5][1])]
+    items += [(None, items[4][1]), (90, None), (91, ""), (92, items[5][1]), (93, "t1 t2"), (94, "the of the")]
+    docs = [(1, None), (2, ""), (3, "the of " * 500), (None, items[5][1]), (200, "x " * 40_000 + items[6][1]), (200, "x " * 40_000 + items[6][1]), (201, "T1  t2")]
     for i in range(4, 90):
         words = rng.choices(vocab, k=rng.randint(0, 80))
         part = rng.choice(items[:12])[1].split()
