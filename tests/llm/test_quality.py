@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import xxhash
 
 from tessera.llm import quality
 
@@ -46,14 +47,32 @@ def test_random_indexing():
     import pyarrow as pa
 
     texts = [b"a B. c", b"d", b"a a !! a"]
-    out = next(quality._gather(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"])])))
+    words = quality.Vocabulary([xxhash.xxh3_64_intdigest(w) for w in (b"a", b"b.", b"!!")])
+    out = next(quality._gather(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"])]), words))
     table = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, quality.WIDTH) for x in out.column(1).to_pylist()])
     want, index = np.zeros_like(table), quality.index_vectors()
     for t in texts:
-        form, lexical = quality.units(t)
+        form, lexical = words.units(t)
+        assert [n if n < 3 else None for n in lexical.tolist()] == [{b"a": 0, b"b.": 1, b"!!": 2}.get(w.lower()) for w in t.split()]
         for i in range(len(form)):
             for j in (i - 1, i + 1):
                 if 0 <= j < len(form):
                     want[form[i]] += index[form[j]]
                     want[quality.FORMS + lexical[i]] += index[form[j]]
     assert (table == want).all()
+
+
+def test_frequent_words_have_vectors_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(quality, "WORDS", 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["A a b", "b c a", "d", None, ""] * 3)], "doc_id long, text string")
+    words = quality.vocabulary(docs)
+    assert list(words.numbers)[:2] == [xxhash.xxh3_64_intdigest(w) for w in (b"a", b"b")] and len(words.numbers) == 3
+    long = [b"x" * 11 + b"1" + b"-y", b"x" * 11 + b"1" + b"+y"]  # forms differ only behind the twelfth byte
+    assert len({quality.Vocabulary([]).units(w)[0][0] for w in long}) == 2
+
+
+def test_held_out_rows_of_the_supplied_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = quality.score(docs, quality.train(docs, labels)).join(labels.select("doc_id", "quality"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) >= 0.95
