@@ -2,7 +2,7 @@
 
 A rolling hash over the UTF-8 bytes cuts each text where the content itself
 says so, hence texts that share a passage share its chunks.  A chunk's inner
-words are encoded once per worker and looked up by the chunk's 128-bit hash
+words are encoded once per task and looked up by the chunk's 128-bit hash
 afterwards.  A cut may fall inside a word, so a chunk keeps the bytes before
 its first and after its last white space unencoded: a join is repaired by
 re-encoding that stretch, extended over as many chunks as it takes until it
@@ -172,19 +172,27 @@ _made: dict[tuple, ChunkedBpe] = {}
 
 
 def encoder(path: str) -> ChunkedBpe:
-    """The worker's own encoder; its memos live as long as the worker."""
+    """The worker's own encoder; its memos live as long as a task."""
     if path not in _made:
         _made[path] = ChunkedBpe(path)
     return _made[path]
 
 
+def forgetting(bpe: ChunkedBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, after which the memos are emptied: the worker's next task may be another operator's."""
+    try:
+        yield from batches
+    finally:
+        bpe.words, bpe.chunk_memo = {}, Memo(MEMO_CHUNKS)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids array<int>, decoded string`` of every row."""
     key = dict(docs.dtypes)[id_col]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
+        for batch in forgetting(bpe, batches):
             ids = [bpe.encode(t) for t in batch.column(1).to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
             flat = pa.array(np.concatenate([np.empty(0, np.uint32), *ids]).astype(np.int32))
@@ -201,7 +209,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         numbers = [str(i).encode() for i in range(len(bpe.pieces))]
-        for batch in batches:
+        for batch in forgetting(bpe, batches):
             count, of_ids, of_text = [], [], []
             for text in batch.column(1).to_pylist():
                 ids = bpe.encode(text).tolist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..operators.tables import cut, shared_folder  # noqa: F401  the operators of this subpackage use them from here
+
 TEXTS_AT_ONCE = 1_000
 
 
@@ -19,20 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
-
-    The lineage ends there: a lost executor costs a read, not a recomputation.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def release() -> None:
+    """Gives back memory that a finished task no longer uses: the worker lives on, and its next task may need little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int | None = TEXTS_AT_ONCE) -> DataFrame:
@@ -46,7 +39,13 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
             for at in range(0, max(1, batch.num_rows), rows):
                 yield batch.slice(at, rows)
 
-    return df.mapInArrow(work if rows is None else lambda batches: work(sliced(batches)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches if rows is None else sliced(batches))
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def bytes_of(text: Column | str) -> Column:
