@@ -29,6 +29,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WINDOW = 15
 LEAST_EQUAL = 12
 #: Fixed masks: positions that count, from the hit's first token.
@@ -72,7 +74,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     small = marks.count() <= BROADCAST_SEEDS
     own = docs.filter(F.col(id_col).isNotNull())
     seeds = own.select(id_col, token_hashes(text_col).alias("_tokens")).select(id_col, F.explode(_seeds("_tokens", lengths)).alias("s")).select(id_col, F.col("s.seed").alias("seed"), F.col("s.at").alias("_at"))
-    hits = seeds.join(F.broadcast(marks) if small else marks, "seed").select(id_col, "_item", "_len", (F.col("_at") - F.col("_from")).alias("_start")).distinct()
+    hits = cut(seeds.join(F.broadcast(marks) if small else marks, "seed").select(id_col, "_item", "_len", (F.col("_at") - F.col("_from")).alias("_start")).distinct())
     # tokens once a document, then a row for each hit with its own stretch of them
     tokens = own.select(id_col, F.col(text_col).alias("_text")).join(hits.select(id_col).distinct(), id_col, "left_semi").select(id_col, token_hashes("_text").alias("_tokens"))
     stretch = F.transform(F.sequence(F.lit(0), F.col("_len") - 1), lambda k: F.get(F.col("_tokens"), F.col("_start") + k))
