@@ -327,16 +327,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([wide_print(h) for h in found], pa.binary()), pa.array([np.unique(h).tobytes() for h in found], pa.binary())], names=["fp", "shingles"])
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([wide_print(h) for h in found], pa.binary()), pa.array([np.unique(h).view(np.int64) for h in found], pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     texts = own.select("doc", bytes_of("_text").alias("_text"))
     prints = cut(map_arrow(texts, prints_of, "doc bigint, fp binary"))
@@ -345,9 +336,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = cut(map_arrow(entries, lambda rows: _nearest(rows, longest), "u binary, v binary", None).distinct())
     wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(classes, "fp").select(F.col("least").alias("doc"))
     held = holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
-    sets = cut(map_arrow(held, sets_of, "fp binary, shingles binary").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    sets = cut(map_arrow(held, sets_of, "fp binary, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    sure = map_arrow(both.select("u", "v", "a", "b"), verified, "u binary, v binary")
+    shared = F.size(F.array_intersect("a", "b"))  # the sets stay in the JVM: a batch of pairs of them would be large
+    sure = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
     return prints.join(_labelled(classes, sure), "fp").select(F.col("doc").alias(id_col), "component_id")
 
 
