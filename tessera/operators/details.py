@@ -91,3 +91,47 @@ def marked_snippet(text: Column, term: str, words: int = 30) -> Column:
     start = F.greatest(at - words // 2, F.lit(1)).cast("int")
     chosen = F.transform(F.slice(parts, start, words), lambda x, i: F.when(i + start == at, F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x))
     return F.when(at > 0, F.array_join(chosen, " "))
+
+
+def path_score(path: Column, folders: Sequence[str], files: Sequence[str], extensions: Mapping[str, int], marks: Mapping[str, int]) -> Column:
+    """Points of a path: 5 for each word in a folder or name, 4 for each in the name, by extension, and for marks in the name."""
+    lower = F.lower(F.coalesce(path, F.lit("")))
+    name = F.element_at(F.split(lower, "/"), -1)
+    points = lambda found, n: F.when(found, n).otherwise(0)
+    score = F.lit(0)
+    for word in folders:
+        score = score + points(F.contains(lower, F.lit(word)), 5)
+    for word in files:
+        score = score + points(F.contains(name, F.lit(word)), 4)
+    for mark, n in marks.items():
+        score = score + points(F.contains(name, F.lit(mark)), n)
+    return score + F.coalesce(*[F.when(name.endswith(e), n) for e, n in extensions.items()], F.lit(0))
+
+
+#: Bars of the decision what to do with an extracted text.
+LEAST_CHARS, GOOD_SCORE, MOST_GARBAGE = 100, 0.7, 0.15
+
+
+def text_action(score: Column, chars: Column, marks: Column, garbage: Column) -> Column:
+    """Use a text, convert the file again or recognise its pages: marks of broken fonts first, then length, then the score."""
+    return (
+        F.when(marks > 0, "recognise")
+        .when(chars < LEAST_CHARS, "recognise")
+        .when(score >= GOOD_SCORE, "use")
+        .when(garbage > 2 * MOST_GARBAGE, "recognise")
+        .when(score >= GOOD_SCORE / 2, "convert")
+        .when(score < GOOD_SCORE / 2, "recognise")
+        .otherwise("review")
+    )
+
+
+def replace_postings(index: DataFrame, new: DataFrame, id_col: str) -> DataFrame:
+    """A full-text index with the postings of some documents deleted and inserted anew."""
+    return index.join(new.select(id_col).distinct(), id_col, "left_anti").select(*index.columns).unionByName(new)
+
+
+def markdown_pages(rows: DataFrame, group: str, item: str, noun: str) -> DataFrame:
+    """``group, markdown``: a heading for each group and a line with its count for each of its items."""
+    counted = rows.groupBy(group, item).agg(F.count("*").alias("n"))
+    lines = F.array_sort(F.collect_list(F.format_string(f"- %s: %d {noun}", item, "n")))
+    return counted.groupBy(group).agg(F.array_join(lines, "\n").alias("_body")).select(group, F.concat(F.lit("# "), F.col(group), F.lit("\n\n"), F.col("_body")).alias("markdown"))

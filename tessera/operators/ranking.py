@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .tables import cut
 
 #: BM25 constants, and the least idf as in full-text engines that floor it.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -49,11 +50,14 @@ def interleave(vector: DataFrame, graph: DataFrame, id_col: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score``: documents with any term.  One scan counts terms and lengths; only aggregates are joined back."""
+    """``id, score``: documents with any term.
+
+    One scan counts terms and lengths; its few numbers a document are written once, for the statistics and for the scores.
+    """
     words = docs.select(id_col, tokens(F.col(text_col)).alias("w"))
     occurrences = lambda term: F.size(F.filter("w", lambda x: x == term))
     tf = [occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = words.select(id_col, F.size("w").alias("dl"), *tf)
+    counted = cut(words.select(id_col, F.size("w").alias("dl"), *tf))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     total = F.lit(0.0)
     for i in range(len(terms)):

@@ -208,3 +208,69 @@ def fts_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty words around the first hit, which is marked."""
     made = table(spark, sf_dir, "documents").select("doc_id", D.marked_snippet(F.col("text"), "of").alias("snippet"))
     return made.filter("snippet is not null")
+
+
+_NAME = "split_part(lower(url), '/', -1)"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, CASE WHEN contains(lower(url), 'blog') THEN 5 ELSE 0 END + CASE WHEN contains(lower(url), '/en/') THEN 5 ELSE 0 END + CASE WHEN contains({_NAME}, '7') THEN 4 ELSE 0 END
+ + CASE WHEN contains({_NAME}, '?page') THEN 2 ELSE 0 END + CASE WHEN contains({_NAME}, '#') THEN 2 ELSE 0 END + CASE WHEN ends_with({_NAME}, '.html') THEN 2 WHEN ends_with({_NAME}, 'x') THEN 1 ELSE 0 END AS score FROM pages)
+SELECT host, page_id, CAST(score AS INTEGER) AS score FROM p WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id DESC) = 1"""
+)
+def representative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host's best page by five kinds of points, of equals the newest; those without any point are none."""
+    score = D.path_score(F.col("url"), ["blog", "/en/"], ["7"], {".html": 2, "x": 1}, {"?page": 2, "#": 2})
+    rows = table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), score.cast("int").alias("score")).filter("score > 0")
+    best = rows.groupBy("host").agg(F.max(F.struct("score", "page_id")).alias("b"))
+    return best.select("host", "b.page_id", "b.score")
+
+
+@query(
+    """WITH m AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')) AS bad, len(regexp_extract_all(text, '[^A-Za-zÀ-ÖØ-öø-ÿ0-9 .,!?\\n]')) / greatest(length(text), 1) AS g, least(1.0, length(text) / 4000) AS score FROM documents)
+SELECT doc_id, CASE WHEN bad > 0 OR n < 100 THEN 'recognise' WHEN score >= 0.7 THEN 'use' WHEN g > 0.3 THEN 'recognise' WHEN score >= 0.35 THEN 'convert' ELSE 'recognise' END AS action FROM m"""
+)
+def text_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to do with each text; its length stands for the score here."""
+    n = F.length("text")
+    garbage = F.regexp_count("text", F.lit("[^A-Za-zÀ-ÖØ-öø-ÿ0-9 .,!?\n]")) / F.greatest(n, F.lit(1))
+    action = D.text_action(F.least(F.lit(1.0), n / 4000), n, F.regexp_count("text", F.lit("\\(cid:[0-9]+\\)")), garbage)
+    return table(spark, sf_dir, "documents").select("doc_id", action.alias("action"))
+
+
+_WORDS = "(SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS term FROM benchmark)"
+
+
+@query(f"SELECT term, item_id, count(*) AS tf FROM {_WORDS} WHERE item_id % 4 <> 1 GROUP BY ALL UNION ALL SELECT 'fresh', item_id, 1 FROM benchmark WHERE item_id % 4 = 1")
+def index_replace_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after a quarter of its documents got a new text."""
+    items = table(spark, sf_dir, "benchmark")
+    fresh = items.filter("item_id % 4 = 1").withColumn("text", F.lit("Fresh!"))
+    build = lambda rows: search.ranking.inverted_index(rows, "item_id")
+    return D.replace_postings(build(items), build(fresh), "item_id")
+
+
+@query("SELECT source, '# ' || source || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) AS markdown FROM (SELECT source, '- ' || lang || ': ' || count(*) || ' texts' AS line FROM documents GROUP BY source, lang) GROUP BY source")
+def pages_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.markdown_pages(table(spark, sf_dir, "documents"), "source", "lang", "texts")
+
+
+@query("SELECT lang, '# ' || lang || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY line) AS markdown FROM (SELECT lang, '- ' || source || ': ' || count(*) || ' texts' AS line FROM documents GROUP BY source, lang) GROUP BY lang")
+def pages_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.markdown_pages(table(spark, sf_dir, "documents"), "lang", "source", "texts")
+
+
+@query("SELECT page_id, sha256(html) AS checksum, strlen(html) AS bytes FROM pages")
+def file_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(data, 256).alias("checksum"), F.octet_length(data).cast("long").alias("bytes"))
+
+
+@query("SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 5 = 0 THEN lang END), ''), nullif(trim(CASE WHEN doc_id % 3 = 0 THEN source ELSE ' ' END), ''), nullif(CASE WHEN doc_id % 2 = 0 THEN 'scan' || doc_id END, ''), 'base') AS organisation, CASE WHEN doc_id % 5 = 0 THEN 'final' WHEN doc_id % 3 = 0 THEN 'ocr' WHEN doc_id % 2 = 0 THEN 'scan' ELSE 'base' END AS provenance FROM documents")
+def metadata_fallback_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four levels: final, recognised, scanned and base value."""
+    from ..functions import text as T
+
+    every = lambda n: F.col("doc_id") % n == 0
+    levels = {"final": F.when(every(5), F.col("lang")), "ocr": F.when(every(3), F.col("source")).otherwise(" "), "scan": F.when(every(2), F.concat(F.lit("scan"), "doc_id")), "base": F.lit("base")}
+    return table(spark, sf_dir, "documents").select("doc_id", T.first_filled(*levels.values()).alias("organisation"), T.fallback_source(**levels).alias("provenance"))

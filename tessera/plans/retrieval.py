@@ -257,3 +257,66 @@ def snapshot_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent words of a text, ties by first place: keywords where no morphological analyser is installed."""
     return X.frequent_words(table(spark, sf_dir, "benchmark"), "item_id", "text", 5)
+
+
+_PLAN_SQL = """WITH q AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'example' WHEN 2 THEN 'requirement' WHEN 3 THEN 'summary' WHEN 4 THEN 'section' ELSE 'general' END AS intent, CAST(contains(lower(text), 'ing') AS INT) + CAST(contains(lower(text), 'que') AS INT) + CAST(contains(lower(text), 'th') AS INT) + CAST(contains(lower(text), 'er') AS INT) + CAST(contains(lower(text), 'on') AS INT) AS n,
+contains(lower(text), 'que') AS sf, contains(lower(text), 'ing') AS df FROM benchmark), c AS (SELECT *, CASE WHEN n <= 1 THEN 'simple' WHEN n <= 3 THEN 'moderate' ELSE 'complex' END AS k, intent IN ('document', 'section') AS find, intent IN ('example', 'compare') AS ex FROM q),
+r AS (SELECT item_id, intent, k AS complexity, CASE WHEN n = 0 AND k = 'simple' THEN 'vector|vector_only' WHEN find AND sf AND k = 'complex' THEN 'vector,graph,wiki|parallel' WHEN find AND (sf OR df) THEN 'vector,graph|vector_first' WHEN find AND k = 'complex' THEN 'graph,vector,wiki|graph_first' WHEN find THEN 'graph,vector|graph_first'
+WHEN ex AND (sf OR df) AND k = 'complex' THEN 'vector,graph,wiki|parallel' WHEN ex AND (sf OR df) THEN 'vector,graph,wiki|vector_first' WHEN ex THEN 'graph,wiki,vector|graph_first' WHEN intent = 'requirement' THEN 'vector,graph|vector_first' WHEN intent = 'summary' THEN 'wiki,vector|wiki_first'
+WHEN (sf OR df) AND k = 'complex' THEN 'vector,graph|parallel' WHEN sf OR df THEN 'vector,graph|vector_first' WHEN k <> 'simple' THEN 'graph,vector|graph_first' ELSE 'vector,graph|vector_first' END AS p FROM c)
+SELECT item_id, intent, complexity, split_part(p, '|', 1) AS sources, split_part(p, '|', 2) AS run_order FROM r"""
+
+
+@query(_PLAN_SQL)
+def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complexity, sources and their order from intent and filters."""
+    lower = F.lower("text")
+    has = lambda w: F.contains(lower, F.lit(w))
+    intent = F.element_at(F.array(*[F.lit(x) for x in ("document", "example", "requirement", "summary", "section", "general")]), (F.col("item_id") % 6 + 1).cast("int"))
+    n = sum((F.when(has(w), 1).otherwise(0) for w in ("ing", "que", "th", "er", "on")), F.lit(0))
+    sources, order = X.search_plan(intent, n, has("que"), has("ing"))
+    return table(spark, sf_dir, "benchmark").select("item_id", intent.alias("intent"), X.complexity(n).alias("complexity"), sources.alias("sources"), order.alias("run_order"))
+
+
+@query()
+def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sections of which every line is a paragraph, packed; goldens are in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("body"))
+    return X.section_chunks(docs, ["doc_id"], "body")
+
+
+SINGLE = {
+    "organization": [("thand", "Thand House"), ("tion", "Tion Works")],
+    "project_type": [("ING ", "building"), ("ent", "planning")],
+    "document_group": [("eaux|ouan", "plan"), ("und ", "report")],
+    "document_category": [("wh", "method"), ("[aeiou]{3}", "survey")],
+}
+SEVERAL = {"technologies": [("er", "ER"), ("on", "ON"), ("ER", "ER"), ("zz", "ZZ")]}
+
+
+@query(
+    """WITH f AS (SELECT item_id, lower(text) AS t, nullif(regexp_extract(text, '(20[12][0-9])', 1), '') AS y FROM benchmark),
+g AS (SELECT item_id, CASE WHEN contains(t, 'thand') THEN 'Thand House' WHEN contains(t, 'tion') THEN 'Tion Works' END AS organization, CASE WHEN contains(t, 'ing ') THEN 'building' WHEN contains(t, 'ent') THEN 'planning' END AS project_type,
+ CASE WHEN regexp_matches(t, 'eaux|ouan') THEN 'plan' WHEN contains(t, 'und ') THEN 'report' END AS document_group, CASE WHEN contains(t, 'wh') THEN 'method' WHEN regexp_matches(t, '[aeiou]{3}') THEN 'survey' END AS document_category,
+ array_to_string(list_filter([CASE WHEN contains(t, 'er') THEN 'ER' END, CASE WHEN contains(t, 'on') THEN 'ON' END, CASE WHEN contains(t, 'zz') THEN 'ZZ' END], lambda x: x IS NOT NULL), ',') AS technologies, y FROM f)
+SELECT item_id, project_type, technologies, array_to_string(list_filter(['organization=' || organization, 'year=' || y, 'document_group=' || document_group, 'document_category=' || document_category], lambda x: x IS NOT NULL), ';') AS filters FROM g"""
+)
+def prompt_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a prompt says about organisation, kind, technology, year, group and category, and the filters that follow."""
+    found = X.prompt_fields(F.col("text"), SINGLE, SEVERAL)
+    filters = X.suggested_filters(found, ["organization", "year", "document_group", "document_category"])
+    return table(spark, sf_dir, "benchmark").select("item_id", found["project_type"].alias("project_type"), F.array_join(found["technologies"], ",").alias("technologies"), filters.alias("filters"))
+
+
+@query(
+    """WITH t AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages), h AS (SELECT *, substr(title, 1, 40) AS head FROM t),
+k AS (SELECT *, CASE WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '/de/') THEN 'german' WHEN regexp_matches(head, 'tion|ing') THEN 'english' WHEN regexp_matches(head, 'ción|ando') THEN 'spanish' WHEN len(regexp_extract_all(head, 'th')) >= 2 THEN 'english' END AS kind,
+ CASE WHEN contains(url, '/fr/') OR contains(url, '/de/') THEN 0.95 WHEN regexp_matches(head, 'tion|ing') THEN 0.92 WHEN regexp_matches(head, 'ción|ando') THEN 0.88 WHEN len(regexp_extract_all(head, 'th')) >= 2 THEN 0.82 ELSE 0.0 END AS sure, nullif(regexp_extract(url, '(20[12][0-9])', 1), '') AS y FROM h)
+SELECT page_id, kind, y AS year, CAST(CASE WHEN sure > 0 AND y IS NOT NULL THEN round((sure + 0.8) / 2, 3) WHEN sure > 0 THEN round(sure, 3) WHEN y IS NOT NULL THEN 0.8 END AS DOUBLE) AS confidence FROM k"""
+)
+def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's type by path, pattern or signals, its year, and the mean confidence of what was found."""
+    kind, sure = X.typed(F.col("url"), F.col("title"), [("/fr/", "french"), ("/de/", "german")], [("tion|ing", "english", 0.92), ("ción|ando", "spanish", 0.88)], [("th", "english", 0.82)], head=40)
+    year = F.nullif(F.regexp_extract("url", "(20[12][0-9])", 1), F.lit(""))
+    confidence = X.mean_confidence([sure, F.when(year.isNotNull(), 0.8).otherwise(0.0)])
+    return search.titled(spark, sf_dir).select("page_id", kind.alias("kind"), year.alias("year"), confidence.alias("confidence"))

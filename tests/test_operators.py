@@ -250,3 +250,17 @@ def test_streams_equal_batches(spark, tmp_path):
     query.awaitTermination(120)
     want = sorted(map(tuple, append.windowed_counts(events).collect()))
     assert sorted(map(tuple, spark.table("counted").collect())) == want and append.sessions(events).count() > 0
+
+
+def test_section_chunks(spark):
+    from tessera.operators import filters
+
+    parts = [f"{k} " + "x" * 396 for k in range(6)]
+    assert [c[:1] + c[-3:] for c in filters.pack_paragraphs("\n\n".join(parts), 1400, 50, 250)] == ["0xxx", "xxxx"]
+    made = filters.pack_paragraphs("\n\n".join(parts), 1400, 50, 250)
+    assert made[0] == "\n\n".join(parts[:3]) and made[1] == made[0][-50:] + "\n\n" + "\n\n".join(parts[3:]) and len(made[1]) <= 1400
+    assert filters.pack_paragraphs("short") == ["short"] and filters.pack_paragraphs(" \n\n ") == []
+    tail = filters.pack_paragraphs("a" * 1390 + "\n\n" + "b" * 60, 1400, 0, 250)
+    assert tail == ["a" * 1390, ("a" * 1390 + "\n\n" + "b" * 60)[-1400:]]
+    rows = spark.createDataFrame([(1, "one\n\ntwo"), (2, None)], "id long, t string")
+    assert [tuple(r) for r in filters.section_chunks(rows, ["id"], "t").collect()] == [(1, 0, "one\n\ntwo")]
