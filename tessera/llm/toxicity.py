@@ -2,9 +2,9 @@
 
 Severity has ordered grades 0 (clean), 1 (mild) and 2 (severe).  The labels say
 only toxic or not; a toxic row's grade follows from how often it says so: among
-the labelled rows, words that occur in many toxic and next to no clean texts form
-a lexicon, and toxic rows in which lexicon words occur at least ``SEVERE_TIMES``
-times, repeats included, are severe, the others mild.  Repeats are no feature of
+the labelled rows, words and word beginnings that occur in many toxic and next to
+no clean texts form a lexicon, and toxic rows in which words of it occur at least
+``SEVERE_TIMES`` times, repeats included, are severe, the others mild.  Repeats are no feature of
 the model, which sees only what occurs.
 
 Features are sparse: which words (lower-cased maximal runs of letters, digits
@@ -43,7 +43,7 @@ MOST_LABELLED = 4_000
 LEAST_ROWS = 5
 LEAST_SHIFT = 6.0
 MOST_FEATURES = 20_000
-SEVERE_TIMES = 4
+SEVERE_TIMES = 3
 STEPS = 500
 PENALTY = 1e-4
 BEGINNINGS = (4, 5)
@@ -74,15 +74,20 @@ class OrdinalModel:
         return tuple(float(1 / (1 + np.exp(np.clip(t - x, -50, 50)))) for t in self.thresholds)
 
 
+def marks(word: str) -> tuple[str, ...]:
+    """A word and its marked beginnings."""
+    return (word, *[word[:n] + "|" for n in BEGINNINGS if len(word) > n])
+
+
 def grades(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
     """0 for clean rows, 2 for toxic ones in which lexicon words occur at least ``SEVERE_TIMES`` times, 1 for other toxic ones."""
     words = [_WORD.findall((t or "").lower()) for t in texts]
     of_bad, of_clean = Counter(), Counter()
     for own, b in zip(words, toxic, strict=True):
-        (of_bad if b else of_clean).update(set(own))
+        (of_bad if b else of_clean).update({m for w in set(own) for m in marks(w)})
     bad, clean = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    lexicon = {w for w, n in of_bad.items() if n >= LEAST_ROWS and of_clean[w] / clean <= 0.02 * n / bad}
-    return np.array([0 if not b else 1 + (sum(w in lexicon for w in own) >= SEVERE_TIMES) for own, b in zip(words, toxic, strict=True)])
+    lexicon = {m for m, n in of_bad.items() if n >= LEAST_ROWS and of_clean[m] / clean <= 0.02 * n / bad}
+    return np.array([0 if not b else 1 + (sum(not lexicon.isdisjoint(marks(w)) for w in own) >= SEVERE_TIMES) for own, b in zip(words, toxic, strict=True)])
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> OrdinalModel:
