@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, htmltext, linededup, lm, quality, simhash, substring, toxicity
+from . import ann, bpe, decontam, htmltext, linededup, lm, pieces, quality, simhash, substring, toxicity
 from .common import table
 
 
@@ -66,6 +66,13 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over ``documents`` with the public 32k merge-type vocabulary."""
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_ann,
         op10_html,
+        op13_sentencepiece,
     )
 }
 ORACLE_SQL: dict[str, str] = {
