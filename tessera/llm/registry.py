@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, htmltext, linededup, lm, pieces, quality, simhash, substring, toxicity
+from . import ann, bpe, convtrie, decontam, htmltext, linededup, lm, merkle, pieces, quality, simhash, substring, toxicity
 from .common import table
 
 
@@ -66,6 +66,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over ``documents``."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over ``conversations``."""
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13 over ``documents`` with the public 32k merge-type vocabulary."""
     import public_tokenizers
@@ -86,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_ann,
         op10_html,
+        op11_merkle,
+        op12_conversation_trie,
         op13_sentencepiece,
     )
 }
