@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upkeep as U
+from ..operators.tables import shared_folder
+from ..streaming import append
 from .registry import query, table
 
 # The stored side of these examples lacks some rows and differs in others, by conditions on the tables' own columns.
@@ -53,6 +57,18 @@ def incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.upsert(old, docs.filter("lang = 'en'").select("doc_id", F.lit("new").alias("version"), "n_chars"), "doc_id")
 
 
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def event_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, kept by two streams under different checkpoints, of which the second brings all rows, late ones too."""
+    folder = f"{shared_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    kinds = table(spark, sf_dir, "events").schema
+    # a pattern, as a stream takes a folder or a pattern but no single file
+    stream = lambda: append.follow(spark, f"{sf_dir}/events.parque[t]", kinds).select("user_id", "ts", "event_id", "event_type", "value")
+    users = append.Upserted(spark, f"{folder}/table", "user_id", "ts", buckets=8)
+    rows = append.in_streams([stream().filter("event_id % 3 = 0"), stream()], users, f"{folder}/checkpoints")
+    return rows.select("user_id", "event_id", "event_type", "value")
+
+
 @query("SELECT CASE WHEN o.doc_id IS NULL THEN 'created' ELSE 'skipped' END AS action, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') o ON o.doc_id = d.doc_id GROUP BY 1")
 def row_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
