@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import ranking, vectors
+from ..operators import fulltext, ranking, vectors
+from ..operators.tables import shared_folder
 from .registry import query, table
 
 _SCORED = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -144,6 +147,31 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.inverted_index(table(spark, sf_dir, "documents"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``item_id, terms``: the words of four letters and more of each benchmark passage."""
+    words = F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 4)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(words).alias("terms"))
+
+
+def stored_index(spark: SparkSession, docs: DataFrame) -> fulltext.Index:
+    """The index of some documents, written once below the shared folder."""
+    return fulltext.Index(spark, f"{shared_folder(spark)}/fulltext-{uuid.uuid4().hex}").add(docs)
+
+
+_QUESTIONS = "q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS term FROM benchmark) WHERE length(term) >= 4)"
+_EXACT = f"""WITH {_QUESTIONS}, w AS (SELECT doc_id, {_TOK} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)"""
+
+
+@query(f"{_EXACT} SELECT item_id, rank, doc_id, round(score, 6) AS score FROM best WHERE rank <= 5")
+def fts_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents for each benchmark passage, from a stored index whose blocks are skipped by their highest impact."""
+    found = stored_index(spark, table(spark, sf_dir, "documents")).search(questions(spark, sf_dir), "item_id", 5)
+    return found.select(F.col("case").alias("item_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(
     """SELECT doc_id, strpos(lower(text), 'the ') - 1 AS at, substr(text, greatest(strpos(lower(text), 'the ') - 30, 1), 60) AS snippet FROM documents WHERE contains(lower(text), 'the ')"""
 )
