@@ -108,21 +108,54 @@ def path_score(path: Column, folders: Sequence[str], files: Sequence[str], exten
     return score + F.coalesce(*[F.when(name.endswith(e), n) for e, n in extensions.items()], F.lit(0))
 
 
-#: Bars of the decision what to do with an extracted text.
-LEAST_CHARS, GOOD_SCORE, MOST_GARBAGE = 100, 0.7, 0.15
-
-
-def text_action(score: Column, chars: Column, marks: Column, garbage: Column) -> Column:
-    """Use a text, convert the file again or recognise its pages: marks of broken fonts first, then length, then the score."""
-    return (
-        F.when(marks > 0, "recognise")
-        .when(chars < LEAST_CHARS, "recognise")
-        .when(score >= GOOD_SCORE, "use")
-        .when(garbage > 2 * MOST_GARBAGE, "recognise")
-        .when(score >= GOOD_SCORE / 2, "convert")
-        .when(score < GOOD_SCORE / 2, "recognise")
-        .otherwise("review")
-    )
+#: Fixed bars of a text's measures: characters, marks of broken fonts (number and share), score, spoilt share, characters of a page.
+LEAST_CHARS, MOST_MARKS, MOST_MARK_SHARE, GOOD_SCORE, MOST_SPOILT, LEAST_PAGE = 100, 20, 0.005, 0.6, 0.15, 30
+#: Fixed patterns of the marks, of what is spoilt, and of a script's own letters.
+MARK = "\\(cid:[0-9]+\\)"
+SPOILT = [
+    "[\\x{FFFD}\\x{FFFE}\\x{FFFF}]",
+    "[□■○●◎◇◆△▲▽▼]{3,}",
+    "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]",
+    "[가-힣][a-zA-Z][가-힣][a-zA-Z]",
+    "[ㄱ-ㅎㅏ-ㅣ]{5,}",
+]
+OWN_LETTERS = "[가-힣]"
+
+
+def text_measures(text: Column, pages: Column, own: str = OWN_LETTERS) -> dict[str, Column]:
+    """``chars, marks, own, latin, spoilt, empty, score`` of a text and the array of its pages.
+
+    Shares of letters and of what is spoilt are of the characters that are not blank, the share of marks is of all;
+    a page is empty if it has fewer than ``LEAST_PAGE`` characters without the blanks around it.
+    """
+    size = F.length(text)
+    dense = F.length(F.regexp_replace(text, "[ \\n\\t]", ""))
+    share = lambda pattern: F.when(dense > 0, F.regexp_count(text, F.lit(pattern)) / dense).otherwise(0.0)
+    linear = lambda x, upto, most: F.greatest(F.lit(0.0), most * (1 - x / upto))
+    bare = F.filter(pages, lambda p: F.length(F.regexp_replace(p, "^[ \\t\\r\\n]+|[ \\t\\r\\n]+$", "")) < LEAST_PAGE)
+    empty = F.when(F.size(pages) > 0, F.size(bare) / F.size(pages))
+    letters, latin, spoilt = share(own), share("[a-zA-Z]"), share("|".join(SPOILT))
+    length = F.when(size >= 1000, 0.2).otherwise(size / F.when(size >= 100, 5000).otherwise(1000))
+    script = F.when(letters > 0, F.least(F.lit(0.3), 1.5 * letters)).otherwise(0.15 * latin)
+    score = length + script + linear(spoilt, 0.15, 0.25) + F.coalesce(linear(empty, 0.3, 0.25), F.lit(0.15))
+    return {"chars": size, "marks": F.regexp_count(text, F.lit(MARK)), "own": letters, "latin": latin, "spoilt": spoilt, "empty": F.coalesce(empty, F.lit(0.0)), "score": F.least(F.lit(1.0), score)}
+
+
+#: What is done with a text: the first row whose condition holds, else the last.
+TEXT_RULES = (
+    ("marks >= {MOST_MARKS} or marks >= {MOST_MARK_SHARE} * chars", "recognise"),
+    ("chars < {LEAST_CHARS}", "recognise"),
+    ("score >= {GOOD_SCORE}", "use"),
+    ("spoilt > 2 * {MOST_SPOILT}", "recognise"),
+    ("score >= {GOOD_SCORE} / 2", "convert"),
+    ("true", "recognise"),
+)
+
+
+def text_actions(rows: DataFrame) -> DataFrame:
+    """Rows of ``chars, marks, score, spoilt`` with ``action``: use the text, convert its file again, or recognise its pages."""
+    bars = {"MOST_MARKS": MOST_MARKS, "MOST_MARK_SHARE": f"{MOST_MARK_SHARE}D", "LEAST_CHARS": LEAST_CHARS, "GOOD_SCORE": f"{GOOD_SCORE}D", "MOST_SPOILT": f"{MOST_SPOILT}D"}
+    return rows.withColumn("action", F.coalesce(*[F.when(F.expr(rule.format(**bars)), action) for rule, action in TEXT_RULES]))
 
 
 def replace_postings(index: DataFrame, new: DataFrame, id_col: str) -> DataFrame:

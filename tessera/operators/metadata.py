@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.text import filled
 
 
-def document_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with category, review state and inclusion flags."""
+def document_rows(docs: DataFrame, labels: DataFrame, removed_at: Column | None = None) -> DataFrame:
+    """Documents with category, review state, inclusion flags and the time of their removal (null: not removed)."""
     known = labels.select(F.col("doc_id"), F.col("quality"), F.col("toxic"))
     status = F.when(F.col("quality") == 1, "reviewed").when(F.col("quality") == 0, "pending").otherwise("registered")
     return docs.join(known, "doc_id", "left").select(
-        "doc_id", "text", "lang", "source", "n_chars", status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("is_excluded"), (F.coalesce("quality", F.lit(0)) == 1).alias("include_in_rag")
+        "doc_id", "text", "lang", "source", "n_chars", status.alias("status"), (F.coalesce("toxic", F.lit(0)) == 1).alias("is_excluded"), (F.coalesce("quality", F.lit(0)) == 1).alias("include_in_rag"),
+        (F.lit(None) if removed_at is None else removed_at).cast("timestamp").alias("removed_at"),
     )
 
 
 def rag_ready() -> Column:
-    return (F.col("status") == "reviewed") & F.col("include_in_rag") & ~F.col("is_excluded")
+    """Reviewed, included, and in the collection."""
+    return (F.col("status") == "reviewed") & F.col("include_in_rag") & active()
 
 
 def active() -> Column:
-    return ~F.col("is_excluded")
+    """Neither excluded nor removed; a document whose exclusion is not known is excluded."""
+    return ~F.coalesce("is_excluded", F.lit(True)) & F.col("removed_at").isNull()
 
 
 def select_documents(rows: DataFrame, sources: Iterable[str] = (), ids: Iterable[int] = (), statuses: Iterable[str] = (), categories: Iterable[str] = ()) -> DataFrame:

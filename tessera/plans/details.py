@@ -226,16 +226,26 @@ def representative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("host", "b.page_id", "b.score")
 
 
+_MARKED = "SELECT doc_id, text || CASE WHEN doc_id % 6 = 0 THEN repeat('(cid:7)', CAST(doc_id % 30 AS INTEGER)) WHEN doc_id % 6 = 1 THEN repeat(chr(65533) || ' ', CAST(doc_id % 700 AS INTEGER)) ELSE '' END AS text FROM documents"
+_SPOILT = "[\\x{FFFD}\\x{FFFE}\\x{FFFF}]|[□■○●◎◇◆△▲▽▼]{3,}|[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}]|[가-힣][a-zA-Z][가-힣][a-zA-Z]|[ㄱ-ㅎㅏ-ㅣ]{5,}"
+_MEASURES = f"""t AS ({_MARKED}), c AS (SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[ \\n\\t]', '', 'g')) AS dense, len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')) AS marks, len(regexp_extract_all(text, '[a-zA-Z]')) AS latin,
+len(regexp_extract_all(text, '{_SPOILT}')) AS bad, len(list_filter(string_split(text, chr(10)), lambda p: length(trim(p, ' ' || chr(9) || chr(13))) < 30)) / len(string_split(text, chr(10))) AS empty FROM t),
+s AS (SELECT *, CASE WHEN dense > 0 THEN bad / dense ELSE 0 END AS spoilt, CASE WHEN dense > 0 THEN latin / dense ELSE 0 END AS letters FROM c),
+m AS (SELECT *, least(1.0, CASE WHEN chars >= 1000 THEN 0.2 WHEN chars >= 100 THEN 0.2 * chars / 1000 ELSE 0.1 * chars / 100 END + 0.15 * letters + CASE WHEN spoilt < 0.15 THEN 0.25 * (1 - spoilt / 0.15) ELSE 0 END + CASE WHEN empty < 0.3 THEN 0.25 * (1 - empty / 0.3) ELSE 0 END) AS score FROM s)"""
+
+
 @query(
-    """WITH m AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '\\(cid:[0-9]+\\)')) AS bad, len(regexp_extract_all(text, '[^A-Za-zÀ-ÖØ-öø-ÿ0-9 .,!?\\n]')) / greatest(length(text), 1) AS g, least(1.0, length(text) / 4000) AS score FROM documents)
-SELECT doc_id, CASE WHEN bad > 0 OR n < 100 THEN 'recognise' WHEN score >= 0.7 THEN 'use' WHEN g > 0.3 THEN 'recognise' WHEN score >= 0.35 THEN 'convert' ELSE 'recognise' END AS action FROM m"""
+    f"""WITH {_MEASURES} SELECT doc_id, marks, round(spoilt, 6) AS spoilt, round(empty, 6) AS empty, round(score, 6) AS score,
+CASE WHEN marks >= 20 OR marks / chars >= 0.005 OR chars < 100 THEN 'recognise' WHEN score >= 0.6 THEN 'use' WHEN spoilt > 0.3 OR score < 0.3 THEN 'recognise' ELSE 'convert' END AS action FROM m"""
 )
 def text_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What to do with each text; its length stands for the score here."""
-    n = F.length("text")
-    garbage = F.regexp_count("text", F.lit("[^A-Za-zÀ-ÖØ-öø-ÿ0-9 .,!?\n]")) / F.greatest(n, F.lit(1))
-    action = D.text_action(F.least(F.lit(1.0), n / 4000), n, F.regexp_count("text", F.lit("\\(cid:[0-9]+\\)")), garbage)
-    return table(spark, sf_dir, "documents").select("doc_id", action.alias("action"))
+    """What to do with each text, by its measures; lines stand for pages, and some texts end in marks of broken fonts or in lost characters."""
+    key = F.col("doc_id")
+    more = F.when(key % 6 == 0, F.repeat(F.lit("(cid:7)"), (key % 30).cast("int"))).when(key % 6 == 1, F.repeat(F.lit("\ufffd "), (key % 700).cast("int"))).otherwise("")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", more).alias("text"))
+    measured = texts.select("doc_id", *[c.alias(n) for n, c in D.text_measures(F.col("text"), F.split("text", "\n")).items()])
+    rounded = [F.round(c, 6).alias(c) for c in ("spoilt", "empty", "score")]
+    return D.text_actions(measured).select("doc_id", F.col("marks").cast("long").alias("marks"), *rounded, "action")
 
 
 _WORDS = "(SELECT item_id, unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS term FROM benchmark)"

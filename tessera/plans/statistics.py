@@ -10,20 +10,22 @@ from ..operators import metadata as M
 from .registry import query, table
 
 META = """WITH meta AS (SELECT d.*, CASE WHEN l.quality = 1 THEN 'reviewed' WHEN l.quality = 0 THEN 'pending' ELSE 'registered' END AS status,
-coalesce(l.toxic, 0) = 1 AS is_excluded, coalesce(l.quality, 0) = 1 AS include_in_rag FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+coalesce(l.toxic, 0) = 1 AS is_excluded, coalesce(l.quality, 0) = 1 AS include_in_rag, CASE WHEN d.doc_id % 11 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS removed_at FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 STATES = ["registered", "pending", "reviewed", "approved"]
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.document_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents with their review state; every eleventh has been removed."""
+    removed = F.when(F.col("doc_id") % 11 == 0, F.lit("2024-01-01 00:00:00"))
+    return M.document_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), removed)
 
 
-@query(f"{META} SELECT doc_id FROM meta WHERE status = 'reviewed' AND include_in_rag AND NOT is_excluded")
+@query(f"{META} SELECT doc_id FROM meta WHERE status = 'reviewed' AND include_in_rag AND NOT is_excluded AND removed_at IS NULL")
 def review_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).filter(M.rag_ready()).select("doc_id")
 
 
-@query(f"{META} SELECT doc_id, status FROM meta WHERE NOT is_excluded")
+@query(f"{META} SELECT doc_id, status FROM meta WHERE NOT is_excluded AND removed_at IS NULL")
 def active_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).filter(M.active()).select("doc_id", "status")
 
@@ -63,7 +65,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.status_counts(rows(spark, sf_dir), "status", STATES)
 
 
-@query(f"{META} SELECT source, count(*) AS total, count(*) FILTER (status = 'reviewed' AND include_in_rag AND NOT is_excluded) AS ready, round(count(*) FILTER (status = 'reviewed' AND include_in_rag AND NOT is_excluded) / count(*), 3) AS ratio FROM meta GROUP BY source")
+@query(f"{META} SELECT source, count(*) AS total, count(*) FILTER (status = 'reviewed' AND include_in_rag AND NOT is_excluded AND removed_at IS NULL) AS ready, round(count(*) FILTER (status = 'reviewed' AND include_in_rag AND NOT is_excluded AND removed_at IS NULL) / count(*), 3) AS ratio FROM meta GROUP BY source")
 def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.source_statistics(rows(spark, sf_dir))
 
