@@ -53,22 +53,40 @@ def k_hop(edges: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 100) -
     return reach(edges, seeds, depth).orderBy("depth", "id").limit(most)
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5, edge_types: Sequence[str] = ()) -> DataFrame:
-    """``step, id`` of a shortest undirected path, the smallest by ids of those; empty if there is none.
-
-    The frontier keeps one path per node, so it never grows beyond the nodes.
+def shortest_path(edges: DataFrame, start: str, end: str, most: int = 5, edge_types: Sequence[str] = (), sizes: list[tuple[str, int]] | None = None) -> DataFrame:
+    """``step, id`` of a shortest undirected path of at most ``most`` edges, the smallest by ids of those; empty if there is none.
+
+    The search goes from both ends, each time where fewer edges leave the frontier, until
+    the two have a node in common.  A frontier keeps for each node the smallest path to its
+    end, so it never grows beyond the nodes; it is written once a level, and one small
+    result a level says how many edges leave it and whether it has met the other.
+    ``sizes`` gets the end and the number of nodes of every frontier that was grown.
     """
     steps = cut(both_ways(edges, edge_types).select("a", "b").distinct())
+    degree = cut(steps.groupBy("a").agg(F.count("*").alias("degree")))
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    frontier = seen
+    seen = {side: spark.createDataFrame([(node, [node])], "id string, path array<string>") for side, node in (("start", start), ("end", end))}
+    frontier, leaving = dict(seen), {side: seen[side].join(degree, F.col("id") == F.col("a")).agg(F.sum("degree")).head()[0] or 0 for side in seen}
+    met = start == end
     for _ in range(most):
-        if frontier.isEmpty() or not seen.filter(F.col("id") == end).isEmpty():
+        side = min(leaving, key=leaving.get)
+        if met or not leaving[side]:
             break
-        grown = frontier.join(steps, frontier.id == steps.a).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        frontier = cut(grown.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen.filter(F.col("id") == end).select(F.posexplode("path").alias("step", "id"))
+        other = "end" if side == "start" else "start"
+        grown = frontier[side].join(steps, F.col("id") == F.col("a"))
+        path = F.concat("path", F.array("b")) if side == "start" else F.concat(F.array("b"), "path")
+        new = grown.select(F.col("b").alias("id"), path.alias("path")).groupBy("id").agg(F.min("path").alias("path"))
+        frontier[side] = cut(new.join(seen[side].select("id"), "id", "left_anti"))
+        seen[side] = seen[side].unionByName(frontier[side])
+        there = frontier[other].select("id", F.lit(1).alias("m"))
+        nodes, common, edges_on = frontier[side].join(there, "id", "left").join(degree, F.col("id") == F.col("a")).agg(F.count("*"), F.count("m"), F.sum("degree")).head()
+        leaving[side] = edges_on or 0
+        if sizes is not None:
+            sizes.append((side, nodes))
+        met = common > 0
+    whole = frontier["start"].select("id", F.col("path").alias("p")).join(frontier["end"].select("id", F.col("path").alias("q")), "id")
+    paths = whole.select(F.concat("p", F.slice("q", 2, F.size("q"))).alias("path")).agg(F.min("path").alias("path")).filter("path is not null")
+    return paths.select(F.posexplode("path").alias("step", "id"))
 
 
 def pattern(edges: DataFrame, nodes: DataFrame, chain: Sequence[tuple[str, str, str]], wanted: int, filters: dict | None = None) -> DataFrame:
