@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, details, discovery, graph, knowledge, retrieval, routing, search, statistics, structure, text, upkeep  # noqa: F401  each registers its queries
+from . import audit, building, details, discovery, graph, knowledge, retrieval, routing, search, statistics, structure, text, upkeep  # noqa: F401  each registers its queries
 from .registry import ORACLE_SQL, QUERIES, Query
 
 __all__ = ["ORACLE_SQL", "QUERIES", "Query"]
