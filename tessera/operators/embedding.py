@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,48 @@ def stand_in(dims: int) -> Embedder:
     return embed
 
 
+def retried(embedder: Embedder, tries: int = 3, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Embedder:
+    """An embedder that asks again after a failure, each time after twice the wait; the last failure is raised."""
+
+    def ask(texts: list[str]) -> np.ndarray:
+        for n in range(tries):
+            try:
+                return embedder(texts)
+            except Exception:
+                if n + 1 == tries:
+                    raise
+                sleep(wait * 2**n)
+        raise ValueError("no tries")
+
+    return ask
+
+
+def with_fallback(embedder: Embedder, other: Embedder) -> Embedder:
+    """An embedder whose place another one takes, for a whole batch, where it fails: rows of one batch never mix models."""
+
+    def ask(texts: list[str]) -> np.ndarray:
+        try:
+            return embedder(texts)
+        except Exception:
+            return other(texts)
+
+    return ask
+
+
+def hashing(dims: int) -> Embedder:
+    """Signed counts of hashed words of unit length; a text without words is the zero vector."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for row, text in zip(out, texts, strict=True):
+            for word in re.findall("[0-9a-z가-힣_]+", text.lower()):
+                digest = hashlib.sha1(word.encode()).hexdigest()
+                row[int(digest[:8], 16) % dims] += 1 if int(digest[8:10], 16) % 2 == 0 else -1
+        return out / np.where((norm := np.sqrt((out * out).sum(1, keepdims=True))) > 0, norm, 1)
+
+    return embed
+
+
 def embed(rows: DataFrame, id_col: str, text_col: str, embedder: Embedder) -> DataFrame:
     """``id, embedding`` of every row; null texts count as empty."""
     key = dict(rows.dtypes)[id_col]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -172,21 +173,20 @@ def visual(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     return kept.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label")).alias("json")).unionByName(inner.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", "type")).alias("json")))
 
 
-#: Fixed words that a read-only graph query may not contain, and what no call may begin with.
-BLOCKED = "create delete detach drop foreach load merge remove set unwind".split()
-BLOCKED_CALLS = "apoc db dbms gds".split()
+#: Fixed words that a read-only graph query may not contain; a procedure is blocked by the beginning of its name.
+BLOCKED = ("create", "merge", "delete", "detach delete", "set", "remove", "drop", "load csv", "call dbms", "call apoc", "call db.", "call gds.", "foreach", "unwind")
 
 
 def read_only(text: str) -> bool:
-    """Whether a pattern query only reads: no blocked word or procedure, comment or second statement, and something to match or return."""
-    import re
-
-    lower = re.sub(r"'[^']*'|\"[^\"]*\"", "''", text.lower()).strip().rstrip(";")
+    """Whether a pattern query only reads: no blocked words, comment or second statement, and something to match or return."""
+    lower = re.sub(r"'[^']*'|\"[^\"]*\"", "''", text.lower()).replace("`", " ").strip().rstrip(";")
     if ";" in lower or "//" in lower or "/*" in lower or "--" in lower.replace("-->", "").replace("<--", ""):
         return False
-    if set(re.findall(r"\bcall\s*`?\s*([a-z]+)", lower)) & set(BLOCKED_CALLS):
-        return False
-    return not set(re.findall(r"[a-z]+", lower)) & set(BLOCKED) and bool(re.search(r"\b(match|return)\b", lower))
+    for words in BLOCKED:
+        pattern = r"\s+".join(re.escape(w.rstrip(".")) for w in words.split()) + (r"\s*\." if words.endswith(".") else "" if words.startswith("call") else r"\b")
+        if re.search(rf"\b{pattern}", lower):
+            return False
+    return bool(re.search(r"\b(match|return)\b", lower)) and not re.search(r"\bdetach\b|\bload\b", lower)
 
 
 def expand_hierarchy(edges: DataFrame, kind: str, ids: Sequence[str], symmetric: bool = True) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import builds, chunking
+from ..operators import builds, chunking, fields, filters, pages, tools
+from ..operators import metadata as M
 from ..operators.tables import shared_folder
 from ..sources import files
-from . import graph
+from . import graph, retrieval
 from .registry import query, table
 from .statistics import META, rows
 
@@ -262,3 +263,114 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").select(lines.alias("value"), "doc_id").repartition(8, "doc_id").write.partitionBy("doc_id").text(folder)
     found = files.page_marker_csv(spark, f"{folder}/*/*.txt")
     return found.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "page_num", "text")
+
+
+# ---- quality of slices, tools, plans by what a question says
+
+
+@query(
+    """WITH d AS (SELECT 'few' AS slice, * FROM documents WHERE doc_id % 2 = 0 AND n_chars < 0 UNION ALL SELECT 'plain', doc_id // 7, NULL, 'en', source, n_chars FROM documents UNION ALL SELECT 'all', * FROM documents),
+s AS (SELECT unnest(['few', 'plain', 'all']) AS slice), a AS (SELECT slice, count(doc_id) AS n, count(DISTINCT source) AS docs, count(DISTINCT lang) AS langs, coalesce(max(CAST(contains(text, chr(10)) AS INT)), 0) AS st,
+coalesce(max(CAST(trim(text) <> '' AS INT)), 0) + coalesce(max(CAST(trim(lang) <> '' AS INT)), 0) + coalesce(max(CAST(trim(source) <> '' AS INT)), 0) AS f, CASE WHEN count(DISTINCT doc_id) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT lang) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END AS k FROM s LEFT JOIN d USING (slice) GROUP BY slice),
+m AS (SELECT slice, round(CASE WHEN docs > 0 THEN least(1.0, n / docs / 10) ELSE 0 END, 6) AS completeness, round(f / 4, 6) AS consistency, round(0.4 * st + CASE WHEN langs >= 3 THEN 0.3 ELSE 0 END, 6) AS structure,
+round(CASE WHEN st = 0 AND k = 0 THEN least(0.2, 0.25 + 0.1 * k + 0.3 * st) ELSE 0.25 + 0.1 * k + 0.3 * st END, 2) AS linkability FROM a)
+SELECT slice, CAST(completeness AS DOUBLE) AS completeness, CAST(consistency AS DOUBLE) AS consistency, CAST(structure AS DOUBLE) AS structure, CAST(linkability AS DOUBLE) AS linkability, round((CAST(completeness AS DOUBLE) + consistency + CAST(structure AS DOUBLE) + CAST(linkability AS DOUBLE)) / 4, 6) AS overall FROM m"""
+)
+def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four measures of three slices: one that is empty, one without texts and with repeated ids, and everything."""
+    docs = table(spark, sf_dir, "documents")
+    plain = docs.select(F.expr("doc_id div 7").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("en").alias("lang"), "source", "n_chars")
+    slices = {"few": docs.filter("doc_id % 2 = 0 and n_chars < 0"), "plain": plain, "all": docs}
+    found = None
+    for name, part in slices.items():
+        one = M.quality_report(part, "source", ["text", "lang", "source", "owner"], ["doc_id", "lang"], "lang", F.contains("text", F.lit("\n")), F.lit(False)).select(F.lit(name).alias("slice"), "*")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣_]+')"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE lang = 'en'), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT unnest(['the', 'thand', 'er']) AS term),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN df USING (term), st GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 10"""
+)
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search tool, called by name."""
+    own = tools.collection_tools({"documents": table(spark, sf_dir, "documents")}, graph.nodes(spark, sf_dir), graph.edges(spark, sf_dir))
+    return own.execute("search_documents", query="The thand, er!", category="en").select("doc_id", F.round("score", 6).alias("score"))
+
+
+INTENTS = [("document", "thand|das "), ("example", "que "), ("requirement", "ung|ment"), ("summary", "tion"), ("section", "and ")]
+_BY_TEXT = "CASE WHEN regexp_matches(text, '(?i)thand|das ') THEN 'document' WHEN regexp_matches(text, '(?i)que ') THEN 'example' WHEN regexp_matches(text, '(?i)ung|ment') THEN 'requirement' WHEN regexp_matches(text, '(?i)tion') THEN 'summary' WHEN regexp_matches(text, '(?i)and ') THEN 'section' ELSE 'general' END AS intent"
+
+
+@query(retrieval._PLAN_SQL.replace("CASE item_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'example' WHEN 2 THEN 'requirement' WHEN 3 THEN 'summary' WHEN 4 THEN 'section' ELSE 'general' END AS intent", _BY_TEXT))
+def search_plan_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and their order from what the question itself says."""
+    lower = F.lower("text")
+    has = lambda w: F.contains(lower, F.lit(w))
+    intent = F.coalesce(builds.first_of(F.col("text"), INTENTS), F.lit("general"))
+    n = sum((F.when(has(w), 1).otherwise(0) for w in ("ing", "que", "th", "er", "on")), F.lit(0))
+    sources, order = filters.search_plan(intent, n, has("que"), has("ing"))
+    return table(spark, sf_dir, "benchmark").select("item_id", intent.alias("intent"), filters.complexity(n).alias("complexity"), sources.alias("sources"), order.alias("run_order"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Issuer: ' || source || chr(10) WHEN 1 THEN 'Owner (' || lang || ')' || chr(10) WHEN 2 THEN '  ' || chr(10) || 'Municipal Office' || chr(10) ELSE '' END || text AS t FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:40] AS l FROM c)
+SELECT doc_id, coalesce(nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '^(?:Issuer|Owner) *[:：] *(.+)$'))[1], '^(?:Issuer|Owner) *[:：] *(.+)$', 1)), ''), nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)'))[1], '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)', 1)), ''),
+nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '([A-Z][a-z]+shsh)'))[1], '([A-Z][a-z]+shsh)', 1)), ''), nullif(regexp_extract(list_filter(l[1:20], lambda x: regexp_matches(x, '^([^0-9:()]{2,50}(?:Office|tion[.]))$'))[1], '^([^0-9:()]{2,50}(?:Office|tion[.]))$', 1), '')) AS organisation FROM l"""
+)
+def line_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organisation that a document's first lines name: by label, in brackets, by pattern, or as a line of its own."""
+    key = F.col("doc_id") % 5
+    lead = F.when(key == 0, F.concat(F.lit("Issuer: "), "source", F.lit("\n"))).when(key == 1, F.concat(F.lit("Owner ("), "lang", F.lit(")\n"))).when(key == 2, "  \nMunicipal Office\n").otherwise("")
+    found = fields.organisation_of_lines(F.concat(lead, "text"), ["Issuer", "Owner"], ["[A-Z][a-z]+shsh"], ["Office", "tion[.]"])
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("organisation"))
+
+
+# ---- pages, keywords, test questions
+
+_PAGED = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 2 THEN '===== [PAGE ' || (i * 3 % 17) || '] =====' || chr(10) WHEN i % 4 = 0 THEN chr(12) ELSE '' END || x), chr(10)) AS t FROM documents"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(replace(t, chr(12), chr(1) || chr(3) || chr(2)), '(={{3,}} *\\[PAGE [0-9]+\\] *={{3,}})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS l FROM ({_PAGED}))),
+b AS (SELECT doc_id, n, CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 1) ELSE '' END AS mark, CASE WHEN contains(part, chr(2)) THEN substr(part, strpos(part, chr(2)) + 1) ELSE part END AS body FROM p),
+s AS (SELECT *, sum(length(mark) + length(body)) OVER (PARTITION BY doc_id ORDER BY n) AS stop, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM b), f AS (SELECT doc_id, n, stop - length(body) AS start, stop, CAST(nullif(regexp_extract(mark, '([0-9]+)', 1), '') AS INTEGER) AS asked, text, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM s WHERE text <> ''),
+g AS (SELECT *, i + greatest(max(coalesce(asked, 0) - i) OVER (PARTITION BY doc_id ORDER BY n), 0) AS page_no FROM f)
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(text) AS digest, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 120 AND NOT regexp_matches(x, '^[0-9. -]+$') AND NOT contains(x, '....') AND NOT contains(x, '|'))[1] AS title,
+CASE WHEN page_no = 1 AND regexp_matches(lower(text), '제안요청서|제안서|보고서|proposal|report') THEN 'cover' WHEN regexp_matches(lower(text), '^[ \\t\\n]*(부록|별첨|appendix|annex)') THEN 'appendix' WHEN regexp_matches(lower(text), '목 *차|차 *례|table of contents|^[ \\t\\n]*contents') THEN 'toc' ELSE 'content' END AS kind FROM g"""
+)
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages between marks and form feeds, numbered on where a mark says less than the page before."""
+    mark = lambda i: F.when((i + 1) % 4 == 2, F.concat(F.lit("===== [PAGE "), ((i + 1) * 3 % 17).cast("string"), F.lit("] =====\n"))).when((i + 1) % 4 == 0, "\f").otherwise("")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(mark(i), x))
+    found = pages.page_rows(table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("t")), "doc_id", "t")
+    return found.select("doc_id", "page_no", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.md5(F.col("text").cast("binary")).alias("digest"), "title", "kind")
+
+
+@query(
+    """WITH k AS (SELECT source AS keyword, 'source' AS category, 2.0 AS weight, 0 AS o FROM documents UNION ALL SELECT CASE WHEN doc_id % 9 = 0 THEN upper(source) ELSE lang END, 'lang', 1.5, 1 FROM documents UNION ALL SELECT CASE WHEN n_chars > 2000 THEN 'long text' WHEN n_chars > 900 THEN 'unknown' ELSE 'x' END, 'kind', 0.8, 2 FROM documents),
+b AS (SELECT lower(keyword) AS key, min(keyword) AS keyword, arg_max(category, weight * 10 - o) AS category, max(weight) AS weight FROM k WHERE length(keyword) >= 2 AND lower(keyword) <> 'unknown' GROUP BY 1)
+SELECT keyword, category, CAST(weight AS DOUBLE) AS weight, CASE WHEN key IN (SELECT lower(source) FROM documents WHERE doc_id % 2 = 0 AND source LIKE 'src1%') THEN 'updated' ELSE 'created' END AS action FROM b"""
+)
+def keyword_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents' fields add to the keywords that exist."""
+    docs = table(spark, sf_dir, "documents")
+    existing = docs.filter("doc_id % 2 = 0 and source like 'src1%'").select(F.upper("source").alias("keyword"))
+    fields_ = docs.select("source", F.when(F.col("doc_id") % 9 == 0, F.upper("source")).otherwise(F.col("lang")).alias("lang"), F.when(F.col("n_chars") > 2000, "long text").when(F.col("n_chars") > 900, "unknown").otherwise("x").alias("kind"))
+    return pages.keyword_changes(fields_, existing, {"source": 2.0, "lang": 1.5, "kind": 0.8}, overwrite=True)
+
+
+@query(
+    """WITH c AS (SELECT 0 AS f, source AS v, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 1, lang, count(*) FROM documents GROUP BY lang), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS r FROM c),
+a AS (SELECT f * 3 + r AS o, CASE f WHEN 0 THEN 'Proposals of ' || v ELSE 'Texts in ' || v END AS question, CASE f WHEN 0 THEN 'source' ELSE 'lang' END AS category, 'dynamic' AS origin FROM r WHERE r <= 3 UNION ALL SELECT * FROM (VALUES (7, 'Texts in en', 'default', 'default'), (8, 'What is new?', 'default', 'default'), (9, 'What is old?', 'default', 'default'))),
+b AS (SELECT question, min(o) AS o, arg_min(category, o) AS category, arg_min(origin, o) AS origin FROM a GROUP BY question) SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS place, question, category, origin FROM b QUALIFY place <= 7"""
+)
+def sample_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test questions about the most frequent sources and languages, filled up with standing ones."""
+    return pages.sample_questions(table(spark, sf_dir, "documents"), {"source": ("Proposals of %s", 3), "lang": ("Texts in %s", 1)}, ["Texts in en", "What is new?", "What is old?"], 7)

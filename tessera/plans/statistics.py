@@ -146,7 +146,7 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT least(1.0, count(*) / greatest(count(DISTINCT source), 1) / 10) AS completeness, 1.0 AS consistency, count(DISTINCT doc_id) / count(*) AS u1, count(DISTINCT lang) / count(*) AS u2 FROM documents),
+    """WITH a AS (SELECT least(1.0, count(*) / greatest(count(DISTINCT source), 1) / 10) AS completeness, (CASE WHEN count(*) FILTER (trim(text) <> '') > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (trim(lang) <> '') > 0 THEN 1 ELSE 0 END + CASE WHEN count(*) FILTER (trim(source) <> '') > 0 THEN 1 ELSE 0 END) / 3 AS consistency, count(DISTINCT doc_id) / count(*) AS u1, count(DISTINCT lang) / count(*) AS u2 FROM documents),
 b AS (SELECT round(completeness, 6) AS completeness, CAST(consistency AS DOUBLE) AS consistency, round(least(0.3, 0.25) + least(0.4, 0.1 * (CASE WHEN u1 > 0.5 THEN 1 ELSE 0 END + CASE WHEN u2 > 0.5 THEN 1 ELSE 0 END)) + 0.3, 2) AS linkability FROM a)
 SELECT CAST(completeness AS DOUBLE) AS completeness, consistency, CAST(linkability AS DOUBLE) AS linkability, round((completeness + consistency + CAST(linkability AS DOUBLE)) / 3, 6) AS overall FROM b"""
 )

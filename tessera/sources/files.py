@@ -171,6 +171,7 @@ def write_vectors(rows: DataFrame, path: str, partition: str | None = None) -> N
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def vector_manifest(rows: DataFrame, document: str) -> DataFrame:
-    """Vectors per document and their dimension."""
-    return rows.groupBy(document).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dims"))
+def vector_manifest(rows: DataFrame, document: str, model: str | None = None) -> DataFrame:
+    """Vectors per document, their dimension, and the model that made them where one is named."""
+    made = rows.groupBy(document).agg(F.count("*").alias("vectors"), F.max(F.size("embedding")).alias("dims"))
+    return made if model is None else made.withColumn("model", F.lit(model))
