@@ -65,3 +65,11 @@ def sha256_hex(data: bytes) -> str:
 def to_batch(columns: dict[str, object], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     """A record batch of plain lists or numpy arrays."""
     return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) for k, t in types.items()], names=list(types))
+
+
+#: crc32 of a value's decimal or other ASCII text, as an unsigned number, in DuckDB's SQL; the value goes in place of ``{0}``.
+CRC_SQL = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: CAST(i AS UBIGINT))), "
+    "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS UBIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS UBIGINT))"
+)

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import CRC_SQL, cut, map_arrow
 
 #: Bytes of a turn's digest in a packed conversation.
 WIDTH = 16
@@ -378,3 +378,24 @@ def trie(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
     names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     out = [F.col(n).cast("string" if n == "ends_sha256" else "long").alias(n) for n in names]
     return inner.select(out).unionByName(outer.select(out)).unionByName(nodes.select(out))
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {CRC_SQL.format('conv_id')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h UNION ALL SELECT c.conv_id, pos, role, text FROM c
+  JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+k AS (SELECT c.conv_id, coalesce(list(md5(role || chr(1) || text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS l,
+  coalesce(list(strlen(text) ORDER BY pos) FILTER (pos IS NOT NULL), []) AS z FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+p AS (SELECT conv_id, d, len(l) AS n, md5(array_to_string(l[1:d], ',')) AS key, CASE WHEN d > 0 THEN md5(array_to_string(l[1:d - 1], ',')) END AS up,
+  CASE WHEN d > 0 THEN z[d] ELSE 0 END AS size, list_transform(range(0, d + 1), lambda e: md5(array_to_string(l[1:e], ','))) AS path
+  FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM k)),
+n AS (SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, any_value(path) AS path,
+  sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY key, d),
+f AS (SELECT up AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY ALL), m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT
+  JOIN f USING (key, d)),
+b AS (SELECT path[e + 1] AS key, e AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, o.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, m.ends_sha256 FROM m JOIN b USING (key, d) LEFT JOIN n o ON o.key = m.up AND o.d = m.d - 1
+"""

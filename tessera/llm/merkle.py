@@ -33,7 +33,7 @@ from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import CRC_SQL, cut
 from .ordering import in_order
 
 ARITY = 3
@@ -220,3 +220,29 @@ def manifest(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return doc_id, leaf.hex(), subroot.hex(), root.hex(), proof, folded, folded == root.hex()
 
     return spark.createDataFrame(descend(strata, told).map(finished), schema, verifySchema=False)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '-')" for x in (*FIELDS[:-1], text)) + ")"
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf,
+  CASE WHEN {CRC_SQL.format('doc_id')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS twin FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree FROM d),
+v(tree, level, place, n, h) AS (SELECT tree, 0, place, n, leaf FROM l UNION ALL SELECT tree, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, ''
+  ORDER BY place)) FROM v WHERE n > 1 GROUP BY tree, level, place // 3, n),
+s AS (SELECT tree, h AS subroot FROM v WHERE n = 1), u(level, place, n, h) AS (SELECT 0, tree - 1, (SELECT count(*) FROM s), subroot FROM s
+  UNION ALL SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place)) FROM u WHERE n > 1 GROUP BY level, place // 3, n),
+top AS (SELECT h AS root FROM u WHERE n = 1),
+w(tree, start, level, place, n, h, proof) AS (SELECT tree, place, 0, place, n, coalesce(twin, leaf), '' FROM l
+  UNION ALL SELECT w.tree, w.start, w.level + 1, w.place // 3, (w.n + 2) // 3, sha256(string_agg(CASE WHEN v.place = w.place THEN w.h ELSE v.h END, '' ORDER BY v.place)),
+any_value(w.proof) || coalesce(string_agg(CASE WHEN v.place <> w.place THEN v.h END, '' ORDER BY v.place), '') FROM w
+  JOIN v ON v.tree = w.tree AND v.level = w.level AND v.place // 3 = w.place // 3 WHERE w.n > 1 GROUP BY w.tree, w.start, w.level, w.place, w.n),
+x(tree, start, level, place, n, h, proof) AS (SELECT tree, start, 0, tree - 1, (SELECT count(*) FROM s), h, proof FROM w WHERE n = 1
+  UNION ALL SELECT x.tree, x.start, x.level + 1, x.place // 3, (x.n + 2) // 3, sha256(string_agg(CASE WHEN u.place = x.place THEN x.h ELSE u.h END, '' ORDER BY u.place)),
+any_value(x.proof) || coalesce(string_agg(CASE WHEN u.place <> x.place THEN u.h END, '' ORDER BY u.place), '') FROM x
+  JOIN u ON u.level = x.level AND u.place // 3 = x.place // 3 WHERE x.n > 1 GROUP BY x.tree, x.start, x.level, x.place, x.n)
+SELECT l.doc_id, l.leaf, s.subroot, top.root, sha256(x.proof) AS proof_sha256, x.h AS folded_root, x.h = top.root AS verified FROM l JOIN s ON s.tree = l.tree
+  JOIN x ON x.tree = l.tree AND x.start = l.place AND x.n = 1, top
+"""

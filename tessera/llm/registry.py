@@ -105,4 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring.REPORT_SQL,
     "op7_decontamination": decontam.REPORT_SQL,
     "op8_line_dedup": linededup.REPORT_SQL,
+    "op11_merkle": merkle.MANIFEST_SQL,
+    "op12_conversation_trie": convtrie.TRIE_SQL,
 }

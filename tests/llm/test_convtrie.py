@@ -126,3 +126,18 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = list(map(tuple, spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()))
     assert sorted(map(tuple, registry.QUERIES["op12_conversation_trie"](spark, sf).collect()), key=str) == brute(rows)
+
+
+def test_twin(spark):
+    import duckdb
+
+    from tessera.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    result = con.execute(registry.ORACLE_SQL["op12_conversation_trie"])
+    made = registry.QUERIES["op12_conversation_trie"](spark, sf)
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(made.columns)
+    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r)) for r in made.select(names).collect())

@@ -117,3 +117,18 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, registry.QUERIES["op11_merkle"](spark, sf).collect()), key=str) == brute(docs)
+
+
+def test_twin(spark):
+    import duckdb
+
+    from tessera.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    result = con.execute(registry.ORACLE_SQL["op11_merkle"])
+    made = registry.QUERIES["op11_merkle"](spark, sf)
+    names = [d[0] for d in result.description]
+    assert sorted(names) == sorted(made.columns)
+    assert sorted(map(str, result.fetchall())) == sorted(str(tuple(r)) for r in made.select(names).collect())
