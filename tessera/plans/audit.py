@@ -37,7 +37,8 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT 'nation' AS field, regexp_replace(lower(n_name), '[^0-9a-z가-힣à-öø-ÿ]', '', 'g') AS e FROM nation UNION SELECT DISTINCT 'segment', regexp_replace(lower(c_mktsegment), '[^0-9a-z가-힣à-öø-ÿ]', '', 'g') FROM customer),
+    """WITH e AS (SELECT DISTINCT 'nation' AS field, regexp_replace(lower(n_name), '[^0-9a-z가-힣à-öø-ÿ]', '', 'g') AS e FROM nation UNION SELECT DISTINCT 'segment',
+regexp_replace(lower(c_mktsegment), '[^0-9a-z가-힣à-öø-ÿ]', '', 'g') FROM customer),
 n AS (SELECT DISTINCT regexp_replace(lower(n_name), '[^0-9a-z가-힣à-öø-ÿ]', '', 'g') AS n FROM nation WHERE n_regionkey < 3)
 SELECT field, count(*) AS entities, count(n) AS covered, round(count(n) / count(*), 6) AS coverage FROM e LEFT JOIN n ON n = e GROUP BY field"""
 )
@@ -50,26 +51,30 @@ def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELDS = ["doc_id", "lang", "source", "n_chars"]
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS field, count({f}) AS n_values, count(DISTINCT {f}) AS n_distinct, round(count(DISTINCT {f}) / count({f}), 6) AS uniqueness, regexp_matches('{f}', '(^|_)(id|key|uid)$') OR count(DISTINCT {f}) / count({f}) > 0.95 AS id_like FROM documents" for f in _FIELDS))
+@query(" UNION ALL ".join(f"""SELECT '{f}' AS field, count({f}) AS n_values, count(DISTINCT {f}) AS n_distinct, round(count(DISTINCT {f}) / count({f}), 6) AS uniqueness,
+regexp_matches('{f}', '(^|_)(id|key|uid)$') OR count(DISTINCT {f}) / count({f}) > 0.95 AS id_like FROM documents""" for f in _FIELDS))
 def structure_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.field_profile(table(spark, sf_dir, "documents"), _FIELDS)
 
 
-@query("SELECT event_id, CASE WHEN value / 100 < 0.5 THEN 'critical' WHEN value / 100 < 0.7 THEN 'warning' WHEN event_type = 'error' THEN 'check' ELSE 'fine' END AS severity FROM events")
+@query("""SELECT event_id, CASE WHEN value / 100 < 0.5 THEN 'critical' WHEN value / 100 < 0.7 THEN 'warning' WHEN event_type = 'error' THEN 'check' ELSE 'fine' END AS severity
+FROM events""")
 def test_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", A.recommendation(F.col("value") / 100, F.col("event_type") != "error").alias("severity"))
 
 
 @query(
     """WITH m AS (SELECT doc_id, regexp_extract_all(text, '20[0-9]{2}') AS y FROM documents), y AS (SELECT doc_id, unnest(y) AS year, generate_subscripts(y, 1) AS k FROM m),
-c AS (SELECT doc_id, year, count(*) AS n, min(k) AS k FROM y GROUP BY doc_id, year) SELECT doc_id, arg_max(year, n * 1000000 - k) AS year, round(least(0.5 + 0.1 * max(n), 0.9), 2)::DOUBLE AS confidence FROM c GROUP BY doc_id"""
+c AS (SELECT doc_id, year, count(*) AS n, min(k) AS k FROM y GROUP BY doc_id, year) SELECT doc_id, arg_max(year, n * 1000000 - k) AS year, round(least(0.5 + 0.1 *
+max(n), 0.9), 2)::DOUBLE AS confidence FROM c GROUP BY doc_id"""
 )
 def majority_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.majority_year(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
 @query(
-    """WITH s AS (SELECT doc_id, source, lang, n_chars, CASE WHEN contains(lower(text), 'licensed') THEN 5 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 2 ELSE 1 END AS score FROM documents)
+    """WITH s AS (SELECT doc_id, source, lang, n_chars, CASE WHEN contains(lower(text), 'licensed') THEN 5 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 2 ELSE 1 END AS score
+FROM documents)
 SELECT source, lang, doc_id, score AS pick_score FROM s QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, n_chars DESC, doc_id) = 1"""
 )
 def representative_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +88,8 @@ def weight_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT doc_id, source, n_chars > 5000 AS master, CASE WHEN n_chars > 3000 THEN lang END AS org FROM documents), m AS (SELECT source, min(org) AS o FROM r WHERE master GROUP BY source)
+    """WITH r AS (SELECT doc_id, source, n_chars > 5000 AS master, CASE WHEN n_chars > 3000 THEN lang END AS org FROM documents), m AS (SELECT source, min(org) AS o FROM r
+WHERE master GROUP BY source)
 SELECT doc_id, coalesce(org, o) AS org FROM r LEFT JOIN m ON m.source = r.source"""
 )
 def metadata_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +98,10 @@ def metadata_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_nationkey AS project, min(CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey END) AS rfp, coalesce(string_agg(CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST(c_custkey AS VARCHAR) END, ',' ORDER BY c_custkey), '') AS proposals,
-coalesce(string_agg(CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN CAST(c_custkey AS VARCHAR) END, ',' ORDER BY c_custkey), '') AS deliverables FROM customer GROUP BY c_nationkey"""
+    """SELECT c_nationkey AS project, min(CASE WHEN c_mktsegment = 'BUILDING' THEN c_custkey END) AS rfp, coalesce(string_agg(CASE WHEN c_mktsegment = 'MACHINERY' THEN
+CAST(c_custkey AS VARCHAR) END, ',' ORDER BY c_custkey), '') AS proposals,
+coalesce(string_agg(CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN CAST(c_custkey AS VARCHAR) END, ',' ORDER BY c_custkey), '') AS deliverables
+FROM customer GROUP BY c_nationkey"""
 )
 def project_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("c_mktsegment") == "BUILDING", "rfp").when(F.col("c_mktsegment") == "MACHINERY", "proposal").otherwise("deliverable")
@@ -101,12 +109,16 @@ def project_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.chain_groups(rows, "project", "role", "id")
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(h, '(부|처|청|시|도|군|구|공사|공단)$') THEN 'public' WHEN regexp_matches(h, '(?i)(대학교|대학|university)$') THEN 'university' WHEN regexp_matches(h, '(?i)(주식회사|inc\\.?|ltd\\.?|gmbh|corp\\.?|\\.com)$') THEN 'company' ELSE 'other' END AS kind FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS h FROM pages)")
+@query("""SELECT page_id, CASE WHEN regexp_matches(h, '(부|처|청|시|도|군|구|공사|공단)$') THEN 'public' WHEN regexp_matches(h, '(?i)(대학교|대학|university)$') THEN 'university' WHEN
+regexp_matches(h, '(?i)(주식회사|inc\\.?|ltd\\.?|gmbh|corp\\.?|\\.com)$') THEN 'company' ELSE 'other' END AS kind FROM (SELECT page_id,
+regexp_extract(url, '//([^/]+)', 1) AS h FROM pages)""")
 def organisation_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", A.organisation_type(F.regexp_extract("url", "//([^/]+)", 1)).alias("kind"))
 
 
-@query("SELECT page_id, round(CASE WHEN regexp_matches(t, '^[0-9]{4,8}[. _-]') THEN 0.35 ELSE 0 END + CASE WHEN length(t) BETWEEN 10 AND 60 THEN 0.3 ELSE 0.2 END + CASE WHEN regexp_matches(lower(t), 'project|system|구축|사업|시스템') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(t, '^[A-Za-z가-힣]') THEN 0.15 ELSE 0 END, 4)::DOUBLE AS confidence FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
+@query("""SELECT page_id, round(CASE WHEN regexp_matches(t, '^[0-9]{4,8}[. _-]') THEN 0.35 ELSE 0 END + CASE WHEN length(t) BETWEEN 10 AND 60 THEN 0.3 ELSE 0.2 END + CASE WHEN
+regexp_matches(lower(t), 'project|system|구축|사업|시스템') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(t, '^[A-Za-z가-힣]') THEN 0.15 ELSE 0 END, 4)::DOUBLE AS confidence
+FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)""")
 def folder_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.round(A.folder_confidence(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), 4).alias("confidence"))
 
@@ -117,15 +129,20 @@ def entity_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), t AS (SELECT doc_id, k, trim(regexp_replace(trim(x), '^([0-9]+[.)]|[-*•])[ ]+', '')) AS y FROM l),
-f AS (SELECT doc_id, y, min(k) AS k FROM t WHERE y <> '' AND NOT regexp_matches(y, '^(={3,}|-{3,}|/[A-Za-z]|[A-Z]:\\\\)|@|[0-9]{2,4}[-. ][0-9]{3,4}[-. ][0-9]{4}') GROUP BY doc_id, y), j AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY k) AS c FROM f GROUP BY doc_id)
+    """WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+t AS (SELECT doc_id, k, trim(regexp_replace(trim(x), '^([0-9]+[.)]|[-*•])[ ]+', '')) AS y FROM l),
+f AS (SELECT doc_id, y, min(k) AS k FROM t WHERE y <> '' AND NOT regexp_matches(y, '^(={3,}|-{3,}|/[A-Za-z]|[A-Z]:\\\\)|@|[0-9]{2,4}[-. ][0-9]{3,4}[-. ][0-9]{4}')
+GROUP BY doc_id, y), j AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY k) AS c FROM f GROUP BY doc_id)
 SELECT d.doc_id, md5(coalesce(c, '')) AS digest FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id"""
 )
 def structured_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(A.clean_lines(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query("WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,.;:/()\\n|]+'), lambda x: trim(x)), lambda x: len(x) BETWEEN 2 AND 40) AS ks FROM documents), w AS (SELECT doc_id, unnest(ks) AS w, generate_subscripts(ks, 1) AS p FROM k), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY ALL), g AS (SELECT doc_id, count(*) AS n, string_agg(w, '|' ORDER BY p) AS j FROM f GROUP BY doc_id) SELECT k.doc_id, coalesce(n, 0) AS n_keywords, md5(coalesce(j, '')) AS digest FROM k LEFT JOIN g ON g.doc_id = k.doc_id")
+@query("""WITH k AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,.;:/()\\n|]+'), lambda x: trim(x)), lambda x: len(x) BETWEEN 2 AND 40) AS ks
+FROM documents), w AS (SELECT doc_id, unnest(ks) AS w, generate_subscripts(ks, 1) AS p FROM k), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY ALL),
+g AS (SELECT doc_id, count(*) AS n, string_agg(w, '|' ORDER BY p) AS j FROM f GROUP BY doc_id) SELECT k.doc_id,
+coalesce(n, 0) AS n_keywords, md5(coalesce(j, '')) AS digest FROM k LEFT JOIN g ON g.doc_id = k.doc_id""")
 def section_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct keyword parts, all of them here; the operator's default keeps the first twelve."""
     found = A.keywords(F.col("text"), 1_000_000)
@@ -139,7 +156,8 @@ def compound_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v, (SELECT e FROM v WHERE vec_id = 0) q)
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v, (SELECT e
+FROM v WHERE vec_id = 0) q)
 SELECT vec_id, round(score, 6) AS score FROM s WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY s.score DESC, vec_id LIMIT 20"""
 )
 def allow_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,14 +169,16 @@ def allow_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(hits, 20, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY ALL) SELECT doc_id, count(*) AS n_first, md5(string_agg(w, ' ' ORDER BY p)) AS digest FROM f GROUP BY doc_id")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents), f AS (SELECT doc_id, w, min(p) AS p
+FROM w GROUP BY ALL) SELECT doc_id, count(*) AS n_first, md5(string_agg(w, ' ' ORDER BY p)) AS digest FROM f GROUP BY doc_id""")
 def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with repeats dropped, in the order of their first places."""
     words = F.array_distinct(F.split("text", " "))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_first"), F.md5(F.array_join(words, " ").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, source || '|' || lang AS tags FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'manual|' || source || '|' || lang FROM documents WHERE lang = 'en'")
+@query("""SELECT doc_id, source || '|' || lang AS tags FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'manual|' || source || '|' || lang FROM documents
+WHERE lang = 'en'""")
 def tag_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual tags stay, generated ones follow."""
     manual = F.when(F.col("lang") == "en", F.array(F.lit("manual"))).otherwise(F.array().cast("array<string>"))
@@ -172,7 +192,9 @@ def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("label <> 2").select(F.lit("old").alias("origin"), "vec_id").unionByName(rows.filter("label = 2").select(F.lit("new").alias("origin"), "vec_id"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(t, '(\\.{4,}[^\\n]*\\n?){2}') THEN 'toc' WHEN regexp_matches(lower(t), 'appendix|annex|부록|별첨') THEN 'appendix' WHEN page_id % 5 = 0 AND length(t) < 300 THEN 'cover' ELSE 'content' END AS kind, contains(html, '<table') AS has_table, contains(html, '<img') AS has_image FROM (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages)")
+@query("""SELECT page_id, CASE WHEN regexp_matches(t, '(\\.{4,}[^\\n]*\\n?){2}') THEN 'toc' WHEN regexp_matches(lower(t), 'appendix|annex|부록|별첨') THEN 'appendix'
+WHEN page_id % 5 = 0 AND length(t) < 300 THEN 'cover' ELSE 'content' END AS kind, contains(html, '<table') AS has_table, contains(html, '<img') AS has_image
+FROM (SELECT page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM pages)""")
 def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page kind and flags; every fifth page counts as a first page here."""
     from ..operators.chunking import page_kind
@@ -204,7 +226,8 @@ def search_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").agg(F.count("*").alias("turns"), F.count_if(has).alias("with_label"), F.round(F.count_if(has) / F.count("*"), 6).alias("rate"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 'no_text' WHEN length(text) < 500 THEN 'short' WHEN l.quality = 0 THEN 'low_score' ELSE 'ok' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("""SELECT doc_id, CASE WHEN length(text) = 0 THEN 'no_text' WHEN length(text) < 500 THEN 'short' WHEN l.quality = 0 THEN 'low_score' ELSE 'ok' END AS reason FROM documents d
+LEFT JOIN labels l USING (doc_id)""")
 def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered rejects of an extraction report."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")

@@ -20,10 +20,13 @@ from .statistics import META, rows
 
 _STAGES = ["identity", "text", "lines", "chunks", "labels", "review", "vectors", "language", "archive"]
 _STATES = f"""{META}, f AS (SELECT m.*, e.vec_id FROM meta m LEFT JOIN embeddings e ON e.vec_id = m.doc_id),
-c AS (SELECT source, count(*) AS total, count(*) AS identity, count(*) FILTER (n_chars > 0) AS text, count(*) FILTER (contains(text, chr(10))) AS lines, count(*) FILTER (n_chars >= 500) AS chunks, count(*) FILTER (status <> 'registered') AS labels,
-count(*) FILTER (status = 'reviewed') AS review, count(vec_id) AS vectors, count(*) FILTER (lang IS NOT NULL) AS language, count(*) FILTER (n_chars < 0) AS archive FROM f GROUP BY source),
+c AS (SELECT source, count(*) AS total, count(*) AS identity, count(*) FILTER (n_chars > 0) AS text, count(*) FILTER (contains(text, chr(10))) AS lines,
+count(*) FILTER (n_chars >= 500) AS chunks, count(*) FILTER (status <> 'registered') AS labels,
+count(*) FILTER (status = 'reviewed') AS review, count(vec_id) AS vectors, count(*) FILTER (lang IS NOT NULL) AS language, count(*) FILTER (n_chars < 0) AS archive FROM f
+GROUP BY source),
 s AS (UNPIVOT c ON {', '.join(_STAGES)} INTO NAME stage VALUE complete),
-t AS (SELECT source, stage, complete, total, CASE WHEN complete >= total THEN 'ready' WHEN complete > 0 THEN 'partial' WHEN stage = 'archive' THEN 'empty' ELSE 'missing' END AS state FROM s)"""
+t AS (SELECT source, stage, complete, total, CASE WHEN complete >= total THEN 'ready' WHEN complete > 0 THEN 'partial'
+WHEN stage = 'archive' THEN 'empty' ELSE 'missing' END AS state FROM s)"""
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,15 +41,19 @@ def build_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states(spark, sf_dir)
 
 
-@query(f"{_STATES} SELECT source, count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'missing') AS missing, min(stage) FILTER (state NOT IN ('ready', 'empty')) AS first_open FROM t GROUP BY source")
+@query(f"""{_STATES} SELECT source, count(*) FILTER (state = 'ready') AS ready, count(*) FILTER (state = 'partial') AS partial, count(*) FILTER (state = 'missing') AS missing,
+min(stage) FILTER (state NOT IN ('ready', 'empty')) AS first_open FROM t GROUP BY source""")
 def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return builds.build_state(states(spark, sf_dir), "source")
 
 
 @query(
-    """WITH s AS (SELECT 'v' || doc_id % 3 AS snapshot, count(*) AS documents, sum(n_chars) / 1048576 AS megabytes, count(vec_id) AS vectors FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY 1),
-m AS (SELECT 'documents' AS measure, CAST(documents AS DOUBLE) AS v, snapshot FROM s UNION ALL SELECT 'megabytes', megabytes, snapshot FROM s UNION ALL SELECT 'vectors', vectors, snapshot FROM s),
-p AS (SELECT measure, max(v) FILTER (snapshot = 'v0') AS one, max(v) FILTER (snapshot = 'v1') AS two FROM m GROUP BY measure) SELECT measure, round(one, 6) AS one, round(two, 6) AS two, round(two - one, 6) AS diff, CASE WHEN one <> 0 THEN round(100 * (two - one) / one, 2) END AS percent FROM p"""
+    """WITH s AS (SELECT 'v' || doc_id % 3 AS snapshot, count(*) AS documents, sum(n_chars) / 1048576 AS megabytes, count(vec_id) AS vectors FROM documents LEFT
+JOIN embeddings ON vec_id = doc_id GROUP BY 1),
+m AS (SELECT 'documents' AS measure, CAST(documents AS DOUBLE) AS v, snapshot FROM s UNION ALL SELECT 'megabytes', megabytes, snapshot FROM s UNION ALL
+SELECT 'vectors', vectors, snapshot FROM s),
+p AS (SELECT measure, max(v) FILTER (snapshot = 'v0') AS one, max(v) FILTER (snapshot = 'v1') AS two FROM m GROUP BY measure) SELECT measure, round(one, 6) AS one,
+round(two, 6) AS two, round(two - one, 6) AS diff, CASE WHEN one <> 0 THEN round(100 * (two - one) / one, 2) END AS percent FROM p"""
 )
 def snapshot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id")
@@ -59,13 +66,15 @@ def snapshot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- chains and values
 
 
-@query("SELECT o.o_custkey, f.src, o.o_orderkey AS dst FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS src FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) f USING (o_custkey) WHERE o.o_orderkey <> f.src")
+@query("""SELECT o.o_custkey, f.src, o.o_orderkey AS dst FROM orders o JOIN (SELECT o_custkey, min(o_orderkey) AS src FROM orders WHERE o_orderpriority = '1-URGENT'
+GROUP BY o_custkey) f USING (o_custkey) WHERE o.o_orderkey <> f.src""")
 def chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each customer's first urgent order to all of its other orders."""
     return builds.head_edges(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", "1-URGENT", "o_orderkey")
 
 
-@query("SELECT 'customer:' || c_custkey AS id, c_name AS label, row_number() OVER (ORDER BY max(year(o_orderdate)) DESC NULLS LAST, 'customer:' || c_custkey) AS place FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY c_custkey, c_name QUALIFY place <= 20")
+@query("""SELECT 'customer:' || c_custkey AS id, c_name AS label, row_number() OVER (ORDER BY max(year(o_orderdate)) DESC NULLS LAST, 'customer:' || c_custkey) AS place
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY c_custkey, c_name QUALIFY place <= 20""")
 def projects_of_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of the nation that is also called ``the third``, those with the latest orders first."""
     third = table(spark, sf_dir, "nation").filter("n_nationkey = 3").head()["n_name"]
@@ -85,8 +94,10 @@ _RELATION = "(?s)(.+?)(?: of | de | der )(.+)"
 
 
 @query(
-    f"""WITH q AS (SELECT item_id, text, regexp_matches(text, '(?i){_RELATION}') AS related, regexp_extract(text, '(?i){_RELATION}', 1) AS a, regexp_extract(text, '(?i){_RELATION}', 2) AS b FROM benchmark)
-SELECT item_id, nullif(regexp_extract(text, '(?i)(an[a-z]+ing)', 1), '') AS organisation, CASE WHEN regexp_matches(text, '(?i)ing ') THEN 'build' WHEN regexp_matches(text, '(?i)ent') THEN 'study' END AS project_type,
+    f"""WITH q AS (SELECT item_id, text, regexp_matches(text, '(?i){_RELATION}') AS related, regexp_extract(text, '(?i){_RELATION}', 1) AS a,
+regexp_extract(text, '(?i){_RELATION}', 2) AS b FROM benchmark)
+SELECT item_id, nullif(regexp_extract(text, '(?i)(an[a-z]+ing)', 1), '') AS organisation, CASE WHEN regexp_matches(text, '(?i)ing ') THEN 'build' WHEN
+regexp_matches(text, '(?i)ent') THEN 'study' END AS project_type,
 CASE WHEN related THEN {_KIND.format('a')} END AS source_kind, CASE WHEN related THEN {_KIND.format('b')} ELSE {_KIND.format('text')} END AS target_kind FROM q"""
 )
 def compound_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +114,13 @@ HINTS = [
 
 @query(
     """WITH p AS (SELECT item_id, regexp_replace(lower(text), '[ \\t\\r\\n]+', '', 'g') AS t FROM benchmark),
-h AS (SELECT item_id, t, CASE WHEN contains(t, 'the') AND contains(t, 'of') THEN 'english' WHEN contains(t, 'que') THEN 'romance' END AS g, CASE WHEN contains(t, 'tion') AND contains(t, 'ing') THEN 'building' WHEN contains(t, 'ent') THEN 'study' END AS p, CASE WHEN contains(t, 'er') THEN 'er' END AS o FROM p),
-l AS (SELECT *, list_concat(CASE g WHEN 'english' THEN ['thetexts', 'of'] WHEN 'romance' THEN ['que'] ELSE [] END, CASE p WHEN 'building' THEN ['tion', 'ing', 'x'] WHEN 'study' THEN ['ent'] ELSE [] END, CASE o WHEN 'er' THEN ['er', 'thetexts'] ELSE [] END, CASE WHEN contains(t, 'and') THEN ['and'] ELSE [] END) AS l FROM h),
+h AS (SELECT item_id, t, CASE WHEN contains(t, 'the') AND contains(t, 'of') THEN 'english' WHEN contains(t, 'que') THEN 'romance' END AS g, CASE WHEN contains(t, 'tion')
+AND contains(t, 'ing') THEN 'building' WHEN contains(t, 'ent') THEN 'study' END AS p, CASE WHEN contains(t, 'er') THEN 'er' END AS o FROM p),
+l AS (SELECT *, list_concat(CASE g WHEN 'english' THEN ['thetexts', 'of'] WHEN 'romance' THEN ['que'] ELSE [] END, CASE p WHEN 'building' THEN ['tion', 'ing', 'x']
+WHEN 'study' THEN ['ent'] ELSE [] END, CASE o WHEN 'er' THEN ['er', 'thetexts'] ELSE [] END, CASE WHEN contains(t, 'and') THEN ['and'] ELSE [] END) AS l FROM h),
 u AS (SELECT item_id, g, p, o, list_filter(l, lambda x, i: length(x) >= 2 AND x <> 'of' AND list_position(l, x) = i) AS k FROM l)
-SELECT item_id, array_to_string(list_filter([CASE WHEN g IS NOT NULL THEN 'document_group=' || g END, CASE WHEN p IS NOT NULL THEN 'project_type=' || p END, CASE WHEN o IS NOT NULL THEN 'topic=' || o END], lambda x: x IS NOT NULL), ';') AS hints, array_to_string(k[1:8], ',') AS terms FROM u"""
+SELECT item_id, array_to_string(list_filter([CASE WHEN g IS NOT NULL THEN 'document_group=' || g END, CASE WHEN p IS NOT NULL THEN 'project_type=' || p END, CASE
+WHEN o IS NOT NULL THEN 'topic=' || o END], lambda x: x IS NOT NULL), ';') AS hints, array_to_string(k[1:8], ',') AS terms FROM u"""
 )
 def question_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints, terms = builds.question_hints(F.col("text"), HINTS, ["of"], ["and"])
@@ -119,8 +133,10 @@ SECOND = {"this": ["such"], "auch": ["zudem"], "que": ["qui", "dont"]}
 
 @query(
     """WITH s(step, k, v, n) AS (VALUES (1, 'the', 'this', 1), (1, 'the', 'that', 2), (1, 'und', 'auch', 1), (2, 'this', 'such', 1), (2, 'auch', 'zudem', 1), (2, 'que', 'qui', 1), (2, 'que', 'dont', 2)), w AS (SELECT item_id, text, list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS ws FROM benchmark),
-x AS (SELECT item_id, string_agg(v, ' ' ORDER BY k, n) AS more FROM w JOIN s ON step = 1 AND list_contains(ws, k) AND NOT contains(lower(text), v) GROUP BY item_id), a AS (SELECT w.item_id, CASE WHEN more IS NOT NULL THEN text || ' ' || more ELSE text END AS text FROM w LEFT JOIN x ON x.item_id = w.item_id),
-b AS (SELECT item_id, text, list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS ws FROM a), y AS (SELECT item_id, string_agg(v, ' ' ORDER BY k, n) AS more FROM b JOIN s ON step = 2 AND list_contains(ws, k) AND NOT contains(lower(text), v) GROUP BY item_id)
+x AS (SELECT item_id, string_agg(v, ' ' ORDER BY k, n) AS more FROM w JOIN s ON step = 1 AND list_contains(ws, k) AND NOT contains(lower(text), v) GROUP BY item_id),
+a AS (SELECT w.item_id, CASE WHEN more IS NOT NULL THEN text || ' ' || more ELSE text END AS text FROM w LEFT JOIN x ON x.item_id = w.item_id),
+b AS (SELECT item_id, text, list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS ws FROM a), y AS (SELECT item_id, string_agg(v, ' ' ORDER BY k, n) AS more
+FROM b JOIN s ON step = 2 AND list_contains(ws, k) AND NOT contains(lower(text), v) GROUP BY item_id)
 SELECT b.item_id, CASE WHEN more IS NOT NULL THEN text || ' ' || more ELSE text END AS expanded FROM b LEFT JOIN y ON y.item_id = b.item_id"""
 )
 def query_expand_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,11 +149,13 @@ def query_expand_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIGITS = "list_reduce(list_transform(string_split(left(sha256({0}), 8), ''), lambda c: CAST(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, b: a * 16 + b)"
 _VECTOR = """{0} AS (SELECT *, CAST(seed AS BIGINT) AS s0 FROM ({1})), {0}_v AS (SELECT *, [(s1 / 2147483647.0) * 2 - 1, (s2 / 2147483647.0) * 2 - 1, (s3 / 2147483647.0) * 2 - 1, (s4 / 2147483647.0) * 2 - 1] AS raw FROM
-(SELECT *, (s3 * 1103515245 + 12345) % 2147483648 AS s4 FROM (SELECT *, (s2 * 1103515245 + 12345) % 2147483648 AS s3 FROM (SELECT *, (s1 * 1103515245 + 12345) % 2147483648 AS s2 FROM (SELECT *, (s0 * 1103515245 + 12345) % 2147483648 AS s1 FROM {0}))))),
+(SELECT *, (s3 * 1103515245 + 12345) % 2147483648 AS s4 FROM (SELECT *, (s2 * 1103515245 + 12345) % 2147483648 AS s3
+FROM (SELECT *, (s1 * 1103515245 + 12345) % 2147483648 AS s2 FROM (SELECT *, (s0 * 1103515245 + 12345) % 2147483648 AS s1 FROM {0}))))),
 {0}_u AS (SELECT *, list_transform(raw, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(raw, lambda y: CAST(y AS DOUBLE) * y)))) AS vec FROM {0}_v)"""
 
 
-@query(f"WITH {_VECTOR.format('t', 'SELECT item_id, ' + _DIGITS.format('text') + ' AS seed FROM benchmark')} SELECT item_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) AS value FROM t_u")
+@query(f"""WITH {_VECTOR.format('t', 'SELECT item_id, ' + _DIGITS.format('text') + ' AS seed FROM benchmark')} SELECT item_id,
+CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS dim, round(unnest(vec), 6) AS value FROM t_u""")
 def stand_in_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test vectors that follow from a text's digest, made within the row."""
     vector = builds.stand_in_vector(F.col("text"), 4)
@@ -145,12 +163,16 @@ def stand_in_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH w AS (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) AS n, length(text) AS size FROM (SELECT item_id, text, regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+') AS l FROM benchmark)),
+    f"""WITH w AS (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) AS n, length(text) AS size FROM (SELECT item_id, text,
+regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+') AS l FROM benchmark)),
 e AS (SELECT item_id, n, size, trim(w, ' ' || chr(9) || chr(10) || chr(13)) AS word, sum(length(w)) OVER (PARTITION BY item_id ORDER BY n) AS b FROM w),
-{_VECTOR.format('t', 'SELECT item_id, size, b - length(word) AS a, b, ' + _DIGITS.format('word') + ' AS seed FROM e')}, x AS (SELECT item_id, size, a, b, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM t_u),
+{_VECTOR.format('t', 'SELECT item_id, size, b - length(word) AS a, b, ' + _DIGITS.format('word') + ' AS seed FROM e')},
+x AS (SELECT item_id, size, a, b, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM t_u),
 h AS (SELECT item_id, dim, avg(x) AS whole FROM x GROUP BY ALL), c AS (SELECT item_id, length(text) AS size, unnest([0, 1]) AS chunk_index FROM benchmark),
-o AS (SELECT c.item_id, chunk_index, dim, avg(x) AS own FROM c JOIN x ON x.item_id = c.item_id AND a < CASE chunk_index WHEN 0 THEN c.size // 2 ELSE c.size END AND b > CASE chunk_index WHEN 0 THEN 0 ELSE c.size // 2 END GROUP BY ALL)
-SELECT c.item_id, CAST(c.chunk_index AS INTEGER) AS chunk_index, CAST(h.dim AS INTEGER) AS dim, round(coalesce(0.65 * own + 0.35 * whole, whole), 6) AS value FROM c JOIN h ON h.item_id = c.item_id LEFT JOIN o ON o.item_id = c.item_id AND o.chunk_index = c.chunk_index AND o.dim = h.dim"""
+o AS (SELECT c.item_id, chunk_index, dim, avg(x) AS own FROM c JOIN x ON x.item_id = c.item_id AND a < CASE chunk_index WHEN 0 THEN c.size // 2 ELSE c.size END AND b >
+CASE chunk_index WHEN 0 THEN 0 ELSE c.size // 2 END GROUP BY ALL)
+SELECT c.item_id, CAST(c.chunk_index AS INTEGER) AS chunk_index, CAST(h.dim AS INTEGER) AS dim, round(coalesce(0.65 * own + 0.35 * whole, whole), 6) AS value FROM c
+JOIN h ON h.item_id = c.item_id LEFT JOIN o ON o.item_id = c.item_id AND o.chunk_index = c.chunk_index AND o.dim = h.dim"""
 )
 def late_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both halves of each passage, pooled from one encoding of the whole."""
@@ -165,9 +187,13 @@ def late_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 THEN ' SFR-' || lpad(CAST(i % 90 + 10 AS VARCHAR), 3, '0') || ' ' ELSE '' END || x), chr(10)) AS t FROM documents),
-p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '(?m)^ *([A-Z]{2,4}-[0-9]{2,3})', chr(1) || '\\1' || chr(2), 'g'), chr(1))) AS part FROM t), b AS (SELECT doc_id, split_part(part, chr(2), 1) AS req_id, trim(substr(part, length(part) - strpos(reverse(part), chr(2)) + 2), ' ') AS body FROM p WHERE contains(part, chr(2)))
-SELECT doc_id, req_id, split_part(req_id, '-', 1) AS prefix, md5(body) AS body, CAST(CASE WHEN regexp_matches(lower(body), 'must|필수|상') THEN 1.3 WHEN regexp_matches(lower(body), 'optional|선택') THEN 0.7 ELSE 1.0 END AS DOUBLE) AS boost FROM b"""
+    """WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE
+WHEN i % 3 = 1 THEN ' SFR-' || lpad(CAST(i % 90 + 10 AS VARCHAR), 3, '0') || ' ' ELSE '' END || x), chr(10)) AS t FROM documents),
+p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '(?m)^ *([A-Z]{2,4}-[0-9]{2,3})', chr(1) || '\\1' || chr(2), 'g'), chr(1))) AS part FROM t),
+b AS (SELECT doc_id, split_part(part, chr(2), 1) AS req_id, trim(substr(part, length(part) - strpos(reverse(part), chr(2)) + 2), ' ') AS body FROM p
+WHERE contains(part, chr(2)))
+SELECT doc_id, req_id, split_part(req_id, '-', 1) AS prefix, md5(body) AS body, CAST(CASE WHEN regexp_matches(lower(body), 'must|필수|상') THEN 1.3 WHEN
+regexp_matches(lower(body), 'optional|선택') THEN 0.7 ELSE 1.0 END AS DOUBLE) AS boost FROM b"""
 )
 def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that a requirement's id opens; every third line of a text has one."""
@@ -178,7 +204,8 @@ def requirement_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT page_id, string_split('01. ' || lang || '/2024' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '. ' || host || '/' || page_id || '.html', '/') AS p FROM (SELECT page_id, regexp_extract(html, 'lang="([a-z]+)"', 1) AS lang, regexp_extract(url, '//([^/]+)', 1) AS host FROM pages))
-SELECT page_id, CASE regexp_replace(p[1], '^[0-9]+[. ]+', '') WHEN 'fr' THEN 'french' ELSE regexp_replace(p[1], '^[0-9]+[. ]+', '') END AS category, p[2] AS section, list_filter(p, lambda x: regexp_matches(x, '^[0-9]{4,8}[. ]'))[1] AS project FROM p"""
+SELECT page_id, CASE regexp_replace(p[1], '^[0-9]+[. ]+', '') WHEN 'fr' THEN 'french' ELSE regexp_replace(p[1], '^[0-9]+[. ]+', '') END AS category, p[2] AS section,
+list_filter(p, lambda x: regexp_matches(x, '^[0-9]{4,8}[. ]'))[1] AS project FROM p"""
 )
 def path_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang, host = F.regexp_extract("html", 'lang="([a-z]+)"', 1), F.regexp_extract("url", "//([^/]+)", 1)
@@ -237,7 +264,8 @@ def vector_table_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.vector_manifest(spark.read.parquet(folder), "label")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(source) <> '' THEN source WHEN doc_id % 2 = 0 THEN lang ELSE left(text, 20) END AS text, CAST(CASE WHEN doc_id % 3 = 0 AND trim(source) <> '' THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS artifact FROM documents")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(source) <> '' THEN source WHEN doc_id % 2 = 0 THEN lang ELSE left(text, 20) END AS text, CAST(CASE WHEN doc_id % 3 = 0
+AND trim(source) <> '' THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS artifact FROM documents""")
 def text_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first text of three tables of artifacts."""
     docs = table(spark, sf_dir, "documents")
@@ -269,12 +297,19 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT 'few' AS slice, * FROM documents WHERE doc_id % 2 = 0 AND n_chars < 0 UNION ALL SELECT 'plain', doc_id // 7, NULL, 'en', source, n_chars FROM documents UNION ALL SELECT 'all', * FROM documents),
-s AS (SELECT unnest(['few', 'plain', 'all']) AS slice), a AS (SELECT slice, count(doc_id) AS n, count(DISTINCT source) AS docs, count(DISTINCT lang) AS langs, coalesce(max(CAST(contains(text, chr(10)) AS INT)), 0) AS st,
-coalesce(max(CAST(trim(text) <> '' AS INT)), 0) + coalesce(max(CAST(trim(lang) <> '' AS INT)), 0) + coalesce(max(CAST(trim(source) <> '' AS INT)), 0) AS f, CASE WHEN count(DISTINCT doc_id) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT lang) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END AS k FROM s LEFT JOIN d USING (slice) GROUP BY slice),
-m AS (SELECT slice, round(CASE WHEN docs > 0 THEN least(1.0, n / docs / 10) ELSE 0 END, 6) AS completeness, round(f / 4, 6) AS consistency, round(0.4 * st + CASE WHEN langs >= 3 THEN 0.3 ELSE 0 END, 6) AS structure,
+    """WITH d AS (SELECT 'few' AS slice, * FROM documents WHERE doc_id % 2 = 0 AND n_chars < 0 UNION ALL SELECT 'plain', doc_id // 7, NULL, 'en', source, n_chars FROM documents
+UNION ALL SELECT 'all', * FROM documents),
+s AS (SELECT unnest(['few', 'plain', 'all']) AS slice), a AS (SELECT slice, count(doc_id) AS n, count(DISTINCT source) AS docs, count(DISTINCT lang) AS langs,
+coalesce(max(CAST(contains(text, chr(10)) AS INT)), 0) AS st,
+coalesce(max(CAST(trim(text) <> '' AS INT)), 0) + coalesce(max(CAST(trim(lang) <> '' AS INT)), 0) + coalesce(max(CAST(trim(source) <> '' AS INT)), 0) AS f, CASE WHEN
+count(DISTINCT doc_id) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END + CASE WHEN count(DISTINCT lang) / greatest(count(doc_id), 1) > 0.5 THEN 1 ELSE 0 END AS k
+FROM s LEFT JOIN d USING (slice) GROUP BY slice),
+m AS (SELECT slice, round(CASE WHEN docs > 0 THEN least(1.0, n / docs / 10) ELSE 0 END, 6) AS completeness, round(f / 4, 6) AS consistency, round(0.4 * st + CASE
+WHEN langs >= 3 THEN 0.3 ELSE 0 END, 6) AS structure,
 round(CASE WHEN st = 0 AND k = 0 THEN least(0.2, 0.25 + 0.1 * k + 0.3 * st) ELSE 0.25 + 0.1 * k + 0.3 * st END, 2) AS linkability FROM a)
-SELECT slice, CAST(completeness AS DOUBLE) AS completeness, CAST(consistency AS DOUBLE) AS consistency, CAST(structure AS DOUBLE) AS structure, CAST(linkability AS DOUBLE) AS linkability, round((CAST(completeness AS DOUBLE) + consistency + CAST(structure AS DOUBLE) + CAST(linkability AS DOUBLE)) / 4, 6) AS overall FROM m"""
+SELECT slice, CAST(completeness AS DOUBLE) AS completeness, CAST(consistency AS DOUBLE) AS consistency, CAST(structure AS DOUBLE) AS structure,
+CAST(linkability AS DOUBLE) AS linkability, round((CAST(completeness AS DOUBLE) + consistency + CAST(structure AS DOUBLE) +
+CAST(linkability AS DOUBLE)) / 4, 6) AS overall FROM m"""
 )
 def quality_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four measures of three slices: one that is empty, one without texts and with repeated ids, and everything."""
@@ -292,9 +327,12 @@ _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z가-힣_]+')"
 
 
 @query(
-    f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE lang = 'en'), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), q AS (SELECT unnest(['the', 'thand', 'er']) AS term),
-p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM w) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-s AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN df USING (term), st GROUP BY doc_id)
+    f"""WITH w AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE lang = 'en'), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+q AS (SELECT unnest(['the', 'thand', 'er']) AS term),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, unnest(w) AS term, len(w) AS dl FROM w) WHERE term IN (SELECT term FROM q)
+GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM p JOIN df USING (term), st
+GROUP BY doc_id)
 SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, doc_id LIMIT 10"""
 )
 def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +345,7 @@ INTENTS = [("document", "thand|das "), ("example", "que "), ("requirement", "ung
 _BY_TEXT = "CASE WHEN regexp_matches(text, '(?i)thand|das ') THEN 'document' WHEN regexp_matches(text, '(?i)que ') THEN 'example' WHEN regexp_matches(text, '(?i)ung|ment') THEN 'requirement' WHEN regexp_matches(text, '(?i)tion') THEN 'summary' WHEN regexp_matches(text, '(?i)and ') THEN 'section' ELSE 'general' END AS intent"
 
 
-@query(retrieval._PLAN_SQL.replace("CASE item_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'example' WHEN 2 THEN 'requirement' WHEN 3 THEN 'summary' WHEN 4 THEN 'section' ELSE 'general' END AS intent", _BY_TEXT))
+@query(retrieval._PLAN.replace("INTENT_OF_ROW", _BY_TEXT))
 def search_plan_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources and their order from what the question itself says."""
     lower = F.lower("text")
@@ -319,9 +357,12 @@ def search_plan_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Issuer: ' || source || chr(10) WHEN 1 THEN 'Owner (' || lang || ')' || chr(10) WHEN 2 THEN '  ' || chr(10) || 'Municipal Office' || chr(10) ELSE '' END || text AS t FROM documents),
+    """WITH c AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Issuer: ' || source || chr(10) WHEN 1 THEN 'Owner (' || lang || ')' || chr(10)
+WHEN 2 THEN '  ' || chr(10) || 'Municipal Office' || chr(10) ELSE '' END || text AS t FROM documents),
 l AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:40] AS l FROM c)
-SELECT doc_id, coalesce(nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '^(?:Issuer|Owner) *[:：] *(.+)$'))[1], '^(?:Issuer|Owner) *[:：] *(.+)$', 1)), ''), nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)'))[1], '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)', 1)), ''),
+SELECT doc_id, coalesce(nullif(trim(regexp_extract(list_filter(l, lambda x:
+regexp_matches(x, '^(?:Issuer|Owner) *[:：] *(.+)$'))[1], '^(?:Issuer|Owner) *[:：] *(.+)$', 1)), ''), nullif(trim(regexp_extract(list_filter(l, lambda x:
+regexp_matches(x, '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)'))[1], '^(?:Issuer|Owner) *\\( *([^)]+?) *\\)', 1)), ''),
 nullif(trim(regexp_extract(list_filter(l, lambda x: regexp_matches(x, '([A-Z][a-z]+shsh)'))[1], '([A-Z][a-z]+shsh)', 1)), ''), nullif(regexp_extract(list_filter(l[1:20], lambda x: regexp_matches(x, '^([^0-9:()]{2,50}(?:Office|tion[.]))$'))[1], '^([^0-9:()]{2,50}(?:Office|tion[.]))$', 1), '')) AS organisation FROM l"""
 )
 def line_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,16 +375,25 @@ def line_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- pages, keywords, test questions
 
-_PAGED = "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 2 THEN '===== [PAGE ' || (i * 3 % 17) || '] =====' || chr(10) WHEN i % 4 = 0 THEN chr(12) ELSE '' END || x), chr(10)) AS t FROM documents"
+_PAGED = """SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 2 THEN '===== [PAGE ' || (i * 3 % 17) || '] =====' || chr(10)
+WHEN i % 4 = 0 THEN chr(12) ELSE '' END || x), chr(10)) AS t FROM documents"""
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(replace(t, chr(12), chr(1) || chr(3) || chr(2)), '(={{3,}} *\\[PAGE [0-9]+\\] *={{3,}})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS l FROM ({_PAGED}))),
-b AS (SELECT doc_id, n, CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 1) ELSE '' END AS mark, CASE WHEN contains(part, chr(2)) THEN substr(part, strpos(part, chr(2)) + 1) ELSE part END AS body FROM p),
-s AS (SELECT *, sum(length(mark) + length(body)) OVER (PARTITION BY doc_id ORDER BY n) AS stop, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM b), f AS (SELECT doc_id, n, stop - length(body) AS start, stop, CAST(nullif(regexp_extract(mark, '([0-9]+)', 1), '') AS INTEGER) AS asked, text, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM s WHERE text <> ''),
+    f"""WITH p AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS n
+FROM (SELECT doc_id, string_split(regexp_replace(replace(t, chr(12), chr(1) || chr(3) || chr(2)), '(={{3,}} *\\[PAGE [0-9]+\\] *={{3,}})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS l FROM ({_PAGED}))),
+b AS (SELECT doc_id, n, CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 1) ELSE '' END AS mark, CASE
+WHEN contains(part, chr(2)) THEN substr(part, strpos(part, chr(2)) + 1) ELSE part END AS body FROM p),
+s AS (SELECT *, sum(length(mark) + length(body)) OVER (PARTITION BY doc_id ORDER BY n) AS stop, trim(body, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM b),
+f AS (SELECT doc_id, n, stop - length(body) AS start, stop, CAST(nullif(regexp_extract(mark, '([0-9]+)', 1), '') AS INTEGER) AS asked, text,
+row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i FROM s WHERE text <> ''),
 g AS (SELECT *, i + greatest(max(coalesce(asked, 0) - i) OVER (PARTITION BY doc_id ORDER BY n), 0) AS page_no FROM f)
-SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(text) AS digest, list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 120 AND NOT regexp_matches(x, '^[0-9. -]+$') AND NOT contains(x, '....') AND NOT contains(x, '|'))[1] AS title,
-CASE WHEN page_no = 1 AND regexp_matches(lower(text), '제안요청서|제안서|보고서|proposal|report') THEN 'cover' WHEN regexp_matches(lower(text), '^[ \\t\\n]*(부록|별첨|appendix|annex)') THEN 'appendix' WHEN regexp_matches(lower(text), '목 *차|차 *례|table of contents|^[ \\t\\n]*contents') THEN 'toc' ELSE 'content' END AS kind FROM g"""
+SELECT doc_id, CAST(page_no AS INTEGER) AS page_no, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, md5(text) AS digest,
+list_filter(list_transform(string_split(text, chr(10))[1:5], lambda x: trim(x)), lambda x: length(x) BETWEEN 4 AND 120 AND NOT regexp_matches(x, '^[0-9. -]+$')
+AND NOT contains(x, '....') AND NOT contains(x, '|'))[1] AS title,
+CASE WHEN page_no = 1 AND regexp_matches(lower(text), '제안요청서|제안서|보고서|proposal|report') THEN 'cover' WHEN
+regexp_matches(lower(text), '^[ \\t\\n]*(부록|별첨|appendix|annex)') THEN 'appendix' WHEN
+regexp_matches(lower(text), '목 *차|차 *례|table of contents|^[ \\t\\n]*contents') THEN 'toc' ELSE 'content' END AS kind FROM g"""
 )
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages between marks and form feeds, numbered on where a mark says less than the page before."""
@@ -354,9 +404,13 @@ def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT source AS keyword, 'source' AS category, 2.0 AS weight, 0 AS o FROM documents UNION ALL SELECT CASE WHEN doc_id % 9 = 0 THEN upper(source) ELSE lang END, 'lang', 1.5, 1 FROM documents UNION ALL SELECT CASE WHEN n_chars > 2000 THEN 'long text' WHEN n_chars > 900 THEN 'unknown' ELSE 'x' END, 'kind', 0.8, 2 FROM documents),
-b AS (SELECT lower(keyword) AS key, min(keyword) AS keyword, arg_max(category, weight * 10 - o) AS category, max(weight) AS weight FROM k WHERE length(keyword) >= 2 AND lower(keyword) <> 'unknown' GROUP BY 1)
-SELECT keyword, category, CAST(weight AS DOUBLE) AS weight, CASE WHEN key IN (SELECT lower(source) FROM documents WHERE doc_id % 2 = 0 AND source LIKE 'src1%') THEN 'updated' ELSE 'created' END AS action FROM b"""
+    """WITH k AS (SELECT source AS keyword, 'source' AS category, 2.0 AS weight, 0 AS o FROM documents UNION ALL SELECT CASE
+WHEN doc_id % 9 = 0 THEN upper(source) ELSE lang END, 'lang', 1.5, 1 FROM documents UNION ALL SELECT CASE WHEN n_chars > 2000 THEN 'long text'
+WHEN n_chars > 900 THEN 'unknown' ELSE 'x' END, 'kind', 0.8, 2 FROM documents),
+b AS (SELECT lower(keyword) AS key, min(keyword) AS keyword, arg_max(category, weight * 10 - o) AS category, max(weight) AS weight FROM k WHERE length(keyword) >= 2
+AND lower(keyword) <> 'unknown' GROUP BY 1)
+SELECT keyword, category, CAST(weight AS DOUBLE) AS weight, CASE WHEN key IN (SELECT lower(source) FROM documents WHERE doc_id % 2 = 0
+AND source LIKE 'src1%') THEN 'updated' ELSE 'created' END AS action FROM b"""
 )
 def keyword_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents' fields add to the keywords that exist."""
@@ -367,9 +421,13 @@ def keyword_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT 0 AS f, source AS v, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 1, lang, count(*) FROM documents GROUP BY lang), r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS r FROM c),
-a AS (SELECT f * 3 + r AS o, CASE f WHEN 0 THEN 'Proposals of ' || v ELSE 'Texts in ' || v END AS question, CASE f WHEN 0 THEN 'source' ELSE 'lang' END AS category, 'dynamic' AS origin FROM r WHERE r <= 3 UNION ALL SELECT * FROM (VALUES (7, 'Texts in en', 'default', 'default'), (8, 'What is new?', 'default', 'default'), (9, 'What is old?', 'default', 'default'))),
-b AS (SELECT question, min(o) AS o, arg_min(category, o) AS category, arg_min(origin, o) AS origin FROM a GROUP BY question) SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS place, question, category, origin FROM b QUALIFY place <= 7"""
+    """WITH c AS (SELECT 0 AS f, source AS v, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 1, lang, count(*) FROM documents GROUP BY lang), r AS (SELECT *,
+row_number() OVER (PARTITION BY f ORDER BY n DESC, v) AS r FROM c),
+a AS (SELECT f * 3 + r AS o, CASE f WHEN 0 THEN 'Proposals of ' || v ELSE 'Texts in ' || v END AS question, CASE f
+WHEN 0 THEN 'source' ELSE 'lang' END AS category, 'dynamic' AS origin FROM r WHERE r <= 3 UNION ALL SELECT *
+FROM (VALUES (7, 'Texts in en', 'default', 'default'), (8, 'What is new?', 'default', 'default'), (9, 'What is old?', 'default', 'default'))),
+b AS (SELECT question, min(o) AS o, arg_min(category, o) AS category, arg_min(origin, o) AS origin FROM a GROUP BY question) SELECT
+CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS place, question, category, origin FROM b QUALIFY place <= 7"""
 )
 def sample_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test questions about the most frequent sources and languages, filled up with standing ones."""

@@ -17,9 +17,11 @@ RELATIONS = {"organisation": "ISSUED_BY", "technology": "USES_TECH", "method": "
 # The dictionary: the long words of the benchmark passages are forms, words with the same beginning are one term, and the
 # terms with the same two first letters have the first of them as their parent.
 _DICTIONARY = f"""f AS (SELECT DISTINCT w AS form FROM (SELECT unnest(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+')) AS w FROM benchmark) WHERE length(w) >= 7),
-c AS (SELECT DISTINCT 'T:' || left(form, 4) AS canonical, [{', '.join(f"'{x}'" for x in LAYERS)}][CAST(ascii(substr(form, 2, 1)) % 6 AS INTEGER) + 1] AS layer, form FROM f),
+c AS (SELECT DISTINCT 'T:' || left(form, 4) AS canonical, [{', '.join(f"'{x}'" for x in LAYERS)}][CAST(ascii(substr(form, 2, 1)) % 6 AS INTEGER) + 1] AS layer, form
+FROM f),
 d AS (SELECT *, min(canonical) OVER (PARTITION BY layer, left(canonical, 4)) AS parent FROM c),
-t AS (SELECT doc_id, lower(text) AS t FROM documents), hits AS (SELECT doc_id, layer, canonical, min(strpos(t, form) - 1) AS first, count(*) AS forms FROM t JOIN d ON contains(t, form) GROUP BY ALL)"""
+t AS (SELECT doc_id, lower(text) AS t FROM documents), hits AS (SELECT doc_id, layer, canonical, min(strpos(t, form) - 1) AS first, count(*) AS forms FROM t
+JOIN d ON contains(t, form) GROUP BY ALL)"""
 
 
 def words_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +41,12 @@ def dictionary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RELATION = "CASE layer " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RELATIONS.items()) + " END"
-_GRAPH = f"""WITH {_DICTIONARY}, used AS (SELECT DISTINCT layer, canonical FROM hits), up AS (SELECT DISTINCT u.layer, d.parent, u.canonical FROM used u JOIN d USING (layer, canonical) WHERE layer = 'technology' AND parent <> canonical),
-edges AS (SELECT 'document:' || doc_id AS src, layer || ':' || lower(canonical) AS dst, {_RELATION} AS type FROM hits UNION ALL SELECT layer || ':' || lower(parent), layer || ':' || lower(canonical), 'PARENT_TECH' FROM up),
-nodes AS (SELECT layer || ':' || lower(canonical) AS id, layer AS type, canonical AS label FROM (SELECT * FROM used UNION SELECT layer, parent FROM up) UNION ALL SELECT DISTINCT 'document:' || doc_id, 'document', CAST(doc_id AS VARCHAR) FROM hits)"""
+_GRAPH = f"""WITH {_DICTIONARY}, used AS (SELECT DISTINCT layer, canonical FROM hits), up AS (SELECT DISTINCT u.layer, d.parent, u.canonical FROM used u
+JOIN d USING (layer, canonical) WHERE layer = 'technology' AND parent <> canonical),
+edges AS (SELECT 'document:' || doc_id AS src, layer || ':' || lower(canonical) AS dst, {_RELATION} AS type FROM hits UNION ALL
+SELECT layer || ':' || lower(parent), layer || ':' || lower(canonical), 'PARENT_TECH' FROM up),
+nodes AS (SELECT layer || ':' || lower(canonical) AS id, layer AS type, canonical AS label FROM (SELECT * FROM used UNION SELECT layer, parent FROM up) UNION ALL
+SELECT DISTINCT 'document:' || doc_id, 'document', CAST(doc_id AS VARCHAR) FROM hits)"""
 
 
 def dictionary_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +70,8 @@ _PROJECTS = """p AS (SELECT c_custkey AS item, CASE WHEN c_custkey % 3 = 0 THEN
 f AS (SELECT o_custkey AS item, list_sort(list_distinct(list(o_orderpriority || year(o_orderdate) % 2))) AS s FROM orders GROUP BY 1),
 q AS (SELECT p.*, f.s FROM p LEFT JOIN f USING (item)),
 pairs AS (SELECT x.item AS a, y.item AS b, CASE WHEN x.org <> '' AND x.org = y.org THEN 'organisation'
-WHEN x.org = '' AND y.org = '' AND ((x.kind = 'FURNITURE' AND y.kind IN ('BUILDING', 'MACHINERY')) OR (y.kind = 'FURNITURE' AND x.kind IN ('BUILDING', 'MACHINERY'))) THEN 'sequence'
+WHEN x.org = '' AND y.org = '' AND ((x.kind = 'FURNITURE' AND y.kind IN ('BUILDING', 'MACHINERY')) OR (y.kind = 'FURNITURE'
+AND x.kind IN ('BUILDING', 'MACHINERY'))) THEN 'sequence'
 WHEN len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) >= 0.6 THEN 'composition' END AS rule FROM q x JOIN q y ON x.item <> y.item)"""
 
 
@@ -78,7 +84,8 @@ def projects(spark: SparkSession, sf_dir: str) -> Similar:
 
 
 @query(
-    f"""WITH {_PROJECTS} SELECT q.item, count(*) FILTER (rule = 'organisation') AS by_organisation, count(*) FILTER (rule = 'sequence') AS by_sequence, count(*) FILTER (rule = 'composition') AS by_composition
+    f"""WITH {_PROJECTS} SELECT q.item, count(*) FILTER (rule = 'organisation') AS by_organisation, count(*) FILTER (rule = 'sequence') AS by_sequence,
+count(*) FILTER (rule = 'composition') AS by_composition
 FROM q LEFT JOIN pairs ON pairs.a = q.item GROUP BY q.item"""
 )
 def similar_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +100,10 @@ _COLUMNS = {
 }
 _ALL = [(t, *c.split(":")) for t, cs in _COLUMNS.items() for c in cs.split()]
 _INCLUDED = " UNION ALL ".join(
-    f"SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column, (SELECT count(DISTINCT {cc}) FROM {ct}) AS n_child, (SELECT count(*) FROM {pt}) AS n_parent, {cc.split('_', 1)[1] == pc.split('_', 1)[1]} AS same_name "
-    f"WHERE (SELECT count(*) = count(DISTINCT {pc}) FROM {pt}) AND NOT EXISTS (SELECT {cc} FROM {ct} WHERE {cc} IS NOT NULL EXCEPT SELECT {pc} FROM {pt}) AND EXISTS (SELECT 1 FROM {ct} WHERE {cc} IS NOT NULL)"
+    f"""SELECT '{ct}' AS child_table, '{cc}' AS child_column, '{pt}' AS parent_table, '{pc}' AS parent_column, (SELECT count(DISTINCT {cc}) FROM {ct}) AS n_child, (SELECT
+count(*) FROM {pt}) AS n_parent, {cc.split('_', 1)[1] == pc.split('_', 1)[1]} AS same_name """
+    f"""WHERE (SELECT count(*) = count(DISTINCT {pc}) FROM {pt}) AND NOT EXISTS (SELECT {cc} FROM {ct} WHERE {cc} IS NOT NULL EXCEPT SELECT {pc} FROM {pt}) AND EXISTS (SELECT 1
+FROM {ct} WHERE {cc} IS NOT NULL)"""
     for ct, cc, ck in _ALL
     for pt, pc, pk in _ALL
     if ck == pk and (ct, cc) != (pt, pc)

@@ -56,15 +56,19 @@ def graph_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbours(edges(spark, sf_dir), nodes(spark, sf_dir), "nation:3").select("id", "type", "label", "edge_type")
 
 
-@query(f"{GRAPH}, w(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN both_ways b ON b.a = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM w GROUP BY id ORDER BY min(depth), id LIMIT 100")
+@query(f"""{GRAPH}, w(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN both_ways b ON b.a = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth
+FROM w GROUP BY id ORDER BY min(depth), id LIMIT 100""")
 def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = spark.createDataFrame([("customer:1",)], "id string")
     return G.k_hop(edges(spark, sf_dir), seeds, 3, 100)
 
 
 @query(
-    f"""{GRAPH}, w(id, path, depth) AS (SELECT 'customer:1', ['customer:1'], 0 UNION ALL SELECT b.b, list_append(w.path, b.b), w.depth + 1 FROM w JOIN (SELECT DISTINCT a, b FROM both_ways) b ON b.a = w.id WHERE w.depth < 4 AND NOT list_contains(w.path, b.b) AND (w.depth <> 1 OR b.b LIKE 'region:%') AND (w.depth <> 2 OR b.b LIKE 'nation:%')),
-p AS (SELECT path FROM w WHERE id = (SELECT 'customer:' || min(y.c_custkey) FROM customer x JOIN nation n ON n.n_nationkey = x.c_nationkey JOIN nation m ON m.n_regionkey = n.n_regionkey AND m.n_nationkey <> n.n_nationkey JOIN customer y ON y.c_nationkey = m.n_nationkey WHERE x.c_custkey = 1) ORDER BY depth, path LIMIT 1) SELECT CAST(unnest(generate_series(0, len(path) - 1)) AS INTEGER) AS step, unnest(path) AS id FROM p"""
+    f"""{GRAPH}, w(id, path, depth) AS (SELECT 'customer:1', ['customer:1'], 0 UNION ALL SELECT b.b, list_append(w.path, b.b), w.depth + 1 FROM w JOIN (SELECT DISTINCT a, b
+FROM both_ways) b ON b.a = w.id WHERE w.depth < 4 AND NOT list_contains(w.path, b.b) AND (w.depth <> 1 OR b.b LIKE 'region:%') AND (w.depth <> 2 OR b.b LIKE 'nation:%')),
+p AS (SELECT path FROM w WHERE id = (SELECT 'customer:' || min(y.c_custkey) FROM customer x JOIN nation n ON n.n_nationkey = x.c_nationkey
+JOIN nation m ON m.n_regionkey = n.n_regionkey AND m.n_nationkey <> n.n_nationkey JOIN customer y ON y.c_nationkey = m.n_nationkey WHERE x.c_custkey = 1)
+ORDER BY depth, path LIMIT 1) SELECT CAST(unnest(generate_series(0, len(path) - 1)) AS INTEGER) AS step, unnest(path) AS id FROM p"""
 )
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first customer to the first one of another nation in the same region, over both nations and the region."""
@@ -74,13 +78,16 @@ def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.shortest_path(edges(spark, sf_dir), "customer:1", f"customer:{other}", 5)
 
 
-@query(f"{GRAPH}, w(id, depth) AS (SELECT 'region:0', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN both_ways b ON b.a = w.id WHERE w.depth < 5) SELECT CAST(depth AS INTEGER) AS step, id FROM w WHERE id = 'region:1'")
+@query(f"""{GRAPH}, w(id, depth) AS (SELECT 'region:0', 0 UNION SELECT b.b, w.depth + 1 FROM w JOIN both_ways b ON b.a = w.id WHERE w.depth < 5) SELECT
+CAST(depth AS INTEGER) AS step, id FROM w WHERE id = 'region:1'""")
 def graph_path_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions are not linked: there is no path between two of them over nations."""
     return G.shortest_path(edges(spark, sf_dir), "region:0", "region:1", 5)
 
 
-@query(f"{GRAPH} SELECT DISTINCT c.id, c.label FROM nodes c JOIN edges e ON e.src = c.id AND e.type = 'IN_NATION' JOIN nodes n ON n.id = e.dst AND n.type = 'nation' JOIN edges f ON f.src = n.id AND f.type = 'IN_REGION' JOIN nodes r ON r.id = f.dst AND r.type = 'region' WHERE c.type = 'supplier' AND r.label = (SELECT r_name FROM region WHERE r_regionkey = 1)")
+@query(f"""{GRAPH} SELECT DISTINCT c.id, c.label FROM nodes c JOIN edges e ON e.src = c.id AND e.type = 'IN_NATION' JOIN nodes n ON n.id = e.dst AND n.type = 'nation'
+JOIN edges f ON f.src = n.id AND f.type = 'IN_REGION' JOIN nodes r ON r.id = f.dst AND r.type = 'region' WHERE c.type = 'supplier' AND r.label = (SELECT r_name
+FROM region WHERE r_regionkey = 1)""")
 def graph_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "region").filter("r_regionkey = 1").select(F.col("r_name").alias("label"))
     own = nodes(spark, sf_dir)
@@ -99,7 +106,8 @@ def edges_by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(F.col("src") == "nation:5", F.col("dst")).otherwise(F.col("src")).alias("id"))
 
 
-_PT = "pt AS (SELECT DISTINCT n.n_nationkey AS item, o.o_orderpriority AS feature FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey JOIN orders o ON o.o_custkey = c.c_custkey)"
+_PT = """pt AS (SELECT DISTINCT n.n_nationkey AS item, o.o_orderpriority AS feature FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
+JOIN orders o ON o.o_custkey = c.c_custkey)"""
 
 
 def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +127,9 @@ def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("item", "feature").distinct()
 
 
-@query(f"WITH {_PD}, z AS (SELECT item, count(*) AS n FROM pt GROUP BY item), s AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM pt x JOIN pt y ON x.feature = y.feature AND x.item < y.item GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 6) AS score FROM s JOIN z p ON p.item = a JOIN z q ON q.item = b WHERE k / (p.n + q.n - k) >= 0.13")
+@query(f"""WITH {_PD}, z AS (SELECT item, count(*) AS n FROM pt GROUP BY item), s AS (SELECT x.item AS a, y.item AS b, count(*) AS k FROM pt x JOIN pt y ON x.feature = y.feature
+AND x.item < y.item GROUP BY 1, 2) SELECT a, b, round(k / (p.n + q.n - k), 6) AS score FROM s JOIN z p ON p.item = a JOIN z q ON q.item = b
+WHERE k / (p.n + q.n - k) >= 0.13""")
 def similar_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.similar_by_sets(order_days(spark, sf_dir), "item", "feature", 0.13).select("a", "b", F.round("score", 6).alias("score"))
 
@@ -129,18 +139,21 @@ def same_organisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.same_value(table(spark, sf_dir, "nation").withColumn("org", F.col("n_regionkey").cast("string")), "n_nationkey", "org", 0.8)
 
 
-@query(f"WITH {_PT} SELECT item, 'all' AS how FROM pt WHERE feature IN ('1-URGENT', '2-HIGH') GROUP BY item HAVING count(DISTINCT feature) = 2 UNION ALL SELECT DISTINCT item, 'any' FROM pt WHERE feature IN ('1-URGENT', '2-HIGH')")
+@query(f"""WITH {_PT} SELECT item, 'all' AS how FROM pt WHERE feature IN ('1-URGENT', '2-HIGH') GROUP BY item HAVING count(DISTINCT feature) = 2 UNION ALL
+SELECT DISTINCT item, 'any' FROM pt WHERE feature IN ('1-URGENT', '2-HIGH')""")
 def tech_and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, wanted = priorities(spark, sf_dir), ["1-URGENT", "2-HIGH"]
     return G.has_all(pairs, "item", "feature", wanted).withColumn("how", F.lit("all")).unionByName(G.has_any(pairs, "item", "feature", wanted).withColumn("how", F.lit("any")))
 
 
-@query("SELECT * FROM (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL")
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey AS src, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS dst FROM orders)
+WHERE dst IS NOT NULL""")
 def doc_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.sequence_edges(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderpriority", "o_orderkey"], "o_orderkey")
 
 
-@query("SELECT CASE WHEN x.n_nationkey = 4 THEN y.n_nationkey ELSE x.n_nationkey END AS id FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_nationkey < y.n_nationkey WHERE x.n_nationkey = 4 OR y.n_nationkey = 4 ORDER BY 1 LIMIT 3")
+@query("""SELECT CASE WHEN x.n_nationkey = 4 THEN y.n_nationkey ELSE x.n_nationkey END AS id FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey
+AND x.n_nationkey < y.n_nationkey WHERE x.n_nationkey = 4 OR y.n_nationkey = 4 ORDER BY 1 LIMIT 3""")
 def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of either direction, best first."""
     found = same_organisation(spark, sf_dir)

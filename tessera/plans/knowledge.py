@@ -38,7 +38,8 @@ def knowledge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_LAYERS}, n AS (SELECT e.src AS id, v.type AS kind, v.label FROM edges e JOIN nodes v ON v.id = e.dst)
 SELECT d.id, array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (kind = 'source'), []))), ',') AS source, array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (kind = 'language'), []))), ',') AS language,
-array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (kind = 'term'), []))), ',') AS term FROM (SELECT id FROM nodes WHERE type = 'document') d LEFT JOIN n ON n.id = d.id GROUP BY d.id"""
+array_to_string(list_sort(list_distinct(coalesce(list(label) FILTER (kind = 'term'), []))), ',') AS term FROM (SELECT id FROM nodes WHERE type = 'document') d LEFT
+JOIN n ON n.id = d.id GROUP BY d.id"""
 )
 def document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's neighbours by type."""
@@ -48,7 +49,8 @@ def document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", *[F.array_join(k, ",").alias(k) for k in kinds])
 
 
-@query("SELECT o_custkey, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderkey) AS INTEGER) AS place FROM orders")
+@query("""SELECT o_custkey, o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 1
+WHEN '3-MEDIUM' THEN 2 ELSE 3 END, o_orderkey) AS INTEGER) AS place FROM orders""")
 def doc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders as a chain of kinds."""
     return K.chains(table(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", {"1-URGENT": 1, "3-MEDIUM": 2}, "o_orderkey")
@@ -61,13 +63,15 @@ def best_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey", "s_nationkey", "s_name")
 
 
-@query(f"WITH {_BEST} SELECT b.s_suppkey, s.s_suppkey AS related, CAST(row_number() OVER (PARTITION BY b.s_suppkey ORDER BY s.s_suppkey) AS INTEGER) AS place FROM best b JOIN supplier s ON s.s_nationkey = b.s_nationkey AND s.s_suppkey <> b.s_suppkey QUALIFY place <= 5")
+@query(f"""WITH {_BEST} SELECT b.s_suppkey, s.s_suppkey AS related, CAST(row_number() OVER (PARTITION BY b.s_suppkey ORDER BY s.s_suppkey) AS INTEGER) AS place FROM best b
+JOIN supplier s ON s.s_nationkey = b.s_nationkey AND s.s_suppkey <> b.s_suppkey QUALIFY place <= 5""")
 def expand_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with at most five others of their project."""
     return K.expanded_hits(best_suppliers(spark, sf_dir), table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey")
 
 
-@query(f"WITH {_BEST} SELECT c_custkey FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) AND c_nationkey IN (SELECT s_nationkey FROM best WHERE s_suppkey % 2 = 0)")
+@query(f"""WITH {_BEST} SELECT c_custkey FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) AND c_nationkey IN (SELECT s_nationkey FROM best
+WHERE s_suppkey % 2 = 0)""")
 def search_with_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projects of the hits that hold a condition, and their documents of one kind."""
     customers = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "s_nationkey")
@@ -86,21 +90,25 @@ def question(spark: SparkSession, sf_dir: str) -> str:
     return f"Which supplier is in the region {name}?"
 
 
-@query(f"{graph.GRAPH} SELECT c.id, c.label FROM nodes c JOIN edges e ON e.src = c.id JOIN edges f ON f.src = e.dst JOIN nodes r ON r.id = f.dst WHERE c.type = 'supplier' AND r.type = 'region' AND r.label = (SELECT r_name FROM region WHERE r_regionkey = 2)")
+@query(f"""{graph.GRAPH} SELECT c.id, c.label FROM nodes c JOIN edges e ON e.src = c.id JOIN edges f ON f.src = e.dst JOIN nodes r ON r.id = f.dst WHERE c.type = 'supplier'
+AND r.type = 'region' AND r.label = (SELECT r_name FROM region WHERE r_regionkey = 2)""")
 def question_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question becomes a chain of relations by rules; the named end filters it."""
     return K.answer(question(spark, sf_dir), graph.nodes(spark, sf_dir), graph.edges(spark, sf_dir), RULES)
 
 
-@query("SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN 'good' WHEN count(*) >= 5 THEN 'fair' WHEN count(*) > 0 THEN 'poor' ELSE 'empty' END AS verdict FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+@query("""SELECT count(*) AS n, CASE WHEN count(*) >= 10 THEN 'good' WHEN count(*) >= 5 THEN 'fair' WHEN count(*) > 0 THEN 'poor' ELSE 'empty' END AS verdict FROM supplier
+JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2""")
 def question_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.verdict(question_pattern(spark, sf_dir))
 
 
 @query(
     """WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
-h AS (SELECT *, regexp_matches(trim(line), '^Licensed.*|^This work is.*') AS hd FROM l), s AS (SELECT *, sum(CAST(hd AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY n) AS section_no FROM h)
-SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, md5(concat_ws(chr(10), '[' || max(lang) || ']', '[' || max(CASE WHEN hd THEN trim(line) END) || ']', string_agg(CASE WHEN NOT hd THEN line END, chr(10) ORDER BY n))) AS digest FROM s GROUP BY doc_id, section_no"""
+h AS (SELECT *, regexp_matches(trim(line), '^Licensed.*|^This work is.*') AS hd FROM l), s AS (SELECT *, sum(CAST(hd AS INTEGER)) OVER (PARTITION BY doc_id
+ORDER BY n) AS section_no FROM h)
+SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, md5(concat_ws(chr(10), '[' || max(lang) || ']', '[' || max(CASE
+WHEN hd THEN trim(line) END) || ']', string_agg(CASE WHEN NOT hd THEN line END, chr(10) ORDER BY n))) AS digest FROM s GROUP BY doc_id, section_no"""
 )
 def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections as labelled blocks; license lines act as headings, as in ``heading_sections``."""

@@ -13,7 +13,8 @@ from ..streaming import append
 from .registry import query, table
 
 # The stored side of these examples lacks some rows and differs in others, by conditions on the tables' own columns.
-_STORED = "stored AS (SELECT doc_id, n_chars + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS size, CASE WHEN source = 'src2' THEN TIMESTAMP '2024-01-01 00:00:00' END AS removed_at FROM documents WHERE source <> 'src1')"
+_STORED = """stored AS (SELECT doc_id, n_chars + CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS size, CASE WHEN source = 'src2' THEN TIMESTAMP '2024-01-01 00:00:00' END AS removed_at
+FROM documents WHERE source <> 'src1')"""
 _LISTING = "listing AS (SELECT doc_id, n_chars AS size FROM documents WHERE source <> 'src3')"
 
 
@@ -27,8 +28,10 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_STORED}, {_LISTING}, j AS (SELECT coalesce(l.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN l.doc_id IS NULL AND s.removed_at IS NULL THEN 'removed' WHEN l.doc_id IS NULL THEN 'still_removed'
-WHEN s.removed_at IS NOT NULL THEN 'restored' WHEN l.size <> s.size THEN 'changed' ELSE 'unchanged' END AS action FROM listing l FULL JOIN stored s ON s.doc_id = l.doc_id) SELECT doc_id, action FROM j"""
+    f"""WITH {_STORED}, {_LISTING}, j AS (SELECT coalesce(l.doc_id, s.doc_id) AS doc_id, CASE WHEN s.doc_id IS NULL THEN 'new' WHEN l.doc_id IS NULL
+AND s.removed_at IS NULL THEN 'removed' WHEN l.doc_id IS NULL THEN 'still_removed'
+WHEN s.removed_at IS NOT NULL THEN 'restored' WHEN l.size <> s.size THEN 'changed' ELSE 'unchanged' END AS action FROM listing l FULL
+JOIN stored s ON s.doc_id = l.doc_id) SELECT doc_id, action FROM j"""
 )
 def source_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -37,8 +40,11 @@ def source_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT doc_id, n_chars AS size, lang AS mtime, CASE WHEN source = 'src1' THEN md5(text) END AS checksum FROM documents WHERE source <> 'src2'),
-n AS (SELECT doc_id, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size, CASE WHEN lang = 'es' THEN 'x' ELSE lang END AS mtime, CASE WHEN lang = 'fr' THEN 'other' ELSE md5(text) END AS checksum FROM documents WHERE source <> 'src4')
-SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.size <> o.size THEN 'changed' WHEN n.checksum IS NOT NULL AND o.checksum IS NOT NULL THEN CASE WHEN n.checksum <> o.checksum THEN 'changed' ELSE 'unchanged' END WHEN n.mtime <> o.mtime THEN 'maybe_changed' ELSE 'unchanged' END AS action
+n AS (SELECT doc_id, n_chars + CASE WHEN lang = 'de' THEN 1 ELSE 0 END AS size, CASE WHEN lang = 'es' THEN 'x' ELSE lang END AS mtime, CASE
+WHEN lang = 'fr' THEN 'other' ELSE md5(text) END AS checksum FROM documents WHERE source <> 'src4')
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.size <> o.size THEN 'changed'
+WHEN n.checksum IS NOT NULL AND o.checksum IS NOT NULL THEN CASE WHEN n.checksum <> o.checksum THEN 'changed' ELSE 'unchanged' END
+WHEN n.mtime <> o.mtime THEN 'maybe_changed' ELSE 'unchanged' END AS action
 FROM n FULL JOIN o ON o.doc_id = n.doc_id"""
 )
 def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +75,15 @@ def event_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", "event_type", "value")
 
 
-@query("SELECT CASE WHEN o.doc_id IS NULL THEN 'created' ELSE 'skipped' END AS action, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') o ON o.doc_id = d.doc_id GROUP BY 1")
+@query("""SELECT CASE WHEN o.doc_id IS NULL THEN 'created' ELSE 'skipped' END AS action, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id FROM documents
+WHERE lang = 'en') o ON o.doc_id = d.doc_id GROUP BY 1""")
 def row_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return U.sync_actions(docs.filter("lang = 'en'"), docs, "doc_id", overwrite=False)
 
 
-@query("WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last < (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE THEN 'interrupted' ELSE 'running' END AS state FROM l")
+@query("""WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, CASE WHEN last < (SELECT max(ts)
+FROM events) - INTERVAL 600 MINUTE THEN 'interrupted' ELSE 'running' END AS state FROM l""")
 def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts")
     now = events.agg(F.max("ts").alias("now"))
@@ -85,7 +93,8 @@ def stale_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT d.doc_id, coalesce(nullif(trim(CASE WHEN l.quality = 1 THEN d.lang END), ''), nullif(trim(d.source), ''), 'scan') AS final_org, 'reviewed' AS status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
+    """SELECT d.doc_id, coalesce(nullif(trim(CASE WHEN l.quality = 1 THEN d.lang END), ''), nullif(trim(d.source), ''), 'scan') AS final_org, 'reviewed' AS status
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 )
 def review_approve(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
