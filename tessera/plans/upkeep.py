@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import builds
 from ..operators import upkeep as U
 from ..operators.tables import shared_folder
-from ..streaming import append
+from ..streaming import append, build
 from .registry import query, table
 
 # The stored side of these examples lacks some rows and differs in others, by conditions on the tables' own columns.
@@ -75,6 +76,42 @@ def event_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "event_id", "event_type", "value")
 
 
+_BUILT = """v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE left(text, CAST(length(text) // 2 AS INTEGER)) END AS t FROM documents WHERE doc_id % 10 <> 0),
+c AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: x <> '') AS l FROM v)"""
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in chunks after three streams: the removal of every tenth, whole texts of every third, halves of all; the newest comes first."""
+    folder = f"{shared_folder(spark)}/built-{uuid.uuid4().hex}"
+    stream = append.follow(spark, f"{sf_dir}/documents.parque[t]", table(spark, sf_dir, "documents").schema)
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    state = lambda version, text, gone: ["doc_id", F.lit(version).alias("version"), text.alias("text"), F.lit(gone).alias("gone")]
+    versions = [
+        stream.filter("doc_id % 10 = 0").select(state(3, F.col("text"), True)),
+        stream.filter("doc_id % 3 = 0").select(state(2, F.col("text"), False)),
+        stream.select(state(1, half, False)),
+    ]
+    docs = append.Upserted(spark, f"{folder}/table", "doc_id", "version", buckets=8, gone="gone")
+    lines = lambda text: F.filter(F.split(text, "\n"), lambda x: x != "")
+    rows = [build.chunked(v, "doc_id", "text", "version", lines, lambda t: builds.stand_in_vector(t, 4), "gone") for v in versions]
+    return append.in_streams(rows, docs, f"{folder}/checkpoints")
+
+
+@query(
+    f"""WITH {_BUILT} SELECT doc_id, CAST(len(l) AS BIGINT) AS chunks, CAST(coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) AS BIGINT) AS characters,
+CASE WHEN len(l) > 0 THEN 4 ELSE 0 END AS dims FROM c"""
+)
+def incremental_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks each document has after an incremental build."""
+    return build.manifest(built(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_BUILT} SELECT doc_id, doc_id || '-chunk-' || lpad(CAST(unnest(range(len(l))) AS VARCHAR), 4, '0') AS chunk_id, md5(unnest(l)) AS digest FROM c")
+def incremental_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks themselves: a document that came again has only its new ones."""
+    return build.chunk_rows(built(spark, sf_dir), "doc_id").select("doc_id", "chunk_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("""SELECT CASE WHEN o.doc_id IS NULL THEN 'created' ELSE 'skipped' END AS action, count(*) AS n FROM documents d LEFT JOIN (SELECT doc_id FROM documents
 WHERE lang = 'en') o ON o.doc_id = d.doc_id GROUP BY 1""")
 def row_sync(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,17 @@ def test_events_in_two_streams(spark):
     want = last_per_key(events.select("user_id", "ts", "event_id", "event_type", "value"), "user_id", "ts").select("user_id", "event_id", "event_type", "value")
     assert rows_of(upkeep.event_upserts(spark, sf)) == rows_of(want)
     assert events.filter(F.col("event_id") % 3 == 0).count() < events.count()
+
+
+def test_a_document_that_comes_again_replaces_its_chunks(spark, tmp_path):
+    from tessera.operators.builds import stand_in_vector
+    from tessera.streaming import build
+
+    docs = append.Upserted(spark, str(tmp_path / "t"), "k", "at", buckets=2)
+    made = lambda rows: build.chunked(frame(spark, rows), "k", "v", "at", lambda t: F.filter(F.split(t, " "), lambda x: x != ""), lambda t: stand_in_vector(t, 3))
+    docs.write(made([(1, 1, "a b c"), (2, 1, "x"), (3, 1, None)]))
+    docs.write(made([(1, 2, "only")]))
+    docs.write(made([(2, 0, "late and long")]))
+    rows = sorted((r.chunk_id, r.text, len(r.embedding)) for r in build.chunk_rows(docs.current(), "k").collect())
+    assert rows == [("1-chunk-0000", "only", 3), ("2-chunk-0000", "x", 3)]
+    assert sorted(map(tuple, build.manifest(docs.current(), "k").collect())) == [(1, 1, 4, 3), (2, 1, 1, 3), (3, 0, 0, 0)]
