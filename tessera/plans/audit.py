@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit as A
 from ..operators import vectors
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 
 @query(
@@ -23,7 +23,7 @@ def self_hit_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.self_hit(A.hash_sample(rows, 50, "vec_id", 7), rows)
 
 
-@query()
+@query(ORACLE_SQL["self_hit_audit"])
 def self_hit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty vectors, the audit's sample size, drawn by a seeded hash from the whole table, against all."""
     rows = table(spark, sf_dir, "embeddings")

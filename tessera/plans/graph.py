@@ -161,7 +161,10 @@ def similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return either.filter("own = 4").orderBy(F.desc("score"), "id").limit(3).select("id")
 
 
-@query()
+@query(
+    f"""{GRAPH}, k AS (SELECT * FROM nodes ORDER BY id LIMIT 200) SELECT 'node' AS kind, CAST(json_object('id', id, 'type', type, 'label', label) AS VARCHAR) AS json FROM k
+UNION ALL SELECT 'edge', CAST(json_object('src', src, 'dst', dst, 'type', type) AS VARCHAR) FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"""
+)
 def graph_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON for display; rows only."""
+    """JSON for display of at most 200 nodes and the edges among them."""
     return G.visual(nodes(spark, sf_dir), edges(spark, sf_dir), 200)

@@ -316,9 +316,19 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", intent.alias("intent"), X.complexity(n).alias("complexity"), sources.alias("sources"), order.alias("run_order"))
 
 
-@query()
+_PACKED = """p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM documents),
+x AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM p), y AS (SELECT doc_id, x, i, sum(length(x) + 2) OVER (PARTITION BY doc_id ORDER BY i) AS q FROM x),
+r AS (SELECT doc_id, list(x ORDER BY i) AS l, list_prepend(0, list(CAST(q AS BIGINT) ORDER BY i)) AS q FROM y GROUP BY doc_id),
+c(doc_id, l, q, start, lead, last, made, no) AS (SELECT doc_id, l, q, 0, '', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), -1 FROM r UNION ALL
+SELECT doc_id, l, q, stop, coalesce(trim(right(coalesce(made, last), 180), ' ' || chr(9) || chr(10) || chr(13)), ''), last, made, no + CASE WHEN made IS NULL THEN 0 ELSE 1 END FROM (SELECT doc_id, l, q, stop, last, no,
+CASE WHEN length(chunk) >= 250 OR (stop = len(l) AND last IS NULL) THEN chunk WHEN stop = len(l) THEN right(last || chr(10) || chr(10) || chunk, 1400) END AS made
+FROM (SELECT *, CASE WHEN lead <> '' THEN lead || chr(10) || chr(10) ELSE '' END || array_to_string(l[start + 1:stop], chr(10) || chr(10)) AS chunk
+FROM (SELECT doc_id, l, q, start, lead, coalesce(made, last) AS last, no, greatest(start + 1, len(list_filter(q, lambda v: v <= q[start + 1] + 1400 - length(lead))) - 1) AS stop FROM c WHERE start < len(l)))))"""
+
+
+@query(f"WITH RECURSIVE {_PACKED} SELECT doc_id, CAST(no AS INTEGER) AS chunk_index, made AS text FROM c WHERE made IS NOT NULL")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as sections of which every line is a paragraph, packed; goldens are in the tests."""
+    """Documents as sections of which every line is a paragraph, packed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("body"))
     return X.section_chunks(docs, ["doc_id"], "body")
 

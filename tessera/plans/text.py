@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking as C
-from .registry import query, table
+from .registry import ORACLE_SQL, query, table
 
 _WS = "[ \\t\\r\\n\\x0B\\f]+"
 _SQ = f"trim(regexp_replace(text, '{_WS}', ' ', 'g'))"
@@ -54,7 +54,7 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.gate(F.col("text")).alias("reason"))
 
 
-@query()
+@query(ORACLE_SQL["gate"])
 def gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why texts of any length are no use; held against brute force."""
     return table(spark, sf_dir, "documents").select("doc_id", T.gate(F.col("text")).alias("reason"))

@@ -151,9 +151,12 @@ def chunk_id_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", ids("contract").alias("chunk_id"), ids("source").alias("source_chunk_id"))
 
 
-@query()
+@query(
+    """SELECT source, '# ' || source || chr(10) || chr(10) || string_agg('- ' || lang || ': ' || n || ' documents', chr(10) ORDER BY '- ' || lang || ': ' || n || ' documents') AS markdown
+FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source"""
+)
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown page per source: a heading and a line per language; rows only."""
+    """One Markdown page per source: a heading and a line per language."""
     counted = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
     line = F.format_string("- %s: %d documents", "lang", "n")
     body = F.array_join(F.array_sort(F.collect_list(line)), "\n")
