@@ -100,13 +100,17 @@ def chain_groups(rows: DataFrame, project: str, role: str, id_col: str) -> DataF
 
 def organisation_type(name: Column) -> Column:
     """By suffix, first match: public, university, company or other."""
-    return F.when(name.rlike("(부|처|청|시|도|군|구|공사|공단)$"), "public").when(name.rlike("(?i)(대학교|대학|university)$"), "university").when(name.rlike("(?i)(주식회사|inc\\.?|ltd\\.?|gmbh|corp\\.?|\\.com)$"), "company").otherwise("other")
+    return F.when(name.rlike("(부|처|청|시|도|군|구|공사|공단)$"), "public").when(name.rlike("(?i)(대학교|대학|university)$"), "university").when(
+        name.rlike("(?i)(주식회사|inc\\.?|ltd\\.?|gmbh|corp\\.?|\\.com)$"), "company"
+    ).otherwise("other")
 
 
 def folder_confidence(name: Column) -> Column:
     """Date prefix 0.35, length 0.30 (10 to 60) or 0.20, keyword 0.20, initial letter 0.15."""
     size = F.length(name)
-    return F.when(name.rlike("^[0-9]{4,8}[. _-]"), 0.35).otherwise(0.0) + F.when(size.between(10, 60), 0.30).otherwise(0.20) + F.when(F.lower(name).rlike("project|system|구축|사업|시스템"), 0.20).otherwise(0.0) + F.when(name.rlike("^[A-Za-z가-힣]"), 0.15).otherwise(0.0)
+    return F.when(name.rlike("^[0-9]{4,8}[. _-]"), 0.35).otherwise(0.0) + F.when(size.between(10, 60), 0.30).otherwise(0.20) + F.when(
+        F.lower(name).rlike("project|system|구축|사업|시스템"), 0.20
+    ).otherwise(0.0) + F.when(name.rlike("^[A-Za-z가-힣]"), 0.15).otherwise(0.0)
 
 
 def clean_lines(text: Column) -> Column:

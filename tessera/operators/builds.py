@@ -126,7 +126,10 @@ def late_pooled(docs: DataFrame, id_col: str, text_col: str, spans: Column, dims
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit("([ \\t\\r\\n]*)([^ \\t\\r\\n]+)"), 0)
     ends = F.aggregate(words, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(w))))
     rows = docs.select(id_col, spans.alias("_s"), words.alias("_w"), ends.alias("_e"))
-    tokens = rows.select(id_col, "_s", F.posexplode(F.transform("_w", lambda w, i: F.struct(F.ltrim(F.regexp_replace(w, "[\\t\\r\\n]", " ")).alias("word"), F.element_at("_e", i + 2).alias("b")))).alias("n", "t"))
+    tokens = rows.select(
+        id_col, "_s",
+        F.posexplode(F.transform("_w", lambda w, i: F.struct(F.ltrim(F.regexp_replace(w, "[\\t\\r\\n]", " ")).alias("word"), F.element_at("_e", i + 2).alias("b")))).alias("n", "t")
+    )
     placed = tokens.select(id_col, "_s", "n", (F.col("t.b") - F.length("t.word")).alias("a"), F.col("t.b").alias("b"), F.posexplode(stand_in_vector(F.col("t.word"), dims)).alias("dim", "x"))
     whole = placed.groupBy(id_col, "dim").agg(F.avg("x").alias("whole"))
     chunks = docs.select(id_col, F.posexplode(spans).alias("chunk_index", "s"))

@@ -61,7 +61,10 @@ def chunk_pages(chunks: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     span = F.struct("page_start", "page_stop", "page_no")
     kind = "struct<page_start:double,page_stop:double,page_no:bigint>"
     middle = chunks.select(id_col, "chunk_index", ((F.col("start") + F.col("stop")) / 2).alias("_mid"), F.lit(None).cast(kind).alias("_span"), F.lit(0).alias("_kind"))
-    starts = spans.select(id_col, F.lit(None).cast(chunks.schema["chunk_index"].dataType).alias("chunk_index"), F.col("page_start").cast("double").alias("_mid"), span.cast(kind).alias("_span"), F.lit(1).alias("_kind"))
+    starts = spans.select(
+        id_col, F.lit(None).cast(chunks.schema["chunk_index"].dataType).alias("chunk_index"), F.col("page_start").cast("double").alias("_mid"),
+        span.cast(kind).alias("_span"), F.lit(1).alias("_kind")
+    )
     order = Window.partitionBy(id_col).orderBy("_mid", "_kind")
     met = middle.unionByName(starts).select(
         "*",
@@ -85,7 +88,11 @@ def window_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1000,
     starts = F.sequence(F.lit(0), F.greatest(F.length("t") - overlap - 1, F.lit(0)), F.lit(step))
     out = rows.select(id_col, "t", F.posexplode(starts).alias("chunk_index", "start"))
     stop = F.least(F.col("start") + size, F.length("t"))
-    return out.select(id_col, "chunk_index", "start", stop.alias("stop"), F.format_string("%s-chunk-%04d", F.col(id_col).cast("string"), "chunk_index").alias("chunk_id"), F.substring(F.col("t"), F.col("start") + 1, stop - F.col("start")).alias("text"))
+    return out.select(
+        id_col, "chunk_index", "start", stop.alias("stop"),
+        F.format_string("%s-chunk-%04d", F.col(id_col).cast("string"), "chunk_index").alias("chunk_id"),
+        F.substring(F.col("t"), F.col("start") + 1, stop - F.col("start")).alias("text")
+    )
 
 
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+|\n+")

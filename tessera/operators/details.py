@@ -21,7 +21,10 @@ def ordered_values(value: Column, *order: Column) -> Column:
 
 def split_counts(rows: DataFrame, fields: Sequence[str], ready: Column) -> DataFrame:
     """``field, value, total, ready, ratio`` of every value of every field, and of all rows (field 'all'); one pass."""
-    pairs = F.array(F.struct(F.lit("all").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields])
+    pairs = F.array(
+        F.struct(F.lit("all").alias("field"), F.lit("").alias("value")),
+        *[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias("value")) for f in fields]
+    )
     long = rows.select(ready.alias("_ready"), F.explode(pairs).alias("p"))
     n = long.groupBy("p.field", "p.value").agg(F.count("*").alias("total"), F.count_if("_ready").alias("ready"))
     return n.withColumn("ratio", F.round(F.col("ready") / F.col("total"), 3))

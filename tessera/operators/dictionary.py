@@ -132,7 +132,12 @@ def layers(found: DataFrame, dictionary: DataFrame, relations: Mapping[str, str]
     used = found.select("layer", "canonical").distinct()
     above = dictionary.filter((F.col("layer") == of) & F.col("parent").isNotNull()).select("layer", "canonical", "parent").distinct()
     up = above.join(used, ["layer", "canonical"], "left_semi").filter(F.lower("parent") != F.lower("canonical"))
-    edges = held.unionByName(up.select(node(F.col("layer"), F.col("parent")).alias("src"), node(F.col("layer"), F.col("canonical")).alias("dst"), F.lit(parents).alias("type"), F.lit(1).cast("long").alias("n")))
+    edges = held.unionByName(
+        up.select(
+            node(F.col("layer"), F.col("parent")).alias("src"), node(F.col("layer"), F.col("canonical")).alias("dst"), F.lit(parents).alias("type"),
+            F.lit(1).cast("long").alias("n")
+        )
+    )
     named = used.unionByName(up.select("layer", F.col("parent").alias("canonical")))
     values = named.groupBy(node(F.col("layer"), F.col("canonical")).alias("id")).agg(F.min("layer").alias("type"), F.min("canonical").alias("label"))
     docs = found.select(own.alias("id"), F.lit("document").alias("type"), F.col("id").cast("string").alias("label")).distinct()

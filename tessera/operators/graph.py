@@ -170,7 +170,9 @@ def visual(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """JSON rows of at most ``most`` nodes and the edges among them."""
     kept = nodes.orderBy("id").limit(most)
     inner = edges.join(kept.select(F.col("id").alias("src")), "src", "left_semi").join(kept.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return kept.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label")).alias("json")).unionByName(inner.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", "type")).alias("json")))
+    return kept.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", "type", "label")).alias("json")).unionByName(
+        inner.select(F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", "type")).alias("json"))
+    )
 
 
 #: Fixed words that a read-only graph query may not contain; a procedure is blocked by the beginning of its name.

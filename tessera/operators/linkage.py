@@ -51,7 +51,12 @@ def profile(name: str, table: DataFrame) -> DataFrame:
         # limits compare as numbers where they are ones, and are carried as text
         limits = [f(value.cast("long") if kind == "number" else F.substring(value, 1, LONGEST)).cast("string") for f in (F.min, F.max)]
         sketch = F.hll_sketch_agg(_value(column, kinds[column]), LG_K)
-        made.append(F.struct(F.lit(name).alias("t"), F.lit(column).alias("c"), F.lit(kind).alias("class"), F.count("*").alias("rows"), F.count(value).alias("filled"), limits[0].alias("low"), limits[1].alias("high"), sketch.alias("sketch")))
+        made.append(
+            F.struct(
+                F.lit(name).alias("t"), F.lit(column).alias("c"), F.lit(kind).alias("class"), F.count("*").alias("rows"),
+                F.count(value).alias("filled"), limits[0].alias("low"), limits[1].alias("high"), sketch.alias("sketch")
+            )
+        )
     if not made:
         return table.sparkSession.createDataFrame([], _PROFILE)
     return table.agg(F.array(*made).alias("p")).select(F.explode("p").alias("p")).select("p.*")
@@ -102,8 +107,15 @@ def references(tables: Mapping[str, DataFrame]) -> DataFrame:
     place = spark.createDataFrame([(*p, number[p[:2]], number[p[2:]]) for p in pairs], "ct string, cc string, pt string, pc string, child int, parent int")
     has = lambda c: F.array_contains("cols", F.col(c))
     met = F.broadcast(place).join(counted, has("child") | has("parent"))  # pairs of columns and sets of columns: both are bounded by the schema
-    sums = met.groupBy(*place.columns).agg(F.sum(F.when(has("child"), F.col("n")).otherwise(0)).alias("n_child"), F.sum(F.when(has("parent"), F.col("n")).otherwise(0)).alias("n_parent"), F.sum(F.when(has("child") & ~has("parent"), F.col("n")).otherwise(0)).alias("outside"))
+    sums = met.groupBy(*place.columns).agg(
+        F.sum(F.when(has("child"), F.col("n")).otherwise(0)).alias("n_child"),
+        F.sum(F.when(has("parent"), F.col("n")).otherwise(0)).alias("n_parent"),
+        F.sum(F.when(has("child") & ~has("parent"), F.col("n")).otherwise(0)).alias("outside")
+    )
     rows_of = profiles.select(F.col("t").alias("pt"), F.col("c").alias("pc"), "rows")
     bare = lambda c: F.regexp_replace(c, "^[^_]*_", "")
     found = sums.join(rows_of, ["pt", "pc"]).filter((F.col("outside") == 0) & (F.col("n_parent") == F.col("rows")))
-    return found.select(F.col("ct").alias("child_table"), F.col("cc").alias("child_column"), F.col("pt").alias("parent_table"), F.col("pc").alias("parent_column"), "n_child", "n_parent", (bare("cc") == bare("pc")).alias("same_name"))
+    return found.select(
+        F.col("ct").alias("child_table"), F.col("cc").alias("child_column"), F.col("pt").alias("parent_table"), F.col("pc").alias("parent_column"),
+        "n_child", "n_parent", (bare("cc") == bare("pc")).alias("same_name")
+    )

@@ -127,7 +127,10 @@ def quality_report(rows: DataFrame, document: str, required: list[str], keys: li
     there = [F.coalesce(F.max(filled(F.col(c).cast("string")).cast("int")), F.lit(0)).alias(f"_f{n}") for n, c in enumerate(required) if c in rows.columns]
     differ = [((F.count_distinct(k) / F.greatest(F.count("*"), F.lit(1))) > 0.5).cast("int").alias(f"_k{n}") for n, k in enumerate(keys)]
     any_of = lambda c, name: F.coalesce(F.max(c.cast("int")), F.lit(0)).alias(name)
-    row = rows.agg(F.count("*").alias("_rows"), F.count_distinct(document).alias("_docs"), F.count_distinct(category).alias("_categories"), any_of(structured, "_structured"), any_of(nested, "_nested"), *there, *differ)
+    row = rows.agg(
+        F.count("*").alias("_rows"), F.count_distinct(document).alias("_docs"), F.count_distinct(category).alias("_categories"),
+        any_of(structured, "_structured"), any_of(nested, "_nested"), *there, *differ
+    )
     total = lambda prefix: sum((F.col(c) for c in row.columns if c.startswith(prefix)), F.lit(0))
     link = F.least(F.lit(0.3), F.lit(0.05 * len(rows.columns))) + F.least(F.lit(0.4), 0.1 * total("_k")) + 0.3 * F.col("_structured")
     measures = {
@@ -142,9 +145,14 @@ def quality_report(rows: DataFrame, document: str, required: list[str], keys: li
 
 def compare(left: DataFrame, right: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """Per metric: both values, difference and per cent of the left one."""
-    one = lambda f, side: f.agg(*[c.cast("double").alias(n) for n, c in metrics.items()]).selectExpr(f"stack({len(metrics)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in metrics)}) AS (metric, {side})")
+    one = lambda f, side: f.agg(*[c.cast("double").alias(n) for n, c in metrics.items()]).selectExpr(
+        f"stack({len(metrics)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {n}' for n in metrics)}) AS (metric, {side})"
+    )
     joined = one(left, "a").join(one(right, "b"), "metric", "full")
-    return joined.select("metric", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.round(F.col("b") - F.col("a"), 4).alias("diff"), F.when(F.col("a") != 0, F.round(100 * (F.col("b") - F.col("a")) / F.col("a"), 4)).alias("percent"))
+    return joined.select(
+        "metric", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"), F.round(F.col("b") - F.col("a"), 4).alias("diff"),
+        F.when(F.col("a") != 0, F.round(100 * (F.col("b") - F.col("a")) / F.col("a"), 4)).alias("percent")
+    )
 
 
 def missing_and_unexpected(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

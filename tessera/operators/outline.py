@@ -27,7 +27,16 @@ _TITLE = "[ \\t]*([^\\n]*?[^ \\t.·…0-9][^\\n]*?)[ \\t.·…]*(?:[ \\t.·…](
 def contents_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, line_no, level, title, page`` of the numbered lines of contents pages; a line without a page number has a null page."""
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    found = [F.when(F.col("line").rlike(f"^[ \\t]*{form}[ \\t]+[^ \\t]"), F.struct(F.lit(level).alias("level"), F.regexp_extract("line", f"^[ \\t]*{form}{_TITLE}", 1).alias("title"), F.regexp_extract("line", f"^[ \\t]*{form}{_TITLE}", 2).alias("page"))) for form, level in NUMBERED]
+    found = [
+        F.when(
+            F.col("line").rlike(f"^[ \\t]*{form}[ \\t]+[^ \\t]"),
+            F.struct(
+                F.lit(level).alias("level"), F.regexp_extract("line", f"^[ \\t]*{form}{_TITLE}", 1).alias("title"),
+                F.regexp_extract("line", f"^[ \\t]*{form}{_TITLE}", 2).alias("page")
+            )
+        ) for form,
+        level in NUMBERED
+    ]
     rows = lines.withColumn("f", F.coalesce(*found)).filter("f is not null and f.title <> ''")
     return rows.select(id_col, "line_no", "f.level", "f.title", F.when(F.col("f.page") != "", F.col("f.page").cast("int")).alias("page"))
 
@@ -53,18 +62,27 @@ def section_tree(entries: DataFrame, id_col: str, last_page: Column | None = Non
     following = F.coalesce(*[F.when(F.col("level") == n, F.col(f"_next{n}")) for n in levels])
     end = F.when(following.isNull(), last_page if last_page is not None else F.lit(None).cast("int")).otherwise(F.greatest(F.col("_page"), following["_page"] - 1))
     path = F.array_join(F.concat(F.transform(open_lines, lambda x: x.title), F.array("title")), " > ")
-    return rows.select(id_col, "line_no", "level", "title", F.array_max(F.transform(open_lines, lambda x: x.line_no)).alias("parent_no"), path.alias("path"), F.col("_page").alias("page"), end.alias("page_end"))
+    return rows.select(
+        id_col, "line_no", "level", "title", F.array_max(F.transform(open_lines, lambda x: x.line_no)).alias("parent_no"), path.alias("path"),
+        F.col("_page").alias("page"), end.alias("page_end")
+    )
 
 
 def contents_confidence(entries: DataFrame, id_col: str) -> DataFrame:
     """``id, sections, titles, words, confidence``: how much a contents page looks like one."""
     words = F.regexp_extract_all("title", F.lit("[가-힣A-Za-z]{2,}"), 0)
-    counts = entries.groupBy(id_col).agg(F.count("*").alias("sections"), F.count_distinct("title").alias("titles"), F.size(F.array_distinct(F.flatten(F.collect_list(words)))).cast("long").alias("words"))
+    counts = entries.groupBy(id_col).agg(
+        F.count("*").alias("sections"), F.count_distinct("title").alias("titles"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(words)))).cast("long").alias("words")
+    )
     parts = [F.when(F.col(c) >= least, weight).otherwise(0.0) for c, (least, weight) in zip(("sections", "titles", "words"), CONTENTS_WEIGHTS, strict=True)]
     return counts.withColumn("confidence", F.round(parts[0] + parts[1] + parts[2], 2))
 
 
-def cover(text: Column, titles: Sequence[str], organisations: Sequence[str], projects: Sequence[str], kinds: Sequence[str], head: int = 2000, dates: str = "(20[23][0-9])(?:년 *|[.] *|-)([0-9]{1,2})(?:월|[.]|-)") -> dict[str, Column]:
+def cover(
+    text: Column, titles: Sequence[str], organisations: Sequence[str], projects: Sequence[str], kinds: Sequence[str], head: int = 2000,
+    dates: str = "(20[23][0-9])(?:년 *|[.] *|-)([0-9]{1,2})(?:월|[.]|-)"
+) -> dict[str, Column]:
     """Fields of a cover page, each by the first of its patterns that matches (whose first group is the value), and the confidence.
 
     Without a pattern for it the title is the first line that is not blank, and the project is the title without the names of document kinds.

@@ -32,7 +32,10 @@ def page_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.when(has_mark, F.substr(F.col("part"), F.instr("part", "\u0002") + 1)).otherwise(F.col("part"))
     own = Window.partitionBy(id_col).orderBy("n")
     rows = rows.select(id_col, "n", mark.alias("mark"), body.alias("body")).withColumn("stop", F.sum(F.length("mark") + F.length("body")).over(own))
-    rows = rows.select(id_col, "n", (F.col("stop") - F.length("body")).alias("start"), "stop", F.nullif(F.regexp_extract("mark", "([0-9]+)", 1), F.lit("")).cast("int").alias("asked"), F.regexp_replace("body", _BLANK, "").alias("text")).filter("text <> ''")
+    rows = rows.select(
+        id_col, "n", (F.col("stop") - F.length("body")).alias("start"), "stop",
+        F.nullif(F.regexp_extract("mark", "([0-9]+)", 1), F.lit("")).cast("int").alias("asked"), F.regexp_replace("body", _BLANK, "").alias("text")
+    ).filter("text <> ''")
     # number i is max(asked, number i - 1 plus one): i plus the largest of asked minus place up to there
     place = F.row_number().over(own)
     rows = rows.withColumn("i", place).withColumn("page_no", F.col("i") + F.greatest(F.max(F.coalesce("asked", F.lit(0)) - F.col("i")).over(own), F.lit(0)))

@@ -46,7 +46,9 @@ def resolve(catalogue: DataFrame, wanted: str | None, profiles: Profiles | None
 
 def write_vectors(rows: DataFrame, path: str) -> None:
     """The vector table with a folder for each snapshot."""
-    rows.repartition("snapshot", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "snapshot" and not dict(rows.dtypes)[c].startswith("array")]), F.lit(8))).write.partitionBy("snapshot").parquet(path)
+    rows.repartition(
+        "snapshot", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "snapshot" and not dict(rows.dtypes)[c].startswith("array")]), F.lit(8))
+    ).write.partitionBy("snapshot").parquet(path)
 
 
 def scoped(spark: SparkSession, path: str, scope: DataFrame) -> DataFrame:

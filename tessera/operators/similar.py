@@ -34,7 +34,10 @@ class Similar:
     set of features; a set is linked with itself where it has two members.
     """
 
-    def __init__(self, projects: DataFrame, features: DataFrame, item: str, org: str, kind: str, feature: str, plan: str, build: Sequence[str], least: float = LEAST, flat: float | None = None) -> None:
+    def __init__(
+        self, projects: DataFrame, features: DataFrame, item: str, org: str, kind: str, feature: str, plan: str, build: Sequence[str],
+        least: float = LEAST, flat: float | None = None
+    ) -> None:
         self.plan, self.build = plan, list(build)
         rows = projects.groupBy(F.col(item).alias("item")).agg(F.min(F.struct(F.coalesce(F.trim(org), F.lit("")).alias("org"), F.coalesce(kind, F.lit("")).alias("kind"))).alias("p"))
         own = features.filter(F.col(feature).isNotNull()).groupBy(F.col(item).alias("item")).agg(F.array_sort(F.collect_set(F.col(feature).cast("string"))).alias("set"))
@@ -51,13 +54,17 @@ class Similar:
     @property
     def links(self) -> DataFrame:
         c = self.classes
-        orgs = c.filter("org <> ''").groupBy("org").agg(F.sum("size").alias("n")).filter("n > 1").select(F.lit("organisation").alias("rule"), F.col("org").alias("a"), F.col("org").alias("b"), F.lit(SAME_ORGANISATION).alias("score"))
+        orgs = c.filter("org <> ''").groupBy("org").agg(F.sum("size").alias("n")).filter("n > 1").select(
+            F.lit("organisation").alias("rule"), F.col("org").alias("a"), F.col("org").alias("b"), F.lit(SAME_ORGANISATION).alias("score")
+        )
         built = F.sort_array(F.collect_set(F.when(F.col("kind").isin(self.build), F.col("kind"))))
         free = c.filter("org = ''").agg(F.max(F.when(F.col("kind") == self.plan, F.col("kind"))).alias("a"), built.alias("built"))
         order = free.filter("a is not null").select(F.lit("sequence").alias("rule"), "a", F.explode("built").alias("b"), F.lit(PLAN_AND_BUILD).alias("score"))
         sizes = c.filter("set_id is not null").groupBy("set_id").agg(F.sum("size").alias("n"))
         sets = self.near.join(sizes, F.col("a") == F.col("set_id")).filter("a <> b or n > 1")
-        return orgs.unionByName(order).unionByName(sets.select(F.lit("composition").alias("rule"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), self.score.alias("score")))
+        return orgs.unionByName(order).unionByName(
+            sets.select(F.lit("composition").alias("rule"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), self.score.alias("score"))
+        )
 
     def _opposite(self, kind: Column, other: Column) -> Column:
         return ((kind == self.plan) & other.isin(*self.build)) | (kind.isin(*self.build) & (other == self.plan))
@@ -75,7 +82,9 @@ class Similar:
         # partners that an earlier rule has, by the sets that hold them
         same = around.filter("org <> ''").groupBy("a", "org").agg(F.sum("size").alias("same"))
         ways = around.filter((F.col("org") == "") & F.col("other").isin(self.plan, *self.build)).groupBy("a", "other").agg(F.sum("size").alias("n"))
-        opposite = c.filter("org = '' and set_id is not null").select(F.col("set_id").alias("a"), "kind").distinct().join(ways, "a").filter(self._opposite(F.col("kind"), F.col("other"))).groupBy("a", "kind").agg(F.sum("n").alias("turned"))
+        opposite = c.filter("org = '' and set_id is not null").select(F.col("set_id").alias("a"), "kind").distinct().join(ways, "a").filter(
+            self._opposite(F.col("kind"), F.col("other"))
+        ).groupBy("a", "kind").agg(F.sum("n").alias("turned"))
         n = lambda name: F.coalesce(name, F.lit(0))
         full = c.join(orgs, "org", "left").join(kinds, "kind", "left").withColumnRenamed("set_id", "a").join(every, "a", "left").join(same, ["a", "org"], "left").join(opposite, ["a", "kind"], "left")
         free_class = F.col("org") == ""
@@ -87,8 +96,12 @@ class Similar:
         """``a, b, rule, score`` of all pairs a < b: for few projects, or a part of them."""
         m = self.members.join(self.classes.drop("set", "size"), "class_id")
         x, y = (m.select(*[F.col(n).alias(f"{p}_{n}") for n in ("item", "org", "kind", "set_id")]) for p in "xy")
-        first = x.filter("x_org <> ''").join(y, (F.col("x_org") == F.col("y_org")) & (F.col("x_item") < F.col("y_item"))).select("x_item", "y_item", F.lit("organisation").alias("rule"), F.lit(SAME_ORGANISATION).alias("score"))
-        second = x.filter("x_org = ''").join(y, (F.col("x_org") == F.col("y_org")) & self._opposite(F.col("x_kind"), F.col("y_kind")) & (F.col("x_item") < F.col("y_item"))).select("x_item", "y_item", F.lit("sequence").alias("rule"), F.lit(PLAN_AND_BUILD).alias("score"))
+        first = x.filter("x_org <> ''").join(y, (F.col("x_org") == F.col("y_org")) & (F.col("x_item") < F.col("y_item"))).select(
+            "x_item", "y_item", F.lit("organisation").alias("rule"), F.lit(SAME_ORGANISATION).alias("score")
+        )
+        second = x.filter("x_org = ''").join(
+            y, (F.col("x_org") == F.col("y_org")) & self._opposite(F.col("x_kind"), F.col("y_kind")) & (F.col("x_item") < F.col("y_item"))
+        ).select("x_item", "y_item", F.lit("sequence").alias("rule"), F.lit(PLAN_AND_BUILD).alias("score"))
         both = self.near.select("a", "b", "score").unionByName(self.near.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
         third = x.join(both, F.col("x_set_id") == F.col("a")).join(y, (F.col("b") == F.col("y_set_id")) & (F.col("x_item") < F.col("y_item")))
         earlier = ((F.col("x_org") != "") & (F.col("x_org") == F.col("y_org"))) | ((F.col("x_org") == "") & (F.col("y_org") == "") & self._opposite(F.col("x_kind"), F.col("y_kind")))

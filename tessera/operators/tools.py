@@ -117,7 +117,12 @@ def collection_tools(tables: dict[str, DataFrame], nodes: DataFrame, edges: Data
         rows = named(dataset)
         kinds = dict(rows.dtypes)
         plain = [c for c, k in kinds.items() if not k.startswith(("array", "map", "struct"))]
-        measured = [F.struct(F.lit(c).alias("field"), F.lit(kinds[c]).alias("type"), F.avg(F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)).alias("filled"), (F.count_distinct(c) / F.greatest(F.count("*"), F.lit(1))).alias("uniqueness")) for c in plain]
+        measured = [
+            F.struct(
+                F.lit(c).alias("field"), F.lit(kinds[c]).alias("type"), F.avg(F.when(F.col(c).isNotNull(), 1.0).otherwise(0.0)).alias("filled"),
+                (F.count_distinct(c) / F.greatest(F.count("*"), F.lit(1))).alias("uniqueness")
+            ) for c in plain
+        ]
         return rows.agg(F.array(*measured).alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
     @registry.add

@@ -44,7 +44,10 @@ def reconcile(stored: DataFrame, listing: DataFrame, key: str, now: Column) -> D
         .otherwise("unchanged")
     )
     gone = F.when(action == "removed", now).when(action == "still_removed", F.col("_removed"))
-    return joined.select(F.coalesce(F.col(key), F.col("_k")).alias(key), F.coalesce("size", "_size").alias("size"), action.alias("action"), gone.alias("removed_at"), F.when(action == "removed", "missing from listing").alias("reason"))
+    return joined.select(
+        F.coalesce(F.col(key), F.col("_k")).alias(key), F.coalesce("size", "_size").alias("size"), action.alias("action"), gone.alias("removed_at"),
+        F.when(action == "removed", "missing from listing").alias("reason")
+    )
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -34,7 +34,18 @@ def beginnings(counted: DataFrame) -> DataFrame:
     ``cohesion`` the mean chance of its letters after the first, ``entropy`` that of what follows.
     """
     upto = F.sequence(F.lit(1), F.least(F.length("form"), F.lit(LONGEST)))
-    each = counted.select("n", F.explode(F.transform(upto, lambda k: F.struct(F.substring(F.col("form"), F.lit(1), k).alias("start"), F.coalesce(F.nullif(F.substring(F.col("form"), k + 1, F.lit(1)), F.lit("")), F.lit(END)).alias("follows")))).alias("x"))
+    each = counted.select(
+        "n",
+        F.explode(
+            F.transform(
+                upto,
+                lambda k: F.struct(
+                    F.substring(F.col("form"), F.lit(1), k).alias("start"),
+                    F.coalesce(F.nullif(F.substring(F.col("form"), k + 1, F.lit(1)), F.lit("")), F.lit(END)).alias("follows")
+                )
+            )
+        ).alias("x")
+    )
     following = each.groupBy("x.start", "x.follows").agg(F.sum("n").alias("c"))
     sums = following.groupBy("start").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     entropy = F.log("n") - F.col("clogc") / F.col("n")

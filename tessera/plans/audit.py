@@ -44,7 +44,9 @@ SELECT field, count(*) AS entities, count(n) AS covered, round(count(n) / count(
 )
 def entity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
-    entities = nation.select(F.lit("nation").alias("field"), F.col("n_name").alias("v")).unionByName(table(spark, sf_dir, "customer").select(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("v")))
+    entities = nation.select(F.lit("nation").alias("field"), F.col("n_name").alias("v")).unionByName(
+        table(spark, sf_dir, "customer").select(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("v"))
+    )
     return A.entity_coverage(entities, nation.filter("n_regionkey < 3"), "field", "v", "n_name")
 
 
@@ -152,7 +154,10 @@ def section_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, nullif(trim(regexp_extract(c_name, '^([A-Za-z]+)', 1)), '') AS head, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT) AS number FROM customer")
 def compound_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parts of a compound name by patterns."""
-    return table(spark, sf_dir, "customer").select("c_custkey", F.nullif(F.trim(F.regexp_extract("c_name", "^([A-Za-z]+)", 1)), F.lit("")).alias("head"), F.regexp_extract("c_name", "([0-9]+)", 1).cast("long").alias("number"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.nullif(F.trim(F.regexp_extract("c_name", "^([A-Za-z]+)", 1)), F.lit("")).alias("head"),
+        F.regexp_extract("c_name", "([0-9]+)", 1).cast("long").alias("number")
+    )
 
 
 @query(

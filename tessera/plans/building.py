@@ -31,7 +31,10 @@ WHEN stage = 'archive' THEN 'empty' ELSE 'missing' END AS state FROM s)"""
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id")), F.col("doc_id") == F.col("vec_id"), "left")
-    conditions = [F.col("doc_id").isNotNull(), F.col("n_chars") > 0, F.contains("text", F.lit("\n")), F.col("n_chars") >= 500, F.col("status") != "registered", F.col("status") == "reviewed", F.col("vec_id").isNotNull(), F.col("lang").isNotNull(), F.col("n_chars") < 0]
+    conditions = [
+        F.col("doc_id").isNotNull(), F.col("n_chars") > 0, F.contains("text", F.lit("\n")), F.col("n_chars") >= 500, F.col("status") != "registered",
+        F.col("status") == "reviewed", F.col("vec_id").isNotNull(), F.col("lang").isNotNull(), F.col("n_chars") < 0
+    ]
     return builds.stage_states(found, "source", dict(zip(_STAGES, conditions, strict=True)), optional=["archive"])
 
 
@@ -58,7 +61,9 @@ round(two, 6) AS two, round(two - one, 6) AS diff, CASE WHEN one <> 0 THEN round
 def snapshot_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id")
     docs = table(spark, sf_dir, "documents").join(vectors, F.col("doc_id") == F.col("vec_id"), "left")
-    sizes = docs.groupBy(F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("snapshot")).agg(F.count("*").alias("documents"), (F.sum("n_chars") / 1048576).alias("megabytes"), F.count("vec_id").alias("vectors"))
+    sizes = docs.groupBy(F.concat(F.lit("v"), (F.col("doc_id") % 3).cast("string")).alias("snapshot")).agg(
+        F.count("*").alias("documents"), (F.sum("n_chars") / 1048576).alias("megabytes"), F.count("vec_id").alias("vectors")
+    )
     found = builds.compare_snapshots(sizes, "snapshot", "v0", "v1", ["documents", "megabytes", "vectors"])
     return found.select("measure", *[F.round(c, 6).alias(c) for c in ("one", "two", "diff")], "percent")
 
@@ -108,7 +113,9 @@ def compound_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HINTS = [
-    ("document_group", ["the", "of"], "english", ["the texts", "of"]), ("document_group", ["que"], "romance", ["que"]), ("project_type", ["tion", "ing"], "building", ["tion", "ing", "x"]), ("project_type", ["ent"], "study", ["ent"]),
+    ("document_group", ["the", "of"], "english", ["the texts", "of"]), ("document_group", ["que"], "romance", ["que"]), (
+        "project_type", ["tion", "ing"], "building", ["tion", "ing", "x"]
+    ), ("project_type", ["ent"], "study", ["ent"]),
     ("topic", ["er"], "er", ["er", "the texts"]),
 ]
 
@@ -270,7 +277,10 @@ AND trim(source) <> '' THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS INTEGER)
 def text_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's first text of three tables of artifacts."""
     docs = table(spark, sf_dir, "documents")
-    artifacts = [docs.filter("doc_id % 3 = 0").select("doc_id", F.col("source").alias("text")), docs.filter("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("text")), docs.select("doc_id", F.left("text", F.lit(20)).alias("text"))]
+    artifacts = [
+        docs.filter("doc_id % 3 = 0").select("doc_id", F.col("source").alias("text")),
+        docs.filter("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("text")), docs.select("doc_id", F.left("text", F.lit(20)).alias("text"))
+    ]
     return files.first_text(docs.select("doc_id"), artifacts, "doc_id")
 
 
@@ -288,7 +298,10 @@ def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of files with page marks: rows of cells behind ``;[N]``."""
     folder = _folder(spark)
     n = F.col("doc_id").cast("string")
-    lines = F.concat_ws("\n", F.concat(F.lit("lost,before,"), n), F.lit(";[1]"), F.concat_ws(",", "lang", F.lit(""), F.col("n_chars").cast("string")), F.lit(";[2],,"), F.col("source"), F.concat(F.lit(" "), n, F.lit(",")), F.lit(";[3]"))
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("lost,before,"), n), F.lit(";[1]"), F.concat_ws(",", "lang", F.lit(""), F.col("n_chars").cast("string")),
+        F.lit(";[2],,"), F.col("source"), F.concat(F.lit(" "), n, F.lit(",")), F.lit(";[3]")
+    )
     table(spark, sf_dir, "documents").select(lines.alias("value"), "doc_id").repartition(8, "doc_id").write.partitionBy("doc_id").text(folder)
     found = files.page_marker_csv(spark, f"{folder}/*/*.txt")
     return found.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), "page_num", "text")
@@ -417,7 +430,10 @@ def keyword_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents' fields add to the keywords that exist."""
     docs = table(spark, sf_dir, "documents")
     existing = docs.filter("doc_id % 2 = 0 and source like 'src1%'").select(F.upper("source").alias("keyword"))
-    fields_ = docs.select("source", F.when(F.col("doc_id") % 9 == 0, F.upper("source")).otherwise(F.col("lang")).alias("lang"), F.when(F.col("n_chars") > 2000, "long text").when(F.col("n_chars") > 900, "unknown").otherwise("x").alias("kind"))
+    fields_ = docs.select(
+        "source", F.when(F.col("doc_id") % 9 == 0, F.upper("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("n_chars") > 2000, "long text").when(F.col("n_chars") > 900, "unknown").otherwise("x").alias("kind")
+    )
     return pages.keyword_changes(fields_, existing, {"source": 2.0, "lang": 1.5, "kind": 0.8}, overwrite=True)
 
 

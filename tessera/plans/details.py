@@ -71,7 +71,10 @@ def best_match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers by id, else by nation, else by last digit, else the first one."""
     own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     part = lambda rest, key: F.when(F.col("s_suppkey") % 3 == rest, key)
-    right = own.select("s_suppkey", part(0, F.col("s_suppkey")).alias("by_id"), part(1, F.col("s_nationkey").cast("long")).alias("by_nation"), part(2, F.col("s_suppkey") % 10).alias("by_digit"), F.lit(1).alias("any"))
+    right = own.select(
+        "s_suppkey", part(0, F.col("s_suppkey")).alias("by_id"), part(1, F.col("s_nationkey").cast("long")).alias("by_nation"),
+        part(2, F.col("s_suppkey") % 10).alias("by_digit"), F.lit(1).alias("any")
+    )
     left = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"), (F.col("c_custkey") % 10).alias("digit"), F.lit(1).alias("one"))
     return M.best_match(left, right, [("c_custkey", "by_id"), ("nation", "by_nation"), ("digit", "by_digit"), ("one", "any")], ["s_suppkey"]).select("c_custkey", "s_suppkey", "match_level")
 
@@ -85,7 +88,10 @@ SELECT w.source, coalesce(g.sections, '') AS sections, w.snippets, w.strong FROM
 def hit_doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per group of hits its sections and snippets in the order of the hits, and whether any hit is strong."""
     best_first = (-F.col("score"), F.col("vec_id"))
-    found = search.hits(spark, sf_dir).groupBy("source").agg(D.ordered_values(F.col("lang"), *best_first).alias("s"), D.ordered_values(F.col("vec_id"), *best_first).alias("v"), F.bool_or(F.col("score") > 0.4).alias("strong"))
+    found = search.hits(spark, sf_dir).groupBy("source").agg(
+        D.ordered_values(F.col("lang"), *best_first).alias("s"), D.ordered_values(F.col("vec_id"), *best_first).alias("v"),
+        F.bool_or(F.col("score") > 0.4).alias("strong")
+    )
     return found.select("source", F.array_join("s", ",").alias("sections"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("snippets"), "strong")
 
 
@@ -113,7 +119,11 @@ def prefix_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("filled"), F.count_if(F.col("o_orderpriority").rlike("^[0-9]+[-.] ?")).alias("prefixed"))
 
 
-_RATES = [("text", "length(text) > 0", 95, 80), ("chunks", "length(text) >= 100", 95, 80), ("metadata", "trim(lang) <> '' AND trim(source) <> ''", 95, 80), ("keywords", "regexp_matches(text, '[A-Za-z]{4}')", 90, 70), ("graph", "l IS NOT NULL", 95, 80), ("pages", "contains(text, '.')", 95, 80), ("index", "e IS NOT NULL", 95, 80)]
+_RATES = [
+    ("text", "length(text) > 0", 95, 80), ("chunks", "length(text) >= 100", 95, 80), ("metadata", "trim(lang) <> '' AND trim(source) <> ''", 95, 80),
+    ("keywords", "regexp_matches(text, '[A-Za-z]{4}')", 90, 70), ("graph", "l IS NOT NULL", 95, 80), ("pages", "contains(text, '.')", 95, 80),
+    ("index", "e IS NOT NULL", 95, 80)
+]
 _RATED = "100.0 * count(*) FILTER ({0}) / count(*)"
 
 
@@ -149,7 +159,10 @@ def page_chunk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by page with their list; those without a page come last."""
     page = F.when(F.col("turn") > 3, F.lit(None)).otherwise(F.col("turn"))
     name = F.concat_ws(":", "conv_id", "turn")
-    grouped = table(spark, sf_dir, "conversations").groupBy(page.alias("page")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("characters"), D.ordered_values(name, F.col("conv_id"), F.col("turn")).alias("m"))
+    grouped = table(spark, sf_dir, "conversations").groupBy(page.alias("page")).agg(
+        F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("characters"),
+        D.ordered_values(name, F.col("conv_id"), F.col("turn")).alias("m")
+    )
     place = F.row_number().over(M.Window.orderBy(F.col("page").asc_nulls_last())).cast("long")
     return grouped.select("page", "chunks", "characters", F.md5(F.array_join("m", ",").cast("binary")).alias("digest"), place.alias("place"))
 
@@ -200,7 +213,9 @@ def review_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists from bar-separated, JSON and plain strings, joined again by a separator of their kind."""
     kind = F.col("vec_id") % 3
-    raw = F.when(kind == 0, F.concat(F.lit(" a | b"), (F.col("vec_id") % 7).cast("string"), F.lit("| a"))).when(kind == 1, F.concat(F.lit('["x y", "", "'), (F.col("vec_id") % 5).cast("string"), F.lit('", null]'))).otherwise(F.lit(" plain "))
+    raw = F.when(kind == 0, F.concat(F.lit(" a | b"), (F.col("vec_id") % 7).cast("string"), F.lit("| a"))).when(
+        kind == 1, F.concat(F.lit('["x y", "", "'), (F.col("vec_id") % 5).cast("string"), F.lit('", null]'))
+    ).otherwise(F.lit(" plain "))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.when(kind == 0, F.array_join(D.as_list(raw), "|")).otherwise(F.array_join(D.as_list(raw), ",")).alias("items"))
 
 
@@ -243,7 +258,9 @@ SELECT host, page_id, CAST(score AS INTEGER) AS score FROM p WHERE score > 0 QUA
 def representative_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each host's best page by five kinds of points, of equals the newest; those without any point are none."""
     score = D.path_score(F.col("url"), ["blog", "/en/"], ["7"], {".html": 2, "x": 1}, {"?page": 2, "#": 2})
-    rows = table(spark, sf_dir, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), score.cast("int").alias("score")).filter("score > 0")
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("host"), score.cast("int").alias("score")
+    ).filter("score > 0")
     best = rows.groupBy("host").agg(F.max(F.struct("score", "page_id")).alias("b"))
     return best.select("host", "b.page_id", "b.score")
 

@@ -28,7 +28,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (("nation", "n_nationkey", "region", "n_regionkey", "IN_REGION"), ("customer", "c_custkey", "nation", "c_nationkey", "IN_NATION"), ("supplier", "s_suppkey", "nation", "s_nationkey", "IN_NATION"))
+    parts = (
+        ("nation", "n_nationkey", "region", "n_regionkey", "IN_REGION"), ("customer", "c_custkey", "nation", "c_nationkey", "IN_NATION"),
+        ("supplier", "s_suppkey", "nation", "s_nationkey", "IN_NATION")
+    )
     out = None
     for kind, key, to, other, relation in parts:
         one = table(spark, sf_dir, kind).select(F.concat(F.lit(f"{kind}:"), F.col(key)).alias("src"), F.concat(F.lit(f"{to}:"), F.col(other)).alias("dst"), F.lit(relation).alias("type"))
@@ -72,7 +75,9 @@ ORDER BY depth, path LIMIT 1) SELECT CAST(unnest(generate_series(0, len(path) -
 )
 def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the first customer to the first one of another nation in the same region, over both nations and the region."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(
+        table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     own = customers.filter("c_custkey = 1").select(F.col("n_nationkey").alias("_n"), F.col("n_regionkey").alias("_r"))
     other = customers.join(F.broadcast(own), (F.col("n_regionkey") == F.col("_r")) & (F.col("n_nationkey") != F.col("_n"))).agg(F.min("c_custkey")).head()[0]  # one row is broadcast
     return G.shortest_path(edges(spark, sf_dir), "customer:1", f"customer:{other}", 5)

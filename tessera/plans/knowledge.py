@@ -116,5 +116,8 @@ def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = F.trim("line").rlike("^Licensed.*|^This work is.*")
     numbered = lines.withColumn("hd", heading).withColumn("section_no", F.sum(F.col("hd").cast("long")).over(K.Window.partitionBy("doc_id").orderBy("n")))
     inner = F.transform(F.array_sort(F.collect_list(F.when(~F.col("hd"), F.struct("n", "line")))), lambda x: x["line"])
-    made = numbered.groupBy("doc_id", "section_no").agg(F.max("lang").alias("lang"), F.max(F.when(F.col("hd"), F.trim("line"))).alias("title"), F.when(F.count_if(~F.col("hd")) > 0, F.array_join(inner, "\n")).alias("text"))
+    made = numbered.groupBy("doc_id", "section_no").agg(
+        F.max("lang").alias("lang"), F.max(F.when(F.col("hd"), F.trim("line"))).alias("title"),
+        F.when(F.count_if(~F.col("hd")) > 0, F.array_join(inner, "\n")).alias("text")
+    )
     return K.section_blocks(made, "doc_id", F.col("text"), F.col("title"), [F.col("lang")]).select("doc_id", "section_no", F.md5(F.col("block").cast("binary")).alias("digest"))

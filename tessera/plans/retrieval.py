@@ -47,7 +47,10 @@ SELECT page_id FROM k WHERE (g1 = 'english' OR g2 = 'english') AND l1 = 'en' AND
 def hit_filter_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, section and path at once; labels are compared without white space and case."""
     path = F.regexp_replace("url", "^[a-z]+://[^/]*/", "")
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", path.alias("path"), F.split_part(path, F.lit("/"), F.lit(1)).alias("folder"), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)).alias("site"))
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id", "url", path.alias("path"), F.split_part(path, F.lit("/"), F.lit(1)).alias("folder"),
+        F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)).alias("site")
+    )
     keep = X.structure_is([F.col("folder"), F.col("site")], [F.col("folder")], [F.col("path"), F.col("url")], "English", section=" E n", prefix="EN\\1", group_names={"en": "english"})
     return rows.filter(keep).select("page_id")
 
@@ -182,7 +185,10 @@ WHEN contains(t, 'eaux') THEN ['eaux', 'eau'] ELSE [] END, CASE WHEN contains(t,
 def layer_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind of question, its search layers in order, and the found terms with their synonyms."""
     found = X.layer_route(F.col("text"), KINDS, LAYERS, LAYER_TERMS, "ontology", "unknown")
-    return table(spark, sf_dir, "benchmark").select("item_id", found["kind"].alias("kind"), F.round(found["confidence"], 6).alias("confidence"), F.array_join(found["layers"], ",").alias("layers"), F.array_join(found["expanded"], ",").alias("expanded"))
+    return table(spark, sf_dir, "benchmark").select(
+        "item_id", found["kind"].alias("kind"), F.round(found["confidence"], 6).alias("confidence"),
+        F.array_join(found["layers"], ",").alias("layers"), F.array_join(found["expanded"], ",").alias("expanded")
+    )
 
 
 @query(
@@ -302,7 +308,10 @@ WHEN ex THEN 'graph,wiki,vector|graph_first' WHEN intent = 'requirement' THEN 'v
 WHEN (sf OR df) AND k = 'complex' THEN 'vector,graph|parallel' WHEN sf OR df THEN 'vector,graph|vector_first'
 WHEN k <> 'simple' THEN 'graph,vector|graph_first' ELSE 'vector,graph|vector_first' END AS p FROM c)
 SELECT item_id, intent, complexity, split_part(p, '|', 1) AS sources, split_part(p, '|', 2) AS run_order FROM r"""
-_PLAN_SQL = _PLAN.replace("INTENT_OF_ROW", "CASE item_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'example' WHEN 2 THEN 'requirement' WHEN 3 THEN 'summary' WHEN 4 THEN 'section' ELSE 'general' END AS intent")
+_PLAN_SQL = _PLAN.replace(
+    "INTENT_OF_ROW",
+    "CASE item_id % 6 WHEN 0 THEN 'document' WHEN 1 THEN 'example' WHEN 2 THEN 'requirement' WHEN 3 THEN 'summary' WHEN 4 THEN 'section' ELSE 'general' END AS intent"
+)
 
 
 @query(_PLAN_SQL)

@@ -212,7 +212,10 @@ FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)"""
 )
 def integrity_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    part = lambda name, frame, rate: frame.agg((100 * rate).alias("r")).select(F.lit(name).alias("question"), F.round("r", 2).alias("rate"), F.when(F.col("r") >= 95, "pass").when(F.col("r") >= 80, "warn").otherwise("fail").alias("verdict"))
+    part = lambda name, frame, rate: frame.agg((100 * rate).alias("r")).select(
+        F.lit(name).alias("question"), F.round("r", 2).alias("rate"),
+        F.when(F.col("r") >= 95, "pass").when(F.col("r") >= 80, "warn").otherwise("fail").alias("verdict")
+    )
     with_labels = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("other")), F.col("doc_id") == F.col("other"), "left")
     with_vectors = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("other")), F.col("doc_id") == F.col("other"), "left")
     share = F.count("other") / F.count("*")
@@ -224,7 +227,10 @@ count(*) FILTER (d IS NULL) AS orphan FROM (SELECT l.*, d.doc_id AS d, d.n_chars
 def cleanup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "n_chars")
     joined = table(spark, sf_dir, "labels").join(docs, F.col("doc_id") == F.col("d"), "left")
-    return joined.agg(F.count_if(F.col("toxic") == 1).alias("removed"), F.count_if((F.col("toxic") == 1) & (F.col("n_chars") > 2000)).alias("removed_large"), F.count_if(F.col("quality") == 0).alias("excluded"), F.count_if(F.col("d").isNull()).alias("orphan"))
+    return joined.agg(
+        F.count_if(F.col("toxic") == 1).alias("removed"), F.count_if((F.col("toxic") == 1) & (F.col("n_chars") > 2000)).alias("removed_large"),
+        F.count_if(F.col("quality") == 0).alias("excluded"), F.count_if(F.col("d").isNull()).alias("orphan")
+    )
 
 
 @query(
@@ -235,7 +241,10 @@ FROM documents d LEFT JOIN a ON a.ref = d.doc_id LEFT JOIN b ON b.lang = d.lang"
 )
 def best_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages: by id in the address, else by language."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit("")).cast("long").alias("ref"), F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1).alias("path_lang"))
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id", F.nullif(F.regexp_extract("url", "/([0-9]+)", 1), F.lit("")).cast("long").alias("ref"),
+        F.regexp_extract("url", "//[^/]+/([a-z]+)/", 1).alias("path_lang")
+    )
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return M.best_match(docs, pages, [("doc_id", "ref"), ("lang", "path_lang")], ["page_id"]).select("doc_id", "page_id", "match_level")
 
@@ -263,7 +272,10 @@ SELECT kw, CAST(max(w) AS DOUBLE) AS weight, count(DISTINCT doc_id) AS documents
 )
 def keyword_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest weight per lower-cased keyword from three kinds of metadata."""
-    kinds = F.array(F.struct(F.lower("source").alias("kw"), F.lit(2.0).alias("w")), F.struct(F.lower("lang").alias("kw"), F.lit(1.5).alias("w")), F.struct(F.when(F.col("n_chars") > 2000, "long").otherwise("src1").alias("kw"), F.lit(0.8).alias("w")))
+    kinds = F.array(
+        F.struct(F.lower("source").alias("kw"), F.lit(2.0).alias("w")), F.struct(F.lower("lang").alias("kw"), F.lit(1.5).alias("w")),
+        F.struct(F.when(F.col("n_chars") > 2000, "long").otherwise("src1").alias("kw"), F.lit(0.8).alias("w"))
+    )
     rows_ = table(spark, sf_dir, "documents").select("doc_id", F.explode(kinds).alias("k"))
     return rows_.groupBy(F.col("k.kw").alias("kw")).agg(F.max("k.w").alias("weight"), F.count_distinct("doc_id").alias("documents"))
 
@@ -274,14 +286,19 @@ GROUP BY source"""
 )
 def project_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per folder: first organisation, distinct documents, categories."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("lang", "doc_id").alias("organisation"), F.count_distinct("doc_id").alias("documents"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("categories"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.min_by("lang", "doc_id").alias("organisation"), F.count_distinct("doc_id").alias("documents"),
+        F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("categories")
+    )
 
 
 @query("""SELECT regexp_extract(url, '//([^/]+)', 1) AS folder, count(*) AS file_count, round(sum(length(html)) / 1048576, 6) AS total_mb, max(page_id) AS newest FROM pages
 GROUP BY 1""")
 def source_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per top-level folder: files, megabytes, newest."""
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("folder")).agg(F.count("*").alias("file_count"), F.round(F.sum(F.length("html")) / 1048576, 6).alias("total_mb"), F.max("page_id").alias("newest"))
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("folder")).agg(
+        F.count("*").alias("file_count"), F.round(F.sum(F.length("html")) / 1048576, 6).alias("total_mb"), F.max("page_id").alias("newest")
+    )
 
 
 @query("SELECT turn, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM conversations GROUP BY turn")

@@ -72,7 +72,11 @@ TITLES, ISSUERS, SUBJECTS, KINDS = ["(?m)^Title: ([^\\n]+)$"], ["(?m)^Issuer: ([
 
 def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    lines = [F.when(key % 3 == 0, F.concat(F.lit("Title: Report on "), "source", F.lit("\n"))), F.when(key % 4 == 0, F.concat(F.lit("Issuer: House of "), "lang", F.lit("\n"))), F.when(key % 5 == 0, F.concat(F.lit("2024-"), (key % 12 + 1).cast("string"), F.lit("-01\n")))]
+    lines = [
+        F.when(key % 3 == 0, F.concat(F.lit("Title: Report on "), "source", F.lit("\n"))),
+        F.when(key % 4 == 0, F.concat(F.lit("Issuer: House of "), "lang", F.lit("\n"))),
+        F.when(key % 5 == 0, F.concat(F.lit("2024-"), (key % 12 + 1).cast("string"), F.lit("-01\n")))
+    ]
     return table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(*[F.coalesce(x, F.lit("")) for x in lines], "text").alias("t"))
 
 
@@ -243,7 +247,10 @@ def scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to the first one, in each of some scopes; only the scope's folders are read."""
     rows = table(spark, sf_dir, "embeddings")
     label = F.col("label")
-    catalogue = rows.select("label").distinct().select(F.concat(F.lit("s"), label).alias("snapshot"), F.concat(F.lit("b"), F.floor(label / 3)).alias("source"), (label % 5 != 2).alias("queryable"), (label == 4).alias("active"), label.alias("made_at"))
+    catalogue = rows.select("label").distinct().select(
+        F.concat(F.lit("s"), label).alias("snapshot"), F.concat(F.lit("b"), F.floor(label / 3)).alias("source"), (label % 5 != 2).alias("queryable"),
+        (label == 4).alias("active"), label.alias("made_at")
+    )
     path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
     scopes.write_vectors(rows.select("vec_id", "embedding", F.concat(F.lit("s"), label).alias("snapshot")), path)
     own = rows.filter("vec_id = 0").select(F.col("embedding").alias("query_vector"))

@@ -29,10 +29,15 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 list_filter(regexp_extract_all(lower(text), '[0-9a-z가-힣_]+'), lambda x: len(x) >= 2) AS t FROM documents)""")
 def tokenise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text"), 2).alias("t"))
-    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
+    return found.select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"),
+        F.md5(F.array_join("t", " ").cast("binary")).alias("digest")
+    )
 
 
-@query(f"SELECT doc_id, CASE WHEN length({_SQ}) > 220 THEN substr({_SQ}, 1, 220) || '...' ELSE {_SQ} END AS short, length(regexp_replace(lower(text), '{_WS}', '', 'g')) AS compact_chars FROM documents")
+@query(
+    f"SELECT doc_id, CASE WHEN length({_SQ}) > 220 THEN substr({_SQ}, 1, 220) || '...' ELSE {_SQ} END AS short, length(regexp_replace(lower(text), '{_WS}', '', 'g')) AS compact_chars FROM documents"
+)
 def shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text")).alias("short"), F.length(T.compact(F.col("text"))).cast("long").alias("compact_chars"))
 
@@ -142,7 +147,9 @@ def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.first_filled(final, ocr, base).alias("organisation"), T.fallback_source(final=final, ocr=ocr, base=base).alias("provenance"))
 
 
-@query("SELECT page_id, sha1('web:' || url) AS uid, CASE WHEN len(regexp_extract_all(lower(url), '[a-z0-9]+')) > 0 THEN array_to_string(regexp_extract_all(lower(url), '[a-z0-9]+'), '-') || '-' ELSE '-' END || left(md5(url), 8) AS slug FROM pages")
+@query(
+    "SELECT page_id, sha1('web:' || url) AS uid, CASE WHEN len(regexp_extract_all(lower(url), '[a-z0-9]+')) > 0 THEN array_to_string(regexp_extract_all(lower(url), '[a-z0-9]+'), '-') || '-' ELSE '-' END || left(md5(url), 8) AS slug FROM pages"
+)
 def doc_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.document_uid(F.lit("web"), F.col("url")).alias("uid"), T.slug(F.col("url")).alias("slug"))
 

@@ -21,7 +21,10 @@ _LISTING = "listing AS (SELECT doc_id, n_chars AS size FROM documents WHERE sour
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").filter("source <> 'src1'")
-    return rows.select("doc_id", (F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0)).alias("size"), F.when(F.col("source") == "src2", F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("removed_at"))
+    return rows.select(
+        "doc_id", (F.col("n_chars") + F.when(F.col("lang") == "fr", 1).otherwise(0)).alias("size"),
+        F.when(F.col("source") == "src2", F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("removed_at")
+    )
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +55,9 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("sum", F.md5(F.col("text").cast("binary")))
     old = docs.filter("source <> 'src2'").select("doc_id", F.col("n_chars").alias("size"), F.col("lang").alias("mtime"), F.when(F.col("source") == "src1", F.col("sum")).alias("checksum"))
     new = docs.filter("source <> 'src4'").select(
-        "doc_id", (F.col("n_chars") + F.when(F.col("lang") == "de", 1).otherwise(0)).alias("size"), F.when(F.col("lang") == "es", "x").otherwise(F.col("lang")).alias("mtime"), F.when(F.col("lang") == "fr", "other").otherwise(F.col("sum")).alias("checksum")
+        "doc_id", (
+            F.col("n_chars") + F.when(F.col("lang") == "de", 1).otherwise(0)
+        ).alias("size"), F.when(F.col("lang") == "es", "x").otherwise(F.col("lang")).alias("mtime"), F.when(F.col("lang") == "fr", "other").otherwise(F.col("sum")).alias("checksum")
     )
     return U.change_actions(old, new, "doc_id")
 
@@ -144,7 +149,9 @@ def drop_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.drop_orphans(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
 
-@query("SELECT conv_id, turn, conv_id || '-chunk-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS chunk_id, role || '_' || conv_id || '_' || lpad(CAST(turn AS VARCHAR), 4, '0') AS source_chunk_id FROM conversations")
+@query(
+    "SELECT conv_id, turn, conv_id || '-chunk-' || lpad(CAST(turn AS VARCHAR), 4, '0') AS chunk_id, role || '_' || conv_id || '_' || lpad(CAST(turn AS VARCHAR), 4, '0') AS source_chunk_id FROM conversations"
+)
 def chunk_id_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     ids = lambda scheme: U.chunk_ids(F.col("role"), F.col("conv_id"), F.col("turn"), scheme)

@@ -23,7 +23,10 @@ def scan(spark: SparkSession, root: str, pattern: str = "*", depth: int | None =
     folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", root).rstrip("/") + "/"  # paths come back with a scheme
     relative = F.expr(f"substring(path, locate({_quoted(folder)}, path) + {len(folder)})")
     name = F.element_at(F.split("path", "/"), -1)
-    rows = found.select("path", name.alias("name"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("ext"), relative.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    rows = found.select(
+        "path", name.alias("name"), F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1)).alias("ext"), relative.alias("relative_path"),
+        F.col("length").alias("size"), F.col("modificationTime").alias("mtime")
+    )
     return rows if depth is None else rows.filter(F.size(F.split("relative_path", "/")) <= depth)
 
 
@@ -44,7 +47,10 @@ def path_features(files: DataFrame, categories: dict[str, str]) -> DataFrame:
     first = F.regexp_replace(F.element_at(parts, 1), "^[0-9]+[. ]+", "")
     group = F.when(depth > 1, F.coalesce(F.try_element_at(known, first), first))
     project = F.element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{4,8}[. ]")), 1)
-    return files.select("*", group.alias("category"), F.when(depth > 2, F.element_at(parts, 2)).alias("section"), F.when(F.size(F.filter(parts, lambda p: p.rlike("^[0-9]{4,8}[. ]"))) > 0, project).alias("project"))
+    return files.select(
+        "*", group.alias("category"), F.when(depth > 2, F.element_at(parts, 2)).alias("section"),
+        F.when(F.size(F.filter(parts, lambda p: p.rlike("^[0-9]{4,8}[. ]"))) > 0, project).alias("project")
+    )
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -164,4 +164,6 @@ def windowed_counts(events: DataFrame, ts: str = "ts", width: str = "1 hour", la
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Activity sessions per user: a job whose session has ended is stale."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), user).agg(F.count("*").alias("n")).select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), user).agg(F.count("*").alias("n")).select(
+        user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"
+    )

@@ -32,7 +32,10 @@ def test_chain_heads(spark):
 
 
 def test_projects_of_a_value(spark):
-    nodes = spark.createDataFrame([("p1", "project", "One", 2020), ("p2", "project", "Two", 2023), ("p3", "project", "Three", None), ("m", "method", "Agile", None)], "id string, type string, label string, year int")
+    nodes = spark.createDataFrame(
+        [("p1", "project", "One", 2020), ("p2", "project", "Two", 2023), ("p3", "project", "Three", None), ("m", "method", "Agile", None)],
+        "id string, type string, label string, year int"
+    )
     edges = spark.createDataFrame([("p1", "m", "USES"), ("p2", "m", "USES"), ("p3", "m", "USES"), ("p3", "m", "USES"), ("p1", "p2", "OTHER")], "src string, dst string, type string")
     ask = lambda name, relation="USES": [r.id for r in builds.projects_with(nodes, edges, {"scrum ": "Agile"}, name, relation, "year").collect()]
     assert ask("Scrum") == ask("agile") == ["p2", "p1", "p3"] and ask("none") == [] and ask("agile", "OTHER") == []
@@ -49,7 +52,10 @@ def test_hints(spark):
     rules = [("document_group", ["제안서"], "제안서", []), ("project_type", ["업무 시스템", "개선"], "시스템개선", ["업무시스템", "개선"]), ("project_type", ["컨설팅"], "컨설팅", ["컨설팅"]), ("topic", ["AI"], "ai", ["ai", "인공지능"])]
     hints, terms = builds.question_hints(F.col("q"), rules, ["문서"], ["플랫폼", "개선", "문서", "가"])
     rows = spark.createDataFrame([("업무시스템 을 개선 한 제안서 플랫폼 문서 가",), ("ai 컨설팅",), (None,)], "q string").select(hints, terms).collect()
-    assert [(dict(r[0]), r[1]) for r in rows] == [({"document_group": "제안서", "project_type": "시스템개선"}, ["업무시스템", "개선", "플랫폼"]), ({"project_type": "컨설팅", "topic": "ai"}, ["컨설팅", "ai", "인공지능"]), ({}, [])]
+    assert [(dict(r[0]), r[1]) for r in rows] == [
+        ({"document_group": "제안서", "project_type": "시스템개선"}, ["업무시스템", "개선", "플랫폼"]), ({"project_type": "컨설팅", "topic": "ai"}, ["컨설팅", "ai", "인공지능"]),
+        ({}, [])
+    ]
 
 
 def plain_vector(text, dims):
@@ -86,7 +92,10 @@ def test_quality_without_keys_or_structure_is_held_down(spark):
 
 @pytest.fixture(scope="module")
 def own(spark):
-    docs = spark.createDataFrame([(1, "alpha beta\nbeta", "en", "s1", 15), (2, "beta gamma", "en", "s2", 10), (3, "delta", "fr", "s1", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(1, "alpha beta\nbeta", "en", "s1", 15), (2, "beta gamma", "en", "s2", 10), (3, "delta", "fr", "s1", 5)],
+        "doc_id long, text string, lang string, source string, n_chars long"
+    )
     labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, quality int")
     nodes = spark.createDataFrame([("p", "project", "Alpha"), ("o", "organization", "Office"), ("t", "technology", "Tech")], "id string, type string, label string")
     edges = spark.createDataFrame([("p", "o", "BY"), ("o", "t", "USES")], "src string, dst string, type string")
@@ -97,7 +106,11 @@ def test_tools_have_schemas_from_their_signatures(own):
     names = "search_documents query_graph_relations get_document_details analyze_data_structure diagnose_data_quality analyze_data_linkage calculate_statistics aggregate_by_field compare_datasets".split()
     assert list(own.tools) == names
     schema = own.schemas()[0]["function"]
-    assert schema["parameters"] == {"type": "object", "properties": {"query": {"type": "string"}, "category": {"type": "string", "default": "all"}, "top_k": {"type": "integer", "default": 10}}, "required": ["query"]}
+    assert schema["parameters"] == {
+        "type": "object",
+        "properties": {"query": {"type": "string"}, "category": {"type": "string", "default": "all"}, "top_k": {"type": "integer", "default": 10}},
+        "required": ["query"]
+    }
     assert all(s["function"]["description"] for s in own.schemas())
     with pytest.raises(TypeError):
         own.execute("search_documents")
@@ -107,10 +120,14 @@ def test_tools_have_schemas_from_their_signatures(own):
 
 def test_tools_answer(own):
     ids = lambda f, c="doc_id": [r[c] for r in f.collect()]
-    assert ids(own.execute("search_documents", query="Delta!")) == [3] and ids(own.execute("search_documents", query="delta", category="en")) == [] and own.execute("search_documents", query="?").count() == 0
+    assert ids(own.execute("search_documents", query="Delta!")) == [3] and ids(
+        own.execute("search_documents", query="delta", category="en")
+    ) == [] and own.execute("search_documents", query="?").count() == 0
     assert set(ids(own.execute("query_graph_relations", entity=" alpha "), "id")) == {"o", "t"} and ids(own.execute("query_graph_relations", entity="Alpha", relation_type="technology"), "id") == ["t"]
     assert ids(own.execute("query_graph_relations", entity="Alpha", depth=1), "id") == ["o"]
-    assert own.execute("get_document_details", document_id=1, include_chunks=True).head().chunks == ["alpha beta", "beta"] and "chunks" not in own.execute("get_document_details", document_id=1).columns
+    assert own.execute(
+        "get_document_details", document_id=1, include_chunks=True
+    ).head().chunks == ["alpha beta", "beta"] and "chunks" not in own.execute("get_document_details", document_id=1).columns
     assert {r.field: round(r.uniqueness, 3) for r in own.execute("analyze_data_structure").collect()}["lang"] == 0.667
     assert own.execute("diagnose_data_quality", category="en").head().consistency == 1.0
     assert {(r.child_table, r.child_column) for r in own.execute("analyze_data_linkage").collect()} >= {("labels", "doc_id")}
@@ -125,7 +142,9 @@ def test_pages_of_a_text(spark):
     text = "lead\n===== [PAGE 4] =====\nReport on things\n\f\n \n\f2 2.\n| a | b |\n===== [PAGE 2] =====\nAppendix\n[Figure] one\n"
     rows = [r.asDict() for r in pages.page_rows(spark.createDataFrame([(1, text), (2, None), (3, "\n"), (4, "just one report")], "d int, t string"), "d", "t").orderBy("d", "page_no").collect()]
     assert [(r["d"], r["page_no"], r["title"], r["kind"], r["has_table"], r["has_image"]) for r in rows] == [
-        (1, 1, "lead", "content", False, False), (1, 4, "Report on things", "content", False, False), (1, 5, None, "content", True, False), (1, 6, "Appendix", "appendix", False, True), (4, 1, "just one report", "cover", False, False),
+        (1, 1, "lead", "content", False, False), (
+            1, 4, "Report on things", "content", False, False
+        ), (1, 5, None, "content", True, False), (1, 6, "Appendix", "appendix", False, True), (4, 1, "just one report", "cover", False, False),
     ]
     assert all(text[r["start"] : r["stop"]].strip() == r["text"] for r in rows if r["d"] == 1)
 
@@ -164,7 +183,10 @@ def test_embedders_that_fail(spark):
 
 
 def test_guard_words():
-    for text in ("MATCH (a) DETACH DELETE a", "match (a) set a.x = 1 return a", "CALL apoc.load() RETURN 1", "call `db`.labels() return 1", "LOAD CSV FROM 'x' AS r RETURN r", "MATCH (a) RETURN a; MATCH (b) RETURN b", "MATCH (a) // x", "just words", "UNWIND [1] AS x RETURN x"):
+    for text in (
+        "MATCH (a) DETACH DELETE a", "match (a) set a.x = 1 return a", "CALL apoc.load() RETURN 1", "call `db`.labels() return 1",
+        "LOAD CSV FROM 'x' AS r RETURN r", "MATCH (a) RETURN a; MATCH (b) RETURN b", "MATCH (a) // x", "just words", "UNWIND [1] AS x RETURN x"
+    ):
         assert not graph.read_only(text), text
     for text in ("MATCH (a)-->(b) RETURN a", "match (settings) return settings.created", "MATCH (a {name: 'delete set'}) RETURN a", "MATCH (a) RETURN a;"):
         assert graph.read_only(text), text

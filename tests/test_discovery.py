@@ -28,7 +28,9 @@ def plain_terms(docs, words, whole=False):
 @pytest.fixture(scope="module")
 def words():
     return [
-        ("technology", "Spark", "spark sql", "Engines"), ("technology", "Spark", "pyspark", "Engines"), ("technology", "Engines", None, None), ("technology", "SQL", "sql", "Engines"), ("organisation", "Ämter", "amt", None), ("organisation", "행정부", "행정", None),
+        (
+            "technology", "Spark", "spark sql", "Engines"
+        ), ("technology", "Spark", "pyspark", "Engines"), ("technology", "Engines", None, None), ("technology", "SQL", "sql", "Engines"), ("organisation", "Ämter", "amt", None), ("organisation", "행정부", "행정", None),
         ("domain", "aa", "aaa", None), ("method", "Spark", "park", None), ("keyword", "x", "", None), ("section", "Intro", "1. intro", None),
     ]
 
@@ -67,7 +69,9 @@ def test_layers(spark, words):
     nodes, edges = dictionary.layers(dictionary.terms(docs, frame), frame, {"technology": "USES_TECH", "organisation": "ISSUED_BY"})
     got = {tuple(r) for r in edges.select("src", "dst", "type").collect()}
     assert got == {
-        ("document:1", "technology:spark", "USES_TECH"), ("document:1", "technology:sql", "USES_TECH"), ("document:1", "organisation:ämter", "ISSUED_BY"), ("document:2", "technology:sql", "USES_TECH"),
+        ("document:1", "technology:spark", "USES_TECH"), ("document:1", "technology:sql", "USES_TECH"), (
+            "document:1", "organisation:ämter", "ISSUED_BY"
+        ), ("document:2", "technology:sql", "USES_TECH"),
         ("technology:engines", "technology:spark", "PARENT_TECH"), ("technology:engines", "technology:sql", "PARENT_TECH"),
     }
     ids = [r.id for r in nodes.collect()]
@@ -147,12 +151,17 @@ def test_references(spark):
     got = {tuple(r) for r in linkage.references({"o": orders, "c": custs, "t": notes, "w": twice, "u": nulls, "e": twice.limit(0)}).collect()}
     assert got == {
         ("o", "o_cust", "c", "c_cust", orders.select("o_cust").distinct().count(), 40, True), ("c", "c_cust", "o", "o_id", 40, 500, False), ("t", "t_long", "c", "c_long", 2, 40, True),
-        ("w", "w_cust", "c", "c_cust", 2, 40, True), ("w", "w_cust", "o", "o_id", 2, 500, False), ("u", "u_cust", "c", "c_cust", 1, 40, True), ("u", "u_cust", "o", "o_id", 1, 500, False), ("o", "o_cust", "o", "o_id", orders.select("o_cust").distinct().count(), 500, False),
+        ("w", "w_cust", "c", "c_cust", 2, 40, True), ("w", "w_cust", "o", "o_id", 2, 500, False), ("u", "u_cust", "c", "c_cust", 1, 40, True), ("u", "u_cust", "o", "o_id", 1, 500, False), (
+            "o", "o_cust", "o", "o_id", orders.select("o_cust").distinct().count(), 500, False
+        ),
     }
 
 
 def test_sketches_spare_what_cannot_be(spark):
-    tables = {"a": spark.range(5_000).select(F.col("id").alias("a_id"), (F.col("id") + 100_000).alias("a_far")), "b": spark.range(2_000).select((F.col("id") * 2).alias("b_id"), (F.col("id") * 3).alias("b_other"))}
+    tables = {
+        "a": spark.range(5_000).select(F.col("id").alias("a_id"), (F.col("id") + 100_000).alias("a_far")),
+        "b": spark.range(2_000).select((F.col("id") * 2).alias("b_id"), (F.col("id") * 3).alias("b_other"))
+    }
     profiles = linkage.profile("a", tables["a"]).unionByName(linkage.profile("b", tables["b"]))
     found = {(r.ct, r.cc, r.pt, r.pc) for r in linkage.candidates(profiles).collect()}
     assert ("b", "b_id", "a", "a_id") in found and not any("a_far" in r for r in found) and ("b", "b_other", "b", "b_id") not in found

@@ -41,7 +41,10 @@ def test_quoted_cells(spark, tmp_path):
 def test_workbook(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
         z.writestr("xl/sharedStrings.xml", "<sst><si><t>Name</t></si><si><r><t>Two</t></r><r><t xml:space='preserve'> parts</t></r></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"/><c r="C1"><v>4.5</v></c></row><row r="2"><c t="inlineStr"><is><t>A &amp; B</t></is></c></row></sheetData></worksheet>')
+        z.writestr(
+            "xl/worksheets/sheet1.xml",
+            '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"/><c r="C1"><v>4.5</v></c></row><row r="2"><c t="inlineStr"><is><t>A &amp; B</t></is></c></row></sheetData></worksheet>'
+        )
         z.writestr("xl/worksheets/sheet2.xml", '<worksheet><row><c t="s"><v>1</v></c></row></worksheet>')
     (row,) = files.extract(spark, str(tmp_path)).collect()
     assert row.status == "done" and row.text == "===== [PAGE 1] =====\nName | 4.5\nA & B\n===== [PAGE 2] =====\nTwo parts"

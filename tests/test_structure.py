@@ -67,7 +67,10 @@ def test_canonical_sections(spark):
 
 
 def test_slide_sections_that_come_again(spark):
-    slides = spark.createDataFrame([(1, n, s, w) for n, s, w in [(1, "a", ["x", "both"]), (2, "a", ["x"]), (3, "b", ["y", "both"]), (5, "a", ["z"]), (6, "a", []), (6, "a", ["z"])]], "d int, n int, s string, w array<string>")
+    slides = spark.createDataFrame(
+        [(1, n, s, w) for n, s, w in [(1, "a", ["x", "both"]), (2, "a", ["x"]), (3, "b", ["y", "both"]), (5, "a", ["z"]), (6, "a", []), (6, "a", ["z"])]],
+        "d int, n int, s string, w array<string>"
+    )
     got = {r.s: tuple(r)[2:] for r in outline.slide_outline(slides, "d", "n", "s", F.col("w")).collect()}
     assert got == {"a": (1, 6, "1~2, 5~6", 4, "x z"), "b": (3, 3, "3", 1, "y")}
 
@@ -167,8 +170,15 @@ def test_labelled(spark):
 
 
 def test_organisations_by_frequency(spark):
-    rows = [(1, "Owner: Said House\nAbc Office"), (2, "Abc Office Abc Office and Xyz Office"), (3, "Xyz Office and Abc Office"), (4, "Common Office Common Office"), (5, "Common Office"), (6, "Common Office, Common Office, Rare Office"), (7, "Common Office"), (8, None)]
-    got = {r.id: (r.organisation, round(r.confidence, 6)) for r in fields.organisations(spark.createDataFrame(rows, "d int, t string"), "d", "t", ["Owner"], "[A-Z][a-z]+ Office", spread=0.4).collect()}
+    rows = [
+        (1, "Owner: Said House\nAbc Office"), (2, "Abc Office Abc Office and Xyz Office"), (3, "Xyz Office and Abc Office"),
+        (4, "Common Office Common Office"), (5, "Common Office"), (6, "Common Office, Common Office, Rare Office"), (7, "Common Office"), (8, None)
+    ]
+    got = {
+        r.id: (r.organisation, round(r.confidence, 6)) for r in fields.organisations(
+            spark.createDataFrame(rows, "d int, t string"), "d", "t", ["Owner"], "[A-Z][a-z]+ Office", spread=0.4
+        ).collect()
+    }
     assert got == {1: ("Said House", 0.9), 2: ("Abc Office", 0.63), 3: ("Abc Office", 0.6), 6: ("Rare Office", 0.6)}
 
 
@@ -193,7 +203,10 @@ def catalogue(spark):
 
 @pytest.mark.parametrize(
     "wanted,scope,held",
-    [(None, "active_snapshot", {"s4"}), ("all_sources", "all_sources", {"s2", "s4"}), ("source:a", "source:a", {"s2"}), ("mine", "mine", {"s1", "s4"}), ("source:c", "active_snapshot", {"s4"}), ("void", "active_snapshot", {"s4"})],
+    [
+        (None, "active_snapshot", {"s4"}), ("all_sources", "all_sources", {"s2", "s4"}), ("source:a", "source:a", {"s2"}),
+        ("mine", "mine", {"s1", "s4"}), ("source:c", "active_snapshot", {"s4"}), ("void", "active_snapshot", {"s4"})
+    ],
 )
 def test_scopes(catalogue, wanted, scope, held):
     rows = scopes.resolve(catalogue, wanted, {"mine": [("s1", None), (None, "b"), ("s9", None)], "void": [("s9", None)]}).collect()
@@ -208,7 +221,10 @@ def test_a_default_that_holds_nothing(catalogue):
 
 def test_only_a_scope_s_folders_are_read(spark, catalogue, tmp_path):
     path = str(tmp_path / "vectors")
-    scopes.write_vectors(spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.concat(F.lit("s"), (F.col("id") % 5 + 1).cast("string")).alias("snapshot")), path)
+    scopes.write_vectors(
+        spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.concat(F.lit("s"), (F.col("id") % 5 + 1).cast("string")).alias("snapshot")),
+        path
+    )
     found = scopes.scoped(spark, path, scopes.resolve(catalogue, "source:a"))
     assert {r.vec_id for r in found.collect()} == {i for i in range(100) if i % 5 == 1}
     plan = found._jdf.queryExecution()

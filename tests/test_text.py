@@ -16,7 +16,10 @@ def test_token_estimate(spark):
 
 
 def test_gate(spark):
-    cases = {"": "empty", None: "empty", "=== [PAGE 3] ===": "page_marker", "a ..... 1 b ..... 2": "toc", "abc 1": "short", "abcdefghij" + "1" * 60: "few_letters", "ab" * 60: "monotone", "한글 문서의 내용은 길고 다양합니다": "ok"}
+    cases = {
+        "": "empty", None: "empty", "=== [PAGE 3] ===": "page_marker", "a ..... 1 b ..... 2": "toc", "abc 1": "short",
+        "abcdefghij" + "1" * 60: "few_letters", "ab" * 60: "monotone", "한글 문서의 내용은 길고 다양합니다": "ok"
+    }
     for text, want in cases.items():
         assert one(spark, T.gate, text) == want, text
 

@@ -25,7 +25,10 @@ def verdict(text):
 
 def test_gate_of_all_lengths(spark, tmp_path):
     long = " ".join(f"{chr(0x4E00 + i)}" for i in range(500))
-    texts = [None, "", "a short text of use", "plain words " * 60, "Chapter one ..... 3\nChapter two ..... 9\n" * 30, "1234567890 x " * 50, long, long + " abcdefghijklm", "".join(chr(0xAC00 + i) for i in range(700)), "=== [PAGE 3] ==="]
+    texts = [
+        None, "", "a short text of use", "plain words " * 60, "Chapter one ..... 3\nChapter two ..... 9\n" * 30, "1234567890 x " * 50, long,
+        long + " abcdefghijklm", "".join(chr(0xAC00 + i) for i in range(700)), "=== [PAGE 3] ==="
+    ]
     rows = list(enumerate(texts))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.reason for r in catalog.QUERIES["gate_all"](spark, str(tmp_path)).collect()}
