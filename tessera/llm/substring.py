@@ -13,6 +13,7 @@ automaton is built where the matching documents' text arrives:
 1. A window's anchor is its smallest hash of ``ANCHOR`` consecutive words.
    Equal windows have equal anchors; a run of windows with one anchor is a
    segment.  Anchors that stand in one text only are settled: nothing repeats.
+   A map task that meets an anchor in two texts knows, and tells it once.
 2. Texts send their segments with repeated anchors to the anchor's shard.  Of
    equal texts only the one with the smallest id does; the others go as a whole
    if they have a window at all.  A map task settles segments that it has seen
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, map_arrow, sha256_hex
@@ -47,6 +48,8 @@ WINDOW = 20
 ANCHOR = 6
 #: Segments that a map task remembers, so as not to send their repeats.
 REMEMBERED = 150_000
+#: Anchors and texts that a map task remembers, so as not to deal out a frequent anchor again and again.
+REMEMBERED_ANCHORS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = np.array([pow(_BASE, k, 2**64) for k in range(64)], np.uint64)
@@ -164,15 +167,47 @@ def _tag(text: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64))
 
 
+_FOUND = {"k": pa.int64(), "anchor": pa.int64(), "doc": pa.int64(), "tag": pa.int64(), "sure": pa.bool_()}
+_FOUND_SCHEMA = "k bigint, anchor bigint, doc bigint, tag bigint, sure boolean"
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of an anchor and a document, dealt by ``k``, which is the anchor (``anchor`` is null then) or anything.
+
+    An anchor that the task has met in another text, or that stands twice in one, is
+    ``sure`` to repeat.  The first such row still goes to the anchor's place, so that
+    documents elsewhere learn of it; later ones of the task know enough and are dealt
+    evenly, hence a frequent anchor has two rows a task at its place.  A text that the
+    task has met in a document before is no original and has no rows.
+    """
+    met: dict[int, int | None] = {}  # the one text that an anchor was met in; None: it is known to repeat
+    least: dict[int, int] = {}
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tag = _tag(text)
+            if least.get(tag, doc + 1) <= doc:
+                continue
+            if len(met) >= REMEMBERED_ANCHORS or len(least) >= REMEMBERED_ANCHORS:
+                met.clear(), least.clear()
+            least[tag] = doc
             anchor, _, _, twice = segments(word_hashes(text.split()))
             if not len(anchor):
                 continue
             anchor, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
-            again = (times > 1) | (np.bincount(which, twice) > 0)  # in two segments, or twice in one
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(np.full(len(anchor), doc, np.int64)), pa.array(np.full(len(anchor), _tag(text), np.int64)), pa.array(again)], names=["anchor", "doc", "tag", "twice"])
+            sure = ((times > 1) | (np.bincount(which, twice) > 0)).tolist()  # in two segments, or twice in one
+            told = [True] * len(sure)
+            for i, a in enumerate(anchor.tolist()):
+                known = met.get(a, tag)
+                if known is None:
+                    told[i], sure[i] = False, True
+                elif known != tag or sure[i]:
+                    met[a], sure[i] = None, True
+                else:
+                    met[a] = tag
+            at = np.array(told)
+            spread = (anchor.view(np.uint64) * np.uint64(_BASE) + np.uint64(doc & 0xFFFFFFFFFFFFFFFF) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+            columns = {"k": np.where(at, anchor, spread), "anchor": pa.array(anchor, mask=at), "doc": np.full(len(at), doc, np.int64), "tag": np.where(at, tag, 0), "sure": sure}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in _FOUND.items()], names=list(_FOUND))
 
 
 def _joined(stream: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.RecordBatch]:
@@ -268,10 +303,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = cut(map_arrow(own, tags, "doc bigint, tag bigint"))
     first = texts.groupBy("tag").agg(F.min("doc").alias("first"))
     copies = texts.join(first, "tag").filter("doc > first").select("doc", "tag")
-    found = map_arrow(own, lambda b: _joined(_anchors(b)), "anchor bigint, doc bigint, tag bigint, twice boolean")
-    repeated = found.groupBy("anchor").agg(F.min("tag").alias("least"), F.max("tag").alias("most"), F.max("twice").alias("twice")).filter("least <> most or twice").select("anchor")
+    # each task gives a place two rows at most for an anchor that it finds to repeat, so what meets there is small
+    found = map_arrow(own, lambda b: _joined(_anchors(b)), _FOUND_SCHEMA)
+    place = Window.partitionBy("k")
+    apart = (F.min("tag").over(place) != F.max("tag").over(place)) | F.max("sure").over(place)
     originals = texts.join(first, "tag").filter("doc = first").select("doc").distinct()
-    wanted = found.select("anchor", "doc").join(repeated, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")).join(originals, "doc")
+    repeated = found.withColumn("apart", apart).filter("apart").select("doc", F.coalesce("anchor", "k").alias("anchor"))
+    wanted = repeated.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")).join(originals, "doc")
     sent = cut(map_arrow(packed(own.select("doc", F.col("_text").cast("string").alias("text")), "doc", "text").join(wanted, "doc").select("doc", "_packed", "anchors"), lambda b: _joined(_send(b)), _SENT_SCHEMA))
     shards = sent.filter("words is not null").select("anchor", "doc", "start", "tag", "words").repartition("anchor").sortWithinPartitions("anchor", "doc", "start", "tag")
     matched = map_arrow(shards, _match, "doc bigint, tag bigint, a int, b int", None)

@@ -96,3 +96,54 @@ def test_segments_meet():
             for j in range(i + 1, 41):
                 if (a[i : i + 20] == a[j : j + 20]).all():
                     assert at[i][0] == at[j][0] and (at[i][1] != at[j][1] or twice[at[i][1]])
+
+
+def test_anchors_are_dealt_out_twice_a_task():
+    """Frequent anchors and copies have few rows at the anchor's place, and no document that needs them is lost."""
+    import pyarrow as pa
+
+    from tessera.llm import substring as S
+
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = [f"{shared} own{i} {' '.join(f'w{i}x{j}' for j in range(30))}".encode() for i in range(40)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[0]) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs], pa.binary())], names=["doc", "_text"])
+    rows = [r for b in S._anchors(iter([batch])) for r in b.to_pylist()]
+    assert {r["doc"] for r in rows} == set(range(40))
+    own = [set(S.segments(S.word_hashes(t.split()))[0].tolist()) for t in texts]
+    everywhere = set.intersection(*own)
+    assert everywhere
+    places = {}
+    for r in rows:
+        places.setdefault(r["k"], []).append(r)
+    for a in everywhere:
+        assert len([r for r in places[a] if r["anchor"] is None]) == 2
+    found = {}
+    for r in rows:
+        group = places[r["k"]]
+        if len({x["tag"] for x in group}) > 1 or any(x["sure"] for x in group):
+            found.setdefault(r["doc"], set()).add(r["k"] if r["anchor"] is None else r["anchor"])
+    for i in range(40):
+        assert found[i] == {a for a in own[i] if sum(a in o for o in own) > 1}
+
+
+def test_forgetting_anchors_loses_nothing(spark, monkeypatch):
+    import random
+
+    from tessera.llm import substring as S
+
+    monkeypatch.setattr(S, "REMEMBERED_ANCHORS", 3)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(25)]
+    docs = [(i, " ".join([f"a{rng.randint(0, 50)}" for _ in range(40)] + passage * (i % 3 == 0) + [f"b{i}x{j}" for j in range(10)])) for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in S.report(frame).collect()}
+    starts, want = {}, {}
+    for d, t in docs:
+        w = t.split()
+        gone = set()
+        for k in range(len(w) - 19):
+            if starts.setdefault(tuple(w[k : k + 20]), (d, k)) < (d, k):
+                gone |= set(range(k, k + 20))
+        want[d] = len(gone)
+    assert got == want and sum(want.values()) > 0
