@@ -48,8 +48,8 @@ WINDOW = 20
 ANCHOR = 6
 #: Segments that a map task remembers, so as not to send their repeats.
 REMEMBERED = 150_000
-#: Anchors and texts that a map task remembers, so as not to deal out a frequent anchor again and again.
-REMEMBERED_ANCHORS = 500_000
+#: Anchors (one a slot of a table) and texts that a map task remembers, so as not to deal out a frequent anchor again and again.
+REMEMBERED_ANCHORS = 1_000_003
 
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = np.array([pow(_BASE, k, 2**64) for k in range(64)], np.uint64)
@@ -180,33 +180,30 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     evenly, hence a frequent anchor has two rows a task at its place.  A text that the
     task has met in a document before is no original and has no rows.
     """
-    met: dict[int, int | None] = {}  # the one text that an anchor was met in; None: it is known to repeat
+    size = REMEMBERED_ANCHORS
+    held, text_of, state = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int8)  # state: 0 free, 1 met in one text, 2 known to repeat
     least: dict[int, int] = {}
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             tag = _tag(text)
             if least.get(tag, doc + 1) <= doc:
                 continue
-            if len(met) >= REMEMBERED_ANCHORS or len(least) >= REMEMBERED_ANCHORS:
-                met.clear(), least.clear()
+            if len(least) >= size:
+                least.clear()
             least[tag] = doc
             anchor, _, _, twice = segments(word_hashes(text.split()))
             if not len(anchor):
                 continue
             anchor, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
-            sure = ((times > 1) | (np.bincount(which, twice) > 0)).tolist()  # in two segments, or twice in one
-            told = [True] * len(sure)
-            for i, a in enumerate(anchor.tolist()):
-                known = met.get(a, tag)
-                if known is None:
-                    told[i], sure[i] = False, True
-                elif known != tag or sure[i]:
-                    met[a], sure[i] = None, True
-                else:
-                    met[a] = tag
-            at = np.array(told)
+            sure = (times > 1) | (np.bincount(which, twice) > 0)  # in two segments, or twice in one
+            slot = (anchor.view(np.uint64) % np.uint64(size)).astype(np.int64)
+            met = held[slot] == anchor
+            known = met & (state[slot] == 2)
+            sure |= known | (met & (state[slot] == 1) & (text_of[slot] != tag))
+            told = ~known
+            held[slot], text_of[slot], state[slot] = anchor, tag, 1 + sure
             spread = (anchor.view(np.uint64) * np.uint64(_BASE) + np.uint64(doc & 0xFFFFFFFFFFFFFFFF) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-            columns = {"k": np.where(at, anchor, spread), "anchor": pa.array(anchor, mask=at), "doc": np.full(len(at), doc, np.int64), "tag": np.where(at, tag, 0), "sure": sure}
+            columns = {"k": np.where(told, anchor, spread), "anchor": pa.array(anchor, mask=told), "doc": np.full(len(told), doc, np.int64), "tag": np.where(told, tag, 0), "sure": sure}
             yield pa.RecordBatch.from_arrays([pa.array(columns[n], t) for n, t in _FOUND.items()], names=list(_FOUND))
 
 
