@@ -10,16 +10,19 @@ solve the weighted least-squares problem exactly; both alternate on a bounded
 sample (the ``SAMPLE`` vectors with the smallest id hash).  Every vector is
 coded and scanned.
 
-Search: vectors are coded once, and their codes packed into rows of
-``CODES_PER_BLOCK`` and dealt into groups of about ``CODES_PER_GROUP``.  Groups of
-queries meet the codes - half a byte for ``BLOCK`` dimensions - and not the
-vectors: 16-entry tables per query and code block give approximate scores by
-lookups over the packed 4-bit codes.  Of a group the ``RERANK`` best of each query
-leave the task, over all groups the ``RERANK`` best of each query meet their
-original vectors in a join and are ranked by the exact measure.  The query set
-is a fixed share of the rows, so comparisons grow with their product; what is
-shuffled is each vector once, ``RERANK`` vectors a query, and the codes once for
-every group of queries.
+Search: vectors are coded once, and their codes packed with them into rows of up to
+``CODES_PER_BLOCK`` and dealt into groups.  Groups of queries meet groups of codes:
+16-entry tables per query and code block give approximate scores by lookups over
+the packed 4-bit codes.  Of a group the ``RERANK`` best of each query get their
+exact measure, and the k-th of these is a bar.  A code's score is off by at most
+the length of what the code leaves of its unit vector, which is kept beside it:
+every vector whose score and this length together reach the bar is measured as
+well.  So no vector that is among the k nearest is missed, whatever the rows are
+like; where codes tell little, as in tight clusters, more vectors are measured.
+The k best of each group leave the task with their exact measure and are ranked.
+The query set is a fixed share of the rows, so comparisons grow with their
+product; what is shuffled is each vector with its code once for every group of
+queries, and each query once for every group of codes.
 Nothing that grows with the data is collected or broadcast.
 
 Vectors that are null, zero, of another length than most, or hold null or
@@ -48,11 +51,16 @@ PARALLEL = 4.0
 SAMPLE = 10_000
 ROUNDS = 6
 RERANK = 96
-#: Codes in a packed row, and in a group that a task scans.
-CODES_PER_BLOCK = 4_096
-CODES_PER_GROUP = 262_144
-#: Queries in a group: a 32nd of them within these bounds, so that few queries still make several tasks.
+#: Codes in a packed row, and in a group that a task scans (of 64 dimensions; of longer vectors fewer).
+CODES_PER_BLOCK = 1_024
+CODES_PER_GROUP = 65_536
+#: Groups of codes are made smaller, down to ``LEAST_CODES``, until there are so many: few rows still make several tasks.
+GROUPS, LEAST_CODES = 24, 2_048
+#: Queries in a group: all of them within these bounds.
 QUERIES_PER_GROUP = (64, 16_384)
+#: Queries that are scanned together, and how far sums of products in another order may lie apart.
+TOGETHER = 16
+ROUNDING = 1e-9
 
 
 class Codebook:
@@ -132,20 +140,36 @@ class Codebook:
         padded[:, : queries.shape[1]] = queries
         tables = np.einsum("qbd,bcd->bqc", padded.reshape(len(queries), blocks, BLOCK), self.centroids).astype(np.float32)
         scores = np.zeros((len(queries), len(packed)), np.float32)
-        for byte in range(packed.shape[1]):
-            low, high = packed[:, byte] & 15, packed[:, byte] >> 4
-            scores += np.take(tables[2 * byte], low, axis=1)
+        for byte in range(packed.shape[1]):  # the tables of a byte's two codes as one
+            both = tables[2 * byte]
             if 2 * byte + 1 < blocks:
-                scores += np.take(tables[2 * byte + 1], high, axis=1)
+                both = (tables[2 * byte + 1][:, :, None] + both[:, None]).reshape(len(queries), -1)
+            scores += np.take(both, packed[:, byte], axis=1)
         return scores
 
+    def off(self, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """How far ``scan`` may be from the inner product of each vector with any unit vector."""
+        blocks = len(self.centroids)
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, :blocks]
+        meant = self.centroids[np.arange(blocks), codes].reshape(len(packed), -1)
+        meant[:, : vectors.shape[1]] -= vectors
+        left = np.sqrt((meant * meant).sum(1))
+        return (left * 1.000_001 + 3e-7 * (blocks * BLOCK + 8) * (1 + left)).astype(np.float32)  # and float32 rounding of the tables and their sums
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that squares neither overflow nor vanish; cosines stay the same to the last bit."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(-1, keepdims=True))[1])
+
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
 def exact_cosine(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines of rows in double precision; one query may stand for all rows."""
+    queries, vectors = _scaled(queries), _scaled(vectors)
     return (vectors * queries).sum(1) / (np.sqrt((queries * queries).sum(-1)) * np.sqrt((vectors * vectors).sum(1)))
 
 
@@ -161,21 +185,25 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def coded(rows: DataFrame, book: Codebook, dims: int) -> DataFrame:
-    """``block, rs, ids, codes``: packed blocks of row numbers, ids and codes of ``r, id, v``."""
+    """``block, rs, ids, codes, off, vs``: packed blocks of row numbers, ids, codes, what these may be off and the vectors of ``r, id, v``."""
     shared = rows.sparkSession.sparkContext.broadcast(book)
+    kind = _kind(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
 
         def pack(parts: list) -> pa.RecordBatch:
             joined = [np.concatenate(x).tobytes() for x in zip(*parts, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in joined]], names=["block", "rs", "ids", "codes"])
+            return pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in joined]], names=["block", *PACKED])
 
         held, n = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, CODES_PER_BLOCK // 4):
-                some = batch.slice(at, CODES_PER_BLOCK // 4)
-                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), shared.value.encode(_unit(_matrix(some.column(2), dims)))))
+            for at in range(0, batch.num_rows, max(1, CODES_PER_BLOCK // 4)):
+                some = batch.slice(at, max(1, CODES_PER_BLOCK // 4))
+                vs = _matrix(some.column(2), dims)
+                units = _unit(vs)
+                codes = shared.value.encode(units)
+                held.append((some.column(0).to_numpy(), some.column(1).to_numpy(), codes, shared.value.off(units, codes), vs.astype(kind)))
                 n += some.num_rows
                 if n > CODES_PER_BLOCK - CODES_PER_BLOCK // 4:
                     yield pack(held)
@@ -183,41 +211,67 @@ def coded(rows: DataFrame, book: Codebook, dims: int) -> DataFrame:
         if n:
             yield pack(held)
 
-    return rows.select("r", "id", "v").mapInArrow(work, "block long, rs binary, ids binary, codes binary")
-
-
-def _nearest_codes(book: Codebook, rerank: int, dims: int):
-    """Cogrouped function: a block of queries meets some blocks of codes; of each query the ``rerank`` best leave."""
+    return rows.select("r", "id", "v").mapInArrow(work, "block long, " + ", ".join(f"{n} binary" for n in PACKED))
+
+
+PACKED = ("rs", "ids", "codes", "off", "vs")
+
+
+def _kind(rows: DataFrame) -> type:
+    """The type that holds the components of ``v`` as they are."""
+    return np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+
+
+def nearest(book: Codebook, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, rs: np.ndarray, ids: np.ndarray, codes: np.ndarray, off: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Places of queries and of their k nearest vectors, and the exact measure; rows with a query's number are left out."""
+    asked, units = _unit(queries), _unit(vectors)
+    for at in range(0, len(own), TOGETHER):
+        q = asked[at : at + TOGETHER]
+        scores = book.scan(q, codes)
+        scores[own[at : at + TOGETHER, None] == rs] = -np.inf
+        if len(rs) > rerank:
+            first = np.argpartition(-scores, rerank - 1, axis=1)[:, :rerank]
+            measured = np.einsum("qd,qnd->qn", q, units[first])
+            measured[~np.isfinite(np.take_along_axis(scores, first, 1))] = -np.inf
+            bar = -np.partition(-measured, k - 1, axis=1)[:, k - 1] - ROUNDING
+            open_ = scores + off >= bar[:, None].astype(np.float32) - np.float32(1e-6)
+            open_ &= np.isfinite(scores)
+        else:
+            open_ = np.isfinite(scores)
+        some = np.flatnonzero(open_.any(0))
+        if not len(some):
+            continue
+        found = np.where(open_[:, some], q @ units[some].T, -np.inf)
+        if len(some) > k:
+            found[found < -np.partition(-found, k - 1, axis=1)[:, k - 1 : k] - ROUNDING] = -np.inf
+        a, b = np.nonzero(np.isfinite(found))
+        b = some[b]
+        score = np.concatenate([exact_cosine(queries[at + a[n : n + 65_536]], vectors[b[n : n + 65_536]]) for n in range(0, len(a), 65_536)])
+        order = np.lexsort((rs[b], ids[b], -score, a))
+        a, b, score = a[order], b[order], score[order]
+        kept = np.arange(len(a)) - np.searchsorted(a, a) < k
+        yield at + a[kept], b[kept], score[kept]
+
+
+def _nearest_codes(book: Codebook, k: int, rerank: int, dims: int, kind: type):
+    """Cogrouped function: a block of queries meets some blocks of codes; of each query the k nearest leave."""
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = {"q": [], "r": [], "id": [], "near": []}
+        out = {"q": [], "query_id": [], "r": [], "vec_id": [], "score": []}
         if q.num_rows and c.num_rows:
-            own = q.column("r").to_numpy()
-            vs = _unit(np.concatenate([_matrix(x, dims) for x in q.column("v").chunks]))
-            rs, ids = (np.frombuffer(b"".join(c.column(n).to_pylist()), np.int64) for n in ("rs", "ids"))
-            codes = np.frombuffer(b"".join(c.column("codes").to_pylist()), np.uint8).reshape(len(rs), -1)
-            for at in range(0, len(own), 16):
-                scores = book.scan(vs[at : at + 16], codes)
-                scores[own[at : at + 16, None] == rs] = -np.inf
-                best = np.argpartition(-scores, rerank, axis=1)[:, :rerank] if len(rs) > rerank else np.tile(np.arange(len(rs)), (len(scores), 1))
-                near = np.take_along_axis(scores, best, 1)
-                fine = np.isfinite(near)
-                out["q"].append(np.repeat(own[at : at + 16], best.shape[1]).reshape(best.shape)[fine])
-                out["r"].append(rs[best][fine]), out["id"].append(ids[best][fine]), out["near"].append(near[fine])
-        kinds = {"q": np.int64, "r": np.int64, "id": np.int64, "near": np.float32}
-        return pa.table({n: np.concatenate([np.empty(0, t), *out[n]]) for n, t in kinds.items()})
+            own, names = q.column("r").to_numpy(), q.column("id").to_numpy()
+            queries = np.concatenate([_matrix(x, dims) for x in q.column("v").chunks])
+            types = (np.int64, np.int64, np.uint8, np.float32, kind)
+            rs, ids, codes, off, vs = (np.frombuffer(b"".join(c.column(n).to_pylist()), t) for n, t in zip(PACKED, types, strict=True))
+            vectors = vs.astype(np.float64).reshape(len(rs), dims)
+            for a, b, score in nearest(book, queries, own, vectors, rs, ids, codes.reshape(len(rs), -1), off, k, rerank):
+                for n, x in zip(out, (own[a], names[a], rs[b], ids[b], score), strict=True):
+                    out[n].append(x)
+        return pa.table({n: np.concatenate([np.empty(0, np.float64 if n == "score" else np.int64), *x]) for n, x in out.items()})
 
     return meet
 
 
-def _exact(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
-    """From ``q, query_id, vec_id, qv, v``: the rows with their cosines."""
-    for batch in batches:
-        if batch.num_rows:
-            score = exact_cosine(_matrix(batch.column(3), dims), _matrix(batch.column(4), dims))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], names=["q", "query_id", "vec_id", "score"])
-
-
 def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each row for which ``is_query(id column)`` holds, itself left out."""
     every = usable(vectors, id_col, vector_col)
@@ -233,19 +287,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     copy = F.row_number().over(Window.partitionBy("v").orderBy("id", "r"))
     codes = cut(coded(every.withColumn("copy", copy).filter(F.col("copy") <= k + 1), book, dims))
     asked, total = queries.count(), int(codes.agg(F.coalesce(F.sum(F.octet_length("rs")), F.lit(0))).head()[0]) // 8
-    q_groups, v_groups = max(1, -(-asked // min(max(asked // 32, QUERIES_PER_GROUP[0]), QUERIES_PER_GROUP[1]))), max(1, -(-total // CODES_PER_GROUP))
+    per_query = min(max(asked, QUERIES_PER_GROUP[0]), QUERIES_PER_GROUP[1])
+    per_code = min(CODES_PER_GROUP, max(1, CODES_PER_GROUP * 64 // dims), max(LEAST_CODES, total // GROUPS))
+    q_groups, v_groups = max(1, -(-asked // per_query)), max(1, -(-total // per_code))
 
     # each group of queries meets each group of codes once: rows carry both numbers
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("r", "v", F.pmod(F.xxhash64("r"), F.lit(q_groups)).cast("int").alias("qb"), numbers(v_groups).alias("vb"))
-    right = codes.select("rs", "ids", "codes", F.pmod(F.xxhash64("block"), F.lit(v_groups)).cast("int").alias("vb"), numbers(q_groups).alias("qb"))
-    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_nearest_codes(book, max(rerank, k), dims), "q long, r long, id long, near float")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("near"), "id", "r"))
-    chosen = met.withColumn("place", place).filter(F.col("place") <= max(rerank, k)).select("q", "r")
-    both = chosen.join(every.select("r", F.col("id").alias("vec_id"), "v"), "r").join(queries.select(F.col("r").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv")), "q")
-    found = both.select("q", "query_id", "vec_id", "qv", "v").mapInArrow(lambda b: _exact(b, dims), "q long, query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    left = queries.select("r", "id", "v", F.pmod(F.xxhash64("r"), F.lit(q_groups)).cast("int").alias("qb"), numbers(v_groups).alias("vb"))
+    right = codes.select(*PACKED, F.pmod(F.xxhash64("block"), F.lit(v_groups)).cast("int").alias("vb"), numbers(q_groups).alias("qb"))
+    met = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(_nearest_codes(book, k, max(rerank, k), dims, _kind(every)), "q long, query_id long, r long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "r"))
+    return met.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
 def exact_search_sql(modulus: int, k: int) -> str:

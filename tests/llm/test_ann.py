@@ -62,3 +62,22 @@ def test_recall_of_the_supplied_vectors(spark):
     got = ann.search(frame, lambda i: i % 50 == 0).collect()
     assert len(got) == 5 * len(want)
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.95 * len(got)
+
+
+@pytest.mark.parametrize("kind", ["tight clusters", "one cone", "far from the sample"])
+def test_none_of_the_nearest_is_missed_where_codes_tell_little(spark, kind, monkeypatch):
+    rng = np.random.RandomState(5)
+    dims, n = 32, 4000
+    if kind == "tight clusters":  # members lie closer than codes can tell
+        made = rng.randn(8, dims)[np.arange(n) % 8] + rng.randn(n, dims) * 1e-3
+    elif kind == "one cone":
+        made = np.full(dims, 5.0) + rng.randn(n, dims) * 0.02
+    else:  # the codebook knows nothing of most rows
+        monkeypatch.setattr(ann, "SAMPLE", 20)
+        made = np.where(np.arange(n)[:, None] % 50 == 1, rng.randn(n, dims), rng.randn(4, dims)[np.arange(n) % 4] * 1e200 + rng.randn(n, dims) * 1e198)
+    rows = {i: v.tolist() for i, v in enumerate(made)}
+    frame = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(frame, lambda i: i % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == brute(rows, range(0, n, 50), 5)
