@@ -25,10 +25,20 @@ words and link texts whose shingle sets have a Jaccard similarity of at least
 say little: these have 256 bits in 32 byte positions, the index takes
 ``WIDE_LISTS`` fixed pairs of positions, the tally asks for ``WIDE_SHARED`` and the
 verification for at most ``WIDE_BITS`` bits, and the nearest partner that each list
-offers is verified on the shingle sets themselves.  No two texts below the
-similarity are linked; of pairs at 0.8 about 0.9 share a list, at 0.85 0.96, at
-0.9 0.99.  Members of longer lists meet those next to them in the order of their
-bytes, which differs from list to list.
+offers is verified on the shingle sets themselves.  Members of longer lists meet
+those next to them in the order of their bytes, which differs from list to list.
+This links large groups at little cost, but not every pair at 0.8 shares a list.
+
+What it leaves apart meets in an exact way.  Shingles are put in one order for all
+texts: those that stand first in more than ``FREQUENT`` texts come last, the others
+by their hash.  Two sets of similarity 0.8 or more share a shingle of their first
+fifths (``prefix``), so each group of texts with one set is listed under these, and
+members of a list whose groups are not yet connected are paired if their sizes
+allow it.  How many of the first shingles a pair shares, and how many stand behind
+the last of them, bounds what it shares in all; the pairs that are left are
+verified on their sets.  Lists longer than ``LONG_LIST`` are dealt into blocks, every
+two of which meet.  So the groups are those of all links of at least the
+similarity, and of no others.
 
 Null texts count as empty.  Texts of fewer than ``SHINGLE`` words are one
 shingle; texts without words have fingerprint zero and link like any other.
@@ -38,6 +48,7 @@ has an id.  Repeated rows stay repeated; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -61,6 +72,8 @@ SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 WIDE_BITS, WIDE_SHARED, WIDE_LISTS = 54, 4, 48
 #: Members of a long list of wide fingerprints that a member meets.
 WIDE_WINDOW = 256
+#: Shingles among the first ones of more sets than this go to the end of the order.
+FREQUENT = 64
 
 _TRIPLES = list(combinations(range(8), 3))
 _PAIRS = [(a, b) for step in (1, 2, 3, 5, 7, 11) for a, b in zip(range(0, 32), [(a + step) % 32 for a in range(32)], strict=True)][::4][:WIDE_LISTS]
@@ -235,8 +248,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def shingle_hashes(data: bytes, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
     """Hashes of a text's shingles, repeats included; none for a text without words."""
     words = data.lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(b" ".join(words[k : k + shingle]), SEED) for k in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64)
+    if not words:
+        return np.empty(0, np.uint64)
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    size, n = min(shingle, len(words)), max(1, len(words) - shingle + 1)
+    out = np.full(n, size, np.uint64)
+    for k in range(size):  # odd factors and shifts: each word's place counts
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + each[k : k + n]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ (out >> np.uint64(29))
+
+
+def prefix(members: np.ndarray, last: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Of a set (sorted hashes) the first in the common order, in which ``last`` (sorted) stand at the end: so many that similar sets share one of them."""
+    n = len(members)
+    if len(last):
+        at = np.minimum(np.searchsorted(last, members), len(last) - 1)
+        late = last[at] == members
+        members = np.concatenate([members[~late], members[late]])
+    return members[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+
+
+def _apart(rows: np.ndarray, others: np.ndarray | None, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs ``a, b, na, nb, i, j`` (a < b) of a list's ``key, root, n, pos`` with one another or with other ones: of different roots and sizes that allow the similarity."""
+    fits = lambda x, y: (x[:, 1, None] != y[:, 1]) & (np.minimum(x[:, 2, None], y[:, 2]) >= similarity * np.maximum(x[:, 2, None], y[:, 2]) - 1e-9)
+    if others is None and (rows[:, 1] == rows[0, 1]).all():
+        return
+    for at in range(0, len(rows), 256):
+        some = rows[at : at + 256]
+        with_ = rows[at:] if others is None else others
+        near = fits(some, with_)
+        if others is None:
+            near &= np.arange(len(with_)) > np.arange(len(some))[:, None]
+        x, y = np.nonzero(near)
+        x, y = some[x], with_[y]
+        turned = x[:, 0] > y[:, 0]
+        x, y = np.where(turned[:, None], y, x), np.where(turned[:, None], x, y)
+        yield np.stack([x[:, 0], y[:, 0], x[:, 2], y[:, 2], x[:, 3], y[:, 3]], 1)
+
+
+_ENTRY = ("key", "root", "n", "pos")
+_PAIR = ("a", "b", "na", "nb", "i", "j")
+_PAIR_TYPES = "a bigint, b bigint, na bigint, nb bigint, i bigint, j bigint"
+
+
+def _pairs_apart(batches: Iterator[pa.RecordBatch], longest: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Over entries sorted by token: pairs of lists up to ``longest``; of a longer list its entries, with the token (else null)."""
+
+    def out(token: int | None, rows: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(rows[:, c])) if c < rows.shape[1] else pa.nulls(len(rows), pa.int64()) for c in range(6)]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()) if token is None else pa.array(np.full(len(rows), token)), *columns], names=["token", *_PAIR])
+
+    def ended(rows: np.ndarray) -> list[np.ndarray]:
+        return list(_apart(rows, None, similarity)) if len(rows) > 1 else []
+
+    held_token, held, is_long = None, np.empty((0, 4), np.int64), False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens = batch.column(0).to_numpy()
+        rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in range(1, 5)], 1)
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]])
+        sizes, found = np.diff(bounds), []
+        inner = np.ones(len(sizes), bool)
+        inner[[0, -1]] = False
+        for g in sorted({0, len(sizes) - 1, *np.flatnonzero(inner & (sizes > 1)).tolist()}):
+            token, members = int(tokens[bounds[g]]), rows[bounds[g] : bounds[g + 1]]
+            if token != held_token:
+                found += [] if is_long else ended(held)
+                held_token, held, is_long = token, members[:0], False
+            held = np.concatenate([held, members])
+            if is_long or len(held) > longest:
+                yield out(token, held)
+                held, is_long = held[:0], True
+        if found:
+            yield out(None, np.concatenate(found))
+    for rows in [] if is_long else ended(held):
+        yield out(None, rows)
+
+
+def _between(similarity: float):
+    """Of the entries of two blocks of a long list: their pairs."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        block = rows.column("block").to_numpy()
+        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+        entries = np.stack([rows.column(n).to_numpy() for n in _ENTRY], 1)
+        made = _apart(entries, None, similarity) if x == y else _apart(entries[block == x], entries[block == y], similarity)
+        pairs = np.concatenate([np.empty((0, 6), np.int64), *made])
+        return pa.table({n: np.ascontiguousarray(pairs[:, c]) for c, n in enumerate(_PAIR)})
+
+    return meet
+
+
+def candidates(entries: DataFrame, longest: int = LONG_LIST, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: the keys of ``token, key, root, n, pos`` that may be so similar and have different roots."""
+    listed = entries.select("token", *_ENTRY).repartition("token").sortWithinPartitions("token")
+    found = cut(map_arrow(listed, lambda rows: _pairs_apart(rows, longest, similarity), f"token bigint, {_PAIR_TYPES}", None))
+    long = found.filter("token is not null").select("token", F.col("a").alias("key"), F.col("b").alias("root"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+    blocks = long.groupBy("token").agg(F.ceil(F.count("*") / longest).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = long.join(blocks, "token").withColumn("block", block).withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    more = dealt.groupBy("token", "x", "y").applyInArrow(_between(similarity), _PAIR_TYPES)
+    pairs = found.filter("token is null").select(*_PAIR).union(more).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    # what stands behind the last shared one of the first shingles can be shared too, nothing else can
+    most = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
+    return pairs.filter(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def wide_print(hashes: np.ndarray) -> bytes:
@@ -316,31 +434,71 @@ def _nearest(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Rec
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, longest: int = LONG_LIST) -> DataFrame:
     """``id_col, component_id``: the least id of those that links of at least ``similarity`` lead to, for rows with an id (an integer).
 
-    Texts with the same wide fingerprint count as copies; texts without words are copies of one another.
+    Texts with the same shingles count as copies; texts without words are copies of one another.
     """
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text"))
 
+    def set_of(text: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+        """The set's key, its members and the shingles with repeats."""
+        hashes = shingle_hashes(text, shingle)
+        members = np.unique(hashes)
+        return xxhash.xxh3_64_intdigest(members.tobytes()), members, hashes
+
+    def keys(found: list[tuple]) -> pa.Array:
+        return pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64))
+
     def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_print(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc", "fp"])
+            found = [(key, wide_print(hashes)) for key, _, hashes in map(set_of, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys(found), pa.array([f[1] for f in found], pa.binary())], names=["doc", "key", "wide"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([wide_print(h) for h in found], pa.binary()), pa.array([np.unique(h).view(np.int64) for h in found], pa.list_(pa.int64()))], names=["fp", "shingles"])
-
-    texts = own.select("doc", bytes_of("_text").alias("_text"))
-    prints = cut(map_arrow(texts, prints_of, "doc bigint, fp binary"))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc").alias("least")))
-    entries = map_arrow(classes.select("fp"), _wide_postings, "list bigint, fp binary").repartition("list").sortWithinPartitions("list", "fp")
-    pairs = cut(map_arrow(entries, lambda rows: _nearest(rows, longest), "u binary, v binary", None).distinct())
-    wanted = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct().join(classes, "fp").select(F.col("least").alias("doc"))
-    held = holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
-    sets = cut(map_arrow(held, sets_of, "fp binary, shingles array<bigint>").groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))  # the sets stay in the JVM: a batch of pairs of them would be large
-    sure = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    return prints.join(_labelled(classes, sure), "fp").select(F.col("doc").alias(id_col), "component_id")
+            found = [set_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([keys(found), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    def prefixes_of(last: np.ndarray):
+        shared = docs.sparkSession.sparkContext.broadcast(last)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [set_of(t) for t in batch.column(1).to_pylist()]
+                firsts = pa.array([prefix(f[1], shared.value, similarity).view(np.int64) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys(found), pa.array([len(f[1]) for f in found], pa.int32()), firsts], names=["key", "n", "firsts"])
+
+        return work
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct().join(classes, "key").select(F.col("least").alias("doc"))
+        sets = cut(map_arrow(texts_of(wanted), sets_of, "key bigint, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+        shared = F.size(F.array_intersect("a", "b"))  # the sets stay in the JVM: a batch of pairs of them would be large
+        return cut(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"))
+
+    prints = cut(map_arrow(own.select("doc", bytes_of("_text").alias("_text")), prints_of, "doc bigint, key bigint, wide binary"))
+    classes = cut(prints.groupBy("key").agg(F.min("doc").alias("least"), F.min("wide").alias("wide")))
+    # by fingerprints: sets with one print are linked with the least of them, and these with the nearest in each list
+    of_print = classes.groupBy("wide").agg(F.min("key").alias("first"))
+    listed = map_arrow(of_print.select(F.col("wide").alias("fp")), _wide_postings, "list bigint, fp binary").repartition("list").sortWithinPartitions("list", "fp")
+    near = map_arrow(listed, lambda rows: _nearest(rows, longest), "u binary, v binary", None).distinct()
+    first = lambda n: of_print.select(F.col("wide").alias(n), F.col("first").alias(f"{n}_key"))
+    met = near.join(first("u"), "u").join(first("v"), "v").select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    same = classes.join(of_print, "wide").filter(F.col("key") != F.col("first")).select(F.col("first").alias("u"), F.col("key").alias("v"))
+    sure = verified(cut(met.union(same)))
+    # by first shingles: what may be similar and is not yet connected
+    roots = cut(components(sure))
+    texts = texts_of(classes.select(F.col("least").alias("doc")))
+    row = "key bigint, n int, firsts array<bigint>"
+    none = np.empty(0, np.uint64)
+    often = map_arrow(texts, prefixes_of(none), row).select(F.explode("firsts").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).toArrow()  # one for each FREQUENT entries at most
+    last = np.sort(often.column("token").to_numpy().astype(np.int64).view(np.uint64))
+    rooted = map_arrow(texts, prefixes_of(last), row).join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    entries = rooted.select("key", F.coalesce("root", "key").alias("root"), "n", F.posexplode("firsts").alias("pos", "token"))
+    links_ = sure.union(verified(cut(candidates(entries, longest, similarity))))
+    return prints.join(_labelled(classes.select(F.col("key").alias("fp"), "least"), links_), prints["key"] == F.col("fp")).select(F.col("doc").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

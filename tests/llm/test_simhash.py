@@ -138,3 +138,36 @@ def test_a_large_group_of_near_copies(spark):
         rows.append((i, " ".join(copy)))
     got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), longest=50).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 300
+
+
+@pytest.mark.parametrize("longest", [1_024, 100])
+def test_no_similar_pair_is_left_apart(spark, longest):
+    """Pairs at 0.8 and just above, a passage that many texts share, near copies in a long list, and repeats that hide what differs."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3_000)]
+    passage = rng.choices(words, k=40)
+    rows = []
+    for i in range(150):
+        n = rng.randint(40, 120)
+        base = rng.choices(words, k=n) + passage
+        at = rng.randrange(5, n - 5)  # words put in at one place leave all shingles but four
+        more = len(base) // 4 - 9 - i % 3
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:at] + [f"x{i}_{k}" for k in range(more)] + base[at:]))]
+    loop = "a b c d e " * 500
+    rows += [(1000, loop + "one two three four five six seven eight"), (1001, loop + "nine ten eleven twelve more or less"), (1002, "only few"), (1003, "Only FEW")]
+    likeness = {(x, y): jaccard(s, t) for k, (x, s) in enumerate(rows) for y, t in rows[k + 1 :]}
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (x, y), j in likeness.items():
+        if j >= 0.8:
+            a, b = sorted((root(x), root(y)))
+            parent[b] = a
+    assert sum(0.8 <= j < 0.84 for j in likeness.values()) > 50
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, longest=longest).collect()}
+    assert got == {i: root(i) for i, _ in rows}
