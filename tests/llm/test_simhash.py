@@ -155,7 +155,9 @@ def test_no_similar_pair_is_left_apart(spark, longest):
         rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:at] + [f"x{i}_{k}" for k in range(more)] + base[at:]))]
     loop = "a b c d e " * 500
     rows += [(1000, loop + "one two three four five six seven eight"), (1001, loop + "nine ten eleven twelve more or less"), (1002, "only few"), (1003, "Only FEW")]
-    likeness = {(x, y): jaccard(s, t) for k, (x, s) in enumerate(rows) for y, t in rows[k + 1 :]}
+    split = {i: t.lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in split.items()}
+    likeness = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x, y in combinations(sorted(sets), 2)}
     parent = {i: i for i, _ in rows}
 
     def root(i):
