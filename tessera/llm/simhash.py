@@ -35,8 +35,9 @@ by their hash.  Two sets of similarity 0.8 or more share a shingle of their firs
 fifths (``prefix``), so each group of texts with one set is listed under these, and
 members of a list whose groups are not yet connected are paired if their sizes
 allow it.  How many of the first shingles a pair shares, and how many stand behind
-the last of them, bounds what it shares in all; the pairs that are left are
-verified on their sets.  Lists longer than ``LONG_LIST`` are dealt into blocks, every
+the last of them, bounds what it shares in all; so do the bits of small sketches of
+the sets, which go where the pair is before any set does.  The pairs that are left
+are verified on their sets.  Lists longer than ``LONG_LIST`` are dealt into blocks, every
 two of which meet.  So the groups are those of all links of at least the
 similarity, and of no others.
 
@@ -49,13 +50,13 @@ has an id.  Repeated rows stay repeated; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, map_arrow
@@ -269,6 +270,28 @@ def prefix(members: np.ndarray, last: np.ndarray, similarity: float = SIMILARITY
     return members[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
 
 
+def sketch(members: np.ndarray) -> np.ndarray:
+    """Bits of a set of hashes, at least four for each, in a power of two of words: a bit is set if it is a member's last digits."""
+    words = 1 << max(0, (4 * len(members) - 1).bit_length() - 6)
+    bits = np.zeros(64 * words, np.uint8)
+    bits[(members & np.uint64(64 * words - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def most_shared(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """No more than this can two sets of these sketches and sizes share: each bit that only one sketch has stands for a member that only it has."""
+
+    def folded(own: Column, other: Column) -> Column:
+        half = (F.size(own) / 2).cast("int")
+        return F.when(F.size(own) > F.size(other), F.zip_with(F.slice(own, 1, half), F.slice(own, half + 1, half), lambda x, y: x.bitwiseOR(y))).otherwise(own)
+
+    def only(own: Column, other: Column) -> Column:
+        return F.aggregate(F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda total, one: total + one)
+
+    left, right = folded(a, b), folded(b, a)
+    return F.least(na - only(left, right), nb - only(right, left))
+
+
 def _apart(rows: np.ndarray, others: np.ndarray | None, similarity: float) -> Iterator[np.ndarray]:
     """Pairs ``a, b, na, nb, i, j`` (a < b) of a list's ``key, root, n, pos`` with one another or with other ones: of different roots and sizes that allow the similarity."""
     fits = lambda x, y: (x[:, 1, None] != y[:, 1]) & (np.minimum(x[:, 2, None], y[:, 2]) >= similarity * np.maximum(x[:, 2, None], y[:, 2]) - 1e-9)
@@ -457,6 +480,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([keys(found), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64()))], names=["key", "shingles"])
 
+    def sketches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([keys(found), pa.array([len(f[1]) for f in found], pa.int32()), pa.array([sketch(f[1]) for f in found], pa.list_(pa.int64()))], names=["key", "n", "bits"])
+
     def prefixes_of(last: np.ndarray):
         shared = docs.sparkSession.sparkContext.broadcast(last)
 
@@ -471,9 +499,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def texts_of(wanted: DataFrame) -> DataFrame:
         return holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def of_pairs(pairs: DataFrame, work: Callable, row: str) -> DataFrame:
+        """What ``work`` makes of the texts of the pairs' classes, once for each."""
         wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct().join(classes, "key").select(F.col("least").alias("doc"))
-        sets = cut(map_arrow(texts_of(wanted), sets_of, "key bigint, shingles array<bigint>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+        made = map_arrow(texts_of(wanted), work, row)
+        return cut(made.groupBy("key").agg(*[F.first(n).alias(n) for n in made.columns if n != "key"]))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches leave the similarity open; a sketch has at most an eighth of a set's bytes, and few pairs stay."""
+        made = of_pairs(pairs, sketches_of, "key bigint, n int, bits array<bigint>")
+        both = pairs.join(made.select(F.col("key").alias("u"), F.col("n").alias("na"), F.col("bits").alias("a")), "u").join(made.select(F.col("key").alias("v"), F.col("n").alias("nb"), F.col("bits").alias("b")), "v")
+        most = most_shared(F.col("a"), F.col("b"), F.col("na"), F.col("nb"))
+        return cut(both.filter(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("u", "v"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = of_pairs(pairs, sets_of, "key bigint, shingles array<bigint>")
         both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
         shared = F.size(F.array_intersect("a", "b"))  # the sets stay in the JVM: a batch of pairs of them would be large
         return cut(both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v"))
@@ -497,7 +537,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     last = np.sort(often.column("token").to_numpy().astype(np.int64).view(np.uint64))
     rooted = map_arrow(texts, prefixes_of(last), row).join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     entries = rooted.select("key", F.coalesce("root", "key").alias("root"), "n", F.posexplode("firsts").alias("pos", "token"))
-    links_ = sure.union(verified(cut(candidates(entries, longest, similarity))))
+    links_ = sure.union(verified(possible(cut(candidates(entries, longest, similarity)))))
     return prints.join(_labelled(classes.select(F.col("key").alias("fp"), "least"), links_), prints["key"] == F.col("fp")).select(F.col("doc").alias(id_col), "component_id")
 
 

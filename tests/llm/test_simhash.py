@@ -173,3 +173,36 @@ def test_no_similar_pair_is_left_apart(spark, longest):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame, longest=longest).collect()}
     assert got == {i: root(i) for i, _ in rows}
+
+
+def test_sketches_bound_what_sets_share(spark):
+    """Never below what two sets share, whatever their sizes, and low enough to rule out most pairs that are not similar."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.RandomState(7)
+    hashes = lambda n: rng.randint(0, 2**63, n).view(np.uint64) * np.uint64(2) + np.uint64(1)
+    rows = []
+    for n in [1, 2, 15, 16, 17, 63, 64, 65, 300, 1_030, 5_000] * 3:
+        for share in (0.0, 0.5, 0.8, 0.95, 1.0):
+            a = np.unique(hashes(n))
+            b = np.unique(np.concatenate([rng.permutation(a)[: round(share * n)], hashes(max(1, round((1.2 - share) * n)))]))
+            rows.append((simhash.sketch(a).tolist(), simhash.sketch(b).tolist(), len(a), len(b), len(np.intersect1d(a, b))))
+    made = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, na int, nb int, shared int")
+    most = simhash.most_shared(F.col("a"), F.col("b"), F.col("na"), F.col("nb"))
+    got = made.select("na", "nb", "shared", most.alias("most")).collect()
+    assert all(r.shared <= r.most <= min(r.na, r.nb) for r in got)
+    unlike = [r for r in got if r.na >= 300 and r.shared <= 0.6 * r.na]
+    assert unlike and all(r.most < 0.8 / 1.8 * (r.na + r.nb) for r in unlike)
+
+
+def test_few_sets_meet_in_pairs(spark, monkeypatch):
+    """Texts with one first shingle in common are told apart by sketches: no set of theirs is sent anywhere."""
+    asked = []
+    whole = simhash.most_shared
+    monkeypatch.setattr(simhash, "most_shared", lambda *x: asked.append(1) or whole(*x))
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(3_000)]
+    passage = rng.choices(words, k=30)
+    rows = [(i, " ".join(passage + rng.choices(words, k=100))) for i in range(60)] + [(60, " ".join(passage)), (61, " ".join([*passage, "end"]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert asked and got == {i: min(i, 60) for i in range(62)}
