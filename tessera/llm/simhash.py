@@ -32,14 +32,16 @@ This links large groups at little cost, but not every pair at 0.8 shares a list.
 What it leaves apart meets in an exact way.  Shingles are put in one order for all
 texts: those that stand first in more than ``FREQUENT`` texts come last, the others
 by their hash.  Two sets of similarity 0.8 or more share a shingle of their first
-fifths (``prefix``), so each group of texts with one set is listed under these, and
-members of a list whose groups are not yet connected are paired if their sizes
-allow it.  How many of the first shingles a pair shares, and how many stand behind
-the last of them, bounds what it shares in all; so do the bits of small sketches of
-the sets, which go where the pair is before any set does.  The pairs that are left
-are verified on their sets.  Lists longer than ``LONG_LIST`` are dealt into blocks, every
-two of which meet.  So the groups are those of all links of at least the
-similarity, and of no others.
+fifths (``prefix``), so each group of texts with one set is listed under these.
+What is in no list with another root and a size that allows the similarity is
+done with.  The others take a small sketch of their set along, in which bits that
+two sets do not agree on are a lower bound of what only one of them has
+(``parities``): members of a list are told apart by these where they meet, and only
+pairs that stay open leave it, not the pairs of all texts with a passage in common.
+Larger sketches (``sketch``) rule out most of what is left, which go where the pair is
+before any set does, and the sets verify the rest.  Lists longer than ``LONG_LIST`` are
+dealt into blocks, every two of which meet.  So the groups are those of all links of
+at least the similarity, and of no others.
 
 Null texts count as empty.  Texts of fewer than ``SHINGLE`` words are one
 shingle; texts without words have fingerprint zero and link like any other.
@@ -56,7 +58,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, cut, map_arrow
@@ -292,92 +294,117 @@ def most_shared(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return F.least(na - only(left, right), nb - only(right, left))
 
 
-def _apart(rows: np.ndarray, others: np.ndarray | None, similarity: float) -> Iterator[np.ndarray]:
-    """Pairs ``a, b, na, nb, i, j`` (a < b) of a list's ``key, root, n, pos`` with one another or with other ones: of different roots and sizes that allow the similarity."""
-    fits = lambda x, y: (x[:, 1, None] != y[:, 1]) & (np.minimum(x[:, 2, None], y[:, 2]) >= similarity * np.maximum(x[:, 2, None], y[:, 2]) - 1e-9)
-    if others is None and (rows[:, 1] == rows[0, 1]).all():
-        return
-    for at in range(0, len(rows), 256):
-        some = rows[at : at + 256]
-        with_ = rows[at:] if others is None else others
-        near = fits(some, with_)
-        if others is None:
-            near &= np.arange(len(with_)) > np.arange(len(some))[:, None]
-        x, y = np.nonzero(near)
-        x, y = some[x], with_[y]
-        turned = x[:, 0] > y[:, 0]
-        x, y = np.where(turned[:, None], y, x), np.where(turned[:, None], x, y)
-        yield np.stack([x[:, 0], y[:, 0], x[:, 2], y[:, 2], x[:, 3], y[:, 3]], 1)
+def parities(members: np.ndarray) -> bytes:
+    """Bits of a set of hashes, in a power of two of words: whether the members with these last digits are odd in number.
 
+    Each bit that two sets do not agree on stands for a member that only one of them has.  About a bit a member is enough
+    to tell unlike sets apart, half a bit where there are many.
+    """
+    n = len(members)
+    bits = 64 << max(1, ((n if n <= 1_024 else n // 2 + 1) - 1).bit_length() - 6)
+    counts = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+#: Pairs, and words of their bits, that are looked at in one go.
+_PAIRS_AT_ONCE, _WORDS_AT_ONCE = 1 << 18, 1 << 21
+
+
+class _Members:
+    """Members of blocks of lists, sorted by these, as columns."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.token, self.x, self.y, self.block, self.key, self.root, self.n = (rows.column(c).to_numpy() for c in ("token", "x", "y", "block", "key", "root", "n"))
+        bits = rows.column("bits").to_pylist()
+        self.words = np.frombuffer(b"".join(bits), np.uint64)
+        self.width = np.fromiter((len(b) // 8 for b in bits), np.int64, len(bits))
+        self.at = np.cumsum(self.width) - self.width
+
+    def bounds(self) -> np.ndarray:
+        new = (np.diff(self.token) != 0) | (np.diff(self.x) != 0) | (np.diff(self.y) != 0)
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [len(self.token)]])
+
+    def unlike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits that members ``a`` and ``b`` do not agree on; of two widths the larger is folded."""
+        out = np.empty(len(a), np.int64)
+        turned = self.width[a] > self.width[b]
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        kinds = self.width[a] << 32 | self.width[b]
+        for kind in np.unique(kinds).tolist():
+            own = np.flatnonzero(kinds == kind)
+            narrow, wide = kind >> 32, kind & 0xFFFFFFFF
+            step = max(1, _WORDS_AT_ONCE // wide)
+            for some in (own[k : k + step] for k in range(0, len(own), step)):
+                left = self.words[self.at[a[some], None] + np.arange(narrow)]
+                right = self.words[self.at[b[some], None] + np.arange(wide)]
+                while right.shape[1] > narrow:
+                    right = right[:, : right.shape[1] // 2] ^ right[:, right.shape[1] // 2 :]
+                out[some] = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+        return out
 
-_ENTRY = ("key", "root", "n", "pos")
-_PAIR = ("a", "b", "na", "nb", "i", "j")
-_PAIR_TYPES = "a bigint, b bigint, na bigint, nb bigint, i bigint, j bigint"
-
-
-def _pairs_apart(batches: Iterator[pa.RecordBatch], longest: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Over entries sorted by token: pairs of lists up to ``longest``; of a longer list its entries, with the token (else null)."""
-
-    def out(token: int | None, rows: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.ascontiguousarray(rows[:, c])) if c < rows.shape[1] else pa.nulls(len(rows), pa.int64()) for c in range(6)]
-        return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()) if token is None else pa.array(np.full(len(rows), token)), *columns], names=["token", *_PAIR])
-
-    def ended(rows: np.ndarray) -> list[np.ndarray]:
-        return list(_apart(rows, None, similarity)) if len(rows) > 1 else []
-
-    held_token, held, is_long = None, np.empty((0, 4), np.int64), False
+    def pairs(self, bounds: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+        """Keys of the pairs of one list and other roots that sizes and bits leave open."""
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        later = ends - np.arange(bounds[0], bounds[-1]) - 1
+        total = np.cumsum(later)
+        start = 0
+        while start < len(later):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + _PAIRS_AT_ONCE, "right")))
+            counts = later[start:stop]
+            a = np.repeat(np.arange(start, stop), counts) + bounds[0]
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = stop
+            na, nb = self.n[a], self.n[b]
+            fits = (self.root[a] != self.root[b]) & (np.minimum(na, nb) >= similarity * np.maximum(na, nb) - 1e-9) & ((self.x[a] == self.y[a]) | (self.block[a] != self.block[b]))
+            a, b = a[fits], b[fits]
+            # so similar sets have no more members that only one of them has
+            near = self.unlike(a, b) <= (1 - similarity) / (1 + similarity) * (self.n[a] + self.n[b]) + 1e-9
+            a, b = self.key[a[near]], self.key[b[near]]
+            if len(a):
+                yield np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Over members sorted by list and blocks: the pairs ``u, v`` that may be so similar."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens = batch.column(0).to_numpy()
-        rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in range(1, 5)], 1)
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(tokens)) + 1, [len(tokens)]])
-        sizes, found = np.diff(bounds), []
-        inner = np.ones(len(sizes), bool)
-        inner[[0, -1]] = False
-        for g in sorted({0, len(sizes) - 1, *np.flatnonzero(inner & (sizes > 1)).tolist()}):
-            token, members = int(tokens[bounds[g]]), rows[bounds[g] : bounds[g + 1]]
-            if token != held_token:
-                found += [] if is_long else ended(held)
-                held_token, held, is_long = token, members[:0], False
-            held = np.concatenate([held, members])
-            if is_long or len(held) > longest:
-                yield out(token, held)
-                held, is_long = held[:0], True
-        if found:
-            yield out(None, np.concatenate(found))
-    for rows in [] if is_long else ended(held):
-        yield out(None, rows)
-
-
-def _between(similarity: float):
-    """Of the entries of two blocks of a long list: their pairs."""
-
-    def meet(rows: pa.Table) -> pa.Table:
-        block = rows.column("block").to_numpy()
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-        entries = np.stack([rows.column(n).to_numpy() for n in _ENTRY], 1)
-        made = _apart(entries, None, similarity) if x == y else _apart(entries[block == x], entries[block == y], similarity)
-        pairs = np.concatenate([np.empty((0, 6), np.int64), *made])
-        return pa.table({n: np.ascontiguousarray(pairs[:, c]) for c, n in enumerate(_PAIR)})
-
-    return meet
-
-
-def candidates(entries: DataFrame, longest: int = LONG_LIST, similarity: float = SIMILARITY) -> DataFrame:
-    """``u, v``: the keys of ``token, key, root, n, pos`` that may be so similar and have different roots."""
-    listed = entries.select("token", *_ENTRY).repartition("token").sortWithinPartitions("token")
-    found = cut(map_arrow(listed, lambda rows: _pairs_apart(rows, longest, similarity), f"token bigint, {_PAIR_TYPES}", None))
-    long = found.filter("token is not null").select("token", F.col("a").alias("key"), F.col("b").alias("root"), F.col("na").alias("n"), F.col("nb").alias("pos"))
-    blocks = long.groupBy("token").agg(F.ceil(F.count("*") / longest).cast("long").alias("blocks"))
+        rows = pa.Table.from_batches([batch]) if last is None else pa.concat_tables([last, pa.Table.from_batches([batch])])
+        members = _Members(rows.combine_chunks())
+        bounds = members.bounds()
+        last = rows.slice(bounds[-2])
+        if len(bounds) > 2:
+            for pairs in members.pairs(bounds[:-1], similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+    if last is not None:
+        members = _Members(last.combine_chunks())
+        for pairs in members.pairs(members.bounds(), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+
+def shared_entries(entries: DataFrame, longest: int = LONG_LIST, similarity: float = SIMILARITY) -> DataFrame:
+    """``token, key, root, n, blocks``: entries that meet another size which allows the similarity, in lists that more than one root is in, and into how many blocks a list is dealt."""
+    of_list = Window.partitionBy("token")
+    by_size = of_list.orderBy("n")
+    # in the order of sizes the next ones are the likest
+    near = (F.lag("n").over(by_size) >= similarity * F.col("n") - 1e-9) | (F.col("n") >= similarity * F.lead("n").over(by_size) - 1e-9)
+    met = entries.select("token", "key", "root", "n", near.alias("_near")).filter("_near")
+    told = met.select("token", "key", "root", "n", F.min("root").over(of_list).alias("_least"), F.max("root").over(of_list).alias("_most"), F.count("*").over(of_list).alias("_c"))
+    return told.filter(F.col("_least") < F.col("_most")).select("token", "key", "root", "n", F.ceil(F.col("_c") / longest).cast("long").alias("blocks"))
+
+
+def candidates(shared: DataFrame, bits: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``u, v``: the keys of ``token, key, root, n, blocks`` that may be so similar and have different roots; ``bits`` holds the parities by key.
+
+    Pairs are told apart where a list, or two blocks of a long one, meet; only those that stay open leave it.
+    """
     block = F.pmod(F.xxhash64("key"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = long.join(blocks, "token").withColumn("block", block).withColumn("other", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    more = dealt.groupBy("token", "x", "y").applyInArrow(_between(similarity), _PAIR_TYPES)
-    pairs = found.filter("token is null").select(*_PAIR).union(more).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
-    # what stands behind the last shared one of the first shingles can be shared too, nothing else can
-    most = F.col("c") + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) - 1
-    return pairs.filter(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    dealt = shared.join(bits, "key").withColumn("block", block).withColumn("other", other)
+    met = dealt.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "key", "root", "n", "bits")
+    listed = met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+    return map_arrow(listed, lambda rows: _open_pairs(rows, similarity), "u bigint, v bigint", None).distinct()
 
 
 def wide_print(hashes: np.ndarray) -> bytes:
@@ -485,6 +512,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [set_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([keys(found), pa.array([len(f[1]) for f in found], pa.int32()), pa.array([sketch(f[1]) for f in found], pa.list_(pa.int64()))], names=["key", "n", "bits"])
 
+    def parities_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([keys(found), pa.array([parities(f[1]) for f in found], pa.binary())], names=["key", "bits"])
+
     def prefixes_of(last: np.ndarray):
         shared = docs.sparkSession.sparkContext.broadcast(last)
 
@@ -499,12 +531,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def texts_of(wanted: DataFrame) -> DataFrame:
         return holding(own, cut(wanted)).select("doc", bytes_of("_text").alias("_text"))
 
-    def of_pairs(pairs: DataFrame, work: Callable, row: str) -> DataFrame:
-        """What ``work`` makes of the texts of the pairs' classes, once for each."""
-        wanted = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct().join(classes, "key").select(F.col("least").alias("doc"))
-        made = map_arrow(texts_of(wanted), work, row)
+    def of_keys(wanted: DataFrame, work: Callable, row: str) -> DataFrame:
+        """What ``work`` makes of the texts of these classes, once for each."""
+        made = map_arrow(texts_of(wanted.distinct().join(classes, "key").select(F.col("least").alias("doc"))), work, row)
         return cut(made.groupBy("key").agg(*[F.first(n).alias(n) for n in made.columns if n != "key"]))
 
+    def of_pairs(pairs: DataFrame, work: Callable, row: str) -> DataFrame:
+        return of_keys(pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))), work, row)
+
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches leave the similarity open; a sketch has at most an eighth of a set's bytes, and few pairs stay."""
         made = of_pairs(pairs, sketches_of, "key bigint, n int, bits array<bigint>")
@@ -536,8 +570,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = map_arrow(texts, prefixes_of(none), row).select(F.explode("firsts").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") > FREQUENT).toArrow()  # one for each FREQUENT entries at most
     last = np.sort(often.column("token").to_numpy().astype(np.int64).view(np.uint64))
     rooted = map_arrow(texts, prefixes_of(last), row).join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
-    entries = rooted.select("key", F.coalesce("root", "key").alias("root"), "n", F.posexplode("firsts").alias("pos", "token"))
-    links_ = sure.union(verified(possible(cut(candidates(entries, longest, similarity)))))
+    entries = rooted.select("key", F.coalesce("root", "key").alias("root"), "n", F.explode("firsts").alias("token"))
+    shared = cut(shared_entries(entries, longest, similarity))
+    open_ = cut(candidates(shared, of_keys(shared.select("key"), parities_of, "key bigint, bits binary"), similarity))
+    links_ = sure.union(verified(possible(open_)))
     return prints.join(_labelled(classes.select(F.col("key").alias("fp"), "least"), links_), prints["key"] == F.col("fp")).select(F.col("doc").alias(id_col), "component_id")
 
 

@@ -206,3 +206,57 @@ def test_few_sets_meet_in_pairs(spark, monkeypatch):
     rows = [(i, " ".join(passage + rng.choices(words, k=100))) for i in range(60)] + [(60, " ".join(passage)), (61, " ".join([*passage, "end"]))]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert asked and got == {i: min(i, 60) for i in range(62)}
+
+
+def test_texts_with_a_passage_in_common_do_not_leave_in_pairs(spark, monkeypatch):
+    """Of twenty passages each is in 60 texts: what any step makes follows the texts, not the pairs of them."""
+    made, whole = [], simhash.map_arrow
+
+    def counted(df, work, schema, *more):
+        rows = df.sparkSession.sparkContext.accumulator(0)
+        made.append((schema, rows))
+
+        def run(batches):
+            for batch in work(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return whole(df, run, schema, *more)
+
+    monkeypatch.setattr(simhash, "map_arrow", counted)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3_000)]
+    passages = [rng.choices(words, k=30) for _ in range(20)]
+    rows = [(i, " ".join(passages[i % 20] + rng.choices(words, k=40))) for i in range(1_200)]
+    at = rows[1_100][1].split()
+    rows += [(1_200, " ".join([*at, "one", "more"])), (1_201, " ".join(passages[0] * 3))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1_100 if i == 1_200 else i for i in range(1_202)}
+    pairs = {schema: rows.value for schema, rows in made if "list" not in schema}
+    assert pairs and max(pairs.values()) <= 3 * len(rows), pairs
+
+
+def test_parities_bound_what_sets_do_not_share(spark):
+    """Bits that differ are never more than members that one set alone has, also where widths differ, and many where sets are unlike."""
+    import pyarrow as pa
+
+    rng = np.random.RandomState(3)
+    hashes = lambda n: rng.randint(0, 2**63, n).view(np.uint64)
+    sets = []
+    for n in (1, 2, 31, 120, 128, 129, 300, 1_000, 1_024, 1_025, 2_100, 9_000):
+        for share in (0.0, 0.7, 0.9, 1.0):
+            a = np.unique(hashes(n))
+            sets += [a, np.unique(np.concatenate([rng.permutation(a)[: round(share * n)], hashes(max(1, round((1.2 - share) * n)))]))]
+    zero = [0] * len(sets)
+    columns = {"token": zero, "x": zero, "y": zero, "block": zero, "key": list(range(len(sets))), "root": list(range(len(sets))), "n": [len(s) for s in sets], "bits": [simhash.parities(s) for s in sets]}
+    members = simhash._Members(pa.table(columns))
+    x, y = (np.array(v) for v in zip(*combinations(range(len(sets)), 2), strict=True))
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(x.tolist(), y.tolist(), strict=True)])
+    found = members.unlike(x, y)
+    assert (found <= apart).all()
+    total = members.n[x] + members.n[y]
+    unlike = (apart >= 0.6 * total) & (np.minimum(members.n[x], members.n[y]) >= 0.8 * np.maximum(members.n[x], members.n[y])) & (total >= 600)
+    assert unlike.any() and (found[unlike] > total[unlike] / 9).all()
+    open_ = {tuple(p) for made in members.pairs(members.bounds(), 0.8) for p in made.tolist()}
+    like = {(a, b) for a, b, d, t in zip(x.tolist(), y.tolist(), apart.tolist(), total.tolist(), strict=True) if (t - d) / 2 >= 0.8 * (t + d) / 2}
+    assert like and like <= open_
