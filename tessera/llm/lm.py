@@ -11,7 +11,8 @@ the others meet their counts in a join and are summed per text.
 
 The model reads subword ids: a word is split by the first ``MERGES`` merges of
 a public vocabulary over its 256 bytes and 256 word-final bytes, so any text
-has ids, and ids determine the words.  The next id is predicted by a two-level
+has ids, and ids determine the words.  Texts are read and split once; every
+pass, the counts and base scores too, reads the ids (``subwords``).  The next id is predicted by a two-level
 softmax (class of ids, id in the class).  Its logits add what the id before
 tells - log shares from the counts of all neighbouring ids, interpolated with
 the ids' own shares - and what a network tells: one causal attention layer with
@@ -74,9 +75,10 @@ MOST_LOGIT = np.float32(60)
 #: Blocks that are mixed before they are dealt into batches, and neighbours that are counted at once.
 MIXED_BLOCKS = 16_384
 COUNTED_PAIRS = 1_000_000
-#: Blocks that are scored at once.
-SCORED_BLOCKS = 256
+#: Blocks whose states are made at once, and blocks whose targets are dealt by class at once.
+SCORED_BLOCKS, HELD_BLOCKS = 128, 2_048
 MEMO_WORDS = 500_000
+SPLIT_WORDS = 1_000
 COUNTED = 400_000
 #: The hash of the end token; words hash to anything.
 _END_HASH = int(np.uint64(xxhash.xxh3_64_intdigest(b" end ")).view(np.int64))
@@ -90,18 +92,23 @@ class Remembered(dict):
         self.answer, self.limit = answer, limit
 
     def __missing__(self, word: bytes) -> object:
-        if len(self) >= self.limit:
+        found = self.answer(word)
+        self.add({word: found})
+        return found
+
+    def add(self, found: dict[bytes, object]) -> None:
+        if len(self) + len(found) > self.limit:
             kept = list(islice(self.items(), self.limit // 2))
             self.clear()
             self.update(kept)
-        found = self[word] = self.answer(word)
-        return found
+        self.update(islice(found.items(), self.limit // 2))
 
 
 class Pieces:
     """Words to subword ids, by the first merges of a public vocabulary file."""
 
     def __init__(self, path: str, merges: int = MERGES) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
         from tokenizers.models import BPE
 
         with open(path, encoding="utf-8") as file:
@@ -110,17 +117,30 @@ class Pieces:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
-        single = [self.letters[b] for b in range(256)]
-        names = [*single, *[c + "</w>" for c in single], *dict.fromkeys(a + b for a, b in pairs)]
-        vocabulary = {p: n for n, p in enumerate(dict.fromkeys(names))}
+        forms = {self.letters[b]: bytes([b]) for b in range(256)}
+        forms |= {self.letters[b] + "</w>": bytes([b]) + b" " for b in range(256)}
+        for a, b in pairs:
+            forms.setdefault(a + b, forms[a] + forms[b])
+        vocabulary = {p: n for n, p in enumerate(forms)}
         self.size = len(vocabulary) + 1
         self.end = len(vocabulary)
-        self.bpe = BPE(vocab=vocabulary, merges=pairs, end_of_word_suffix="</w>")
-        self.memo = Remembered(self._split)
-
-    def _split(self, word: bytes) -> bytes:
-        letters = self.letters
-        return np.array([t.id for t in self.bpe.tokenize("".join([letters[b] for b in word]))], np.uint16).tobytes()
+        #: What each id stands for, with a space behind a word's last one; an end is nothing.
+        self.forms = [*forms.values(), b""]
+        self.last = np.array([form.endswith(b" ") for form in self.forms])
+        self.bpe = BPE(vocab=vocabulary, merges=pairs, end_of_word_suffix="</w>", cache_capacity=0)  # the memo is the cache
+        self.several = Tokenizer(self.bpe)
+        self.several.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.memo = Remembered(lambda word: self._split([word])[word])
+
+    def _split(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of different words."""
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(words), SPLIT_WORDS):
+            some = words[at : at + SPLIT_WORDS]
+            ids = np.array(self.several.encode(" ".join([w.decode("latin-1").translate(self.letters) for w in some]), add_special_tokens=False).ids, np.uint16)
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * 2).tolist()
+            out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)], strict=True))
+        return out
 
     def __getitem__(self, word: bytes) -> bytes:
         return self.memo[word]
@@ -128,7 +148,18 @@ class Pieces:
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Ids of the words, framed by ends."""
         end = np.array([self.end], np.uint16).tobytes()
-        return np.frombuffer(b"".join([end, *map(self.memo.__getitem__, words), end]), np.uint16).astype(np.int64)
+        found = list(map(self.memo.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if new:
+            made = self._split(list(dict.fromkeys([words[k] for k in new])))
+            for k in new:
+                found[k] = made[words[k]]
+            self.memo.add(made)
+        return np.frombuffer(b"".join([end, *found, end]), np.uint16).astype(np.int64)
+
+    def words(self, ids: np.ndarray) -> list[bytes]:
+        """The words that have these ids."""
+        return b"".join(map(self.forms.__getitem__, ids.tolist())).split()
 
 
 def windows(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,9 +181,16 @@ _BEFORE = np.arange(WINDOW) < WINDOW - STRIDE
 
 def _soften(logits: np.ndarray) -> np.ndarray:
     """Exponentials of the logits, in place, and their sums."""
-    np.minimum(logits, MOST_LOGIT, out=logits)
+    if logits.size and not logits.max() <= MOST_LOGIT:  # seldom
+        np.minimum(logits, MOST_LOGIT, out=logits)
     np.exp(logits, out=logits)
-    return logits.sum(-1)
+    return _sums(logits)
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product, which is faster than adding up short rows."""
+    width = rows.shape[-1]
+    return (rows.reshape(-1, width) @ np.ones(width, rows.dtype)).reshape(rows.shape[:-1])
 
 
 class AttentionModel:
@@ -187,11 +225,13 @@ class AttentionModel:
         of_class = own.sum(1, keepdims=True)
         after = np.zeros((self.classes * CLASS, self.size), np.float32)
         after[self.place] = counts
-        after = after.reshape(self.classes, CLASS, self.size).transpose(2, 0, 1)
+        after = after.reshape(self.classes, CLASS, self.size).transpose(0, 2, 1)
         n = after.sum(2)
-        self.to_class = np.log((n + CLASS_PRIOR * (of_class[:, 0] / of_class.sum())) / (n.sum(1, keepdims=True) + CLASS_PRIOR)).astype(np.float32)
+        of_class, own = of_class[:, :, None], own[:, None]
+        self.to_class = np.log((n + CLASS_PRIOR * (of_class[:, 0] / of_class.sum())) / (n.sum(0) + CLASS_PRIOR)).T.astype(np.float32, order="C")
         inside = (after + MEMBER_PRIOR * (own / of_class)) / (n[:, :, None] + MEMBER_PRIOR)
-        self.to_member = np.where(own > 0, np.log(np.maximum(inside, 1e-30)), -1e9).astype(np.float32).reshape(-1, CLASS)  # places without an id get nothing
+        # a class's rows lie together, as targets are looked up class by class; places without an id get nothing
+        self.to_member = np.where(own > 0, np.log(np.maximum(inside, 1e-30)), -1e9).astype(np.float32, order="C")
 
     def _bias(self) -> np.ndarray:
         return np.where(_FUTURE, np.float32(-1e9), self.p["r"][np.maximum(_OFFSET, 0)]).astype(np.float32)
@@ -204,12 +244,16 @@ class AttentionModel:
         a *= (1 / _soften(a))[..., None]
         return a
 
+    def _looked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query (scaled), key and value of each id."""
+        q, k, v = np.split(self.p["e"] @ self.p["qkv"], 3, 1)
+        return q * np.float32(1 / math.sqrt(WIDTH)), k.copy(), v.copy()
+
     def hidden(self, inputs: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """Last-layer states (blocks x STRIDE x WIDTH) by table lookups and masked attention."""
         p = self.p
         if self.tables is None:
-            q, k, v = np.split(p["e"] @ p["qkv"], 3, 1)
-            self.tables = (q * np.float32(1 / math.sqrt(WIDTH)), k.copy(), v.copy())
+            self.tables = self._looked()
         q, k, v = self.tables
         own = inputs[:, WINDOW - STRIDE :]
         h = np.matmul(self._attend(q.take(own, 0), k.take(inputs, 0), alone), v.take(inputs, 0))
@@ -220,90 +264,104 @@ class AttentionModel:
         h += np.maximum(u, 0, out=u) @ p["w2"]
         return h.reshape(*own.shape, WIDTH)
 
-    def _dealt(self, inputs: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Order of the targets by class, and in that order class, member and id before; bounds of the classes."""
+    def _dealt(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Class and member of each target, an order of the targets by class, and the places that each class has in it."""
         group, member = np.divmod(self.place.take(targets.ravel()), CLASS)
         order = np.argsort(group.astype(np.uint8) if self.classes < 256 else group, kind="stable")
-        group = group[order]
-        return order, group, member[order], inputs[:, WINDOW - STRIDE :].ravel()[order], np.searchsorted(group, np.arange(self.classes + 1)).tolist()
-
-    def _logits(self, top: np.ndarray, group: np.ndarray, before: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Class logits, and member logits within the target's class, of states in the order of classes."""
-        z = top @ self.p["c"]
-        z += self.to_class.take(before, 0)
-        y = np.empty((len(top), CLASS), top.dtype)
-        for g in range(self.classes):
-            a, b = bounds[g], bounds[g + 1]
-            if a < b:
-                np.matmul(top[a:b], self.p["i"][g], out=y[a:b])
-        y += self.to_member.take(before * self.classes + group, 0)
-        return z, y
+        bounds = np.searchsorted(group.take(order), np.arange(self.classes + 1)).tolist()
+        return group, member, order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """Natural log probability of each target."""
-        order, group, member, before, bounds = self._dealt(inputs, targets)
-        rows = np.arange(len(order))
-        z, y = self._logits(self.hidden(inputs, alone).reshape(-1, WIDTH).take(order, 0), group, before, bounds)
-        found = np.minimum(z[rows, group], MOST_LOGIT) + np.minimum(y[rows, member], MOST_LOGIT)
-        found -= np.log(_soften(z) * _soften(y))
-        out = np.empty_like(found)
-        out[order] = found
-        return out.reshape(targets.shape)
+        group, member, order, parts = self._dealt(targets)
+        before = inputs[:, WINDOW - STRIDE :].ravel()
+        found, total, top = (np.empty((len(group), *w), np.float32) for w in ((), (), (WIDTH,)))
+        for at in range(0, len(inputs), SCORED_BLOCKS):  # states and classes: few blocks at once, so that what is made of them stays in the cache
+            some, ids = slice(at, at + SCORED_BLOCKS), slice(at * STRIDE, (at + SCORED_BLOCKS) * STRIDE)
+            top[ids] = self.hidden(inputs[some], alone[some]).reshape(-1, WIDTH)
+            z = top[ids] @ self.p["c"]
+            z += self.to_class.take(before[ids], 0)
+            found[ids] = np.minimum(z[np.arange(len(z)), group[ids]], MOST_LOGIT)
+            total[ids] = _soften(z)
+        top, before, member = top.take(order, 0), before.take(order), member.take(order)
+        chosen, inside = np.empty_like(found), np.empty_like(total)
+        for c, some in parts:  # members: class by class
+            y = top[some] @ self.p["i"][c]
+            y += self.to_member[c].take(before[some], 0)
+            chosen[some] = np.minimum(y[np.arange(len(y)), member[some]], MOST_LOGIT)
+            inside[some] = _soften(y)
+        chosen -= np.log(inside)
+        found -= np.log(total)
+        found[order] += chosen
+        return found.reshape(targets.shape)
 
     def _gradients(self, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, alone: np.ndarray) -> tuple[float, dict]:
         p, g, n = self.p, {}, len(inputs)
-        scale = np.float32(1 / math.sqrt(WIDTH))
-        x = p["e"].take(inputs, 0)
-        t = (x.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * WIDTH)
-        q, k, v = t[:, WINDOW - STRIDE :, :WIDTH] * scale, np.ascontiguousarray(t[..., WIDTH : 2 * WIDTH]), np.ascontiguousarray(t[..., 2 * WIDTH :])
+        own = inputs[:, WINDOW - STRIDE :]
+        tables = self._looked()
+        q, k, v = tables[0].take(own, 0), tables[1].take(inputs, 0), tables[2].take(inputs, 0)
         a = self._attend(q, k, alone)
-        h = np.matmul(a, v)
-        h += x[:, WINDOW - STRIDE :]
-        h = h.reshape(-1, WIDTH)
+        mixed = np.matmul(a, v).reshape(-1, WIDTH)
+        x = p["e"].take(inputs, 0)
+        last = x[:, WINDOW - STRIDE :].reshape(-1, WIDTH)
+        h = mixed + last
         u = h @ p["w1"]
         u += p["b1"]
         np.maximum(u, 0, out=u)
-        order, group, member, before, bounds = self._dealt(inputs, targets)
+        top = u @ p["w2"]
+        top += h
+        group, member, order, parts = self._dealt(targets)
+        top, group, member, before = top.take(order, 0), group.take(order), member.take(order), own.ravel().take(order)
         rows = np.arange(len(order))
-        top = (h + u @ p["w2"]).take(order, 0)
-        weight = (scored.ravel() / max(1, scored.sum())).astype(top.dtype)[order]
-        z, y = self._logits(top, group, before, bounds)
+        weight = (scored.ravel() / max(1, scored.sum())).astype(top.dtype).take(order)
+        z = top @ p["c"]
+        z += self.to_class.take(before, 0)
+        y = np.empty((len(top), CLASS), top.dtype)
+        for c, some in parts:
+            np.matmul(top[some], p["i"][c], out=y[some])
+        y += self.to_member.reshape(-1, CLASS).take(group * self.size + before, 0)
         loss = 0.0
         for logits, choice in ((z, group), (y, member)):
-            picked = logits[rows, choice]
+            choice = rows * logits.shape[1] + choice
+            flat = logits.ravel()
+            picked = flat.take(choice)
             total = _soften(logits)
-            loss += float(((np.log(total) - picked) * weight).sum())
+            loss += float((np.log(total) - picked) @ weight)
             logits *= (weight / total)[:, None]
-            logits[rows, choice] -= weight
+            flat[choice] -= weight
         g["c"], d = top.T @ z, z @ p["c"].T
-        g["i"] = np.zeros_like(p["i"])
-        for c in range(self.classes):
-            m, e = bounds[c], bounds[c + 1]
-            if m < e:
-                np.matmul(top[m:e].T, y[m:e], out=g["i"][c])
-                d[m:e] += y[m:e] @ p["i"][c].T
+        g["i"], inner = np.zeros_like(p["i"]), np.empty_like(d)
+        for c, some in parts:
+            np.matmul(top[some].T, y[some], out=g["i"][c])
+            np.matmul(y[some], p["i"][c].T, out=inner[some])
+        d += inner
         dh = np.empty_like(d)
         dh[order] = d
         g["w2"] = u.T @ dh
         du = dh @ p["w2"].T
         du *= u > 0
-        g["w1"], g["b1"] = h.T @ du, du.sum(0)
+        g["w1"], g["b1"] = h.T @ du, np.ones(len(du), du.dtype) @ du
         dh += du @ p["w1"].T
+        along = _sums(dh * mixed).reshape(n, STRIDE, 1)
         dh = dh.reshape(n, STRIDE, WIDTH)
-        dt = np.zeros_like(t)
-        dt[..., 2 * WIDTH :] = np.matmul(a.transpose(0, 2, 1), dh)
+        dv = np.matmul(a.transpose(0, 2, 1), dh).reshape(-1, WIDTH)
         ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds -= (ds * a).sum(-1, keepdims=True)
+        ds -= along
         ds *= a
-        g["r"] = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_FUTURE, 0, ds.sum(0)).ravel(), minlength=WINDOW).astype(t.dtype)
-        dt[:, WINDOW - STRIDE :, :WIDTH] = np.matmul(ds, k) * scale
-        dt[..., WIDTH : 2 * WIDTH] = np.matmul(ds.transpose(0, 2, 1), q)
-        dt = dt.reshape(-1, 3 * WIDTH)
-        g["qkv"] = x.reshape(-1, WIDTH).T @ dt
-        dx = (dt @ p["qkv"].T).reshape(x.shape)
+        g["r"] = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_FUTURE, 0, ds.sum(0)).ravel(), minlength=WINDOW).astype(ds.dtype)
+        dq = np.matmul(ds, k).reshape(-1, WIDTH)
+        dq *= np.float32(1 / math.sqrt(WIDTH))
+        dk = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH)
+        every = x.reshape(-1, WIDTH)
+        g["qkv"] = np.concatenate([last.T @ dq, every.T @ dk, every.T @ dv], 1)
+        of_q, of_k, of_v = np.split(p["qkv"], 3, 1)
+        dx = dk @ of_k.T
+        dx += dv @ of_v.T
+        dq = dq @ of_q.T
+        dx = dx.reshape(x.shape)
         dx[:, WINDOW - STRIDE :] += dh
-        columns, flat = np.ascontiguousarray(dx.reshape(-1, WIDTH).T), inputs.ravel()
-        g["e"] = np.stack([np.bincount(flat, column, minlength=self.size) for column in columns], 1).astype(t.dtype)
+        dx[:, WINDOW - STRIDE :] += dq.reshape(dh.shape)
+        g["e"] = _by_id(inputs.ravel(), dx.reshape(-1, WIDTH), self.size)
         return loss, g
 
     def fit(self, texts: list[np.ndarray], end: int, steps: int = STEPS, seed: int = 5) -> list[float]:
@@ -319,25 +377,40 @@ class AttentionModel:
     def learn(self, batches: Iterable[tuple[np.ndarray, ...]], share: Callable[[int], float]) -> list[float]:
         """Adam, one step a batch, at a share of the full rate; returns the losses."""
         losses = []
-        self.p = {n: a.astype(np.float32) for n, a in self.p.items()}  # own copies, changed in place
-        m, v = ({n: np.zeros_like(a) for n, a in self.p.items()} for _ in range(2))
+        whole = np.concatenate([a.ravel() for a in self.p.values()]).astype(np.float32)  # own copies, changed in place, end to end
+        ends = np.cumsum([a.size for a in self.p.values()])
+        self.p = {n: part.reshape(a.shape) for (n, a), part in zip(self.p.items(), np.split(whole, ends[:-1]))}
+        m, v, change = (np.zeros_like(whole) for _ in range(3))
         for step, batch in enumerate(batches, 1):
             loss, g = self._gradients(*batch)
             losses.append(loss)
-            rate = RATE * min(1, step / 20) * share(step)
-            for n, slope in g.items():
-                m[n] *= 0.9
-                m[n] += 0.1 * slope
-                v[n] *= 0.99
-                slope *= slope
-                v[n] += 0.01 * slope
-                np.sqrt(v[n] / (1 - 0.99**step), out=slope)
-                slope += 1e-8
-                self.p[n] -= rate / (1 - 0.9**step) * m[n] / slope
+            rate, scale = RATE * min(1, step / 20) * share(step), math.sqrt(1 - 0.99**step)
+            slope = np.concatenate([g[n].ravel() for n in self.p])
+            m *= np.float32(0.9)
+            m += np.multiply(slope, np.float32(0.1), out=change)
+            v *= np.float32(0.99)
+            slope *= slope
+            slope *= np.float32(0.01)
+            v += slope
+            np.sqrt(v, out=slope)
+            slope += np.float32(1e-8 * scale)
+            np.divide(m, slope, out=change)
+            change *= np.float32(rate / (1 - 0.9**step) * scale)
+            whole -= change
         self.tables = None
         return losses
 
 
+def _by_id(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows that have each id."""
+    order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
+    ids = ids.take(order)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[ids[first]] = np.add.reduceat(rows.take(order, 0), first, 0)
+    return out
+
+
 def batches_of(texts: Iterable[np.ndarray], end: int, rng: np.random.RandomState) -> Iterator[tuple[np.ndarray, ...]]:
     """Batches of blocks in which each block of each text is once."""
     held, size = [], 0
@@ -388,16 +461,11 @@ def related(counts: np.ndarray, directions: int = 8, rounds: int = 40) -> np.nda
 class Scorer:
     """What a worker needs to score texts."""
 
-    def __init__(self, path: str, model: AttentionModel) -> None:
-        self.path, self.model, self.pieces = path, model, None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"pieces": None}
+    def __init__(self, model: AttentionModel, end: int) -> None:
+        self.model, self.end = model, end
 
-    def log10(self, texts: list[list[bytes]]) -> list[float]:
-        """log10 probability of each text, given as words."""
-        if self.pieces is None:
-            self.pieces = _Made(self.path).pieces
+    def log10(self, texts: list[np.ndarray]) -> list[float]:
+        """log10 probability of each text, given as ids."""
         out = np.zeros(len(texts))
         held, size = [], 0
 
@@ -406,18 +474,18 @@ class Scorer:
             if held:
                 numbers = np.repeat([n for n, _ in held], [len(w[0]) for _, w in held])
                 inputs, targets, scored, alone = (np.concatenate([w[c] for _, w in held]) for c in range(4))
-                for at in range(0, len(inputs), SCORED_BLOCKS):
-                    cut_ = slice(at, at + SCORED_BLOCKS)
+                for at in range(0, len(inputs), HELD_BLOCKS):
+                    cut_ = slice(at, at + HELD_BLOCKS)
                     found = (self.model.log_probabilities(inputs[cut_], targets[cut_], alone[cut_]) * scored[cut_]).sum(1, dtype=np.float64)
                     np.add.at(out, numbers[cut_], found)
                 held.clear()
                 size = 0
 
-        for n, words in enumerate(texts):
-            made = windows(self.pieces.ids(words), self.pieces.end)
+        for n, ids in enumerate(texts):
+            made = windows(ids.astype(np.int64), self.end)
             held.append((n, made))
             size += len(made[0])
-            if size >= 4 * SCORED_BLOCKS:
+            if size >= HELD_BLOCKS:
                 run()
         run()
         return (out / math.log(10)).tolist()
@@ -431,13 +499,39 @@ def held_out(id_col: str):
     return bucket_of(F.col(id_col), FOLDS) == HELD_OUT
 
 
+def subwords(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, held_out, _round, _ids``: every row with its text's ids, which tell its words; written once, as they are read in every pass."""
+    made, key = _Made(path), dict(docs.dtypes)[id_col]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored = []
+            for text in batch.column(3).to_pylist():
+                ids = made.pieces.ids(text.lower().split()).astype(np.uint16).tobytes()
+                stored.append(len(ids).to_bytes(8, "little") + pa.compress(ids, "zstd", asbytes=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(stored, pa.binary())], names=[id_col, "held_out", "_round", "_ids"])
+
+    share = F.crc32(F.concat(F.lit("round"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))) % ROUNDS
+    rows = docs.select(id_col, held_out(id_col).alias("held_out"), share.alias("_round"), bytes_of(text_col).alias("_text"))
+    return cut(map_arrow(rows, work, f"`{id_col}` {key}, held_out boolean, _round bigint, _ids binary"))
+
+
+def _read(column: pa.Array, pieces: Pieces, stored: bool) -> Iterator[np.ndarray]:
+    """Ids of each text of a column of texts, or of ids as ``subwords`` stores them."""
+    for x in column.to_pylist():
+        if stored:
+            yield np.frombuffer(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd"), np.uint16).astype(np.int64)
+        else:
+            yield pieces.ids(x.lower().split())
+
+
 #: Kinds of counts: hashes of words, and pairs of ids (row x size + column).
 WORD, PAIR = 0, 1
 
 
 def corpus_counts(docs: DataFrame, path: str, size: int, text_col: str = "text") -> DataFrame:
-    """``kind, key, c``: how often each token (by hash) occurs and each id stands behind each other, in all of ``docs``."""
-    made = _Made(path)
+    """``kind, key, c``: how often each token (by hash) occurs and each id stands behind each other, in all of ``docs`` (texts, or rows of ``subwords``)."""
+    made, stored = _Made(path), "_ids" in docs.columns
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_in: Counter[bytes] = Counter()
@@ -450,11 +544,9 @@ def corpus_counts(docs: DataFrame, path: str, size: int, text_col: str = "text")
             return emit(WORD, np.append(_hashes(list(words_in)), _END_HASH), np.append(np.fromiter(words_in.values(), np.int64, len(words_in)), ends))
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = text.lower().split()
-                words_in.update(own)
+            for t in _read(batch.column(0), made.pieces, stored):
+                words_in.update(made.pieces.words(t))
                 ends += 1
-                t = made.pieces.ids(own)
                 held.append(t[1:] * size + t[:-1])
                 n += len(t)
                 if n >= COUNTED_PAIRS:
@@ -471,7 +563,7 @@ def corpus_counts(docs: DataFrame, path: str, size: int, text_col: str = "text")
         some = np.flatnonzero(pairs)
         yield emit(PAIR, some, pairs[some])
 
-    return map_arrow(docs.select(bytes_of(text_col).alias("_text")), count, "kind tinyint, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
+    return map_arrow(docs.select("_ids" if stored else bytes_of(text_col).alias("_text")), count, "kind tinyint, key bigint, c bigint").groupBy("kind", "key").agg(F.sum("c").alias("c"))
 
 
 def neighbours(counts: DataFrame, size: int) -> np.ndarray:
@@ -504,16 +596,16 @@ class _Made:
 def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, share: Callable[[float], float], seed: int, groups: int) -> int:
     """Average of the copies fitted on the partitions of ``texts`` into ``model``; returns the blocks they learned from, once for each pass.
 
-    ``share`` gives the rate's share by the part of the passes that is over.  Copies are summed in ``groups`` before the driver sees them.
+    ``texts`` has ``_text``, or ``_ids`` from ``subwords``.  ``share`` gives the rate's share by the part of the passes that is over.  Copies are summed in ``groups`` before the driver sees them.
     """
     made, sent = _Made(path), texts.sparkSession.sparkContext.broadcast(model)
-    shapes = {n: a.shape for n, a in model.p.items()}
+    shapes, stored = {n: a.shape for n, a in model.p.items()}, "_ids" in texts.columns
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(sent.value)
         part = TaskContext.get().partitionId()
         rng, blocks, steps = np.random.RandomState(seed * 100_003 + part), 0, 0
-        texts_in = (made.pieces.ids(t.lower().split()) for batch in batches for t in batch.column(0).to_pylist())
+        texts_in = (t for batch in batches for t in _read(batch.column(0), made.pieces, stored))
         kept = [t.astype(np.uint16) for t in texts_in] if passes > 1 else None
 
         def dealt() -> Iterator[tuple[np.ndarray, ...]]:
@@ -533,7 +625,7 @@ def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, s
         weights = sum(np.frombuffer(w.as_py(), np.float64) for w in rows.column("w"))
         return pa.table({"n": pa.array([sum(rows.column("n").to_pylist())], pa.int64()), "w": pa.array([weights.tobytes()], pa.binary())})
 
-    copies = map_arrow(texts.select("_text"), fit, "g int, n bigint, w binary")
+    copies = map_arrow(texts.select("_ids" if stored else "_text"), fit, "g int, n bigint, w binary")
     blocks, total = 0, 0.0
     for row in copies.groupBy("g").applyInArrow(add, "n bigint, w binary").toLocalIterator():
         blocks, total = blocks + row.n, total + np.frombuffer(row.w, np.float64)
@@ -547,9 +639,9 @@ def fit_round(texts: DataFrame, path: str, model: AttentionModel, passes: int, s
     return blocks
 
 
-def train(docs: DataFrame, path: str, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> Scorer:
-    """The model, fitted on every block of every training text; ``counts`` are the training texts' ``corpus_counts``."""
-    own = docs.filter(~held_out(id_col)).select(F.crc32(F.concat(F.lit("round"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_round"), bytes_of(text_col).alias("_text"))
+def train(made: DataFrame, path: str, counts: DataFrame, steps: int = STEPS) -> Scorer:
+    """The model, fitted on every block of every training text of ``subwords``; ``counts`` are their ``corpus_counts``."""
+    own = made.filter(~F.col("held_out"))
     pieces = Pieces(path)
     table = neighbours(counts, pieces.size)
     ids = int(table.sum(dtype=np.float64))
@@ -561,44 +653,40 @@ def train(docs: DataFrame, path: str, counts: DataFrame, id_col: str = "doc_id",
             fit_round(own.coalesce(1), path, model, -(-least // ids), lambda over: 1 - 0.9 * over, 0, 1)
         else:
             for n in range(ROUNDS):
-                part = own.filter(F.col("_round") % ROUNDS == n).coalesce(tasks)
+                part = own.filter(F.col("_round") == n).coalesce(tasks)
                 fit_round(part, path, model, 1, lambda over, n=n: 1 - 0.9 * n / ROUNDS, n, math.isqrt(tasks))
-    return Scorer(path, model)
+    return Scorer(model, pieces.end)
 
 
 def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS, frequent: int = FREQUENT) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     key, spark = dict(docs.dtypes)[id_col], docs.sparkSession
-    gathered = cut(corpus_counts(docs.filter(~held_out(id_col)), path, Pieces(path).size, text_col))
+    made, pieces = subwords(docs, path, id_col, text_col), _Made(path)
+    gathered = cut(corpus_counts(made.filter(~F.col("held_out")), path, pieces.pieces.size))
     counts = gathered.filter(F.col("kind") == WORD).select(F.col("key").alias("h"), "c")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     tokens, distinct = int(total[0]), int(total[1])
     bar = max(1, -(-tokens // frequent))
     often = counts.filter(F.col("c") >= bar).toArrow()  # at most ``frequent`` rows: each stands for tokens / frequent
-    hashes = often.column("h").to_numpy().astype(np.int64)
-    order = np.argsort(hashes)
-    known = spark.sparkContext.broadcast((hashes[order], often.column("c").to_numpy().astype(np.int64)[order]))
-    scorer = spark.sparkContext.broadcast(train(docs, path, gathered, id_col, text_col, steps))
+    known = spark.sparkContext.broadcast(tuple(often.column(n).to_numpy().astype(np.int64) for n in ("h", "c")))
+    scorer = spark.sparkContext.broadcast(train(made, path, gathered, steps))
     below = math.log10(tokens + distinct + 1)
-    rows_in = docs.select(id_col, held_out(id_col).alias("held_out"), bytes_of(text_col).alias("_text"))
+    rows_in = made.select(id_col, "held_out", "_ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes = known.value
+        frequent_share = dict(zip(names.view(np.uint64).tolist(), (np.log10(sizes + 1.0) - below).tolist()))
 
         def share(word: bytes) -> float:
             """The logarithm of a frequent word's share, else no number."""
-            return frequent_share(int(np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64)))
-
-        def frequent_share(h: int) -> float:
-            at = int(np.searchsorted(names, h))
-            return math.log10(sizes[at] + 1.0) - below if at < len(names) and names[at] == h else math.nan
+            return frequent_share.get(xxhash.xxh3_64_intdigest(word), math.nan)
 
-        shares, end = Remembered(share), frequent_share(_END_HASH)
+        shares, end = Remembered(share), frequent_share.get(_END_HASH & 0xFFFFFFFFFFFFFFFF, math.nan)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            first, counted, seen, sums, words_in, hs, ns = row, [], [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = text.lower().split()
+            first, counted, seen, sums, ids_in, hs, ns = row, [], [], [], [], [], []
+            for ids in _read(batch.column(2), pieces.pieces, True):
+                words = pieces.pieces.words(ids)
                 own = np.append(np.fromiter(map(shares.__getitem__, words), np.float64, len(words)), end)
                 hit = own == own
                 found = Counter([words[k] for k in np.flatnonzero(~hit[:-1]).tolist()])
@@ -607,11 +695,11 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                     h, n = np.append(h, _END_HASH), np.append(n, np.int32(1))
                 counted.append(len(own)), seen.append(int(hit.sum()))
                 sums.append(float(own[hit].sum()))
-                words_in.append(words), hs.append(h), ns.append(n)
+                ids_in.append(ids.astype(np.uint16)), hs.append(h), ns.append(n)
                 row += 1
             offsets = pa.array(np.cumsum([0, *map(len, hs)]).astype(np.int32))
             rare = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, t), *x]))) for x, t in ((hs, np.int64), (ns, np.int32))]
-            more = [pa.array(np.arange(first, row)), pa.array(counted, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(scorer.value.log10(words_in), pa.float64()), *rare]
+            more = [pa.array(np.arange(first, row)), pa.array(counted, pa.int64()), pa.array(seen, pa.int64()), pa.array(sums, pa.float64()), pa.array(scorer.value.log10(ids_in), pa.float64()), *rare]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], names=[id_col, "held_out", "k", "n_tokens", "seen", "sums", "score", "hs", "ns"])
 
     # written once: a row keeps its number k, by which its rare tokens come back

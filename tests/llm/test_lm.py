@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import lm
 
@@ -54,6 +55,58 @@ def test_pieces_determine_words(pieces):
     assert names is None or len(names) == pieces.size - 1
 
 
+def test_ids_give_the_words_back(pieces):
+    rng = random.Random(2)
+    words = [bytes(b for b in rng.choices(range(256), k=rng.randint(1, 12)) if b != 32 and not 9 <= b <= 13 and not 65 <= b <= 90) or b"x" for _ in range(5_000)]
+    words += [b"</w>", b"a</w>", b"z" * 5_000, *words[:100]]
+    ids = pieces.ids(words)
+    assert pieces.words(ids) == words and (pieces.ids(words) == ids).all()
+    assert pieces.ids([]).tolist() == [pieces.end] * 2 and pieces.words(pieces.ids([])) == []
+    # new words are split together: as each would be alone
+    alone = [t.id for w in words for t in pieces.bpe.tokenize("".join(pieces.letters[b] for b in w))]
+    assert ids[1:-1].tolist() == alone
+
+
+def test_a_small_memo_forgets_and_splits_again(pieces):
+    words = [b"a%d" % i for i in range(300)]
+    want, held = pieces.ids(words), pieces.memo
+    pieces.memo = lm.Remembered(held.answer, 20)
+    try:
+        assert all((pieces.ids(words) == want).all() and len(pieces.memo) <= 20 for _ in range(2))
+        assert b"".join(map(pieces.__getitem__, words)) == want[1:-1].astype(np.uint16).tobytes() and len(pieces.memo) <= 20
+    finally:
+        pieces.memo = held
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"some words of text {i} " * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = lm.score(docs.withColumn("text", F.udf(seen, "string")("text")), PATH, steps=1).collect()
+    assert len(got) == len(rows) and read.value == len(rows)
+
+
+def test_scores_do_not_depend_on_the_blocks_at_hand(pieces):
+    rng = np.random.RandomState(7)
+    texts = [rng.randint(0, pieces.size, n) for n in (40_000, 3, 700)]
+    table = np.zeros((pieces.size, pieces.size), np.float32)
+    np.add.at(table, (texts[0][1:], texts[0][:-1]), 1)
+    model = lm.AttentionModel(pieces.size, table)
+    inputs, targets, scored, alone = (np.concatenate(x) for x in zip(*[lm.windows(t, pieces.end) for t in texts]))
+    assert len(inputs) > lm.HELD_BLOCKS
+    found = model.log_probabilities(inputs, targets, alone)
+    few = np.concatenate([model.log_probabilities(inputs[at : at + 7], targets[at : at + 7], alone[at : at + 7]) for at in range(0, len(inputs), 7)])
+    assert np.abs(found - few).max() < 1e-4
+    bounds = np.cumsum([0, *[len(lm.windows(t, pieces.end)[0]) for t in texts]])
+    want = [(found * scored)[a:b].sum() / math.log(10) for a, b in zip(bounds, bounds[1:])]
+    assert np.allclose(lm.Scorer(model, pieces.end).log10(texts), want, rtol=1e-5)
+
+
 def test_model(pieces):
     rng = np.random.RandomState(0)
     texts = [pieces.ids(b" ".join(rng.choice([b"alpha", b"beta", b"gamma"], 40)).split()) for _ in range(30)]
