@@ -67,11 +67,16 @@ GROUP BY source),
 r AS (SELECT *, 5 * best + 0.15 * least(hits, 5) AS ranking FROM a)"""
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 50 vectors with their documents."""
     top = vectors.top_k(scored(spark, sf_dir), 50, "vec_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    joined = top.join(docs.join(F.broadcast(top.select(F.col("vec_id").alias("doc_id"))), "doc_id", "left_semi"), docs.doc_id == top.vec_id, "left")  # fifty rows; hits of unknown documents stay
-    return vectors.cap_per_group(joined, 5, "source", [F.desc("score"), "vec_id"])
+    return top.join(docs.join(F.broadcast(top.select(F.col("vec_id").alias("doc_id"))), "doc_id", "left_semi"), docs.doc_id == top.vec_id, "left")  # fifty rows; hits of unknown documents stay
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of these the five best of each source."""
+    return vectors.cap_per_group(all_hits(spark, sf_dir), 5, "source", [F.desc("score"), "vec_id"])
 
 
 @query(f"""{_HITS} SELECT source, round(best, 6) AS best, round(total, 6) AS total, hits, top_id, round(ranking, 6) AS ranking_score,
@@ -100,7 +105,7 @@ SELECT doc_id, round(z, 4) AS rerank_score, row_number() OVER (ORDER BY round(z,
 )
 def rerank_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    rows = body.join(F.broadcast(hits(spark, sf_dir)), "doc_id")  # at most fifty rows
+    rows = body.join(F.broadcast(all_hits(spark, sf_dir)), "doc_id")  # at most fifty rows, whatever their sources
     found = sum((F.when(F.contains("t", F.lit(w)), 1).otherwise(0) for w in TERMS), F.lit(0))
     weight = F.when(F.col("lang") == "en", 3.0).when(F.col("lang") == "fr", 2.0).otherwise(0.5)
     scored_rows = ranking.rerank(rows, 5 * F.col("score"), found, weight, F.when(F.col("source") == "src1", 1).otherwise(0))

@@ -81,6 +81,17 @@ def test_hits_of_unknown_documents_stay(spark, tmp_path):
     assert {(r.vec_id, r.source) for r in search.hits(spark, str(tmp_path)).collect()} == {(0, "s"), (1, "t"), (9, None)}
 
 
+def test_rerank_takes_every_hit_of_a_source(spark, tmp_path):
+    from tessera.plans import search
+
+    rows = [(i, [1.0, i / 10], 1) for i in range(8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(i, "of the", "s", "en") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r["rank"], r.doc_id) for r in search.rerank_docs(spark, str(tmp_path)).collect()) == [(i + 1, i) for i in range(8)]
+    assert search.hits(spark, str(tmp_path)).count() == 5
+
+
 def test_similar_sets_against_brute_force(spark):
     import random
 
