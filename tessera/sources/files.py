@@ -7,10 +7,11 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,13 +86,19 @@ def page_marker_csv(spark: SparkSession, path: str) -> DataFrame:
     return made.select("path", F.col("page_no").alias("page_num"), "text", "char_count")
 
 
-def first_text(documents: DataFrame, artifacts: list[DataFrame], key: str) -> DataFrame:
-    """Each document's first existing text of several tables ``key, text``, and which one it was."""
-    out = documents
-    for n, a in enumerate(artifacts):
-        out = out.join(a.filter(F.coalesce(F.trim("text"), F.lit("")) != "").groupBy(F.col(key).alias(f"_k{n}")).agg(F.min("text").alias(f"_t{n}")), F.col(key) == F.col(f"_k{n}"), "left")
-    level = F.coalesce(*[F.when(F.col(f"_t{n}").isNotNull(), n) for n in range(len(artifacts))])
-    return out.select(*documents.columns, F.coalesce(*[F.col(f"_t{n}") for n in range(len(artifacts))]).alias("text"), level.alias("artifact"))
+def first_text(documents: DataFrame, artifacts: list[DataFrame], key: str | list[str], as_is: Collection[int] = ()) -> DataFrame:
+    """Each document's first existing text of several tables ``key, text``, and which one it was.
+
+    Blank texts do not exist, except in the tables that ``as_is`` numbers: there nulls and blanks count too.
+    Of a document's texts in one table the least is taken. Keys may be null and documents may repeat.
+    """
+    keys = [key] if isinstance(key, str) else key
+    blank = ~F.coalesce(F.col("text").rlike("[^\\p{Zs}]"), F.lit(False))
+    every = reduce(DataFrame.unionByName, [(a if n in as_is else a.filter(~blank)).select(*keys, "text", F.lit(n).alias("_n")) for n, a in enumerate(artifacts)])
+    first = F.min(F.struct("_n", F.isnull("text").alias("_null"), "text"))
+    found = every.groupBy(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)]).agg(first.alias("_first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)])
+    return documents.join(found, same, "left").select(*documents.columns, "_first.text", F.col("_first._n").alias("artifact"))
 
 
 def decode(data: bytes, encodings: tuple[str, ...] = ("utf-8", "cp949", "euc-kr")) -> str:

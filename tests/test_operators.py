@@ -4,9 +4,11 @@ import io
 import zipfile
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, graph, metadata, upkeep
+from tessera.plans import catalog
 from tessera.sources import files
 from tessera.streaming import append
 
@@ -269,3 +271,16 @@ def test_section_chunks(spark):
     assert tail == ["a" * 1390, ("a" * 1390 + "\n\n" + "b" * 60)[-1400:]]
     rows = spark.createDataFrame([(1, "one\n\ntwo"), (2, None)], "id long, t string")
     assert [tuple(r) for r in filters.section_chunks(rows, ["id"], "t").collect()] == [(1, 0, "one\n\ntwo")]
+
+
+def test_text_fallbacks_on_odd_rows(spark, tmp_path):
+    """Blank and missing texts of the tables that count as they are, repeated and null ids: row by row as the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(2, " " * 30, "s", "en"), (1, " " * 30, "s", "en"), (5, None, "s", "en"), (7, "", "s", "en"), (4, "x", "s", None), (8, "x", "s", " "), (3, "x", "\u00a0", "en"), (6, "x", "\t", "en"), (9, "x", None, "en")]
+    rows += [(3, "one", "b", "en"), (3, "one", "a", "en"), (5, "b", "s", "en"), (5, "a", "s", "en"), (5, "a", "s", "en"), (None, "lost", "s", "en"), (-3, "x", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["text_fallbacks"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLE_SQL["text_fallbacks"]).fetchall()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
