@@ -183,3 +183,61 @@ def test_wrappers_are_of_all_pages(spark, monkeypatch):
     for most in (htmltext.BROADCAST_CHARS, 0):
         monkeypatch.setattr(htmltext, "BROADCAST_CHARS", most)
         assert {r.page_id: r.text for r in htmltext.extract_pages(pages).collect()} == want
+
+
+def plain_pairs(a, b):
+    """All pairs of the matching by the full table of each two nodes."""
+    memo = {}
+
+    def best(x, y):
+        if isinstance(x, str) or isinstance(y, str):
+            return int(isinstance(x, str) and isinstance(y, str)), []
+        if (id(x), id(y)) not in memo:
+            left, right = htmltext.parts(x), htmltext.parts(y)
+            t = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+            for i, u in enumerate(left):
+                for j, v in enumerate(right):
+                    same = isinstance(u, str) or isinstance(v, str) or u.label == v.label
+                    t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + (best(u, v)[0] if same else 0))
+            chosen, i, j = [], len(left), len(right)
+            while i and j:
+                if t[i][j] == t[i - 1][j]:
+                    i -= 1
+                elif t[i][j] == t[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    chosen.append((left[i], right[j]))
+            memo[id(x), id(y)] = 1 + t[-1][-1], chosen
+        return memo[id(x), id(y)]
+
+    found, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        found.append((id(x), id(y)))
+        todo += best(x, y)[1]
+    return found
+
+
+def test_alignment_equals_full_tables(monkeypatch):
+    """Whatever is held of tables and alignments, and whichever way a table is made."""
+    rng = random.Random(21)
+
+    def tree(depth):
+        kids = "".join(rng.choice(["t<br>", "<p>x</p>", "<p>x<b>y</b></p>", "<i>z</i>", tree(depth - 1) if depth else "<u>w</u>"]) for _ in range(rng.choice([1, 4, 12])))
+        return f"<div>{kids}</div>"
+
+    for wide, cells, held in ((10**9, 1, 10**9), (0, 10**9, 10**9), (0, 1, 10**9), (3, 30, 5), (3, 1, 1)):
+        for name, value in (("WIDE", wide), ("HELD_CELLS", cells), ("HELD_PAIRS", held)):
+            monkeypatch.setattr(htmltext, name, value)
+        for _ in range(25):
+            a, b = htmltext.parse(tree(3)), htmltext.parse(tree(3))
+            assert [(id(x), id(y)) for x, y in htmltext.pairs(a, b)] == plain_pairs(a, b)
+
+
+def test_large_pages_are_aligned_as_small_ones():
+    """What comes before a standing text moves it; only the matching of all children finds it on pages of thousands of them."""
+    page = lambda n, more: f"<body><div id=w><div class=m>{'<p>before</p>' * more}<p><b>Standing</b> <i>words</i></p>" + "".join(f"<p>{n} text {k}</p>" for k in range(1_500)) + "</div></div></body>"
+    (wrapper,) = htmltext.induce([page(n, n % 3) for n in range(9)]).values()
+    assert wrapper["template"] == ["Standing", "words"]
+
