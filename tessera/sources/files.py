@@ -11,6 +11,7 @@ from collections.abc import Callable, Collection, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -164,18 +165,23 @@ def extract(spark: SparkSession, root: str, extractors: dict[str, Callable[[byte
     known = EXTRACTORS | (extractors or {})
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"]):
-                one = known.get(path.rsplit(".", 1)[-1].lower())
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):  # one file at a time: texts may be large
+                one, text, status = known.get(path.as_py().rsplit(".", 1)[-1].lower()), None, "unsupported"
                 try:
-                    out.append((path, one(bytes(content)) if one else None, "done" if one else "unsupported"))
+                    if one:
+                        text, status = pa.array([one(content.as_py())], pa.string()), "done"
                 except Exception as why:  # a broken file must not stop the batch
-                    out.append((path, None, f"failed: {type(why).__name__}"))
-            yield pd.DataFrame(out, columns=["path", "text", "status"])
+                    status = f"failed: {type(why).__name__}"
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.nulls(1, pa.string()) if text is None else text, pa.array([status])], names=["path", "text", "status"])
+
+    return files.mapInArrow(work, "path string, text string, status string")
+
 
-    return files.mapInPandas(work, "path string, text string, status string")
+def write_texts(rows: DataFrame, folder: str, most: int = 256) -> None:
+    """Text files of one column's rows, a line break behind each; at most so many rows a file, as a file is read whole."""
+    rows.write.option("maxRecordsPerFile", most).text(folder)
 
 
 def write_vectors(rows: DataFrame, path: str, partition: str | None = None) -> None:

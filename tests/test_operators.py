@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, graph, metadata, upkeep
-from tessera.plans import catalog
+from tessera.plans import building, catalog
 from tessera.sources import files
 from tessera.streaming import append
 
@@ -284,3 +284,14 @@ def test_text_fallbacks_on_odd_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(catalog.ORACLE_SQL["text_fallbacks"]).fetchall()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_extracted_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However many documents a task has, it reads no file of all of them; a document without text is no line."""
+    rows = [(i, None if i % 9 == 4 else f"text {i}\r\nmore") for i in range(1_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(building, "_folder", lambda _: f"{tmp_path}/files")
+    (row,) = catalog.QUERIES["extracted_files"](spark, str(tmp_path)).collect()
+    assert (row.status, row.chars) == ("done", sum(len(t) + 1 for _, t in rows if t))
+    sizes = [p.read_bytes().count(b"more\n") for p in (tmp_path / "files").glob("*.txt")]
+    assert sum(sizes) == sum(t is not None for _, t in rows) and max(sizes) <= 256
