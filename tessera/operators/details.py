@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,14 +87,37 @@ def index_report(wanted: Sequence[str], hits: DataFrame, index: str) -> DataFram
     return names.join(n, "index", "left").select("index", F.col("hits").isNotNull().alias("found"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
+_SPACE = " \\t\\r\\n\\x0B\\f"
+#: Besides A-Z and the kept ones themselves, what becomes a kept character in lower case.
+_CAPITALS = {"i": "\u0130", "k": "\u212a"}
+
+
+def word_pattern(term: str) -> str:
+    """A whole word that is the term in lower case, when all but letters a-z, Hangul, digits and underscores are left out of it."""
+    other = f"[^0-9A-Za-z가-힣_{''.join(_CAPITALS.values())}{_SPACE}]*+"
+    if re.search("[^0-9a-z가-힣_]", term):
+        return "(?!)"
+    letters = "".join(f"[{c}{c.upper()}{_CAPITALS.get(c, '')}]{other}" for c in term)
+    return f"(?<![^{_SPACE}])(?=[^{_SPACE}]){other}{letters}(?![^{_SPACE}])"
+
+
 def marked_snippet(text: Column, term: str, words: int = 30) -> Column:
-    """About ``words`` words around the first word that is the term, which stands between <b> and </b>; null without it."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\n\x0B\f]+"), lambda x: x != "")
-    plain = F.transform(parts, lambda x: F.regexp_replace(F.lower(x), "[^0-9a-z가-힣_]", ""))
-    at = F.array_position(plain, term)
-    start = F.greatest(at - words // 2, F.lit(1)).cast("int")
-    chosen = F.transform(F.slice(parts, start, words), lambda x, i: F.when(i + start == at, F.concat(F.lit("<b>"), x, F.lit("</b>"))).otherwise(x))
-    return F.when(at > 0, F.array_join(chosen, " "))
+    """About ``words`` words around the first word that is the term, which stands between <b> and </b>; null without it.
+
+    A text is searched once, and only the words up to the hit and those shown are told apart.
+    """
+    whole = F.coalesce(text, F.lit(""))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    parts = lambda some, most=-1: F.filter(F.split(some, f"[{_SPACE}]+", most), lambda x: x != "")
+
+    def around(before: Column, after: Column) -> Column:
+        hit = F.substring(whole, F.length(before) + 1, F.length(whole) - F.length(before) - F.length(after))
+        first = lambda own: F.slice(own, F.greatest(F.size(own) - words // 2, F.lit(0)) + 1, words // 2)
+        rest = lambda left: F.slice(parts(after, words + 1), 1, words - 1 - F.size(left))
+        shown = lambda left: F.array_join(F.concat(left, F.array(F.concat(F.lit("<b>"), hit, F.lit("</b>"))), rest(left)), " ")
+        return once(once(parts(before), first), shown)
+
+    return once(F.split(whole, word_pattern(term), 2), lambda cut: F.when(F.size(cut) == 2, around(F.get(cut, 0), F.get(cut, 1))))
 
 
 def path_score(path: Column, folders: Sequence[str], files: Sequence[str], extensions: Mapping[str, int], marks: Mapping[str, int]) -> Column:

@@ -1,6 +1,7 @@
 """Sources, chunking, streams, guards and stage runs that have no SQL twin."""
 
 import io
+import random
 import zipfile
 from datetime import date
 
@@ -295,3 +296,20 @@ def test_extracted_files_are_of_bounded_size(spark, tmp_path, monkeypatch):
     assert (row.status, row.chars) == ("done", sum(len(t) + 1 for _, t in rows if t))
     sizes = [p.read_bytes().count(b"more\n") for p in (tmp_path / "files").glob("*.txt")]
     assert sum(sizes) == sum(t is not None for _, t in rows) and max(sizes) <= 256
+
+
+def test_marked_snippets_of_odd_texts(spark, tmp_path):
+    """Hits at every place, among other marks and scripts, against the query's SQL; a text is searched once, not for each word shown."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(4)
+    some = ["of", "OF", "(oF)", "o-f.", "of_", "off", "of가", "o", "f", "-", "é", "oé’f", "\u212aof", "\u0130of", "\U0001f600of", "of\U0001f600", "a\u00a0of", "<b>", "of\u0301", "1of", "\\", "$1"]
+    texts = [None, "", " ", "of", " of ", "of of of", "-- -of- --", "x " * 40 + "of" + " y" * 40, "x\x0bof\x0cy", "x\u2028of\u2028", "\n\nOf\n\n"]
+    texts += ["".join(rng.choice(some if rng.random() < 0.2 else ["w", "\U0001f600", "word,"]) + rng.choice([" ", "  ", "\n", "\t\r"]) for _ in range(rng.choice([3, 16, 40, 90]))) for _ in range(300)]
+    texts += [" ".join([f"w{n}" for n in range(k)] + ["of"] + [f"v{n}" for n in range(m)]) for k in (0, 1, 14, 15, 16, 30) for m in (0, 1, 13, 14, 15, 28, 29, 30)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = catalog.QUERIES["fts_marked"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, frame.collect())) == sorted(con.execute(catalog.ORACLE_SQL["fts_marked"]).fetchall())
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == plan.count("Generate") * 3 and "regexp_replace" not in plan
