@@ -10,7 +10,6 @@ import zipfile
 from collections.abc import Callable, Collection, Iterator
 from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +74,23 @@ def page_marker_csv(spark: SparkSession, path: str) -> DataFrame:
 
     The non-empty cells of a row are joined by one space, rows by a line break; empty pages go.
     """
-    raw = spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return marked_contents(spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "value"))
 
-    def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, text in zip(frame["path"], frame["value"]):
-                joined = [" ".join(c for c in map(str.strip, row) if c) for row in csv.reader(io.StringIO(text, newline=""))]
-                yield pd.DataFrame({"path": name, "n": range(len(joined)), "cell": joined})
 
-    made = marked_lines(raw.mapInPandas(cells, "path string, n int, cell string"), "path", "n", "cell")
+def marked_contents(contents: DataFrame) -> DataFrame:
+    """The same of files that are rows ``path, value`` of a table, as many small ones are best kept."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, numbers, joined = [], [], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for n, row in enumerate(csv.reader(io.StringIO(text.as_py() or "", newline=""))):
+                    paths.append(name)
+                    numbers.append(n)
+                    joined.append(" ".join(c for c in map(str.strip, row) if c))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(numbers, pa.int32()), pa.array(joined, pa.string())], names=["path", "n", "cell"])
+
+    made = marked_lines(contents.select("path", "value").mapInArrow(cells, "path string, n int, cell string"), "path", "n", "cell")
     return made.select("path", F.col("page_no").alias("page_num"), "text", "char_count")
 
 

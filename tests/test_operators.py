@@ -313,3 +313,13 @@ def test_marked_snippets_of_odd_texts(spark, tmp_path):
     assert sorted(map(tuple, frame.collect())) == sorted(con.execute(catalog.ORACLE_SQL["fts_marked"]).fetchall())
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("split(") == plan.count("Generate") * 3 and "regexp_replace" not in plan
+
+
+def test_marked_pages_are_no_folder_each(spark, tmp_path, monkeypatch):
+    """However many documents there are, a task writes one file of them; rows of a repeated id stay apart."""
+    rows = [(i // 2 - 5, "en", f"src{i}", i) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(building, "_folder", lambda _: f"{tmp_path}/files")
+    got = sorted(map(tuple, catalog.QUERIES["marked_pages"](spark, str(tmp_path)).collect()))
+    assert got == sorted(x for i, lang, source, n in rows for x in ((i, 1, f"{lang} {n}"), (i, 2, f"{source}\n{i}")))
+    assert 0 < sum(p.is_file() for p in (tmp_path / "files").rglob("part-*")) <= 2
